@@ -8,11 +8,13 @@
    size ranges). Very frequent shingles, found in a bounded sample, are left out of groups so that common passages
    don't make signatures; any set of such shingles gives the same result. A class with too few non-empty groups
    also emits the shingles of a prefix of its set, of which two similar sets share one.
-3. Classes that share signatures form candidate components; their sets are gathered by component. Components of
-   more than `block` classes are dealt out as pairs of blocks of that many.
-4. In a task, group counts are points in an R-tree. The overlap of two sets is at most the sum of the smaller of
-   each two counts, and of a node's largest counts for all below it; surviving pairs are verified on the sets.
-   A task returns link counts and a spanning forest, never pairs.
+3. The counts of a class's shingles in hashed groups are a point. The overlap of two sets is at most the sum of the
+   smaller of each two counts. Within a signature's classes the pairs that this bound allows are connected by a
+   spanning forest; the forests' components are candidates, and their sets are gathered by component. Components
+   of more than `block` classes are dealt out as pairs of blocks of that many.
+4. In a task the points are packed into an R-tree, whose nodes keep the largest counts below them, so that the
+   bound rules out whole nodes; surviving pairs are verified on the sets. A task returns link counts and a spanning
+   forest, never pairs.
 
 Two texts link when den * |A & B| >= num * |A | B|. Null texts and texts without words have an empty set, are
 linked with nothing and are their own component. Equal rows link with one another. Null ids take part; a component
@@ -25,7 +27,6 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,9 +109,11 @@ def _name(u: np.ndarray, seed: int) -> tuple[int, int]:
 
 
 def named_sets(docs: DataFrame, spec: Spec, id_col: str, text_col: str, with_set: bool) -> DataFrame:
-    """(doc, n, k1, k2[, shingles]): each row's id, size of its set, the set's 128-bit name and the set itself."""
+    """(doc, n, k1, k2, shingles or point): each row's id, size of its set, the set's 128-bit name and the set itself
+    or its group counts."""
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc {kind}, n bigint, k1 bigint, k2 bigint" + ", shingles binary" * with_set
+    extra = "shingles" if with_set else "point"
+    schema = f"doc {kind}, n bigint, k1 bigint, k2 bigint, {extra} binary"
 
     def run(batch):
         for a, b, data, offsets in text_slices(batch.column(1)):
@@ -118,9 +121,8 @@ def named_sets(docs: DataFrame, spec: Spec, id_col: str, text_col: str, with_set
             names = [_name(u, spec.seed) for u in sets]
             cols = [batch.column(0).slice(a, b - a), pa.array([len(u) for u in sets], pa.int64()),
                     pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64())]
-            if with_set:
-                cols.append(pa.array([u.tobytes() for u in sets], pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, ["doc", "n", "k1", "k2", "shingles"][: len(cols)])
+            cols.append(pa.array([u.tobytes() if with_set else point_of(u) for u in sets], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "n", "k1", "k2", extra])
 
     return map_arrow(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, schema)
 
@@ -166,28 +168,125 @@ def _signature_rows(docs: DataFrame, spec: Spec, hot: np.ndarray, id_col: str, t
     return map_arrow(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, "sig bigint, k1 bigint")
 
 
-def candidate_edges(rows: DataFrame) -> DataFrame:
-    """(a, b): the smallest class of each signature with each other class of it. One shuffle; rows are streamed."""
+def shared_buckets(rows: DataFrame) -> DataFrame:
+    """(bucket, k1): the classes of every signature that several have; equal lists of classes are one bucket.
+
+    One shuffle of the signatures. A signature's classes are hashed to name its bucket; beyond `_LONG` of them they
+    are streamed on under the signature's own name.
+    """
     ordered = rows.repartition("sig").sortWithinPartitions("sig", "k1")
 
     def run(batches):
-        last_sig = last_min = last_key = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            first = np.r_[sig[0] != last_sig, sig[1:] != sig[:-1]]
-            heads = np.flatnonzero(first)
-            low = np.empty(len(sig), np.int64)
-            at = np.cumsum(first) - 1
-            low[at >= 0] = key[heads][at[at >= 0]]
-            low[at < 0] = last_min if last_min is not None else 0
-            again = np.r_[(sig[0] == last_sig) and (key[0] == last_key), (sig[1:] == sig[:-1]) & (key[1:] == key[:-1])]
-            pick = ~first & ~again & (low != key)
-            last_sig, last_min, last_key = sig[-1], low[-1], key[-1]
-            if pick.any():
-                pairs = pd.DataFrame({"a": low[pick], "b": key[pick]}).drop_duplicates()
-                yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
+        for sig, (key,), whole in _aligned(batches, 1):
+            new = np.r_[True, sig[1:] != sig[:-1]]
+            fresh = new | np.r_[True, key[1:] != key[:-1]]
+            sig, key = sig[fresh], key[fresh]
+            first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+            size = np.diff(np.r_[first, len(sig)])
+            if whole:
+                name = mix(np.add.reduceat(mix(key.view(np.uint64)), first) + size.astype(np.uint64)).view(np.int64)
+                keep = np.repeat(size > 1, size)
+            else:
+                name, keep = mix(sig[first].view(np.uint64) + np.uint64(1)).view(np.int64), np.ones(len(sig), bool)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[keep]), pa.array(key[keep])], ["bucket", "k1"])
+
+    return ordered.mapInArrow(run, "bucket bigint, k1 bigint").distinct()
+
+
+#: Rows of one group that a task holds at once.
+_LONG = 200_000
+
+
+def _aligned(batches, width: int):
+    """(keys, other columns, whole) with all rows of a key together, from batches sorted by their first column.
+
+    A key with more than _LONG rows comes in parts, with whole = False, all of which begin with its first row.
+    """
+    hold, torn = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        hold = table if hold is None else pa.concat_tables([hold, table])
+        key = hold.column(0).to_numpy()
+        at = int(np.searchsorted(key, key[-1]))
+        if torn and key[0] != key[-1]:
+            end = int(np.searchsorted(key, key[0], side="right"))
+            yield key[:end], _columns(hold.slice(0, end), width), False
+            hold, torn = hold.slice(end), False
+            key, at = key[end:], at - end
+        if at:
+            yield key[:at], _columns(hold.slice(0, at), width), True
+            hold, key = hold.slice(at), key[at:]
+        if len(key) > _LONG:
+            yield key, _columns(hold, width), False
+            hold, torn = hold.slice(0, 1), True
+    if hold is not None and hold.num_rows:
+        yield hold.column(0).to_numpy(), _columns(hold, width), not torn
+
+
+def _columns(table: pa.Table, width: int) -> tuple:
+    return tuple(
+        c.to_numpy() if not pa.types.is_binary(c.type) else c.to_pylist() for c in (table.column(k + 1) for k in range(width))
+    )
+
+
+def point_of(u: np.ndarray) -> bytes:
+    """Counts of a set's shingles in hashed groups, a byte each; more groups for larger sets, a power of four times 64."""
+    dims = 64
+    while len(u) > 32 * dims:
+        dims *= 4
+    place = ((u & np.uint64(0xFFFFFFFF)) * np.uint64(dims)) >> np.uint64(32)
+    return np.minimum(np.bincount(place.astype(np.int64), minlength=dims), 255).astype(np.uint8).tobytes()
+
+
+def _may_link(point: np.ndarray, n: int, points: list[np.ndarray], sizes: np.ndarray, spec: Spec) -> np.ndarray:
+    """Which of `points` (with set sizes) have a count overlap that allows a link with `point`."""
+    out = (sizes >= spec.overlap_of_self(int(n))) & (sizes <= spec.partner(int(n)))
+    need = spec.overlap(n, sizes)
+    for dims in {len(points[k]) for k in np.flatnonzero(out)}:
+        at = np.array([k for k in np.flatnonzero(out) if len(points[k]) == dims])
+        other, own = np.array([points[k] for k in at], np.int32), point.astype(np.int32)
+        full = (other == 255).any(1) | bool((own == 255).any())
+        if dims > len(own):
+            other = other.reshape(len(at), len(own), -1).sum(2)
+        elif dims < len(own):
+            own = own.reshape(dims, -1).sum(1)
+        out[at] = full | (np.minimum(other, own).sum(1) >= need[at])
+    return out
+
+
+def candidate_edges(buckets: DataFrame, classes: DataFrame, spec: Spec) -> DataFrame:
+    """(a, b): a spanning forest, for each bucket, of the pairs that their group counts allow to link.
+
+    Two classes that link share a bucket and are allowed by their counts, so they are connected by these edges. A
+    bucket of more than `_LONG` classes is connected whole, which allows more than is needed and loses nothing.
+    """
+    ordered = buckets.join(classes.select("k1", "n", "point"), "k1").select("bucket", "k1", "n", "point").repartition("bucket").sortWithinPartitions("bucket", "k1")
+
+    def run(batches):
+        for bucket, (key, n, point), whole in _aligned(batches, 3):
+            first = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
+            left, right = [], []
+            for a, b in zip(first[:-1], first[1:]):
+                if not whole:
+                    left += [key[a]] * (b - a - 1)
+                    right += list(key[a + 1 : b])
+                    continue
+                points = [np.frombuffer(p, np.uint8) for p in point[a:b]]
+                rest = np.arange(b - a)
+                while len(rest) > 1:
+                    queue, rest = [rest[0]], rest[1:]
+                    while queue and len(rest):
+                        i = queue.pop()
+                        ok = _may_link(points[i], n[a + i], [points[k] for k in rest], n[a + rest], spec)
+                        left += [key[a + i]] * int(ok.sum())
+                        right += list(key[a + rest[ok]])
+                        queue += list(rest[ok])
+                        rest = rest[~ok]
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -282,8 +381,8 @@ def jaccard_components(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_
     return self_join(docs, spec, id_col, text_col, **options)[0]
 
 
-def self_join(docs: DataFrame, spec: Spec, id_col: str, text_col: str, block: int = 2048, hot_sample: int = 2000,
-              hot_share: float = 0.005) -> tuple[DataFrame, Spec]:
+def self_join(docs: DataFrame, spec: Spec, id_col: str, text_col: str, block: int = 4096, hot_sample: int = 5000,
+              hot_share: float = 0.002) -> tuple[DataFrame, Spec]:
     """What `jaccard_components` returns, and the spec with the seed that names sets.
 
     block: classes compared in one task; hot_sample, hot_share: shingles in more than that share of that many
@@ -292,15 +391,17 @@ def self_join(docs: DataFrame, spec: Spec, id_col: str, text_col: str, block: in
     for seed in range(8):
         spec = Spec(spec.width, spec.num, spec.den, seed)
         rows = checkpointed(named_sets(docs, spec, id_col, text_col, False))
-        classes = rows.where("n > 0").groupBy("k1").agg(
-            F.min("doc").alias("cid"), F.count("*").alias("copies"), F.min("k2").alias("k2"), F.max("k2").alias("k2max")
-        )
+        classes = checkpointed(rows.where("n > 0").groupBy("k1").agg(
+            F.min("doc").alias("cid"), F.count("*").alias("copies"), F.min("k2").alias("k2"), F.max("k2").alias("k2max"),
+            F.first("n").alias("n"), F.first("point").alias("point"),
+        ))
         if not classes.where("k2 <> k2max").head(1):  # else two classes share a name: take other names
             break
     else:
         raise RuntimeError("class names collide under every seed")
     hot = frequent_shingles(docs, spec, id_col, text_col, hot_sample, hot_share)
-    edges = candidate_edges(_signature_rows(docs, spec, hot, id_col, text_col))
+    buckets = shared_buckets(_signature_rows(docs, spec, hot, id_col, text_col))
+    edges = candidate_edges(buckets, classes, spec)
     found = checkpointed(connected_components(edges))
     members = found.select(F.col("node").alias("k1"), F.col("root")).join(classes.select("k1", "cid", "copies"), "k1")
     sizes = found.groupBy("root").agg(F.count("*").alias("size"))
