@@ -226,16 +226,14 @@ def chunk_structural(spark, d):
 
 
 @register("""WITH RECURSIVE t AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS s FROM documents),
-c AS (SELECT doc_id, s, 0 AS part, 0 AS at FROM t WHERE s <> ''
-UNION ALL SELECT doc_id, s, part + 1, greatest(at + 1, e - 300) FROM (SELECT *, CASE WHEN at + 2400 < length(s) AND strpos(reverse(substr(s, at + 1201, 1200)), chr(10)) > 0
-   THEN at + 2400 - strpos(reverse(substr(s, at + 1201, 1200)), chr(10)) ELSE least(at + 2400, length(s)) END AS e FROM c) z WHERE e < length(s))
-SELECT doc_id, count(*)::BIGINT AS n_chunks, max(at)::BIGINT AS last_start FROM c GROUP BY doc_id""")
+c AS (SELECT doc_id, s, 0 AS part, 0 AS pos FROM t WHERE s <> ''
+UNION ALL SELECT doc_id, s, part + 1, greatest(pos + 1, e - 300) FROM (SELECT *, CASE WHEN pos + 2400 < length(s) AND strpos(reverse(substr(s, pos + 1201, 1200)), chr(10)) > 0
+   THEN pos + 2400 - strpos(reverse(substr(s, pos + 1201, 1200)), chr(10)) ELSE least(pos + 2400, length(s)) END AS e FROM c) z WHERE e < length(s))
+SELECT doc_id, count(*)::BIGINT AS n_chunks, max_by(length(trim(substr(s, pos + 1), ' ' || chr(10))), pos)::BIGINT AS last_chars FROM c GROUP BY doc_id""")
 def chunk_fixed_windows(spark, d):
     docs = table(spark, d, "documents")
-    cut = docs.select("doc_id", "text", chunking.fixed_windows("text", F.lit(2400), F.lit(300)).alias("ps"))
-    clean = F.array_join(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
-    start = F.length(clean) - F.length(F.element_at("ps", -1))
-    return cut.where(F.size("ps") > 0).select("doc_id", F.size("ps").cast("bigint").alias("n_chunks"), F.when(F.size("ps") == 1, 0).otherwise(start).cast("bigint").alias("last_start"))
+    cut = docs.select("doc_id", chunking.fixed_windows("text", F.lit(2400), F.lit(300)).alias("ps"))
+    return cut.where(F.size("ps") > 0).select("doc_id", F.size("ps").cast("bigint").alias("n_chunks"), F.length(F.element_at("ps", -1)).cast("bigint").alias("last_chars"))
 
 
 @register()

@@ -15,6 +15,7 @@ _VOID = {"br", "img", "input", "hr", "meta", "link", "source", "area", "base", "
 _HEAD = {f"h{k}": k for k in range(1, 7)}
 _BLOCK = {"p", "pre", "blockquote", "figure", "ul", "ol", "dl", "table", *_HEAD}
 _CLOSES_P = _BLOCK | {"div", "section", "article", "main", "form", "li"}
+_INLINE = {"a", "b", "i", "u", "em", "strong", "span", "small", "code", "sub", "sup", "font", "mark", "abbr", "cite", "q"}
 _MARKED = re.compile(r"breadcrumb|cookie|sidebar|social|share|menu|banner|advert|\bads?\b", re.I)
 
 
@@ -30,8 +31,12 @@ class _Tree(HTMLParser):
         self.stack = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        if tag in _CLOSES_P and self.stack[-1].tag == "p":
-            self.stack.pop()
+        if tag in _CLOSES_P:  # an open paragraph ends here, with inline tags that were left open in it
+            for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k].tag == "p":
+                    del self.stack[k:]
+                if k >= len(self.stack) or self.stack[k].tag not in _INLINE:
+                    break
         node = _Node(tag, {k: v or "" for k, v in attrs})
         self.stack[-1].items.append(node)
         if tag not in _VOID:
