@@ -30,7 +30,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with `fn` called for each batch; batches are bounded in bytes as well as in rows."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
     def run(batches):
         for batch in batches:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm._cluster import checkpointed
 
+_SPAN = 1 << 30
+
 
 def fold(id_col: str, folds: int):
     """crc32 of the id as text, modulo `folds`; null for a null id."""
@@ -19,15 +21,19 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, per_label
 
     labels: (id_col, label_col) of the rows that may be learned from; null ids and labels are left out, and an id
     with several labels counts with the largest. An id with several texts counts with the smallest. Only ids are
-    ranked, of which no task sends on more than `per_label` for a label; texts meet them in a broadcast join whose
+    ranked, of which about twice `per_label` for a label are left by then; texts meet them in a broadcast join whose
     small side has `per_label` rows a label.
     """
     known = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id is not null and label is not null")
         .groupBy("id").agg(F.max("label").alias("label"))
     )
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label).drop("rank")
+    place = F.pmod(F.xxhash64("id"), F.lit(_SPAN))
+    sizes = known.groupBy("label").agg(F.count("*").alias("size"))
+    # twice as many as wanted pass by their hash alone, before any label's rows meet in one task
+    likely = known.join(sizes, "label").withColumn("place", place).where(F.col("place") * F.col("size") < F.lit(2.0 * (per_label + 50) * _SPAN))
+    order = Window.partitionBy("label").orderBy("place", "id")
+    chosen = likely.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label).select("id", "label")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     return checkpointed(joined)
