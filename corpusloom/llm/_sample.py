@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm._cluster import checkpointed
 
 _SPAN = 1 << 30
+#: Classes that a classifier may have; their counts are known to the driver.
+MAX_LABELS = 10_000
 
 
 def fold(id_col: str, folds: int):
@@ -29,9 +31,12 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, per_label
         .groupBy("id").agg(F.max("label").alias("label"))
     )
     place = F.pmod(F.xxhash64("id"), F.lit(_SPAN))
-    sizes = known.groupBy("label").agg(F.count("*").alias("size"))
+    sizes = known.groupBy("label").agg(F.count("*").alias("size")).limit(MAX_LABELS + 1).collect()
+    if len(sizes) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
     # twice as many as wanted pass by their hash alone, before any label's rows meet in one task
-    likely = known.join(sizes, "label").withColumn("place", place).where(F.col("place") * F.col("size") < F.lit(2.0 * (per_label + 50) * _SPAN))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["label"], float(2 * (per_label + 50) * _SPAN) / r["size"])]) if sizes else None
+    likely = known.withColumn("place", place).where(F.col("place") < F.element_at(share, F.col("label")) if sizes else F.lit(False))
     order = Window.partitionBy("label").orderBy("place", "id")
     chosen = likely.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label).select("id", "label")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
