@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vocab
-from corpusloom.operators import answer, chunking, query, retrieval, sync
+from corpusloom.operators import answer, chunking, constraints, query, registry, retrieval, sync
+from corpusloom.sources import paged
 from corpusloom.sources.html import html_blocks
 
 Q: dict = {}
@@ -401,3 +402,45 @@ def answer_cleaning(spark, d):
 def index_document_projection(spark, d):
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(300)).cast("int"))
     return table(spark, d, "documents").select("doc_id", T.midnight(day).alias("effective_from"), F.sha2("text", 256).alias("content_hash"))
+
+
+@register("SELECT source AS source_id, count(*) AS pages, count(*) FILTER (length(text) > 20) AS pages_with_text, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM documents GROUP BY 1")
+def page_audit(spark, d):
+    return paged.audit(table(spark, d, "documents").select(F.col("source").alias("source_id"), "text"))
+
+
+@register("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'x' WHEN 1 THEN 'y' END AS answer, CASE doc_id % 5 WHEN 1 THEN 1 END::BIGINT AS n_steps FROM documents""")
+def answer_contract(spark, d):
+    """Generated answers of five kinds, two of which keep the contract."""
+    kinds = ['{"answer": "x"}', '{"answer": "y", "guide": {"steps": [{"title": "t", "instruction": "i"}]}}', '{"answer": " "}', '{"answer": "z", "more": 1}', "no json"]
+    raw = F.get(F.array(*map(F.lit, kinds)), F.pmod("doc_id", F.lit(5)).cast("int"))
+    out = table(spark, d, "documents").select("doc_id", answer.parse_generated(raw).alias("g"))
+    return out.select("doc_id", F.col("g.answer").alias("answer"), F.when(F.col("g.guide").isNotNull(), F.size("g.guide.steps")).cast("bigint").alias("n_steps"))
+
+
+@register("""WITH f AS (SELECT 'doc-' || doc_id AS id, unnest(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'RANK_MISMATCH' END, CASE WHEN doc_id % 4 = 0 THEN 'PERIOD_INVALID' END,
+CASE WHEN doc_id % 5 = 0 THEN 'EXCLUSION_REASON_MISSING' END, CASE WHEN doc_id % 7 = 0 THEN 'HOST_NOT_ALLOWED' END, CASE WHEN doc_id % 11 = 0 THEN 'RELATED_ID_UNKNOWN' END], lambda x: x IS NOT NULL)) AS code FROM documents)
+SELECT id, code, 'error' AS severity FROM f""")
+def registry_validation(spark, d):
+    """Registry rules over rows made of documents, with faults by the id."""
+    every = lambda n, bad, good: F.when(F.col("doc_id") % n == 0, F.lit(bad)).otherwise(F.lit(good))
+    rows = table(spark, d, "documents").select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.lit("t").alias("title"), F.lit("f").alias("local_file"), every(7, "https://b/x", "https://a/x").alias("source_url"),
+        F.lit(None).cast("string").alias("final_url"), F.sha2(F.col("doc_id").cast("string"), 256).alias("sha256"), every(4, "2025", "2025/2026").alias("tax_year"),
+        F.array(every(11, "none", "doc-1")).alias("supersedes"), F.expr("cast(array() as array<string>)").alias("superseded_by"), F.array(F.lit(1)).alias("render_pages"), F.lit("gazette").alias("authority_level"),
+        every(3, 1, 90).alias("authority_rank"), F.lit(None).cast("date").alias("effective_from"), F.lit(None).cast("date").alias("effective_to"), every(5, "excluded", "current").alias("status"),
+        F.lit(None).cast("string").alias("exclusion_reason"), F.col("doc_id"),
+    )
+    # doc-1 is the related id, so its own row names none
+    safe = rows.withColumn("supersedes", F.when(F.col("doc_id") == 1, F.expr("cast(array() as array<string>)")).otherwise(F.col("supersedes")))
+    return constraints.registry_issues(safe.drop("doc_id"), ["a"])
+
+
+@register(r"""WITH x AS (SELECT page_id, lower(url) AS u, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS p FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(p, 'acts_|_acts/|/acts/') THEN 'act' WHEN p LIKE '%gazette%' THEN 'gazette' WHEN p LIKE '%circular%' THEN 'circular'
+WHEN regexp_matches(u, 'latest%20news|latest news|/pn_') THEN 'public_notice' WHEN regexp_matches(u, 'tax_calendar|tax calendar') THEN 'tax_calendar' WHEN regexp_matches(p, 'eservices') THEN 'portal_guide'
+WHEN regexp_matches(u, 'guide|tax table') THEN 'return_guide' WHEN regexp_matches(p, '/forms_|/asmt_|/downloads/it_') OR u LIKE '%return%' THEN 'return_form' ELSE 'official_webpage' END AS document_type,
+CASE WHEN p LIKE '%/si/%' OR regexp_matches(p, '_s\.(pdf|html?)$') THEN 'si' WHEN p LIKE '%/ta/%' THEN 'ta' ELSE 'en' END AS language FROM x""")
+def registry_classify(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.col("url").alias("source_url"), F.lit("application/pdf").alias("media_type"), F.lit(None).cast("string").alias("title"))
+    return registry.classify(rows).select("page_id", "document_type", "language")

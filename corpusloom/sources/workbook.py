@@ -296,7 +296,8 @@ def read(data: bytes | None) -> tuple:
 def parse(files: DataFrame, source_id: str = "source_id", content: str = "content") -> DataFrame:
     """One row for each file (source_id, error, hidden, loose_sheets, cells, names); null content is an error row.
 
-    Rows are handed on one file at a time, so a task holds one workbook, not an Arrow batch of them.
+    Results leave one file at a time. What comes in is an Arrow batch: spark.sql.execution.arrow.maxBytesPerBatch bounds
+    its bytes, and should be some tens of MB where files are large.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
