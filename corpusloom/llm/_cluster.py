@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes handled by numpy at once; temporaries are some 10 x 8 bytes for each of them.
 SLICE_BYTES = 1 << 20
@@ -27,7 +28,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def packed_rows(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """(row, text): the `keep` columns as one struct, so that none of their names can clash with an operator's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def with_row(df: DataFrame, rest: str, column: str = "row") -> StructType:
+    """The schema of one column of `df` followed by the columns `rest`; names of any characters are kept."""
+    return StructType([df.schema[column], *StructType.fromDDL(rest)])
+
+
+def unpacked(df: DataFrame, *own: str) -> DataFrame:
+    """The columns of `row`, but for those that are named like one of the operator's `own`, and then those."""
+    taken = {c.lower() for c in own}
+    rest = [c for c in df.schema["row"].dataType.names if c.lower() not in taken]
+    return df.select(*[F.col(f"row.`{c}`") for c in rest], *own)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with `fn` called for each batch; batches are bounded in bytes as well as in rows."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

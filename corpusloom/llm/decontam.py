@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._cluster import map_arrow
+from corpusloom.llm._cluster import map_arrow, packed_rows, with_row
 
 #: Bytes of normalised text: A-Z lower-cased, other ASCII that is no letter or digit a blank, the rest kept.
 _NORMAL = bytes(
@@ -116,9 +116,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Items are given as strings, sorted as strings. keep_text: also return the text column, for filters.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
     span = "array<struct<begin:bigint,end:bigint>>"
-    state = f"id {kind}, text string, word_spans {span}, items array<string>"
     frame = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
         F.expr(f"cast(array() as {span})").alias("word_spans"), F.expr("cast(array() as array<string>)").alias("items"),
@@ -149,7 +147,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             cols = [batch.column(0), batch.column(1), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, ["id", "text", "word_spans", "items"])
 
-        frame = map_arrow(frame, run, state)
+        frame = map_arrow(frame, run, with_row(frame, f"text string, word_spans {span}, items array<string>", "id"))
 
     def measure(batch):
         n, chars = [], []
@@ -165,7 +163,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             names.append("text")
         yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = map_arrow(frame, measure, f"id {kind}, n_words bigint, word_spans {span}, char_spans {span}, items array<string>" + ", text string" * keep_text)
+    rest = f"n_words bigint, word_spans {span}, char_spans {span}, items array<string>" + ", text string" * keep_text
+    out = map_arrow(frame, measure, with_row(frame, rest, "id"))
     n_hit = F.aggregate("word_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["begin"])
     return out.select(
         F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "word_spans", "char_spans", "items",
@@ -178,7 +177,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, max_hit_share: float
 
     The verdict is computed as one more column by the same scan, so rows with equal or null ids keep their own.
     """
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(options.pop("text_col", "text")).alias("text"))
+    packed = packed_rows(docs, options.pop("text_col", "text"), tuple(docs.columns))
     judged = decontaminate(packed, benchmark, id_col="row", **options)
     return judged.where(F.col("n_hit") <= F.lit(max_hit_share) * F.col("n_words")).select("row.*")
 

@@ -36,7 +36,7 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
     best, apart = None, -1
     for _ in range(200):
         code = rng.choice(np.array([-1, 1], np.int8), (k, n))
-        code = code[:, np.abs(code.sum(1 - 1)) < k]
+        code = code[:, np.abs(code.sum(0)) < k]
         distance = (code.shape[1] - code.astype(int) @ code.T.astype(int)) // 2
         least = distance[~np.eye(k, dtype=bool)].min()
         if least > apart:

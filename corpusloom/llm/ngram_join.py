@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._cluster import checkpointed, connected_components, hash_bitmap, in_bitmap, map_arrow, text_slices
+from corpusloom.llm._cluster import checkpointed, connected_components, hash_bitmap, in_bitmap, map_arrow, packed_rows, text_slices, with_row
 from corpusloom.llm._text import mix, shingle_sets
 
 
@@ -470,7 +470,7 @@ def one_per_component(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_i
     bitmap, bits = hash_bitmap(settle.where("id is not null"), "id", settle.count())
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     flagged = in_bitmap(id_col, shared, bits) | F.col(id_col).isNull()
-    packed = docs.where(flagged).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    packed = packed_rows(docs.where(flagged), text_col, tuple(docs.columns))
 
     def named(batch):
         for a, b, data, offsets in text_slices(batch.column(1)):
@@ -478,7 +478,7 @@ def one_per_component(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_i
             keys = [_name(u, spec.seed)[0] if len(u) else None for u in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.int64())], ["row", "_key"])
 
-    unsure = map_arrow(packed, named, f"row {packed.schema['row'].dataType.simpleString()}, _key bigint")
+    unsure = map_arrow(packed, named, with_row(packed, "_key bigint"))
     unsure = unsure.withColumn("_id", F.col(f"row.`{id_col}`"))
     lost = settle.where("lost")
     stay = unsure.join(lost, unsure["_id"].eqNullSafe(lost["id"]) & (unsure["_key"] == lost["key"]), "left_anti")

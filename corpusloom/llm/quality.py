@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._cluster import map_arrow, text_slices
+from corpusloom.llm._cluster import map_arrow, packed_rows, text_slices, unpacked, with_row
 from corpusloom.llm._sample import labelled_texts
 from corpusloom.llm._text import hashed_counts, raw_codes
 
@@ -119,11 +119,10 @@ def fit(docs: DataFrame, ratings: DataFrame, grade_col: str = "quality", per_gra
     return fit_rows(x, table["grade"].to_numpy(), bits, orders)
 
 
-def judge(docs: DataFrame, model: OrdinalModel, at_least: float = 1.0, min_tail: float = 0.5, text_col: str = "text",
-          keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The `keep` columns, expected_grade, tail_prob = P(grade >= at_least) and kept = tail_prob >= min_tail."""
+def _judged(docs: DataFrame, model: OrdinalModel, at_least: float, min_tail: float, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """(row, expected_grade, tail_prob, kept); one pass without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    packed = packed_rows(docs, text_col, keep)
 
     def run(batch):
         m = shared.value
@@ -137,6 +136,18 @@ def judge(docs: DataFrame, model: OrdinalModel, at_least: float = 1.0, min_tail:
                     ["row", "expected_grade", "tail_prob", "kept"],
                 )
 
-    kind = packed.schema["row"].dataType.simpleString()
-    out = map_arrow(packed, run, f"row {kind}, expected_grade double, tail_prob double, kept boolean")
-    return out.select("row.*", "expected_grade", "tail_prob", "kept")
+    return map_arrow(packed, run, with_row(packed, "expected_grade double, tail_prob double, kept boolean"))
+
+
+def judge(docs: DataFrame, model: OrdinalModel, at_least: float = 1.0, min_tail: float = 0.5, text_col: str = "text",
+          keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The `keep` columns, expected_grade, tail_prob = P(grade >= at_least) and kept = tail_prob >= min_tail.
+
+    Kept columns that are named like one of these three give way.
+    """
+    return unpacked(_judged(docs, model, at_least, min_tail, text_col, keep), "expected_grade", "tail_prob", "kept")
+
+
+def good_documents(docs: DataFrame, model: OrdinalModel, at_least: float = 1.0, min_tail: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns whatever their names, whose tail probability is `min_tail` or more."""
+    return _judged(docs, model, at_least, min_tail, text_col, tuple(docs.columns)).where("kept").select("row.*")

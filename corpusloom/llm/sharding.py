@@ -62,10 +62,13 @@ def permute(numbers: np.ndarray, n: int, seed: int = 0, inverse: bool = False) -
 def numbered(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     """(`df` with row_number from 0 in the order of `order`, rows). The rows are sorted into ranges and checkpointed,
     so that the count of each range, the only thing that reaches the driver, is that of the very rows numbered.
+    Rows that agree in all of `order` are dealt out by where they were read, so that no range has to hold them all.
+    Columns of `df` named row_number, _part, _at or _tie give way.
     """
-    sort = [F.col(c).asc_nulls_first() for c in order]
+    sort = [*[F.col(c).asc_nulls_first() for c in order], F.col("_tie")]
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = df.repartitionByRange(int(parts), *sort).sortWithinPartitions(*sort)
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(int(parts), *sort).sortWithinPartitions(*sort).drop("_tie")
     stored = checkpointed(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     sizes = sorted((r["_part"], r["n"], r["first"]) for r in stored.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("first")).collect())
     base, rows = [], 0
@@ -78,7 +81,7 @@ def numbered(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
 
 
 def shard(df: DataFrame, n_shards: int, order: list[str], seed: int = 0) -> DataFrame:
-    """`df` with row_number, shard and slot."""
+    """`df` with row_number, shard and slot; columns of these names, or named _place, give way."""
     rows, n = numbered(df, order)
 
     @F.pandas_udf("bigint")
@@ -86,7 +89,7 @@ def shard(df: DataFrame, n_shards: int, order: list[str], seed: int = 0) -> Data
         return pd.Series(permute(numbers.to_numpy(), n, seed))
 
     placed = rows.withColumn("_place", place("row_number"))
-    return placed.withColumn("shard", F.pmod("_place", F.lit(n_shards)).cast("int")).withColumn("slot", F.floor(F.col("_place") / n_shards).cast("bigint")).drop("_place")
+    return placed.withColumn("shard", F.pmod("_place", F.lit(n_shards)).cast("int")).withColumn("slot", F.expr(f"_place div {int(n_shards)}")).drop("_place")
 
 
 def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

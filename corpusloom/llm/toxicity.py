@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._cluster import map_arrow, text_slices
+from corpusloom.llm._cluster import map_arrow, packed_rows, text_slices, unpacked, with_row
 from corpusloom.llm._sample import labelled_texts
 from corpusloom.llm._text import gram_buckets, letters
 
@@ -141,13 +141,23 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_label:
     return NaiveBayesLinear(keys, w * ratio, float(bias), orders)
 
 
-def score(docs: DataFrame, model: NaiveBayesLinear, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The `keep` columns and score (double) of each row; one pass without a shuffle."""
+def _scored(docs: DataFrame, model: NaiveBayesLinear, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """(row, score); one pass without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    packed = packed_rows(docs, text_col, keep)
 
     def run(batch):
         for a, b, data, offsets in text_slices(batch.column(1)):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(shared.value.scores(data, offsets))], ["row", "score"])
 
-    return map_arrow(packed, run, f"row {packed.schema['row'].dataType.simpleString()}, score double").select("row.*", "score")
+    return map_arrow(packed, run, with_row(packed, "score double"))
+
+
+def score(docs: DataFrame, model: NaiveBayesLinear, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The `keep` columns and score (double) of each row; a kept column of that name gives way."""
+    return unpacked(_scored(docs, model, text_col, keep), "score")
+
+
+def clean_documents(docs: DataFrame, model: NaiveBayesLinear, below: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns whatever their names, whose score is less than `below`."""
+    return _scored(docs, model, text_col, tuple(docs.columns)).where(F.col("score") < below).select("row.*")

@@ -5,9 +5,10 @@ the corpus that the first takes for listed by mistake, the third the listed keys
 and so on until no mistake is left. Over the corpus's complete key universe membership is then exact, and it is
 tested on the executors from a few broadcast bytes, without a join.
 
-Keys of a url are its host and every parent domain, alone (lists of hosts) and followed by the first characters of
-its path (rules such as `example.com/en/7`). The longest rule that fits decides; where a block and an allow rule
-are equal, block does; where no rule fits, the list of hosts does.
+Keys of a url are its host and the parent domains of as many labels as listed ones have, alone (lists of hosts) and
+followed by the first characters of its path (rules such as `example.com/en/7`); no other key can be listed, so a
+url has a bounded number of keys however many labels its host has. The longest rule that fits decides; where a block
+and an allow rule are equal, block does; where no rule fits, the list of hosts does.
 
 Null urls and urls without `://` have an empty host and path and fit nothing: they are allowed. Equal urls are
 judged alike. Empty lists fit nothing; an empty table has no universe.
@@ -109,13 +110,11 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(text, "://([^/?#]*)", 1), _UPPER, _LOWER), F.regexp_extract(text, "://[^/?#]*([^?#]*)", 1)
 
 
-def url_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
-    """The keys of a url: every parent domain with path prefixes of those lengths (0: the domain alone)."""
-    labels = F.split(host, r"\.")
-    tails = F.when(host == "", F.expr("cast(array() as array<string>)")).otherwise(
-        F.transform(labels, lambda x, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
-    )
+def url_keys(host: Column, path: Column, label_counts: list[int], path_lengths: list[int]) -> Column:
+    """The keys of a url: domains of those numbers of labels with path prefixes of those lengths (0: the domain alone)."""
     lengths = F.array(*[F.lit(n) for n in path_lengths])
+    n_labels = F.length(host) - F.length(F.translate(host, ".", "")) + 1
+    tails = F.array_compact(F.array(*[F.when((host != "") & (n_labels >= n), F.substring_index(host, ".", -n)) for n in label_counts]))
     fitting = F.filter(lengths, lambda n: F.length(path) >= n)
     return F.flatten(F.transform(tails, lambda t: F.transform(fitting, lambda n: F.concat(t, F.substring(path, F.lit(1), n)))))
 
@@ -142,7 +141,7 @@ def build_cascades(universe: DataFrame, lists: dict[str, list[str]], key_col: st
         h = hashes(keys)
         for name, cascade in shared.value.items():
             if cascade.levels:
-                hit = np.unique(keys[cascade.levels[0].test(h)].astype(str))
+                hit = sorted(set(keys[cascade.levels[0].test(h)]))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(hit), pa.string()), pa.array(hit, pa.string())], ["name", "key"])
 
     passed = map_arrow(universe.select(F.col(key_col)).where(F.col(key_col).isNotNull()), survivors, "name string, key string").distinct()
@@ -160,10 +159,12 @@ def judge_urls(pages: DataFrame, block: list[str], allow: list[str], blocked_hos
                url_col: str = "url") -> DataFrame:
     """`id_col`, host, path, rule (the longest that fits, or null), verdict and listed_host, for each row."""
     spark = pages.sparkSession
-    lengths = sorted({0} | {len(r) - r.index("/") for r in [*block, *allow]})
+    rules = [*block, *allow]
+    lengths = sorted({0} | {len(r) - r.index("/") for r in rules})
+    counts = sorted({h.count(".") + 1 for h in [*blocked_hosts, *(r[: r.index("/")] for r in rules)]}) or [1]
     host, path = split_url(F.col(url_col))
     urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    keyed = urls.withColumn("keys", url_keys(F.col("host"), F.col("path"), lengths))
+    keyed = urls.withColumn("keys", url_keys(F.col("host"), F.col("path"), counts, lengths))
     lists = {"block": block, "allow": allow, "host": blocked_hosts}
     cascades = build_cascades(keyed.select(F.explode("keys").alias("key")), lists)
     shared = spark.sparkContext.broadcast(cascades)
@@ -173,10 +174,9 @@ def judge_urls(pages: DataFrame, block: list[str], allow: list[str], blocked_hos
         keys = batch.column("keys").combine_chunks() if isinstance(batch.column("keys"), pa.ChunkedArray) else batch.column("keys")
         flat = keys.flatten().to_numpy(zero_copy_only=False)
         h = hashes(flat)
-        text = flat.astype(str) if len(flat) else np.zeros(0, "U1")
-        slash = np.char.find(text, "/") >= 0
+        slash = np.array(["/" in x for x in flat], bool)
+        size = np.array([len(x) for x in flat], np.int64)
         member = {name: c.test(h) for name, c in shared.value.items()}
-        size = np.char.str_len(text)
         sizes = np.array([0 if x is None else x for x in keys.value_lengths().to_pylist()], np.int64)
         ends = np.cumsum(sizes)
         rule, verdict, on_list = [], [], []
@@ -186,7 +186,7 @@ def judge_urls(pages: DataFrame, block: list[str], allow: list[str], blocked_hos
             on_list.append(listed)
             if len(fits):
                 best = fits[np.argmax(size[fits])]
-                rule.append(str(text[best]))
+                rule.append(flat[best])
                 verdict.append("block" if member["block"][best] else "allow")
             else:
                 rule.append(None)

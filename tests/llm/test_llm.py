@@ -18,7 +18,7 @@ from corpusloom.llm import _cluster
 from corpusloom.llm._sample import fold
 
 SMALL, DATA = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, label string, id long, `key` string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, label string, id long, `key` string, Score double, kept string, `a b:c` string"
 LONG = "lorem ipsum " * 20000
 
 
@@ -26,8 +26,8 @@ LONG = "lorem ipsum " * 20000
 def odd(spark):
     """Nulls everywhere, empty and long texts, repeated rows and ids, columns whose names operators use inside."""
     texts = [None, "", " \n\t", "A b C d e f", "A b C d e f", LONG, "x" * 50000, "été \U0001f600 ß " * 30, "one\none\none\ntwo"]
-    rows = [(k, t, "en" if k % 2 else None, "s", None, "r", None, k, None) for k, t in enumerate(texts)]
-    rows += [(None, "A b C d e f", None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None), rows[3]]
+    rows = [(k, t, "en" if k % 2 else None, "s", None, "r", None, k, None, 1.0, "no", "x") for k, t in enumerate(texts)]
+    rows += [(None, "A b C d e f", *[None] * 10), (None,) * 12, rows[3]]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -109,7 +109,7 @@ def test_classifiers_on_odd_rows(spark, odd, empty):
         by[r.doc_id].add((r.lang_pred, r.score))
     assert by[0] == by[1] == by[2] == {("und", 0.0)} and len(by[3]) == 1
     kept = toxicity.score(odd, toxicity.fit(odd, labels), keep=tuple(odd.columns))
-    assert kept.drop("score").columns == odd.columns and kept.count() == odd.count()
+    assert kept.columns == [c for c in odd.columns if c != "Score"] + ["score"] and kept.count() == odd.count()
 
 
 # 2: BPE
@@ -272,6 +272,10 @@ def test_shards(spark, odd, empty):
     few = sharding.shard(sharding.document_sizes(odd), 5, ["doc_id", "text_crc32", "size"]).collect()
     assert sorted((r.slot, r.shard) for r in few) == [(k // 5, k % 5) for k in range(len(few))] and len(few) == odd.count()
     assert sharding.shard(sharding.document_sizes(empty), 5, ["doc_id"]).count() == 0
+    same = spark.range(0, 9000, 1, 4).select(F.lit(7).alias("doc_id"), F.lit("s").alias("slot"), F.lit("t").alias("_tie"))
+    rows, n = sharding.numbered(same, ["doc_id"])
+    assert n == 9000 and rows.select("row_number").distinct().count() == n and rows.select(F.spark_partition_id()).distinct().count() > 1
+    assert sharding.shard(same, 5, ["doc_id"]).select("shard", "slot").distinct().count() == n
 
 
 # 7: urls
@@ -293,6 +297,8 @@ def test_urls(spark):
     assert [r.verdict for r in out] == ["allow", "allow", "block", "allow", "allow", "block", "block", "allow", "block", "allow"]
     assert (out[3].host, out[3].path) == ("a.b.example.com", "/en/77") and (out[0].host, out[0].path) == ("", "")
     assert urlfilter.judge_urls(pages.limit(0), queries.BLOCK_RULES, [], []).count() == 0
+    wide = pages.select("page_id", F.concat(F.lit("http://"), F.repeat(F.lit("a."), 200000), F.lit("e.org/es/x\x00")).alias("url"))
+    assert {(r.rule, r.verdict) for r in urlfilter.judge_urls(wide, queries.BLOCK_RULES, [], ["q" * 9000 + ".e"]).collect()} == {("org/es/", "block")}
 
 
 # 9: decontamination
