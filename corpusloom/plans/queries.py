@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vocab
-from corpusloom.operators import answer, chunking, constraints, query, registry, retrieval, sync
-from corpusloom.sources import paged
+from corpusloom.operators import answer, chunking, constraints, images, query, registry, retrieval, sync
+from corpusloom.sources import paged, yaml_files
 from corpusloom.sources.html import html_blocks
 
 Q: dict = {}
@@ -444,3 +444,62 @@ CASE WHEN p LIKE '%/si/%' OR regexp_matches(p, '_s\.(pdf|html?)$') THEN 'si' WHE
 def registry_classify(spark, d):
     rows = table(spark, d, "pages").select("page_id", F.col("url").alias("source_url"), F.lit("application/pdf").alias("media_type"), F.lit(None).cast("string").alias("title"))
     return registry.classify(rows).select("page_id", "document_type", "language")
+
+
+_IMAGES = """SELECT concat('image-', doc_id) AS image_id, coalesce(source, 'none') AS source_id, concat('Figure ', doc_id) AS title, substring(text, 1, 40) AS alt_text,
+  CASE WHEN doc_id % 2 = 0 THEN lang END AS caption, concat('https://h.example/', source) AS source_url, CAST(doc_id % 5 + 1 AS int) AS page, CASE WHEN doc_id % 3 = 0 THEN concat('flow-', lang) END AS workflow_id,
+  CASE WHEN doc_id % 11 = 0 THEN 'excluded' ELSE 'current' END AS status, CASE WHEN doc_id % 7 = 0 THEN 'draft' ELSE 'approved' END AS review_status,
+  CASE WHEN doc_id % 13 = 0 THEN 'http://m.example/a.webp' ELSE concat('https://m.example/', doc_id, '.webp') END AS public_url FROM documents"""
+_IMAGE_SOURCES = """SELECT source AS id, concat('Guide of ', source) AS title, max(CASE WHEN lang = 'en' THEN 'return_guide' ELSE 'web_page' END) AS document_type, concat('https://h.example/', source) AS source_url,
+  CASE WHEN count(*) % 9 = 0 THEN 'excluded' ELSE 'current' END AS status, CASE WHEN count(*) % 4 = 0 THEN 'draft' ELSE 'approved' END AS review_status FROM documents WHERE source IS NOT NULL GROUP BY source"""
+_IMAGE_CHUNKS_SQL = f"""WITH i AS ({_IMAGES}), s AS ({_IMAGE_SOURCES}),
+j AS (SELECT i.*, s.id, s.title AS doc_title, s.document_type, s.source_url AS own_url, s.status AS source_status, s.review_status AS source_review FROM i LEFT JOIN s ON s.id = i.source_id WHERE i.review_status = 'approved'),
+c AS (SELECT *, concat_ws(chr(10), title, alt_text, nullif(caption, ''), 'Workflow: ' || workflow_id) AS content FROM j
+  WHERE source_review = 'approved' AND source_status <> 'excluded' AND own_url = source_url AND page <= 3 AND status <> 'excluded' AND public_url LIKE 'https://m.example/%'),
+h AS (SELECT *, sha256(CAST(to_json({{'content': content, 'locator': concat(source_id, ':page:', page, ':image:', image_id)}}) AS VARCHAR)) AS chunk_hash FROM c)
+SELECT concat('guide-image-', image_id, '-', substring(chunk_hash, 1, 24)) AS id, source_id, content, chunk_hash,
+  concat(concat_ws(chr(10), 'Document: ' || doc_title, 'Document type: ' || document_type, 'Tax type: vat', 'Page: ' || page, 'Workflow: ' || workflow_id), chr(10), chr(10), content) AS embedding_text FROM h"""
+
+
+def _guide_images(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Images and sources made of documents; every source has the pages 1 to 3 selected and the label vat."""
+    documents = table(spark, d, "documents")
+    none = F.expr("cast(array() as array<string>)")
+    own = spark.sql(_IMAGES.replace("FROM documents", "FROM {documents}"), documents=documents)
+    own = own.select("*", none.alias("tax_types"), none.alias("taxpayer_types"), F.lit(None).cast("date").alias("effective_from"), F.lit(None).cast("date").alias("effective_to"), F.lit(None).cast("string").alias("page_text"))
+    sources = spark.sql(_IMAGE_SOURCES.replace("FROM documents", "FROM {documents}"), documents=documents)
+    known = sources.select(
+        "*", F.lit(None).cast("string").alias("final_url"), F.array(*map(F.lit, (1, 2, 3))).alias("render_pages"), F.array(F.lit("vat")).alias("tax_types"), none.alias("taxpayer_types"),
+        F.lit("guide").alias("authority_level"), F.lit(1).alias("authority_rank"), F.lit(None).cast("string").alias("sha256"),
+    )
+    return own, known
+
+
+@register(_IMAGE_CHUNKS_SQL)
+def image_chunks(spark: SparkSession, d: str) -> DataFrame:
+    own, known = _guide_images(spark, d)
+    return images.image_chunks(own, known, "https://m.example")[0].select("id", "source_id", "content", "chunk_hash", "embedding_text")
+
+
+@register(f"""WITH i AS ({_IMAGES}), s AS ({_IMAGE_SOURCES}),
+j AS (SELECT i.*, s.id, s.source_url AS own_url, s.status AS source_status, s.review_status AS source_review FROM i LEFT JOIN s ON s.id = i.source_id WHERE i.review_status = 'approved'),
+f AS (SELECT unnest([CASE WHEN id IS NULL THEN 'SOURCE_UNKNOWN' END, CASE WHEN id IS NOT NULL AND source_review <> 'approved' THEN 'SOURCE_NOT_APPROVED' END, CASE WHEN source_status = 'excluded' THEN 'SOURCE_EXCLUDED' END,
+  CASE WHEN id IS NOT NULL AND own_url <> source_url THEN 'SOURCE_URL_MISMATCH' END, CASE WHEN id IS NOT NULL AND page > 3 THEN 'PAGE_NOT_RENDERED' END, CASE WHEN status = 'excluded' THEN 'IMAGE_EXCLUDED' END,
+  CASE WHEN public_url NOT LIKE 'https://m.example/%' THEN 'PUBLIC_URL_INVALID' END]) AS code FROM j)
+SELECT code, count(*) AS n FROM f WHERE code IS NOT NULL GROUP BY code""")
+def image_issue_counts(spark: SparkSession, d: str) -> DataFrame:
+    own, known = _guide_images(spark, d)
+    return images.image_chunks(own, known, "https://m.example")[1].groupBy("code").agg(F.count("*").alias("n"))
+
+
+@register("""SELECT conv_id, 'Workflow: ' || concat('conversation ', conv_id) || chr(10) || 'Steps:' || chr(10) ||
+  coalesce(string_agg(CASE WHEN role = 'user' THEN n || '. ' || text END, chr(10) ORDER BY n), '') || CASE WHEN count(*) FILTER (role = 'system') > 0 THEN chr(10) || 'Notes:' || chr(10) ||
+  string_agg(CASE WHEN role = 'system' THEN '- ' || text END, chr(10) ORDER BY n) ELSE '' END AS content
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS n FROM conversations WHERE text IS NOT NULL) GROUP BY conv_id""")
+def guide_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as guides: user turns are steps, system turns notes."""
+    said = table(spark, d, "conversations").where("text is not null")
+    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"])
+    lists = said.groupBy("conv_id").agg(of("user").alias("steps"), of("system").alias("notes"))
+    title = F.concat(F.lit("conversation "), F.col("conv_id").cast("string"))
+    return lists.select("conv_id", yaml_files.guide_text(title, F.col("steps"), F.col("notes")).alias("content"))
