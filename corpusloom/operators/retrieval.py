@@ -1,12 +1,14 @@
 """Hybrid retrieval for tables of questions: BM25, cosine search, rank fusion, metadata rerank, diversity.
 
 Questions are batches: every operator works on all questions at once, keyed by query_id. Texts are tokenised once and
-only tokens that occur in questions are counted, so nothing but matching postings is shuffled; contents and vectors
+their weighted postings are dealt out by document once; blocks of questions are broadcast to them. Contents and vectors
 are not carried past their scores.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,43 +17,56 @@ from corpusloom.operators.query import matches
 
 #: Questions with their vectors are broadcast up to this many; larger tables are searched in blocks of that many.
 QUERY_BLOCK = 4096
+#: The same for the terms of whole texts as questions.
+TERM_BLOCK = 512
+#: Vectors of up to this length are multiplied in one compiled expression, longer ones by array functions.
+UNROLLED = 128
 
 
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def blocks_of(queries: DataFrame, size: int) -> list[DataFrame]:
+    """`queries` in parts of about `size` questions each, dealt by a hash of query_id."""
+    n = -(-queries.select("query_id").distinct().count() // size)
+    return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) for k in range(n)]
+
+
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, bm25) of every document that shares a term with a question.
+    """(query_id, id, bm25) of every document that shares a term with a question; questions broadcast in blocks.
 
     Scores are rounded to 9 places, so that ranks don't depend on the order in which parts are summed.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
     words = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("ts"))
     n, mean = words.agg(F.count("*"), F.avg(F.size("ts"))).first()
-    wanted = terms.select("term").distinct()
-    postings = words.select(id_col, F.size("ts").alias("len"), F.explode("ts").alias("term")).join(F.broadcast(wanted), "term")
-    counts = postings.groupBy("term", id_col).agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    counts = words.select(id_col, F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    asked = queries.select(F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")).distinct()
+    df = counts.groupBy("term").agg(F.count("*").alias("df")).join(asked, "term", "left_semi")
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))
-    scored = counts.join(df, "term").join(F.broadcast(terms), "term").select("query_id", id_col, part.alias("s"))
-    return scored.groupBy("query_id", id_col).agg(F.round(F.sum("s"), 9).alias("bm25"))
+    postings = counts.join(df, "term").select(id_col, "term", part.alias("s")).repartition(id_col)
+    out = []
+    for block in blocks_of(queries, TERM_BLOCK):
+        terms = block.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
+        out.append(postings.join(F.broadcast(terms), "term").groupBy("query_id", id_col).agg(F.round(F.sum("s"), 9).alias("bm25")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def cosine(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, id, cosine) of each question (query_vec) with each vector; exact, questions broadcast in blocks."""
-    dot = lambda a, c: F.aggregate(F.zip_with(a, c, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(dot(a, a))
+    size = max(d.agg(F.max(F.size(c))).first()[0] or 0 for d, c in ((vectors, vec_col), (queries, "query_vec")))
+
+    def dot(a: Column, c: Column) -> Column:
+        if size <= UNROLLED:
+            return reduce(lambda s, k: s + F.get(a, F.lit(k)).cast("double") * F.get(c, F.lit(k)), range(size), F.lit(0.0))
+        return F.aggregate(F.zip_with(a, c, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+
+    norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     v = vectors.select(F.col(id_col), F.col(vec_col).alias("v"), norm(F.col(vec_col)).alias("vn"))
     q = queries.select("query_id", F.col("query_vec").alias("q"), norm(F.col("query_vec")).alias("qn"))
-    blocks = -(-q.count() // QUERY_BLOCK)
-    out = None
-    for k in range(max(1, blocks)):
-        part = q if blocks <= 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        hit = v.crossJoin(F.broadcast(part)).select("query_id", id_col, F.round(dot(F.col("v"), F.col("q")) / (F.col("vn") * F.col("qn")), 9).alias("cosine"))
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    hit = lambda part: v.crossJoin(F.broadcast(part)).select("query_id", id_col, F.round(dot(F.col("v"), F.col("q")) / (F.col("vn") * F.col("qn")), 9).alias("cosine"))
+    return reduce(DataFrame.unionByName, map(hit, blocks_of(q, QUERY_BLOCK)))
 
 
 def top_k(scored: DataFrame, score: str, k: int, id_col: str, rank: str = "rank") -> DataFrame:

@@ -54,10 +54,13 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """Ten questions: the first eight words of a document with its stored vector."""
-    docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
-    own = docs.where("doc_id < 100 AND doc_id % 10 = 0").select("doc_id", F.array_join(F.slice(retrieval.tokens(F.col("text")), 1, 8), " ").alias("query_text"))
-    return own.join(vectors, own.doc_id == vectors.vec_id).select(F.col("doc_id").alias("query_id"), "query_text", F.col("embedding").alias("query_vec"))
+    """Every document whose id is divisible by 20 as a question, with its whole text."""
+    return table(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
+
+
+def question_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Every stored vector whose id is divisible by 20 as a question."""
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
@@ -86,7 +89,7 @@ def _bm25(spark, d):
 
 def _knn(spark, d):
     v = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    return retrieval.top_k(retrieval.cosine(v, questions(spark, d), "doc_id"), "cosine", 24, "doc_id")
+    return retrieval.top_k(retrieval.cosine(v, question_vectors(spark, d), "doc_id"), "cosine", 24, "doc_id")
 
 
 @register(f"WITH {_BM25_SQL} SELECT query_id, doc_id, rank, round(bm25, 6) AS bm25 FROM br")
@@ -123,7 +126,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sp DESC, se D
 def _evidence(spark, d):
     fused = retrieval.fuse([(_bm25(spark, d), "rank"), (_knn(spark, d), "rank")], "doc_id").where("rrf >= 0.01").withColumnRenamed("doc_id", "id")
     c = retrieval.evidence_filter(chunks(spark, d))
-    rows = c.join(F.broadcast(fused), "id")  # 24 + 24 rows for each question at most
+    rows = c.join(fused, "id")
     ranked = retrieval.top_k(rows.withColumn("rrf", F.round("rrf", 9)), "rrf", 48, "id", "original_rank").withColumn("original_rank", F.col("original_rank") - 1)
     none = F.expr("cast(array() as array<string>)")
     return retrieval.rerank(ranked.withColumns({
@@ -370,7 +373,7 @@ def stale_ids(spark, d):
 @register("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
 def index_upsert(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
-    return sync.upsert(docs.where("doc_id % 2 = 0").withColumn("version", F.lit("old")), docs.where("doc_id % 3 = 0").withColumn("version", F.lit("new")), "doc_id")
+    return sync.upsert(docs.where("doc_id % 2 = 0 OR doc_id % 3 <> 0").withColumn("version", F.lit("old")), docs.where("doc_id % 3 = 0").withColumn("version", F.lit("new")), "doc_id")
 
 
 @register("""WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 400 END AS code, event_type FROM events)
