@@ -242,12 +242,17 @@ def chunk_fixed_windows(spark, d):
 
 @register()
 def chunk_merge(spark, d):
-    """Greedy merging of short neighbours of a source, in document order."""
-    docs = table(spark, d, "documents").where(F.length("text") <= chunking.HARD_CHARS)
-    run = chunking.runs(docs, ["lang"], ["source"], "doc_id")
-    packed = run.groupBy("source", "run").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.length("text").alias("len")))).alias("rs"))
-    groups = packed.select("source", "run", F.explode(F.arrays_zip(F.transform("rs", lambda r: r["doc_id"]).alias("doc_id"), chunking.greedy_groups(F.transform("rs", lambda r: r["len"])).alias("group"))).alias("g"))
-    return groups.select("source", "run", "g.doc_id", "g.group")
+    """Greedy merging of neighbours of a source, in document order; each piece of a split document is a group of its own."""
+    none = F.expr("cast(null as array<string>)")
+    lens = F.transform(chunking.split_pieces(F.col("text"), F.lit("paragraph"), none), F.length)
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", lens.alias("lens"))
+    docs = docs.withColumn("lens", F.when(F.size("lens") > 0, F.col("lens")).otherwise(F.array(F.lit(0))))
+    run = chunking.runs(docs.withColumn("split", F.when(F.size("lens") > 1, F.col("doc_id"))), ["lang", "split"], ["source"], "doc_id")
+    packed = run.groupBy("source", "run").agg(F.array_sort(F.collect_list(F.struct("doc_id", "lens"))).alias("rs"))
+    units = F.flatten(F.transform("rs", lambda r: F.transform(r["lens"], lambda n, k: F.struct(r["doc_id"].alias("doc_id"), k.alias("part"), n.alias("len")))))
+    number = F.when(F.size("rs") == 1, F.transform("us", lambda u: u["part"])).otherwise(chunking.greedy_groups(F.transform("us", lambda u: u["len"])))
+    groups = packed.withColumn("us", units).select("source", "run", F.explode(F.arrays_zip("us", number.alias("group"))).alias("g"))
+    return groups.select("source", "run", "g.us.doc_id", F.col("g.us.part").cast("bigint").alias("part"), "g.group")
 
 
 @register("""WITH x AS (SELECT o_custkey, o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = lag(o_orderstatus) OVER w THEN 0 ELSE 1 END AS new FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from corpusloom.operators import retrieval
+from corpusloom.operators import chunking, retrieval
 from corpusloom.plans import queries as plans
 
 
@@ -83,3 +83,34 @@ def test_fusion_takes_every_twentieth_row(spark, small):
 def test_upsert_keeps_every_document(spark, small):
     got = {r.doc_id: r.version for r in plans.Q["index_upsert"](spark, small[0]).collect()}
     assert got == {k: "old" if k % 3 else "new" for k in range(240)}
+
+
+def greedy(rows: list) -> list:
+    """The reference's loop over one source: a list of (doc_id, part) for each chunk. rows: doc_id, language, text."""
+    out, pending, chars = [], [], 0
+    for k, lang, text in rows:
+        pieces = chunking.split_text(text or "")
+        if len(pieces) > 1:
+            out, pending = out + [pending] * bool(pending) + [[(k, n, lang)] for n in range(len(pieces))], []
+            continue
+        n = len(pieces[0])
+        if pending and (pending[-1][2] != lang or (chars + 2 + n + 3) // 4 > 900):
+            out, pending = [*out, pending], []
+        chars = chars + 2 + n if pending else n
+        pending = [*pending, (k, 0, lang)]
+        if (chars + 3) // 4 >= 900:
+            out, pending = [*out, pending], []
+    return [[x[:2] for x in g] for g in out + [pending] * bool(pending)]
+
+
+def test_chunk_merge_is_the_reference_loop(spark, tmp_path):
+    rng = random.Random(3)
+    sizes = [10, 20, 4201, 30, 40, None, 5, 9000, 9000, 7, 3596, 1, 3597, 3598, 2, 3600, 3601, 4200, 8, 12000, 0, 0]
+    sizes += [rng.choice([None, 0, 50, 900, 1500, 3000, 3597, 4200, 4201, 20000]) for _ in range(150)]
+    docs = [(k, n if n is None else ("word. " * n)[:n], rng.choice(["en", "en", "de", None]) if k > 22 else "en", "a" if k < 22 else f"s{k % 3}") for k, n in enumerate(sizes)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in plans.Q["chunk_merge"](spark, str(tmp_path)).collect():
+        got.setdefault((r.source, r.run, r.group), []).append((r.doc_id, r.part))
+    want = [g for s in {r[3] for r in docs} for g in greedy([(k, lang, t) for k, t, lang, source in docs if source == s])]
+    assert sorted(map(sorted, got.values())) == sorted(want) and {k for g in want for k, _ in g} == set(range(len(docs)))
