@@ -33,9 +33,10 @@ def blocks_of(queries: DataFrame, size: int) -> list[DataFrame]:
     return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) for k in range(n)]
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, among: DataFrame | None = None) -> DataFrame:
     """(query_id, id, bm25) of every document that shares a term with a question; questions broadcast in blocks.
 
+    With `among` (a table of ids), only its documents are scored; the corpus statistics stay those of all.
     Scores are rounded to 9 places, so that ranks don't depend on the order in which parts are summed.
     """
     words = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("ts"))
@@ -45,7 +46,8 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     df = counts.groupBy("term").agg(F.count("*").alias("df")).join(asked, "term", "left_semi")
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))
-    postings = counts.join(df, "term").select(id_col, "term", part.alias("s")).repartition(id_col)
+    postings = counts.join(df, "term").select(id_col, "term", part.alias("s"))
+    postings = (postings if among is None else postings.join(among, id_col, "left_semi")).repartition(id_col)
     out = []
     for block in blocks_of(queries, TERM_BLOCK):
         terms = block.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))

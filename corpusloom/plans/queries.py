@@ -82,13 +82,14 @@ cs AS (SELECT query_id, vec_id AS doc_id, round({_DOT.format(a='embedding', b='q
 kr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS rank FROM cs) WHERE rank <= 24)"""
 
 
-def _bm25(spark, d):
+def _bm25(spark, d, among=None):
     docs = table(spark, d, "documents")
-    return retrieval.top_k(retrieval.bm25(docs, questions(spark, d)), "bm25", 24, "doc_id")
+    return retrieval.top_k(retrieval.bm25(docs, questions(spark, d), among=among), "bm25", 24, "doc_id")
 
 
-def _knn(spark, d):
+def _knn(spark, d, among=None):
     v = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    v = v if among is None else v.join(among, "doc_id", "left_semi")
     return retrieval.top_k(retrieval.cosine(v, question_vectors(spark, d), "doc_id"), "cosine", 24, "doc_id")
 
 
@@ -124,8 +125,9 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sp DESC, se D
 
 
 def _evidence(spark, d):
-    fused = retrieval.fuse([(_bm25(spark, d), "rank"), (_knn(spark, d), "rank")], "doc_id").where("rrf >= 0.01").withColumnRenamed("doc_id", "id")
     c = retrieval.evidence_filter(chunks(spark, d))
+    ids = c.select(F.col("id").alias("doc_id"))
+    fused = retrieval.fuse([(_bm25(spark, d, ids), "rank"), (_knn(spark, d, ids), "rank")], "doc_id").where("rrf >= 0.01").withColumnRenamed("doc_id", "id")
     rows = c.join(fused, "id")
     ranked = retrieval.top_k(rows.withColumn("rrf", F.round("rrf", 9)), "rrf", 48, "id", "original_rank").withColumn("original_rank", F.col("original_rank") - 1)
     none = F.expr("cast(array() as array<string>)")

@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from corpusloom.functions import vocab
 from corpusloom.operators import chunking, retrieval
 from corpusloom.plans import queries as plans
 
@@ -114,3 +115,27 @@ def test_chunk_merge_is_the_reference_loop(spark, tmp_path):
         got.setdefault((r.source, r.run, r.group), []).append((r.doc_id, r.part))
     want = [g for s in {r[3] for r in docs} for g in greedy([(k, lang, t) for k, t, lang, source in docs if source == s])]
     assert sorted(map(sorted, got.values())) == sorted(want) and {k for g in want for k, _ in g} == set(range(len(docs)))
+
+
+def test_evidence_is_searched_among_eligible_rows(spark, small):
+    d, texts, stored = small
+    english = {k for k in texts if k % 5 == 0}
+    words, vectors, levels = brute_bm25(texts), brute_cosine(stored), list(vocab.AUTHORITY_RANKS)
+    want, beyond = {}, 0
+    for q in set(words) | set(vectors):
+        rrf = {}
+        for scores in (words.get(q, {}), vectors.get(q, {})):
+            beyond += len({k for k, _ in best(scores, english)} - {k for k, _ in best(scores)})
+            for n, (k, _) in enumerate(best(scores, english)):
+                rrf[k] = rrf.get(k, 0) + 1 / (61 + n)
+        place = {k: n for n, k in enumerate(sorted(rrf, key=lambda k: (-round(rrf[k], 9), k)))}
+        key = lambda k: (-{1: 0, 2: 3}.get(k % 4, 1), -(k % 4 == 2), -(3 if k % 3 == 0 else 2), -vocab.AUTHORITY_DEFAULT[levels[k % 8]], place[k], k)
+        taken = []
+        for k in sorted(place, key=key):
+            if sum(t % 4 == k % 4 for t in taken) < 2 and len(taken) < 8:
+                taken.append(k)
+                want[q, len(taken)] = (k, place[k])
+    got = {(r.query_id, r["rank"]): (r.id, r.original_rank) for r in plans.Q["hybrid_retrieve"](spark, d).collect()}
+    assert beyond and got == want
+    n = {r.query_id: r.n for r in plans.Q["context_blocks"](spark, d).collect()}
+    assert n == {q: sum(x[0] == q and texts[want[x][0]] is not None for x in want) for q in {x[0] for x in want}}
