@@ -1,7 +1,9 @@
 """Licence scan by sentence rules, with DataFrame expressions only.
 
-A text is cut into sentences (at line ends and after `.`, `!`, `?` followed by white space), each is normalised
-(lower case, anything but a-z and 0-9 one blank) and mapped to the identifier of a known licence sentence. The
+A text is cut into sentences (after `.`, `!`, `?` followed by white space, at blank lines, and after the colons and brackets inside
+the sentences of MIT, BSD and Apache), each is normalised (lower case, anything but a-z and 0-9 one blank) and mapped to
+the identifier of a known licence sentence. A sentence may be wrapped over lines and may begin at any of its lines;
+where none does, each line that is a known sentence by itself counts, as do such lines before its beginning. The
 identifiers, in the order of the text, are matched against an ordered list of rules, each a run of identifiers that
 must follow one another (other sentences between known ones do not count); the first rule that fits decides.
 
@@ -34,6 +36,31 @@ SENTENCES: dict[str, str] = {
     "all rights reserved": "RESERVED",
 }
 
+_GPL = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+_MIT = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and"
+_BSD = "this list of conditions and the following disclaimer"
+#: Complete sentences of the customary licence texts, normalised; they are taken besides those above.
+FULL_SENTENCES: dict[str, str] = {
+    "licensed under the apache license version 2 0 the license": "APACHE2_NOTICE",
+    "the asf licenses this file to you under the apache license version 2 0 the license": "APACHE2_NOTICE",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "MIT_CONDITION",
+    f"{_MIT} noninfringement": "MIT_WARRANTY",
+    f"{_MIT} non infringement": "MIT_WARRANTY",
+    f"{_GPL} as published by the free software foundation either version 3 of the license or at your option any later version": "GPL_GRANT",
+    f"{_GPL} as published by the free software foundation either version 2 of the license or at your option any later version": "GPL_GRANT",
+    f"{_GPL} as published by the free software foundation either version 2 or at your option any later version": "GPL_GRANT",
+    f"{_GPL} as published by the free software foundation version 3 of the license": "GPL_GRANT",
+    f"{_GPL} as published by the free software foundation version 2 of the license": "GPL_GRANT",
+    f"{_GPL} version 3 as published by the free software foundation": "GPL_GRANT",
+    f"{_GPL} version 2 as published by the free software foundation": "GPL_GRANT",
+    f"redistributions of source code must retain the above copyright notice {_BSD}": "BSD_SOURCE",
+    f"redistributions in binary form must reproduce the above copyright notice {_BSD} in the documentation and or other materials provided with the distribution": "BSD_BINARY",
+}
+KNOWN = SENTENCES | FULL_SENTENCES
+
+#: A line without words, which ends a paragraph (comment marks may stand in it), and the end of a sentence.
+BLANK, END = r"\n(?:[ \t\r*#/;-]*\n)+", r'([.!?]|\(the .{0,8}license.{0,8}\);|\b(?:met|conditions):)\s+'
+
 #: A word of every known sentence; a text without any of them has no known sentence.
 ANCHORS = ("licensed", "license", "reserved", "notice", "warranty", "dedicated")
 
@@ -57,21 +84,40 @@ RULES: tuple[tuple[str, tuple[str, ...], str, str], ...] = (
 )
 
 
-def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES, anchors: tuple[str, ...] = ANCHORS) -> Column:
+def sentence_ids(text: Column, sentences: dict[str, str] = KNOWN, anchors: tuple[str, ...] = ANCHORS) -> Column:
     """Identifiers of the known sentences of a text, in its order (array<string>)."""
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
+    most = max(len(s.split()) for s in sentences)  # lines of a sentence
     low = F.lower(text)
-    anchored = F.lit(False)
-    for a in anchors:
-        anchored = anchored | low.contains(a)
-    parts = F.split(F.regexp_replace(low, "([.!?])\\s+", "$1\n"), "\n")
-    normal = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
-    ids = F.filter(F.transform(parts, lambda s: F.try_element_at(known, normal(s))), lambda x: x.isNotNull())
-    return F.when(anchored, ids).otherwise(F.expr("cast(array() as array<string>)"))
+
+    def anchored(c: Column) -> Column:
+        out = F.lit(False)
+        for a in anchors:
+            out = out | c.contains(a)
+        return out
+
+    of = lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    none = F.expr("cast(array() as array<string>)")
+
+    def found(unit: Column) -> Column:
+        lines = F.split(unit, "\n")
+        n = F.size(lines)
+        alone = F.transform(lines, of)
+        start = F.greatest(n - most, F.lit(0))
+        tails = F.transform(F.slice(lines, start + 1, F.lit(most)), lambda _, i: of(F.array_join(F.slice(lines, start + i + 1, F.lit(most)), " ")))
+        # the lines before the first line with which a sentence begins that goes to the end, and that sentence
+        ended = F.aggregate(tails, F.struct(start.alias("at"), F.lit(None).cast("string").alias("id")),
+                            lambda s, t: F.when(s["id"].isNotNull(), s).otherwise(F.struct((s["at"] + t.isNull().cast("int")).alias("at"), t.alias("id"))),
+                            lambda s: F.concat(F.slice(alone, F.lit(1), s["at"]), F.array(s["id"])))
+        return F.when(n == 1, F.array(of(unit))).otherwise(ended)
+
+    units = F.filter(F.split(F.regexp_replace(F.regexp_replace(low, BLANK, "\n\n"), END, "$1\n\n"), "\n\n"), anchored)
+    ids = F.filter(F.flatten(F.transform(units, found)), lambda x: x.isNotNull())
+    return F.when(anchored(low), ids).otherwise(none)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  sentences: dict[str, str] = SENTENCES, anchors: tuple[str, ...] = ANCHORS, rules=RULES) -> DataFrame:
+                  sentences: dict[str, str] = KNOWN, anchors: tuple[str, ...] = ANCHORS, rules=RULES) -> DataFrame:
     """`id_col`, sentence_ids (array<string>), rule, license, verdict, for each row; no shuffle.
 
     rule and license are null, and the verdict is `none`, where no rule fits; `unknown` where known sentences
