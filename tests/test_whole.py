@@ -63,13 +63,6 @@ def test_searches_take_every_twentieth_row(spark, small, monkeypatch, block):
         assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
 
 
-def test_long_vectors_agree_with_unrolled_ones(spark, small, monkeypatch):
-    d, _, _ = small
-    want = plans.Q["knn_topk"](spark, d).collect()
-    monkeypatch.setattr(retrieval, "UNROLLED", 0)
-    assert sorted(plans.Q["knn_topk"](spark, d).collect()) == sorted(want)
-
-
 def test_fusion_takes_every_twentieth_row(spark, small):
     d, texts, stored = small
     want = {}
