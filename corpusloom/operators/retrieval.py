@@ -1,66 +1,195 @@
 """Hybrid retrieval for tables of questions: BM25, cosine search, rank fusion, metadata rerank, diversity.
 
-Questions are batches: every operator works on all questions at once, keyed by query_id. Texts are tokenised once and
-their weighted postings are dealt out by document once; blocks of questions are broadcast to them. Contents and vectors
-are not carried past their scores.
+Questions are batches, keyed by query_id. A stated set of questions is searched against all rows in blocks: a block of
+bounded size is broadcast, each task scores its rows against it with matrix products and keeps the k best rows of each
+question, and k rows a question and task are shuffled and ranked. No pair of question and row is ever a Spark row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpusloom.functions import vocab
+from corpusloom.operators.ordered import stored
 from corpusloom.operators.query import matches
 
-#: Questions with their vectors are broadcast up to this many; larger tables are searched in blocks of that many.
+#: Questions of a block with vectors.
 QUERY_BLOCK = 4096
-#: The same for the terms of whole texts as questions.
-TERM_BLOCK = 512
+#: Questions of a block with terms, and pairs of question and term in it.
+TERM_BLOCK, TERM_PAIRS = 512, 1_000_000
+#: Scores that a task holds at once, and questions that a term needs for its column in the matrix product.
+_CELLS, _COMMON = 1 << 20, 8
 
 
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def blocks_of(queries: DataFrame, size: int) -> list[DataFrame]:
-    """`queries` in parts of about `size` questions each, dealt by a hash of query_id."""
-    n = -(-queries.select("query_id").distinct().count() // size)
-    return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) for k in range(n)]
+def _blocks(queries: DataFrame, n: int) -> Iterator[list]:
+    """`queries` in n parts by a hash of query_id, each collected for itself."""
+    for k in range(n):
+        part = queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k)
+        yield part.collect()
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, among: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, bm25) of every document that shares a term with a question; questions broadcast in blocks.
+class _Best:
+    """The k best rows of each question so far: larger scores first, ties to the smaller id."""
 
-    With `among` (a table of ids), only its documents are scored; the corpus statistics stay those of all.
-    Scores are rounded to 9 places, so that ranks don't depend on the order in which parts are summed.
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.full(n, -np.inf)
+        self.rows: tuple = ()
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores: a row for each id, a column for each question; -inf is no score."""
+        if len(ids) > self.k:
+            cut = len(ids) - self.k
+            self.least = np.maximum(self.least, np.partition(scores, cut, axis=0)[cut])
+        row, query = np.nonzero((scores >= self.least) & (scores > -np.inf))
+        new = (query, scores[row, query], ids[row])
+        query, score, ids = (np.concatenate([a, b]) for a, b in zip(self.rows, new)) if self.rows else new
+        place = np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
+        order = np.lexsort((place, -score, query))
+        query, score, ids = query[order], score[order], ids[order]
+        first = np.r_[np.flatnonzero(np.r_[True, query[1:] != query[:-1]]), len(query)] if len(query) else np.zeros(1, np.int64)
+        rank = np.arange(len(query)) - np.repeat(first[:-1], np.diff(first))
+        full = query[rank == self.k - 1]
+        self.least[full] = score[rank == self.k - 1]
+        self.rows = tuple(x[rank < self.k] for x in (query, score, ids))
+
+
+def _task_best(rows: DataFrame, query_ids: list, query_field: StructField, k: int, name: str, score) -> DataFrame:
+    """(query_id, id, name) of the k best rows of each question within each task. rows: id first, without null ids;
+    score(batch) yields (first row, scores) for runs of rows."""
+    id_field = rows.schema[0]
+    schema = StructType([StructField("query_id", query_field.dataType), StructField(id_field.name, id_field.dataType), StructField(name, DoubleType())])
+    kinds: list = []
+
+    def run(batches):
+        best = _Best(len(query_ids), k)
+        for batch in batches:
+            kinds[:] = [batch.column(0).type]
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, part in score(batch):
+                best.add(part, ids[at : at + len(part)])
+        if best.rows and len(best.rows[0]):
+            query, value, ids = best.rows
+            yield pa.RecordBatch.from_arrays([pa.array([query_ids[q] for q in query]), pa.array(ids, kinds[0]), pa.array(value)], ["query_id", id_field.name, name])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _term_scorer(shared, k1: float, b: float, mean: float):
+    """Scores of batches (id, tokens) against a broadcast block: (terms, idf, question of each pair, term of each pair, questions)."""
+
+    def score(batch):
+        terms, idf, q, t, n = shared.value
+        n_of = np.bincount(t, minlength=len(terms))
+        common = np.flatnonzero(n_of >= _COMMON)
+        column = np.full(len(terms), -1)
+        column[common] = np.arange(len(common))
+        dense = np.zeros((len(common), n))
+        often = column[t] >= 0
+        dense[column[t[often]], q[often]] = 1.0
+        rare = np.argsort(t[~often], kind="stable")
+        rare_q, ends = q[~often][rare], np.cumsum(np.bincount(t[~often], minlength=len(terms)))
+        size = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+        offsets = np.r_[0, np.cumsum(size)]
+        place = pc.fill_null(pc.index_in(pc.list_flatten(batch.column(1)), value_set=terms), -1).to_numpy()
+        step = max(1, _CELLS // max(1, n, len(common)))
+        for a in range(0, batch.num_rows, step):
+            z = min(batch.num_rows, a + step)
+            at = place[offsets[a] : offsets[z]]
+            row = np.repeat(np.arange(z - a), size[a:z])[at >= 0]
+            key, tf = np.unique(row * len(terms) + at[at >= 0], return_counts=True)
+            row, term = key // len(terms), key % len(terms)
+            part = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[a:z][row] / mean))
+            weight = np.zeros((z - a, len(common)))
+            hit = column[term] >= 0
+            weight[row[hit], column[term[hit]]] = part[hit]
+            out = weight @ dense
+            row, term, part = row[~hit], term[~hit], part[~hit]
+            begin, count = ends[term] - n_of[term], n_of[term]
+            flat = np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+            out += np.bincount(np.repeat(row, count) * n + rare_q[flat], weights=np.repeat(part, count), minlength=(z - a) * n).reshape(z - a, n)
+            yield a, np.round(np.where(out > 0, out, -np.inf), 9)
+
+    return score
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int = 24, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, among: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, bm25, rank) of the k best documents of each question (query_id, query_text), by its distinct terms.
+
+    With `among` (a table of ids), only its documents are ranked; the statistics stay those of all documents. Null
+    texts have no terms and count as documents; documents without a term of the question, and those with a null id,
+    are not ranked; ties go to the smaller id. Scores are rounded to 9 places, so that ranks don't depend on the order
+    of sums. Questions of one id are one question.
     """
     words = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("ts"))
     n, mean = words.agg(F.count("*"), F.avg(F.size("ts"))).first()
-    counts = words.select(id_col, F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    asked = queries.select(F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")).distinct()
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).join(asked, "term", "left_semi")
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))
-    postings = counts.join(df, "term").select(id_col, "term", part.alias("s"))
-    postings = (postings if among is None else postings.join(among, id_col, "left_semi")).repartition(id_col)
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")).distinct()
+    df = words.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    found = asked.join(df, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "df")).alias("terms"))
+    found = stored(found)  # a question's own terms, with the number of documents that have them
+    n_queries, n_pairs = found.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    own = (words if among is None else words.join(among.select(id_col), id_col, "left_semi")).where(F.col(id_col).isNotNull())
     out = []
-    for block in blocks_of(queries, TERM_BLOCK):
-        terms = block.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
-        out.append(postings.join(F.broadcast(terms), "term").groupBy("query_id", id_col).agg(F.round(F.sum("s"), 9).alias("bm25")))
-    return reduce(DataFrame.unionByName, out)
+    for rows in _blocks(found, max(1, -(-n_queries // TERM_BLOCK), -(-n_pairs // TERM_PAIRS))):
+        df_of = {t["term"]: t["df"] for r in rows for t in r["terms"]}
+        place = {t: i for i, t in enumerate(df_of)}
+        pairs = np.array([(q, place[t["term"]]) for q, r in enumerate(rows) for t in r["terms"]], np.int64).reshape(-1, 2)
+        freq = np.array(list(df_of.values()), float)
+        block = (pa.array(df_of, pa.string()), np.log(1 + (n - freq + 0.5) / (freq + 0.5)), pairs[:, 0], pairs[:, 1], len(rows))
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        out.append(_task_best(own, [r["query_id"] for r in rows], queries.schema["query_id"], k, "bm25", _term_scorer(shared, k1, b, mean or 1.0)))
+    return top_k(reduce(DataFrame.unionByName, out), "bm25", k, id_col)
 
 
-def cosine(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, id, cosine) of each question (query_vec) with each vector; exact, questions broadcast in blocks."""
-    dot = lambda a, c: F.aggregate(F.zip_with(a, c, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(dot(a, a))
-    v = vectors.select(F.col(id_col), F.col(vec_col).alias("v"), norm(F.col(vec_col)).alias("vn"))
-    q = queries.select("query_id", F.col("query_vec").alias("q"), norm(F.col("query_vec")).alias("qn"))
-    hit = lambda part: v.crossJoin(F.broadcast(part)).select("query_id", id_col, F.round(dot(F.col("v"), F.col("q")) / (F.col("vn") * F.col("qn")), 9).alias("cosine"))
-    return reduce(DataFrame.unionByName, map(hit, blocks_of(q, QUERY_BLOCK)))
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 24, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, id, cosine, rank) of the k best vectors of each question (query_id, query_vec); exact.
+
+    Vectors without a direction (null, with a null, NaN or infinity, or of length zero), those of another dimension
+    than the question's and those with a null id are not ranked; ties go to the smaller id. Scores are rounded to 9 places.
+    """
+    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~F.exists(vec_col, lambda x: x.isNull())).select(id_col, F.col(vec_col).cast("array<double>").alias("v"))
+    asked = queries.where(F.col("query_vec").isNotNull() & ~F.exists("query_vec", lambda x: x.isNull())).select("query_id", F.col("query_vec").cast("array<double>").alias("v"))
+    out = []
+    for block in _blocks(asked, max(1, -(-asked.count() // QUERY_BLOCK))):
+        sizes = [len(r["v"]) for r in block]
+        by_size = {d: [i for i, n in enumerate(sizes) if n == d] for d in set(sizes)}
+        shared = vectors.sparkSession.sparkContext.broadcast({d: (np.array(at), _unit(np.array([block[i]["v"] for i in at]).reshape(-1, d))) for d, at in by_size.items()})
+        n = len(block)
+
+        def score(batch, shared=shared, n=n):
+            size = batch.column(1).value_lengths().to_numpy()
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            offsets = np.r_[0, np.cumsum(size, dtype=np.int64)]
+            step = max(1, _CELLS // max(1, n))
+            for a in range(0, batch.num_rows, step):
+                z = min(batch.num_rows, a + step)
+                out = np.full((z - a, n), -np.inf)
+                for d, (at, q) in shared.value.items():
+                    own = np.flatnonzero(size[a:z] == d)
+                    v = flat[(offsets[a:z][own][:, None] + np.arange(d))]
+                    out[own[:, None], at[None, :]] = np.round(_unit(v) @ q.T, 9)
+                yield a, np.where(np.isnan(out), -np.inf, out)
+
+        out.append(_task_best(rows, [r["query_id"] for r in block], queries.schema["query_id"], k, "cosine", score))
+    return top_k(reduce(DataFrame.unionByName, out), "cosine", k, id_col)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; NaN where there is no direction."""
+    with np.errstate(all="ignore"):
+        out = v / np.sqrt((v * v).sum(1, keepdims=True))
+    return np.where(np.isfinite(v).all(1, keepdims=True), out, np.nan)
 
 
 def top_k(scored: DataFrame, score: str, k: int, id_col: str, rank: str = "rank") -> DataFrame:
@@ -103,13 +232,8 @@ def period_score(asked: Column) -> Column:
     )
 
 
-def rerank(candidates: DataFrame, limit: int = 8, per_source: int = 2) -> DataFrame:
-    """The evidence of each question, ranked from 1.
-
-    candidates: query_id, original_rank, id, source_id, status, tax_year, effective_from, effective_to, tax_types,
-    authority_level, authority_rank, and of the question q_tax_year, q_tax_types, q_text, q_procedural, q_historical.
-    Excluded rows go; superseded rows go too where others remain and the question is not about the past.
-    """
+def scored_rows(candidates: DataFrame) -> DataFrame:
+    """`candidates` with s_period, s_exact, s_status, s_tax and s_authority, see `rerank` for the columns."""
     status = F.coalesce(F.lower(F.col("status")), F.lit("unknown"))
     low = lambda a: F.transform(F.coalesce(F.col(a), F.expr("cast(array() as array<string>)")), F.lower)
     level = F.coalesce(F.lower(F.col("authority_level")), F.lit(""))
@@ -119,15 +243,29 @@ def rerank(candidates: DataFrame, limit: int = 8, per_source: int = 2) -> DataFr
         F.when(legal, _lookup(vocab.AUTHORITY_LEGAL, level)).when(F.col("q_procedural"), _lookup(vocab.AUTHORITY_PROCEDURAL, level))
         .otherwise(_lookup(vocab.AUTHORITY_DEFAULT, level))
     )
-    scored = candidates.where(status != "excluded").withColumns({
+    return candidates.withColumns({
         "s_period": period_score(F.col("q_tax_year")),
         "s_exact": F.when((F.col("q_tax_year") != "") & (F.col("tax_year") == F.col("q_tax_year")), 1).otherwise(0),
         "s_status": F.coalesce(F.when(F.col("q_historical"), _lookup(vocab.STATUS_PAST, status)).otherwise(_lookup(vocab.STATUS_NOW, status)), F.lit(0)),
         "s_tax": F.when(F.size(low("q_tax_types")) == 0, 0).when(F.size(low("tax_types")) == 0, 1)
         .when(F.arrays_overlap(low("tax_types"), low("q_tax_types")), 2).otherwise(0),
         "s_authority": F.coalesce(preference, own),
-        "_live": F.max((status != "superseded").cast("int")).over(Window.partitionBy("query_id")),
-    }).where(F.col("q_historical") | (F.col("_live") == 0) | (status != "superseded")).drop("_live")
+    })
+
+
+def rerank(candidates: DataFrame, limit: int = 8, per_source: int = 2) -> DataFrame:
+    """The evidence of each question, ranked from 1.
+
+    candidates: query_id, original_rank, id, source_id, status, tax_year, effective_from, effective_to, tax_types,
+    authority_level, authority_rank, and of the question q_tax_year, q_tax_types, q_text, q_procedural, q_historical.
+    Excluded rows go; superseded rows go too where others remain and the question is not about the past. Null labels
+    are empty, a null status is unknown, a null source is one source; ties go to the smaller original rank, then id.
+    A question's candidates are few (top-k lists), so its windows are small.
+    """
+    status = F.coalesce(F.lower(F.col("status")), F.lit("unknown"))
+    live = F.max((status != "superseded").cast("int")).over(Window.partitionBy("query_id"))
+    scored = scored_rows(candidates.where(status != "excluded")).withColumn("_live", live)
+    scored = scored.where(F.col("q_historical") | (F.col("_live") == 0) | (status != "superseded")).drop("_live")
     keys = [F.col(c).desc() for c in ("s_period", "s_exact", "s_status", "s_tax", "s_authority")] + [F.col("original_rank"), F.col("id")]
     capped = scored.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "source_id").orderBy(*keys))).where(F.col("_n") <= per_source)
     best = capped.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*keys)))
@@ -135,13 +273,70 @@ def rerank(candidates: DataFrame, limit: int = 8, per_source: int = 2) -> DataFr
 
 
 def rerank_images(images: DataFrame, evidence: DataFrame, limit: int = 4) -> DataFrame:
-    """Guide images that share page or workflow with a question's evidence; two equi-joins, no OR join."""
-    pages = evidence.where("source_id is not null and page is not null").select("query_id", "source_id", "page").distinct().withColumn("_p", F.lit(2))
+    """Guide images that share page (source_id, page) or workflow with a question's evidence, ranked from 1.
+
+    images: as `rerank`'s candidates, with content_type, page and workflow_id; evidence: query_id, source_id, page,
+    workflow_id. Excluded, superseded and historical images go, and those of another period where one is asked for.
+    Order: association (2 page, 1 workflow as it is written, 0 workflow but for blanks), period, tax types, authority,
+    original rank, id. Empty and null keys associate nothing. Two equi-joins, no OR join.
+    """
+    pages = evidence.where("source_id <> '' and page is not null").select("query_id", "source_id", "page").distinct().withColumn("_p", F.lit(2))
     flows = evidence.where("trim(workflow_id) <> ''").select("query_id", F.trim("workflow_id").alias("_flow")).distinct().withColumn("_w", F.lit(1))
     status = F.coalesce(F.lower(F.col("status")), F.lit(""))
     own = images.where((F.col("content_type") == "guide_image") & ~status.isin("excluded", "superseded", "historical")).withColumn("_flow", F.trim("workflow_id"))
     joined = own.join(pages, ["query_id", "source_id", "page"], "left").join(flows, ["query_id", "_flow"], "left")
-    tied = joined.withColumn("association", F.coalesce("_p", "_w")).where("association is not null").withColumn("s_period", period_score(F.col("q_tax_year")))
-    tied = tied.where("q_tax_year is null or s_period > 0")
-    order = Window.partitionBy("query_id").orderBy(F.col("association").desc(), F.col("s_period").desc(), "original_rank", "id")
-    return tied.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("_p", "_w", "_flow")
+    written = F.when(F.col("_flow") == F.col("workflow_id"), 1).otherwise(0)
+    tied = scored_rows(joined.where("_p is not null or _w is not null").withColumn("association", F.coalesce("_p", written)))
+    tied = tied.where("q_tax_year is null or q_tax_year = '' or s_period > 0")
+    keys = [F.col(c).desc() for c in ("association", "s_period", "s_tax", "s_authority")] + [F.col("original_rank"), F.col("id")]
+    return tied.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*keys))).where(F.col("rank") <= limit).drop("_p", "_w", "_flow")
+
+
+def row_defaults(rows: DataFrame) -> DataFrame:
+    """Rows of an index as typed rows: old ones may lack columns, and hold numbers, dates and lists as texts.
+
+    Columns that `rows` lacks are added; texts that must be there are empty, content_type is `document`, numbers that
+    are none are null, dates are those of the first ten characters, a text in place of a list is a list of it, and
+    lists are never null.
+    """
+    have = {f.name: f.dataType.simpleString() for f in rows.schema}
+    col = lambda name: F.col(name) if name in have else F.lit(None)
+    text = lambda name: F.coalesce(col(name).cast("string"), F.lit("document" if name == "content_type" else "")).alias(name)
+    number = lambda name: F.expr(f"try_cast({name} as int)").alias(name) if name in have else F.lit(None).cast("int").alias(name)
+    day = lambda name: (F.expr(f"try_cast(substr(cast({name} as string), 1, 10) as date)") if name in have else F.lit(None).cast("date")).alias(name)
+
+    def many(name: str) -> Column:
+        none = F.expr("cast(array() as array<string>)")
+        if name not in have:
+            return none.alias(name)
+        own = F.filter(name, lambda x: x.isNotNull()) if have[name].startswith("array") else F.array(F.col(name).cast("string"))
+        return F.when(F.col(name).isNull(), none).otherwise(own).alias(name)
+
+    plain = ("source_url", "blob_path", "section", "sheet", "cell_range", "tax_year", "document_version", "workflow_id", "authority_level", "language", "status",
+             "form_code", "source_hash", "chunk_hash", "image_id", "image_url", "image_alt_text", "image_caption")
+    return rows.select(
+        *map(text, ("id", "content", "content_type", "title", "source_id")), *[col(c).cast("string").alias(c) for c in plain], *map(number, ("page", "page_end", "authority_rank")),
+        *map(day, ("published_date", "effective_from", "effective_to")), *map(many, ("tax_types", "taxpayer_types", "supersedes", "tags")),
+    )
+
+
+def retrieve(questions: DataFrame, found: DataFrame, image_found: DataFrame, min_score: float = 0.01, max_evidence: int = 8, max_images: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(evidence, images) of analysed questions from the rows that searches found.
+
+    questions: query_id, tax_year, tax_types, procedural_intent, historical_intent, retrieval_text (see `query.analyze`);
+    found, image_found: query_id, score, original_rank and the columns of the rows. Images are ranked only for
+    questions with procedural intent that have evidence. Questions without evidence give no row.
+    """
+    asked = questions.select(
+        "query_id", F.col("tax_year").alias("q_tax_year"), F.col("tax_types").alias("q_tax_types"), F.col("retrieval_text").alias("q_text"),
+        F.col("procedural_intent").alias("q_procedural"), F.col("historical_intent").alias("q_historical"),
+    )
+    evidence = rerank(found.where(F.col("score") >= min_score).join(asked, "query_id"), max_evidence)
+    wanted = evidence.where("q_procedural").select("query_id").distinct()
+    own = image_found.where(F.col("score") >= min_score).join(wanted, "query_id", "left_semi").join(asked, "query_id")
+    return evidence, rerank_images(own, evidence, max_images)
+
+
+def with_year(questions: DataFrame, tax_year: Column) -> DataFrame:
+    """Questions with the given period where they name none."""
+    return questions.withColumn("tax_year", F.coalesce("tax_year", tax_year))

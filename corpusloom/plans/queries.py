@@ -37,115 +37,166 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 _LEVELS = list(vocab.AUTHORITY_RANKS)
 _STATUS = "CASE WHEN quality = 0 THEN 'superseded' WHEN toxic = 1 THEN 'historical' WHEN quality = 1 THEN 'current' END"
+_NAMES = " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(_LEVELS))
+#: Labels of documents as chunks, in SQL that both engines run.
+_LABELS = {
+    "tax_year": "CASE doc_id % 4 WHEN 1 THEN '2024/2025' WHEN 2 THEN '2025/2026' END",
+    "authority_level": f"CASE doc_id % 9 {_NAMES} END",
+    "authority_rank": "CAST(doc_id % 100 AS int)",
+    "effective_from": "CASE WHEN doc_id % 3 > 0 THEN make_date(CAST(2020 + doc_id % 6 AS int), 1, 1) END",
+    "effective_to": "CASE WHEN doc_id % 3 = 2 THEN make_date(CAST(2022 + doc_id % 6 AS int), 12, 31) END",
+    "tax_type": "CASE doc_id % 5 WHEN 1 THEN 'vat' WHEN 2 THEN 'WHT' WHEN 3 THEN 'income_tax' END",
+}
+#: The same of questions: every arm of the period, status, tax type and authority orders is asked for.
+_ASKED = {
+    "q_tax_year": "CASE query_id % 3 WHEN 0 THEN '2025/2026' WHEN 1 THEN '2023' END",
+    "q_tax_type": "CASE query_id % 7 WHEN 1 THEN 'vat' WHEN 2 THEN 'wht' WHEN 3 THEN 'sscl' END",
+    "q_text": "CASE WHEN query_id % 11 = 0 THEN 'the Act, and its rate' ELSE 'the action' END",
+    "q_procedural": "(query_id % 60 = 20)",
+    "q_historical": "(query_id % 80 = 40)",
+}
 _CHUNKS_SQL = f"""chunks AS (SELECT d.doc_id AS id, d.source AS source_id, d.text AS content, d.lang AS language, {_STATUS} AS status,
-  CASE d.doc_id % 4 WHEN 1 THEN '2024/2025' WHEN 2 THEN '2025/2026' END AS tax_year,
-  CASE d.doc_id % 8 {' '.join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(_LEVELS))} END AS authority_level
+  {', '.join(f"{x.replace('doc_id', 'd.doc_id')} AS {n}" for n, x in _LABELS.items())}
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    k = F.pmod("doc_id", F.lit(8)).cast("int")
+    named = {n: F.expr(x) for n, x in _LABELS.items()}
+    kind = named.pop("tax_type")
     return docs.join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.col("text").alias("content"), F.col("lang").alias("language"),
-        F.expr(_STATUS).alias("status"), F.expr("CASE doc_id % 4 WHEN 1 THEN '2024/2025' WHEN 2 THEN '2025/2026' END").alias("tax_year"),
-        F.get(F.array(*map(F.lit, _LEVELS)), k).alias("authority_level"), F.lit("text").alias("content_type"),
+        F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.col("text").alias("content"),
+        F.col("lang").alias("language"), F.expr(_STATUS).alias("status"), *[c.alias(n) for n, c in named.items()],
+        F.array_compact(F.array(kind)).alias("tax_types"), F.lit("text").alias("content_type"),
     )
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
     """Every document whose id is divisible by 20 as a question, with its whole text."""
-    return table(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
+    rows = table(spark, d, "documents").where("doc_id % 20 = 0")
+    return rows.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
 
 
 def question_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Every stored vector whose id is divisible by 20 as a question."""
-    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    rows = table(spark, d, "embeddings").where("vec_id % 20 = 0")
+    return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_PART = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))"
 _BM25_SQL = f"""
-q AS (SELECT doc_id AS query_id, list_distinct(list_slice({_TOK.format('text')}, 1, 8)) AS ts FROM documents WHERE doc_id < 100 AND doc_id % 10 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)),
-qt AS (SELECT query_id, unnest(ts) AS term FROM q),
-w AS (SELECT doc_id, lang, {_TOK.format('text')} AS ts FROM documents),
-st AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM w),
-tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM w) x WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+w AS (SELECT doc_id, {_TOK.format('text')} AS ts FROM documents),
+qt AS (SELECT doc_id AS query_id, unnest(list_distinct(ts)) AS term FROM w WHERE doc_id % 20 = 0),
+st AS (SELECT (SELECT count(*) FROM documents) AS n, avg(len(ts)) AS mean FROM w),
+tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM w) x
+  WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) AS bm25
-  FROM tf JOIN df USING (term) JOIN qt USING (term), st GROUP BY 1, 2),
+post AS (SELECT doc_id, term, {_PART} AS s FROM tf JOIN df USING (term), st),
+bm AS (SELECT query_id, doc_id, round(sum(s), 9) AS bm25 FROM post JOIN qt USING (term) WHERE {{among}} GROUP BY 1, 2),
 br AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS rank FROM bm) WHERE rank <= 24)"""
 _DOT = "list_sum(list_transform(list_zip({a}::DOUBLE[], {b}::DOUBLE[]), lambda z: z[1] * z[2]))"
 _KNN_SQL = f"""
-qv AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 100 AND vec_id % 10 = 0 AND vec_id IN (SELECT doc_id FROM documents)),
-cs AS (SELECT query_id, vec_id AS doc_id, round({_DOT.format(a='embedding', b='q')} / (sqrt({_DOT.format(a='embedding', b='embedding')}) * sqrt({_DOT.format(a='q', b='q')})), 9) AS cosine
-  FROM embeddings, qv),
+nv AS (SELECT vec_id, embedding, sqrt({_DOT.format(a='embedding', b='embedding')}) AS size FROM embeddings),
+cs AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round({_DOT.format(a='b.embedding', b='a.embedding')} / (b.size * a.size), 9) AS cosine
+  FROM nv a, nv b WHERE a.vec_id % 20 = 0 AND {{among}}),
 kr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS rank FROM cs) WHERE rank <= 24)"""
 
 
+def _searches_sql(bm25_among: str = "true", knn_among: str = "true") -> str:
+    return f"{_BM25_SQL.replace('{among}', bm25_among)}, {_KNN_SQL.replace('{among}', knn_among)}"
+
+
 def _bm25(spark, d, among=None):
-    docs = table(spark, d, "documents")
-    return retrieval.top_k(retrieval.bm25(docs, questions(spark, d), among=among), "bm25", 24, "doc_id")
+    return retrieval.bm25_top(table(spark, d, "documents"), questions(spark, d), 24, among=among)
 
 
 def _knn(spark, d, among=None):
     v = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
     v = v if among is None else v.join(among, "doc_id", "left_semi")
-    return retrieval.top_k(retrieval.cosine(v, question_vectors(spark, d), "doc_id"), "cosine", 24, "doc_id")
+    return retrieval.cosine_top(v, question_vectors(spark, d), 24, "doc_id")
 
 
-@register(f"WITH {_BM25_SQL} SELECT query_id, doc_id, rank, round(bm25, 6) AS bm25 FROM br")
+@register(f"WITH {_BM25_SQL.replace('{among}', 'true')} SELECT query_id, doc_id, rank, round(bm25, 6) AS bm25 FROM br")
 def bm25_topk(spark, d):
     return _bm25(spark, d).select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("bm25", 6).alias("bm25"))
 
 
-@register(f"WITH {_KNN_SQL} SELECT query_id, doc_id, rank, round(cosine, 6) AS cosine FROM kr")
+@register(f"WITH {_KNN_SQL.replace('{among}', 'true')} SELECT query_id, doc_id, rank, round(cosine, 6) AS cosine FROM kr")
 def knn_topk(spark, d):
     return _knn(spark, d).select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("cosine", 6).alias("cosine"))
 
 
-_RRF_SQL = f"""{_BM25_SQL}, {_KNN_SQL},
-fu AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (SELECT query_id, doc_id, rank FROM br UNION ALL SELECT query_id, doc_id, rank FROM kr) GROUP BY 1, 2)"""
+_FUSE_SQL = """
+fu AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf
+  FROM (SELECT query_id, doc_id, rank FROM br UNION ALL SELECT query_id, doc_id, rank FROM kr) GROUP BY 1, 2)"""
 
 
-@register(f"WITH {_RRF_SQL} SELECT query_id, doc_id, round(rrf, 6) AS rrf FROM fu")
+@register(f"WITH {_searches_sql()}, {_FUSE_SQL} SELECT query_id, doc_id, round(rrf, 6) AS rrf FROM fu")
 def rrf_fuse(spark, d):
-    return retrieval.fuse([(_bm25(spark, d), "rank"), (_knn(spark, d), "rank")], "doc_id").select("query_id", "doc_id", F.round("rrf", 6).alias("rrf"))
+    lists = [(_bm25(spark, d), "rank"), (_knn(spark, d), "rank")]
+    return retrieval.fuse(lists, "doc_id").select("query_id", "doc_id", F.round("rrf", 6).alias("rrf"))
+
+
+_ELIGIBLE = "(language IS NULL OR language = 'en') AND (status IS NULL OR status <> 'excluded')"
+_ORDER = "sp DESC, se DESC, ss DESC, st DESC, sa DESC, original_rank, id"
+
 
+def _when(key: str, found: dict[str, int]) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in found.items()) + " END"
 
-_PREF = " ".join(f"WHEN '{k}' THEN {v}" for k, v in vocab.AUTHORITY_DEFAULT.items())
-_RANKED_SQL = f"""
-kd AS (SELECT fu.query_id, c.*, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, id) - 1 AS original_rank
-  FROM fu JOIN chunks c ON c.id = fu.doc_id WHERE rrf >= 0.01 AND (language IS NULL OR language = 'en') AND (status IS NULL OR status <> 'excluded')),
-sc AS (SELECT *, CASE WHEN tax_year = '2025/2026' THEN 3 WHEN tax_year IS NULL THEN 1 ELSE 0 END AS sp, CASE WHEN tax_year = '2025/2026' THEN 1 ELSE 0 END AS se,
-  CASE coalesce(status, 'unknown') WHEN 'current' THEN 3 WHEN 'unknown' THEN 2 WHEN 'historical' THEN 1 ELSE 0 END AS ss,
-  CASE authority_level {_PREF} END AS sa, max(CASE WHEN coalesce(status, 'unknown') <> 'superseded' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS live FROM kd),
-cp AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY sp DESC, se DESC, ss DESC, sa DESC, original_rank, id) AS n
-  FROM sc WHERE live = 0 OR coalesce(status, 'unknown') <> 'superseded'),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sp DESC, se DESC, ss DESC, sa DESC, original_rank, id) AS rank FROM cp WHERE n <= 2)"""
+
+_SCORES_SQL = f"""*,
+  CASE WHEN q_tax_year IS NULL THEN CASE WHEN status = 'current' THEN 1 ELSE 0 END WHEN tax_year = q_tax_year THEN 3
+    WHEN year(effective_from) <= q_tax_year[1:4]::INT AND (effective_to IS NULL OR year(effective_to) >= q_tax_year[1:4]::INT) THEN 2
+    WHEN tax_year IS NULL AND effective_from IS NULL THEN 1 ELSE 0 END AS sp,
+  CASE WHEN tax_year = q_tax_year THEN 1 ELSE 0 END AS se,
+  CASE WHEN q_historical THEN {_when("coalesce(status, 'unknown')", vocab.STATUS_PAST)} ELSE {_when("coalesce(status, 'unknown')", vocab.STATUS_NOW)} END AS ss,
+  CASE WHEN q_tax_type IS NULL THEN 0 WHEN tax_type IS NULL THEN 1 WHEN lower(tax_type) = q_tax_type THEN 2 ELSE 0 END AS st,
+  coalesce(CASE WHEN regexp_matches(lower(q_text), '\\b(?:{vocab.LEGAL})\\b') THEN {_when('authority_level', vocab.AUTHORITY_LEGAL)}
+    WHEN q_procedural THEN {_when('authority_level', vocab.AUTHORITY_PROCEDURAL)} ELSE {_when('authority_level', vocab.AUTHORITY_DEFAULT)} END,
+    least(authority_rank // 10, 8)) AS sa""".replace("\\\\b", "\\b")
+_ASKED_SQL = ", ".join(f"{x} AS {n}" for n, x in _ASKED.items())
+_RANKED_SQL = f"""{_CHUNKS_SQL}, el AS (SELECT id FROM chunks WHERE {_ELIGIBLE}),
+{_searches_sql('doc_id IN (SELECT id FROM el)', 'b.vec_id IN (SELECT id FROM el)')}, {_FUSE_SQL},
+kd AS (SELECT fu.query_id, c.*, {_ASKED_SQL}, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, id) - 1 AS original_rank
+  FROM fu JOIN chunks c ON c.id = fu.doc_id WHERE rrf >= 0.01),
+sc AS (SELECT {_SCORES_SQL}, max(CASE WHEN coalesce(status, 'unknown') <> 'superseded' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS live FROM kd),
+cp AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY {_ORDER}) AS n
+  FROM sc WHERE q_historical OR live = 0 OR coalesce(status, 'unknown') <> 'superseded'),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) AS rank FROM cp WHERE n <= 2)"""
+
+
+def asked(rows: DataFrame) -> DataFrame:
+    """`rows` with what the question of their query_id asks for."""
+    named = {n: F.expr(x) for n, x in _ASKED.items()}
+    kind = named.pop("q_tax_type")
+    return rows.withColumns(named | {"q_tax_types": F.array_compact(F.array(kind))})
 
 
 def _evidence(spark, d):
     c = retrieval.evidence_filter(chunks(spark, d))
     ids = c.select(F.col("id").alias("doc_id"))
-    fused = retrieval.fuse([(_bm25(spark, d, ids), "rank"), (_knn(spark, d, ids), "rank")], "doc_id").where("rrf >= 0.01").withColumnRenamed("doc_id", "id")
-    rows = c.join(fused, "id")
-    ranked = retrieval.top_k(rows.withColumn("rrf", F.round("rrf", 9)), "rrf", 48, "id", "original_rank").withColumn("original_rank", F.col("original_rank") - 1)
-    none = F.expr("cast(array() as array<string>)")
-    return retrieval.rerank(ranked.withColumns({
-        "effective_from": F.lit(None).cast("date"), "effective_to": F.lit(None).cast("date"), "tax_types": none, "authority_rank": F.lit(0),
-        "q_tax_year": F.lit("2025/2026"), "q_tax_types": none, "q_text": F.lit(""), "q_procedural": F.lit(False), "q_historical": F.lit(False),
-    }))
+    fused = retrieval.fuse([(_bm25(spark, d, ids), "rank"), (_knn(spark, d, ids), "rank")], "doc_id").where("rrf >= 0.01")
+    rows = c.join(fused.withColumnRenamed("doc_id", "id"), "id").withColumn("rrf", F.round("rrf", 9))
+    ranked = retrieval.top_k(rows, "rrf", 48, "id", "original_rank").withColumn("original_rank", F.col("original_rank") - 1)
+    return retrieval.rerank(asked(ranked))
 
 
-@register(f"WITH {_CHUNKS_SQL}, {_RRF_SQL}, {_RANKED_SQL} SELECT query_id, rank, id, source_id, coalesce(status, 'unknown') AS status, original_rank FROM rk WHERE rank <= 8")
+@register(f"""WITH {_RANKED_SQL}
+SELECT query_id, rank, id, source_id, coalesce(status, 'unknown') AS status, original_rank FROM rk WHERE rank <= 8""")
 def hybrid_retrieve(spark, d):
-    return _evidence(spark, d).select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", "source_id", F.coalesce("status", F.lit("unknown")).alias("status"), F.col("original_rank").cast("bigint").alias("original_rank"))
+    return _evidence(spark, d).select(
+        "query_id", F.col("rank").cast("bigint").alias("rank"), "id", "source_id", F.coalesce("status", F.lit("unknown")).alias("status"),
+        F.col("original_rank").cast("bigint").alias("original_rank"),
+    )
 
 
-@register(f"""WITH {_CHUNKS_SQL}, {_RRF_SQL}, {_RANKED_SQL},
+@register(f"""WITH {_RANKED_SQL},
 ev AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id, trim(content) ORDER BY rank) AS k FROM rk WHERE rank <= 8 AND trim(content) <> ''),
-mk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM ev WHERE k = 1)
-SELECT query_id, sha256(string_agg('[SOURCE_' || position || ']' || chr(10) || 'source_id: ' || source_id || chr(10) || content, chr(10) || chr(10) ORDER BY position)) AS context_sha, count(*) AS n FROM mk GROUP BY 1""")
+mk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM ev WHERE k = 1),
+bl AS (SELECT query_id, position, '[SOURCE_' || position || ']' || chr(10) || 'source_id: ' || source_id || chr(10) || content AS b FROM mk)
+SELECT query_id, sha256(string_agg(b, chr(10) || chr(10) ORDER BY position)) AS context_sha, count(*) AS n FROM bl GROUP BY 1""")
 def context_blocks(spark, d):
     marked = answer.numbered_evidence(_evidence(spark, d))
     n = marked.groupBy("query_id").agg(F.count("*").alias("n"))
@@ -215,20 +266,51 @@ def sentence_split_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("n_sentences"))
 
 
-@register()
-def normalize_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.normalize_text("text").alias("text")).select("doc_id", F.sha2("text", 256).alias("content_hash"), F.length("text").cast("bigint").alias("n_chars"))
-
-
-def _pieces(spark, d):
-    docs = table(spark, d, "documents")
-    none = F.expr("cast(null as array<string>)")
-    return docs.select("doc_id", "source", F.posexplode(chunking.split_pieces(F.col("text"), F.lit("paragraph"), none)).alias("part", "content"))
+_STRIP = "regexp_replace({}, '^[\\s\\x1c-\\x1f\\x85\\xa0]+|[\\s\\x1c-\\x1f\\x85\\xa0]+$', '', 'g')"
+#: Texts by their line table: a line, the line before it, and what joins them. The tables have no character that NFKC
+#: changes and NFC does not.
+_NORMAL_SQL = rf"""ls AS (SELECT doc_id, unnest(string_split_regex(nfc_normalize(replace(coalesce(text, ''), chr(173), '')), '\r\n|\r|\n')) AS x,
+  generate_subscripts(string_split_regex(nfc_normalize(replace(coalesce(text, ''), chr(173), '')), '\r\n|\r|\n'), 1) AS i FROM documents),
+lt AS (SELECT doc_id, i, {_STRIP.format('x')} AS x FROM ls),
+lb AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY i), '') AS p FROM lt),
+gl AS (SELECT doc_id, i, x, CASE WHEN regexp_matches(x, '^\p{{Ll}}') AND p <> '' AND NOT regexp_matches(p, '[.!?:;,)\]}}–—-]$')
+    AND NOT regexp_matches(p, '^([-*+•‣▪◦]|\d+[.)])\s') AND NOT regexp_matches(x, '^([-*+•‣▪◦]|\d+[.)])\s') THEN ' ' ELSE chr(10) END AS g FROM lb),
+jo AS (SELECT doc_id, string_agg(g || x, '' ORDER BY i) AS t FROM gl GROUP BY doc_id),
+nt AS (SELECT doc_id, trim(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)) AS text FROM jo)"""
 
 
-@register()
+@register(f"WITH {_NORMAL_SQL} SELECT doc_id, sha256(text) AS content_hash, length(text) AS n_chars FROM nt")
+def normalize_documents(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("text"))
+    return rows.select("doc_id", F.sha2("text", 256).alias("content_hash"), F.length("text").cast("bigint").alias("n_chars"))
+
+
+#: Pieces of texts: units (paragraphs, sentences of long ones, windows over long sentences) packed up to 4,200 characters.
+_PIECES_SQL = r"""
+pa AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, string_split_regex(text, '\n{2,}') AS ps FROM documents WHERE length(text) > 4200)),
+pt AS (SELECT doc_id, i, trim(p, chr(32) || chr(9) || chr(10) || chr(13)) AS p FROM pa),
+se AS (SELECT doc_id, i, unnest(ss) AS s, generate_subscripts(ss, 1) AS j FROM (SELECT doc_id, i,
+  CASE WHEN length(p) <= 4200 THEN [p] ELSE string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) END AS ss FROM pt WHERE p <> '')),
+su AS (SELECT doc_id, i, j, trim(s, chr(32) || chr(9) || chr(10) || chr(13)) AS s FROM se),
+hw AS (SELECT doc_id, i, j, s, 0 AS k, 0 AS a, NULL::INT AS z FROM su WHERE s <> ''
+  UNION ALL SELECT doc_id, i, j, s, k + 1, CASE WHEN k = 0 THEN 0 ELSE greatest(a + 1, z - 400) END AS b,
+    CASE WHEN (CASE WHEN k = 0 THEN 0 ELSE greatest(a + 1, z - 400) END) + 4200 >= length(s) THEN length(s)
+      ELSE (CASE WHEN k = 0 THEN 0 ELSE greatest(a + 1, z - 400) END) + 4200
+        - strpos(reverse(substr(s, (CASE WHEN k = 0 THEN 0 ELSE greatest(a + 1, z - 400) END) + 2101, 2100)), ' ') END
+  FROM hw WHERE z IS NULL OR z < length(s)),
+un AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j, k) AS u, x FROM
+  (SELECT doc_id, i, j, k, trim(substr(s, a + 1, z - a), chr(32) || chr(9) || chr(10) || chr(13)) AS x FROM hw WHERE z IS NOT NULL) WHERE x <> ''),
+pk AS (SELECT doc_id, u, 0 AS part, x AS piece FROM un WHERE u = 1
+  UNION ALL SELECT pk.doc_id, un.u, part + (length(piece) + 2 + length(x) > 4200)::INT,
+    CASE WHEN length(piece) + 2 + length(x) > 4200 THEN x ELSE piece || chr(10) || chr(10) || x END FROM pk JOIN un ON un.doc_id = pk.doc_id AND un.u = pk.u + 1),
+pieces AS (SELECT doc_id, part, max_by(piece, u) AS piece FROM pk GROUP BY 1, 2
+  UNION ALL SELECT doc_id, 0, coalesce(text, '') FROM documents WHERE coalesce(length(text), 0) <= 4200)"""
+
+
+@register(f"WITH RECURSIVE {_PIECES_SQL} SELECT doc_id, part::BIGINT AS part, length(piece) AS n_chars, sha256(piece) AS chunk_hash FROM pieces")
 def chunk_structural(spark, d):
-    return _pieces(spark, d).select("doc_id", F.col("part").cast("bigint").alias("part"), F.length("content").cast("bigint").alias("n_chars"), F.sha2("content", 256).alias("chunk_hash"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.split_pieces(F.col("text"))).alias("part", "content"))
+    return rows.select("doc_id", F.col("part").cast("bigint").alias("part"), F.length("content").cast("bigint").alias("n_chars"), F.sha2("content", 256).alias("chunk_hash"))
 
 
 @register("""WITH RECURSIVE t AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS s FROM documents),
@@ -238,23 +320,30 @@ UNION ALL SELECT doc_id, s, part + 1, greatest(pos + 1, e - 300) FROM (SELECT *,
 SELECT doc_id, count(*)::BIGINT AS n_chunks, max_by(length(trim(substr(s, pos + 1), ' ' || chr(10))), pos)::BIGINT AS last_chars FROM c GROUP BY doc_id""")
 def chunk_fixed_windows(spark, d):
     docs = table(spark, d, "documents")
-    cut = docs.select("doc_id", chunking.fixed_windows("text", F.lit(2400), F.lit(300)).alias("ps"))
+    cut = docs.select("doc_id", chunking.fixed_windows(F.col("text"), 2400, 300).alias("ps"))
     return cut.where(F.size("ps") > 0).select("doc_id", F.size("ps").cast("bigint").alias("n_chunks"), F.length(F.element_at("ps", -1)).cast("bigint").alias("last_chars"))
 
 
-@register()
+#: Greedy chunks of a source: pieces in order, one step of the recursion for each place in all sources at once.
+_GREEDY_SQL = """
+pn AS (SELECT source, lang, doc_id, part, doc_id * 100000 + part AS pos, piece, count(*) OVER (PARTITION BY doc_id) > 1 AS alone,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id, part) AS i FROM pieces JOIN documents USING (doc_id)),
+gr AS (SELECT source, i, lang, pos, pos AS first, CASE WHEN alone OR length(piece) >= 3597 THEN NULL ELSE length(piece) END AS len FROM pn WHERE i = 1
+  UNION ALL SELECT p.source, p.i, p.lang, p.pos,
+    CASE WHEN gr.len IS NULL OR p.alone OR gr.lang IS DISTINCT FROM p.lang OR gr.len + 2 + length(p.piece) > 3600 THEN p.pos ELSE gr.first END,
+    CASE WHEN p.alone THEN NULL WHEN gr.len IS NULL OR gr.lang IS DISTINCT FROM p.lang OR gr.len + 2 + length(p.piece) > 3600
+      THEN CASE WHEN length(p.piece) >= 3597 THEN NULL ELSE length(p.piece) END
+      WHEN gr.len + 2 + length(p.piece) >= 3597 THEN NULL ELSE gr.len + 2 + length(p.piece) END
+  FROM gr JOIN pn p ON p.source = gr.source AND p.i = gr.i + 1)"""
+
+
+@register(f"""WITH RECURSIVE {_PIECES_SQL}, {_GREEDY_SQL}
+SELECT source, pos // 100000 AS doc_id, (pos % 100000)::BIGINT AS part, first AS chunk FROM gr""")
 def chunk_merge(spark, d):
-    """Greedy merging of neighbours of a source, in document order; each piece of a split document is a group of its own."""
-    none = F.expr("cast(null as array<string>)")
-    lens = F.transform(chunking.split_pieces(F.col("text"), F.lit("paragraph"), none), F.length)
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang", lens.alias("lens"))
-    docs = docs.withColumn("lens", F.when(F.size("lens") > 0, F.col("lens")).otherwise(F.array(F.lit(0))))
-    run = chunking.runs(docs.withColumn("split", F.when(F.size("lens") > 1, F.col("doc_id"))), ["lang", "split"], ["source"], "doc_id")
-    packed = run.groupBy("source", "run").agg(F.array_sort(F.collect_list(F.struct("doc_id", "lens"))).alias("rs"))
-    units = F.flatten(F.transform("rs", lambda r: F.transform(r["lens"], lambda n, k: F.struct(r["doc_id"].alias("doc_id"), k.alias("part"), n.alias("len")))))
-    number = F.when(F.size("rs") == 1, F.transform("us", lambda u: u["part"])).otherwise(chunking.greedy_groups(F.transform("us", lambda u: u["len"])))
-    groups = packed.withColumn("us", units).select("source", "run", F.explode(F.arrays_zip("us", number.alias("group"))).alias("g"))
-    return groups.select("source", "run", "g.us.doc_id", F.col("g.us.part").cast("bigint").alias("part"), "g.group")
+    """Greedy merging of neighbours of a source, in document order; each piece of a split document is a chunk of its own."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
+    out = chunking.merged(docs, ["source"], ["lang"], "doc_id", chunking.split_pieces(F.col("text")))
+    return out.select("source", "doc_id", F.col("part").cast("bigint").alias("part"), F.col("first").alias("chunk"))
 
 
 @register("""WITH x AS (SELECT o_custkey, o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = lag(o_orderstatus) OVER w THEN 0 ELSE 1 END AS new FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
@@ -377,7 +466,7 @@ def stale_ids(spark, d):
     return sync.stale(docs, docs.where("doc_id % 7 <> 0 AND source <> 'src3'"), "doc_id", "source").select("doc_id", "source")
 
 
-@register("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+@register("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM documents")
 def index_upsert(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
     return sync.upsert(docs.where("doc_id % 2 = 0 OR doc_id % 3 <> 0").withColumn("version", F.lit("old")), docs.where("doc_id % 3 = 0").withColumn("version", F.lit("new")), "doc_id")

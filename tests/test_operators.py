@@ -1,11 +1,14 @@
 """Golden rows for operators whose edge cases the synthetic tables lack."""
 
+import collections
 import datetime
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import chunking, query, retrieval, sync
+from corpusloom.operators import chunking, ordered, query, retrieval, sync
 from corpusloom.sources.html import extract
 
 
@@ -25,22 +28,85 @@ def test_labels_and_aliases(spark):
     assert column(spark, ["file VAT", "private"], query.expand_aliases) == ["file VAT Value Added Tax", "private"]
 
 
-def test_normalized():
-    assert T.normalized("soft­hyphen\r\nwraps here\n\n\n- item\nnext") == "softhyphen wraps here\n\n- item\nnext"
-    assert T.normalized(None) == "" and T.normalized("End.\nlower") == "End.\nlower"
-
-
-def test_greedy_groups(spark):
-    df = spark.createDataFrame([([1000, 2000, 1500, 3597, 10, 20],)], "l array<int>")
-    assert df.select(chunking.greedy_groups(F.col("l"))).first()[0] == [0, 0, 1, 2, 3, 3]
-
-
-def test_split_limits():
-    text = "word " * 3000
-    parts = chunking.split_text(text)
-    assert all(len(p) <= chunking.HARD_CHARS for p in parts) and len(parts) > 1
-    assert chunking.split_text("a" * 4200) == ["a" * 4200] and len(chunking.split_text("a" * 4201)) == 2
-    assert chunking.split_text("x. " * 3000, "table", ["A", "B"])[1].startswith("Headers: A | B\n")
+def test_normalized(spark):
+    texts = ["soft\u00adhyphen\r\nwraps here\n\n\n- item\nnext", None, "End.\nlower", "\n\n a \n \n\nb\nc\n1) d\ne\n", "\ufb01n\nish \u2013\nno", ""]
+    want = ["softhyphen wraps here\n\n- item\nnext", "", "End.\nlower", "a\n\nb c\n1) d\ne", "fin ish \u2013\nno", ""]
+    assert column(spark, texts, T.normalize_text) == want
+    assert column(spark, texts[3:4], lambda c: T.normalize_text(c, False)) == ["a\n\nb\nc\n1) d\ne"]
+    assert column(spark, [" a \t\r\nb\r\n\r\n\r\nc ", None], T.page_text) == ["a\nb\n\nc", ""]
+
+
+def test_greedy_steps_from_many_states():
+    rule, rng = ordered.Greedy(36, 30, 2), random.Random(1)
+    for _ in range(2000):
+        state, n = rng.randint(-1, 29), rng.randint(0, 50)
+        now, begins = rule.step(state, n)
+        many, begun = rule.steps(np.arange(-1, 30), n)
+        assert (many[state + 1], begun[state + 1]) == (now, begins)
+
+
+def test_order_work_over_many_ranges(spark):
+    """Numbers, runs and greedy groups of keys that are spread over all ranges, null keys included."""
+    rng = random.Random(4)
+    rows = [(k, rng.choice(["hot"] * 8 + ["b", None]), rng.choice([None, "x"]) if rng.random() < 0.02 else "x", rng.choice([0, 3, 9, 40]), rng.random() < 0.01) for k in range(3000)]
+    rows += [(3000 + k, "one", "x", rng.choice([1, 2, 5]), False) for k in range(2000)]  # whole ranges in one run
+    df = spark.createDataFrame(rows, "k long, s string, key string, len int, alone boolean").repartition(5)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r[1]].append(r)
+    number, run, first = {}, {}, {}
+    for rs in by.values():
+        place, prev, state, n_run, start = 0, None, None, 0, None
+        for k, s, key, n, alone in rs:
+            place, number[k] = place + 1, place + 1
+            n_run += prev is None or prev[0] != key
+            run[k] = n_run
+            if alone or state is None or prev[0] != key or state + 2 + n > 36:
+                start, state = k, n
+            else:
+                state += 2 + n
+            first[k], prev = start, (key,)
+            state = None if alone or state >= 30 else state
+    assert {r.k: r.n for r in ordered.numbered(df, ["s"], ["k"]).collect()} == number
+    assert {r.k: r.run for r in ordered.runs(df, ["key"], ["s"], "k").collect()} == run
+    got = ordered.greedy_groups(df, ["s"], ["key"], "k", "len", "alone", 36, 30)
+    assert got.columns == [*df.columns, "first"] and {r.k: r["first"] for r in got.collect()} == first
+    empty = df.limit(0)
+    assert ordered.numbered(empty, ["s"], ["k"]).count() == ordered.runs(empty, ["key"], ["s"], "k").count() == 0
+    assert ordered.greedy_groups(empty, ["s"], ["key"], "k", "len", "alone", 36, 30).count() == 0
+
+
+def test_split_limits(spark):
+    split = lambda t, **o: column(spark, [t], lambda c: chunking.split_pieces(c, **o))[0]
+    for n in (3596, 3597, 3600, 3601, 4200):
+        assert split("a" * n) == ["a" * n]
+    assert [len(p) for p in split("a" * 4201)] == [4200, 401] and split(None) == [""] and split("") == [""]
+    assert split("word " * 3000)[0] == "word " * 839 + "word"
+    assert split("a. " + "b" * 4195 + "\n\nc. d") == ["a. " + "b" * 4195, "c. d"]
+    assert split("S one. " * 700)[0] == "\n\n".join(["S one."] * 525)
+    table = split("x. " * 3000, kind=F.lit("table"), headers=F.array(F.lit("A"), F.lit("B")))
+    assert len(table) > 1 and all(p.startswith("Headers: A | B\n") for p in table)
+    assert column(spark, ["  a \u2028\n b\x85c", None], lambda c: chunking.fixed_windows(c, 3, 1)) == [["a", "b", "b\nc"], []]
+
+
+def test_dedupe_keeps_nulls_and_one_of_ties(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (2, None, "a"), (3, "k", "b"), (3, "k", "a"), (None, "k", "c"), (None, "z", "d")], "o int, k string, v string")
+    got = {(r.o, r.k, r.v) for r in chunking.dedupe(rows, ["k"], "o").collect()}
+    assert got == {(1, None, "a"), (3, "k", "a"), (None, "z", "d")}
+
+
+def test_build_chunks(spark):
+    record = "source_id string, ordinal int, content_kind string, title_path array<string>, content string, page int, page_end int, section string, sheet string, cell_range string, table_headers array<string>"
+    rows = [("s", 1, "p", ["T"], "one", 1, None, "A b", None, None, []), ("s", 2, "p", [], "two", 1, None, "A b", None, None, []), ("s", 3, "p", [], "x" * 4201, 2, None, None, None, None, []),
+            ("s", 4, "table", [], "t", None, None, None, "S 1", "A1:B2", ["h"]), ("none", 1, "p", [], "lost", 1, None, None, None, None, []), ("s", 4, "table", [], "t", None, None, None, "S 1", "A1:B2", ["h"])]
+    source = "id string, title string, document_type string, source_url string, published_date date, effective_from date, effective_to date, tax_year string, document_version string, authority_level string, authority_rank int, tax_types array<string>, taxpayer_types array<string>, language string, status string, supersedes array<string>, form_code string, tags array<string>, aliases array<string>, workflow_ids array<string>, sha256 string"
+    sources = spark.createDataFrame([("s", "Title", "act", "https://a/x", None, None, None, None, None, "act", 1, ["vat"], [], "en", "current", [], None, [], [], ["w1", "w2"], "h")], source)
+    got = chunking.build_chunks(spark.createDataFrame(rows[:5], record), sources).orderBy("position").collect()
+    assert [(r.locator, r.content[:9], r.page, r.page_end) for r in got] == [
+        ("o1-2-p1-1-section-a-b", "one\n\ntwo", 1, 1), ("o300000-p2-2", "x" * 9, 2, 2), ("o300001-p2-2", "x" * 9, 2, 2), ("o4-sheet-s-1-range-a1-b2", "t", None, None)]
+    assert all(r.workflow_id == "w1" and r.id == f"s-{r.locator}-{r.chunk_hash[:24]}" for r in got)
+    assert got[0].embedding_text == "Document: Title\nDocument type: act\nTax type: vat\nSection: T\n\none\n\ntwo"
+    assert chunking.build_chunks(spark.createDataFrame([], record), sources).count() == 0
 
 
 def candidates(spark, rows):

@@ -4,9 +4,10 @@ import math
 import random
 import re
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from corpusloom.functions import vocab
 from corpusloom.operators import chunking, retrieval
 from corpusloom.plans import queries as plans
 
@@ -79,11 +80,11 @@ def test_upsert_keeps_every_document(spark, small):
     assert got == {k: "old" if k % 3 else "new" for k in range(240)}
 
 
-def greedy(rows: list) -> list:
-    """The reference's loop over one source: a list of (doc_id, part) for each chunk. rows: doc_id, language, text."""
+def greedy(rows: list, pieces_of: dict) -> list:
+    """The greedy loop over one source: a list of (doc_id, part) for each chunk. rows: doc_id, language, text."""
     out, pending, chars = [], [], 0
     for k, lang, text in rows:
-        pieces = chunking.split_text(text or "")
+        pieces = pieces_of[k]
         if len(pieces) > 1:
             out, pending = out + [pending] * bool(pending) + [[(k, n, lang)] for n in range(len(pieces))], []
             continue
@@ -105,30 +106,31 @@ def test_chunk_merge_is_the_reference_loop(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {}
     for r in plans.Q["chunk_merge"](spark, str(tmp_path)).collect():
-        got.setdefault((r.source, r.run, r.group), []).append((r.doc_id, r.part))
-    want = [g for s in {r[3] for r in docs} for g in greedy([(k, lang, t) for k, t, lang, source in docs if source == s])]
+        got.setdefault((r.source, r.chunk), []).append((r.doc_id, r.part))
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    pieces_of = {r.doc_id: r.ps for r in read.select("doc_id", chunking.split_pieces(F.col("text")).alias("ps")).collect()}
+    want = [g for s in {r[3] for r in docs} for g in greedy([(k, lang, t) for k, t, lang, source in docs if source == s], pieces_of)]
     assert sorted(map(sorted, got.values())) == sorted(want) and {k for g in want for k, _ in g} == set(range(len(docs)))
 
 
 def test_evidence_is_searched_among_eligible_rows(spark, small):
     d, texts, stored = small
     english = {k for k in texts if k % 5 == 0}
-    words, vectors, levels = brute_bm25(texts), brute_cosine(stored), list(vocab.AUTHORITY_RANKS)
-    want, beyond = {}, 0
+    words, vectors = brute_bm25(texts), brute_cosine(stored)
+    place, beyond = {}, 0
     for q in set(words) | set(vectors):
         rrf = {}
         for scores in (words.get(q, {}), vectors.get(q, {})):
             beyond += len({k for k, _ in best(scores, english)} - {k for k, _ in best(scores)})
             for n, (k, _) in enumerate(best(scores, english)):
                 rrf[k] = rrf.get(k, 0) + 1 / (61 + n)
-        place = {k: n for n, k in enumerate(sorted(rrf, key=lambda k: (-round(rrf[k], 9), k)))}
-        key = lambda k: (-{1: 0, 2: 3}.get(k % 4, 1), -(k % 4 == 2), -(3 if k % 3 == 0 else 2), -vocab.AUTHORITY_DEFAULT[levels[k % 8]], place[k], k)
-        taken = []
-        for k in sorted(place, key=key):
-            if sum(t % 4 == k % 4 for t in taken) < 2 and len(taken) < 8:
-                taken.append(k)
-                want[q, len(taken)] = (k, place[k])
-    got = {(r.query_id, r["rank"]): (r.id, r.original_rank) for r in plans.Q["hybrid_retrieve"](spark, d).collect()}
-    assert beyond and got == want
+        place |= {(q, k): n for n, k in enumerate(sorted(rrf, key=lambda k: (-round(rrf[k], 9), k)))}
+    rows = plans.Q["hybrid_retrieve"](spark, d).collect()
+    assert beyond and all(place[r.query_id, r.id] == r.original_rank for r in rows) and {r.query_id for r in rows} == {q for q, _ in place}
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+    want = con.execute(f"SELECT query_id, id, rank FROM ({plans.SQL['hybrid_retrieve']})").fetchall()
+    assert {(r.query_id, r.id, r["rank"]) for r in rows} == set(want) and len(rows) == len(want)
     n = {r.query_id: r.n for r in plans.Q["context_blocks"](spark, d).collect()}
-    assert n == {q: sum(x[0] == q and texts[want[x][0]] is not None for x in want) for q in {x[0] for x in want}}
+    assert n == {q: sum(r.query_id == q and texts[r.id] is not None for r in rows) for q in {r.query_id for r in rows}}
