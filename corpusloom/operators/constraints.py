@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import checks as K
 from corpusloom.functions import vocab
+from corpusloom.functions.urls import escapes
 from corpusloom.operators.sync import issues
 
 Catalogue = dict[str, tuple[str, Column]]
@@ -140,9 +141,9 @@ def file_issues(sources: DataFrame, files: DataFrame) -> DataFrame:
     joined = sources.join(files.select("local_file", "file_sha256", "signature", "page_count", F.lit(True).alias("_there")), "local_file", "left")
     there, out = c("_there").isNotNull(), K.sure(c("status") == "excluded")
     book = K.sure(c("media_type") == "application/vnd.ms-excel.sheet.macroEnabled.12")
-    escape = c("local_file").rlike(r"^/|\\|\x00")
+    escape = escapes(c("local_file"))
     found = {
-        "PATH_ESCAPES": ("error", K.sure(escape)), "FILE_MISSING": ("error", ~there & ~out), "EXCLUDED_WITHOUT_FILE": ("warning", ~there & out),
+        "PATH_ESCAPES": ("error", escape), "FILE_MISSING": ("error", ~there & ~out), "EXCLUDED_WITHOUT_FILE": ("warning", ~there & out),
         "CHECKSUM_MISMATCH": ("error", there & ~K.sure(c("file_sha256") == c("sha256"))),
         "SIGNATURE_MISMATCH": ("error", there & ~K.sure(F.try_element_at(kind, c("media_type")) == c("signature"))),
         "WORKBOOK_IS_HTML": ("error", there & book & K.sure(c("signature") == "html")),

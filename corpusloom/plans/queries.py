@@ -602,3 +602,11 @@ def guide_texts(spark: SparkSession, d: str) -> DataFrame:
     lists = said.groupBy("conv_id").agg(of("user").alias("steps"), of("system").alias("notes"))
     title = F.concat(F.lit("conversation "), F.col("conv_id").cast("string"))
     return lists.select("conv_id", yaml_files.guide_text(title, F.col("steps"), F.col("notes")).alias("content"))
+
+
+def _more() -> None:
+    """Registers the queries of the other modules, which need this one."""
+    from corpusloom.plans import corpus_queries  # noqa: F401
+
+
+_more()

@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions import urls
 from corpusloom.operators import chunking, ordered, query, retrieval, sync
-from corpusloom.sources.html import extract
+from corpusloom.sources import html
 
 
 def column(spark, values, f):
@@ -144,13 +145,51 @@ def test_failure_kinds(spark):
     assert got == ["quota_exhausted", "transient", "quota_exhausted", "transient", "transient", "provider_error"]
 
 
-def test_html():
+def blocks(spark, *pages):
+    rows = spark.createDataFrame([(f"p{k}", "https://h/p", p) for k, p in enumerate(pages)], "`page id` string, url string, html string")
+    out = collections.defaultdict(list)
+    for r in html.html_blocks(rows, "page id").orderBy("page id", "ordinal").collect():
+        out[r["page id"]].append((r.kind, r.title_path, r.content))
+    return [out[f"p{k}"] for k in range(len(pages))]
+
+
+def test_html(spark):
     page = """<html><head><title>T</title></head><body><nav>no</nav><main><h1>One</h1><p>See <a href="/x">link</a><b>open
     <p>Next</p><table><tr><th>A<th>B</tr><tr><td>1</td><td>2</td></tr></table><ul><li>u<ol><li>v</ol></ul><dl><dt>t<dd>d</dl><h2>Two</h2><div style="display: none">no</div>free</main></body></html>"""
-    got = [(b["kind"], b["title_path"], b["content"]) for b in extract(page, "https://h/p")]
-    assert got[0] == ("heading", ["One"], "One")
-    assert got[1] == ("paragraph", ["One"], "See [link](https://h/x)open")
-    assert ("paragraph", ["One"], "Next") in got
-    assert ("list", ["One"], "- u\n  1. v") in got
-    assert got[-1] == ("paragraph", ["One", "Two"], "free")
-    assert extract("", "https://h/p") == []
+    got = blocks(spark, page)[0]
+    assert got == [
+        ("heading", ["One"], "One"), ("paragraph", ["One"], "See [link](https://h/x)open"), ("paragraph", ["One"], "Next"),
+        ("table", ["One"], "Headers: A | B\nRow: 1 | 2"), ("list", ["One"], "- u\n  1. v"), ("definition_list", ["One"], "t: d"),
+        ("heading", ["One", "Two"], "Two"), ("paragraph", ["One", "Two"], "free"),
+    ]
+
+
+def test_html_hides_and_lays_out(spark):
+    gone = "".join(f"<p {a}>no</p>" for a in ('class="d-none"', 'class="x visually-hidden"', 'style="visibility : hidden"', 'aria-hidden="true"', 'class="site-footer"', 'id="nav"', 'class="ms-hide"'))
+    layout = "<table><tr><td><div>a</div></td><td><p>b</p></td></tr></table>"
+    kept = '<form class="search"><p>in form</p></form><p class="navigate">stays</p>'
+    deep = "<div>" * 5000 + "deep" + "</div>" * 5000
+    place = '<div class="left">side</div><div id="DeltaPlaceHolderMain"><p>main</p></div>'
+    table = "<table class='in-table'><tr><td><p>1</p></td></tr></table>"
+    got = blocks(spark, f"<body>{gone}{kept}</body>", f"<body>{layout}</body>", deep, f"<body>{place}</body>", None, "", f"<body>{table}</body>", "<ul><li>" * 2000 + "x")
+    assert [[b[2] for b in page] for page in got[:7]] == [["in form", "stays"], ["a", "b"], ["deep"], ["main"], [], [], ["Row: 1"]]
+    assert got[7][0][2].endswith("- x") and got[1][0] == ("paragraph", ["https://h/p"], "a")
+
+
+def test_page_links(spark):
+    pages = [(1, "https://h/a/b?q", "<a href='/x'>X <b>y</b></a><a href='../c'> </a><a href='https://other/z'>o</a><a href='//H/n'>n</a><a href='mailto:a'>m</a><a href='?k'>k</a>"),
+             (2, "https://h/a/", "<a href='x'>x</a><a href='/x'>X y</a><a href='#f'>f</a><a name='q'>q</a>"), (3, None, "<a href='https://h/1'>l</a>"), (4, "https://h/", None)]
+    got = {(r.source, r.label, r.url) for r in html.page_links(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {("https://h/a/", "X y", "https://h/x"), ("https://h/a/b?q", "Unlabelled link", "https://h/c"), ("https://h/a/b?q", "n", "https://H/n"), ("https://h/a/b?q", "k", "https://h/a/b?k"),
+                   ("https://h/a/", "x", "https://h/a/x"), ("https://h/a/", "f", "https://h/a/#f")}
+
+
+def test_urls(spark):
+    links = ["https://A.b/x/../y z?q=1&r=#f", None]
+    assert column(spark, ["https://a.lk/x", "http://a.lk", "https://b.a.lk:1/", "https://xa.lk", None], lambda c: urls.official(c, "a.lk")) == [True, False, True, False, False]
+    stems = column(spark, links, urls.safe_stem)
+    assert stems[0].startswith("a.b-x-..-y-z-q-1-") and len(stems[0]) == len("a.b-x-..-y-z-q-1-") + 10
+    kinds = spark.createDataFrame([("https://h/a.PDF", "x"), ("https://h/a", "Text/HTML; charset=x"), ("https://h/a", None), ("https://h/a", "text/csv")], "u string, t string")
+    assert [r[0] for r in kinds.select(urls.extension(F.col("u"), F.col("t"))).collect()] == [".pdf", ".html", ".bin", ".csv"]
+    assert column(spark, ["d/My File.v2.pdf", ".hidden", "a/../b", "../x", "a/../../x", "/x", "a\\b", None], urls.source_id_of)[:2] == ["my-file-v2", "hidden"]
+    assert column(spark, ["a/../b", "../x", "a/../../x", "/x", "a\\b", "./a", None], urls.escapes) == [False, True, True, True, True, False, False]

@@ -196,7 +196,11 @@ def test_generated(spark):
 
 
 def test_step_images(spark):
-    steps = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, None), (2, 1, "a")], "query_id int, number int, image_id string")
-    images = spark.createDataFrame([(1, "a", "https://m/x/a.webp", "approved", None), (1, "b", "https://n/x/a.webp", "approved", None)], "query_id int, image_id string, public_url string, review_status string, status string")
-    got = {(r["query_id"], r["number"]): r["public_url"] for r in answer.step_images(steps, images, "https://m/x").collect()}
-    assert got == {(1, 1): "https://m/x/a.webp", (1, 2): None, (1, 3): None, (2, 1): None}
+    image = "array<struct<marker:string,image_id:string,image_url:string,image_alt_text:string,image_caption:string,source_id:string,page:int,content_type:string,status:string>>"
+    row = lambda n, url, **o: tuple({"m": str(n), "i": f"p{n}", "u": url, "a": "alt", "c": None, "s": "s", "p": 1, "t": "guide_image", "st": None, **o}.values())
+    images = [row(1, "https://m/x/a.webp"), row(2, "https://n/x/a.webp"), row(3, "https://m/x/c.webp", st="Historical"), row(4, "https://m/x/d.webp", a="")]
+    cases = ["IMAGE_1", " [IMAGE_1] ", "p1", "IMAGE_2", "p3", "IMAGE_4", "IMAGE_9", None, ""]
+    rows = spark.createDataFrame([(k, c, images) for k, c in enumerate(cases)], f"k int, image_id string, images {image}")
+    got = rows.orderBy("k").select(answer.step_image(F.col("image_id"), F.col("images"), "https://m/x").alias("i")).collect()
+    assert [r.i and r.i.id for r in got] == ["p1", "p1", "p1", None, None, None, None, None, None]
+    assert all(r.i is None for r in rows.select(answer.step_image(F.col("image_id"), F.col("images"), "").alias("i")).collect())
