@@ -130,10 +130,11 @@ def host_issues(allowed_hosts: list[str]) -> list[str]:
     return [code for code, bad in found.items() if bad]
 
 
-def file_issues(sources: DataFrame, files: DataFrame) -> DataFrame:
+def file_issues(sources: DataFrame, files: DataFrame, folder: str = "") -> DataFrame:
     """(id, code, severity) of registry rows against their files (local_file, file_sha256, signature, page_count).
 
-    One left join by file; a file without a row is missing. Repeated hashes are warned of once for each source.
+    folder: that of the registry below the root which no path may leave; paths are relative to it. One left join by
+    file; a file without a row is missing. Repeated hashes are warned of once for each source.
     """
     expected = {"application/pdf": "pdf", "text/html": "html", "application/vnd.ms-excel.sheet.macroEnabled.12": "xlsm"}
     kind = F.create_map(*[F.lit(x) for kv in expected.items() for x in kv])
@@ -141,7 +142,8 @@ def file_issues(sources: DataFrame, files: DataFrame) -> DataFrame:
     joined = sources.join(files.select("local_file", "file_sha256", "signature", "page_count", F.lit(True).alias("_there")), "local_file", "left")
     there, out = c("_there").isNotNull(), K.sure(c("status") == "excluded")
     book = K.sure(c("media_type") == "application/vnd.ms-excel.sheet.macroEnabled.12")
-    escape = escapes(c("local_file"))
+    below = F.when(c("local_file").startswith("/"), c("local_file")).otherwise(F.concat(F.lit(f"{folder.strip('/')}/" if folder else ""), c("local_file")))
+    escape = escapes(below)
     found = {
         "PATH_ESCAPES": ("error", escape), "FILE_MISSING": ("error", ~there & ~out), "EXCLUDED_WITHOUT_FILE": ("warning", ~there & out),
         "CHECKSUM_MISMATCH": ("error", there & ~K.sure(c("file_sha256") == c("sha256"))),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ordered import first_of, numbered
+
 
 def dedupe_with_aliases(rows: DataFrame, hash_col: str, order: str, alias: str) -> DataFrame:
     """One row for each hash: its first `order`, the `alias` of that row and the sorted other aliases."""
@@ -14,11 +16,15 @@ def dedupe_with_aliases(rows: DataFrame, hash_col: str, order: str, alias: str)
 
 
 def unique_ids(rows: DataFrame, slug: str, digest: str, order: str) -> DataFrame:
-    """`rows` with id: the slug; for later rows of a slug 8 digits of the digest more; then -2, -3 and so on."""
-    n = F.row_number().over(Window.partitionBy(slug).orderBy(order))
-    base = rows.withColumn("_base", F.when(n == 1, F.col(slug)).otherwise(F.concat_ws("-", slug, F.substring(digest, 1, 8))))
-    again = F.row_number().over(Window.partitionBy("_base").orderBy(order))
-    return base.withColumn("id", F.when(again == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", again.cast("string")))).drop("_base")
+    """`rows` with id: the slug; for later rows of a slug 8 digits of the digest more; then -2, -3 and so on.
+
+    Rows are numbered in ranges (`ordered.numbered`), so a slug of any number of rows is no task of its own.
+    """
+    n = F.col("_nth")
+    base = numbered(rows, [slug], [order], "_nth").withColumn("_base", F.when(n == 1, F.col(slug)).otherwise(F.concat_ws("-", slug, F.substring(digest, 1, 8)))).drop("_nth")
+    again = F.col("_nth")
+    named = numbered(base, ["_base"], [order], "_nth").withColumn("id", F.when(again == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", again.cast("string"))))
+    return named.drop("_base", "_nth")
 
 
 def valid_vector(c: Column, dims: int) -> Column:
@@ -28,13 +34,18 @@ def valid_vector(c: Column, dims: int) -> Column:
 
 
 def cache_join(chunks: DataFrame, cache: DataFrame, key: str, dims: int, vector: str = "vector") -> DataFrame:
-    """`chunks` with the cached vector, or null; invalid vectors are misses."""
-    return chunks.join(cache.where(valid_vector(F.col(vector), dims)).select(key, vector), key, "left")
+    """`chunks` with the cached vector, or null; invalid vectors are misses. Of a key's several vectors the smallest counts,
+    so no chunk is multiplied; null keys are misses."""
+    known = cache.where(valid_vector(F.col(vector), dims)).groupBy(key).agg(F.min(vector).alias(vector))
+    return chunks.join(known, key, "left")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of `new`, and rows of `old` whose key `new` does not have."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    """One row of each key of `new` (of several the smallest row; null is a key), and the rows of `old` whose key `new` does
+    not have. Columns that one of them lacks are null there."""
+    once = first_of(new, [key], F.lit(0))
+    kept = old.join(once.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    return kept.unionByName(once, allowMissingColumns=True)
 
 
 def stale(index: DataFrame, chunks: DataFrame, key: str, scope: str) -> DataFrame:

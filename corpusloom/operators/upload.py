@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import sync
+from corpusloom.operators.corpus import eligible
 
 EMBED_BATCH, RETRY_BATCH, RETRIES = 16, 4, 3
 OUTCOME = "key string, vector array<float>, kind string"
@@ -140,7 +141,60 @@ def scope_faults(scope: dict | None, approved: DataFrame, chunks: DataFrame, man
     return [code for code, bad in found.items() if bad]
 
 
-def run_upload(chunks: DataFrame, cache: DataFrame, index: DataFrame, provider, dims: int, write, key: str = "content_hash", delete_scope_faults: list[str] | None = None, sleep=time.sleep) -> dict:
+def scope_rows(sources: DataFrame, manifest_sha256: str, chunks_sha256: str, requested: list[str], complete: bool, includes_images: bool) -> DataFrame:
+    """The provenance of a build as a table: a row for each source that it covers or was asked for (source_id, included,
+    asked), with the facts of the build in each; a build without any has one row without a source."""
+    spark = sources.sparkSession
+    own = eligible(sources, requested).select(F.col("id").alias("source_id")).distinct().withColumn("included", F.lit(True))
+    asked = spark.createDataFrame([(x,) for x in sorted(set(requested))], "source_id string").withColumn("asked", F.lit(True))
+    rows = own.join(asked, "source_id", "full").na.fill(False, ["included", "asked"])
+    facts = {"schema_version": 1, "complete": complete, "includes_images": includes_images, "manifest_sha256": manifest_sha256, "chunks_sha256": chunks_sha256}
+    one = spark.range(1).select(*[F.lit(v).alias(k) for k, v in facts.items()])
+    return one.join(rows, F.lit(True), "left")  # one row on the left
+
+
+def scope_issues(scope: DataFrame, approved: DataFrame, chunks: DataFrame, manifest_sha256: str, chunks_sha256: str) -> DataFrame:
+    """(code): why stale rows may not be deleted by a scope made by `scope_rows`; no row is leave to do so. See `scope_faults`.
+
+    Every fault is one aggregated row; ids meet in anti joins and are not collected.
+    """
+    ids = scope.where("included").select(F.col("source_id").alias("id"))
+    known = approved.select("id").distinct()
+    some = lambda df, code: df.limit(1).select(F.lit(code).alias("code"))
+    wrong = lambda cond, code: some(scope.where(cond), code)
+    differ = known.join(ids, "id", "left_anti").unionByName(ids.join(known, "id", "left_anti"))
+    strange = chunks.select(F.col("source_id").alias("id")).distinct().join(ids, "id", "left_anti")
+    subset = scope.agg(F.bool_or("asked").alias("some"), F.bool_or(F.col("asked") != F.col("included")).alias("other")).where("some and other")
+    parts = [
+        some(scope.agg(F.count("*").alias("n"), F.max("schema_version").alias("v")).where("n = 0 or v <> 1"), "SCOPE_MISSING"), wrong("not complete", "BUILD_INCOMPLETE"),
+        wrong("not includes_images", "IMAGES_NOT_INCLUDED"), some(differ, "SCOPE_DIFFERS"), some(subset, "BUILD_OF_SUBSET"), wrong(F.col("manifest_sha256") != manifest_sha256, "MANIFEST_DIFFERS"),
+        wrong(F.col("chunks_sha256") != chunks_sha256, "CHUNKS_DIFFER"), some(strange, "CHUNKS_OUTSIDE_SCOPE"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def embed_waves(misses: DataFrame, provider, dims: int, write, key: str = "content_hash", waves: int = 4, sleep=time.sleep) -> DataFrame:
+    """`embed` in `waves` parts by a hash of the key, each stored before the next one is asked for.
+
+    Once a stored part says that the quota is spent, no provider is asked for the parts after it: their rows are
+    quota_exhausted too. Tasks of the same part stop for themselves, each after its own refusal.
+    """
+    out, spent = None, False
+    for k in range(waves):
+        part = misses.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(waves)) == k)
+        if spent:
+            rows = part.select(F.col(key).cast("string").alias("key")).distinct().select("key", F.lit(None).cast("array<float>").alias("vector"), F.lit("quota_exhausted").alias("kind"))
+        else:
+            rows = write(f"embedded_{k}", embed(part, provider, dims, key, sleep=sleep))
+            spent = not rows.where("kind = 'quota_exhausted'").isEmpty()
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def run_upload(chunks: DataFrame, cache: DataFrame, index: DataFrame, provider, dims: int, write, key: str = "content_hash", delete_scope_faults: list[str] | None = None, sleep=time.sleep, waves: int = 4) -> dict:
     """One sync of an index: cached vectors, embedded misses, upserted rows, stale rows of the scope.
 
     `write(name, df)` stores a DataFrame as table `name` and returns what was stored; each step reads the stored
@@ -148,7 +202,7 @@ def run_upload(chunks: DataFrame, cache: DataFrame, index: DataFrame, provider,
     is an empty list and nothing failed. `index` and `chunks` have id, source_id and `key`.
     """
     joined = sync.cache_join(chunks, cache, key, dims)
-    fresh = write("embedded", embed(joined.where("vector IS NULL").drop("vector"), provider, dims, key, sleep=sleep))
+    fresh = embed_waves(joined.where("vector IS NULL").drop("vector"), provider, dims, write, key, waves, sleep)
     got = fresh.where("vector IS NOT NULL").select(F.col("key").alias(key), "vector")
     cache_now = write("cache", sync.upsert(cache.where(sync.valid_vector(F.col("vector"), dims)).select(key, "vector"), got, key))
     ready = sync.cache_join(chunks, cache_now, key, dims)

@@ -15,7 +15,6 @@ from corpusloom.functions import text as T
 from corpusloom.functions import vocab
 from corpusloom.operators import answer, chunking, constraints, images, query, registry, retrieval, sync
 from corpusloom.sources import paged, yaml_files
-from corpusloom.sources.html import html_blocks
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -386,12 +385,6 @@ def unique_slug_ids(spark, d):
     return sync.unique_ids(p, "slug", "h", "page_id").select("page_id", "id")
 
 
-@register()
-def html_block_rows(spark, d):
-    b = html_blocks(table(spark, d, "pages"))
-    return b.select("page_id", "ordinal", "kind", F.array_join("title_path", " > ").alias("title_path"), F.sha2("content", 256).alias("content_hash"))
-
-
 @register(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a [^>]*href='))::BIGINT AS n_links FROM pages""")
 def html_title_link_counts(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<a [^>]*href="), F.lit(0))).cast("bigint").alias("n_links"))
@@ -606,7 +599,7 @@ def guide_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def _more() -> None:
     """Registers the queries of the other modules, which need this one."""
-    from corpusloom.plans import corpus_queries  # noqa: F401
+    from corpusloom.plans import corpus_queries, record_queries  # noqa: F401
 
 
 _more()

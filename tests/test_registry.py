@@ -90,7 +90,9 @@ def test_registry_issues(spark):
 def test_file_issues(spark):
     df = spark.createDataFrame([source(), source(id="b", local_file="g", sha256=H[2]), source(id="c", local_file="h", sha256=H[3], render_pages=[9]), source(id="d", local_file="../e/h", status="excluded")], SOURCE)
     disk = spark.createDataFrame([("f", H[1], "pdf", 3), ("h", H[4], "html", 3)], "local_file string, file_sha256 string, signature string, page_count int")
-    found = constraints.file_issues(df, disk)
+    found = constraints.file_issues(df, disk, "data")
+    climbs = constraints.file_issues(df, disk).where("code = 'PATH_ESCAPES'").collect()
+    assert [r["id"] for r in climbs] == ["d"]
     assert {(r["id"], r["code"]) for r in found.collect()} == {
         ("b", "FILE_MISSING"), ("c", "CHECKSUM_MISMATCH"), ("c", "SIGNATURE_MISMATCH"), ("c", "RENDER_PAGE_OUTSIDE"), ("d", "EXCLUDED_WITHOUT_FILE"), ("a-b", "HASH_REPEATED"), ("d", "HASH_REPEATED")}
     assert constraints.registry_summary(df, found).first()["valid"] is False
