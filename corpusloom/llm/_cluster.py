@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -10,10 +11,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
+#: Rows of a table that is broadcast; larger ones are joined without a hint.
+BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch that goes to a Python worker (a single longer row goes alone).
+BATCH_BYTES = 2 << 20
 #: Text bytes handled by numpy at once; temporaries are some 10 x 8 bytes for each of them.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -24,7 +29,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
     return df.checkpoint()
 
 
@@ -33,6 +41,22 @@ def packed_rows(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFr
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def packed_filter_rows(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row, text): as `packed_rows`, for filters, which give back whole rows: a text column of strings is not held
+    in the struct too, so that texts go through Python once."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if not _carried(docs, text_col, c)]
+    return docs.select(F.struct(*rest or [F.lit(None).cast("int").alias("none")]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def filtered_rows(judged: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The columns of `docs`, in its order, of (row, text) rows made by `packed_filter_rows`."""
+    return judged.select(*[F.col("text").alias(c) if _carried(docs, text_col, c) else F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def _carried(docs: DataFrame, text_col: str, column: str) -> bool:
+    return column.lower() == text_col.lower() and docs.schema[column].dataType == StringType()
+
+
 def with_row(df: DataFrame, rest: str, column: str = "row") -> StructType:
     """The schema of one column of `df` followed by the columns `rest`; names of any characters are kept."""
     return StructType([df.schema[column], *StructType.fromDDL(rest)])
@@ -47,22 +71,57 @@ def unpacked(df: DataFrame, *own: str) -> DataFrame:
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with `fn` called for each batch; batches are bounded in bytes as well as in rows."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(name)).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:  # a session's own lower bound is left alone
+        conf.set(name, str(BATCH_BYTES))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
 
+def release_memory() -> None:
+    """Gives freed memory of a worker process, which waits for the next task, back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the C library that keeps it
+        pass
+
+
+def utf8_texts(column: pa.Array) -> Iterator[bytes]:
+    """Each text as UTF-8; null is empty, and U+FFFD stands for bytes that are none."""
+    for x in column.cast(pa.large_binary()):
+        data = x.as_py() or b""
+        if not data.isascii():
+            try:
+                data.decode()
+            except UnicodeDecodeError:
+                data = data.decode("utf-8", "replace").encode()
+        yield data
+
+
 def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, UTF-8 bytes, offsets from 0) for runs of rows of about SLICE_BYTES; null is empty."""
-    column = column.cast(pa.large_string())
+    """(first row, end row, UTF-8 bytes, offsets from 0) for runs of rows of about SLICE_BYTES; null is empty, and
+    U+FFFD stands for bytes that are no UTF-8."""
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"")
+    for a, b, data, offsets in _slices(column):
+        try:
+            data.tobytes().decode()
+            yield a, b, data, offsets
+        except UnicodeDecodeError:
+            texts = list(utf8_texts(column.slice(a, b - a)))
+            yield a, b, np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+
+
+def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     _, off, data = column.buffers()
     n = len(column)
     offsets = np.frombuffer(off, np.int64)[column.offset : column.offset + n + 1]

@@ -94,11 +94,11 @@ _tables: dict[str, np.ndarray] = {}
 def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased code points with everything but letters turned into spaces, and the texts' offsets in them."""
     if not _tables:
-        low = np.arange(0x110000, dtype=np.uint32)
-        for i in range(0x1F000):
+        low = np.full(0x110000, 32, np.uint32)
+        for i in range(0x32400):  # there are no letters beyond the third ideographic plane
             c = chr(i)
-            low[i] = ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else i if c.isalpha() else 32
-        low[0x1F000:0x20000] = 32
+            if c.isalpha():
+                low[i] = ord(c.lower()) if len(c.lower()) == 1 else i
         _tables["low"] = low
     code = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     starts = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]

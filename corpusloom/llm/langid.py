@@ -6,7 +6,9 @@ classifiers' values, so that a few wrong bits do no harm. The score is that code
 row is flagged as ambiguous where the two best codewords are close.
 
 Texts that are null or have no letter are `und` with score 0, not ambiguous. Repeated rows are judged alike. With no
-language to learn every text is `und`; with one, every text with a letter has it with score 1.
+language to learn every text is `und`; with one, every text with a letter has it with score 1. Texts of any length are
+read whole, 128 rows or one longer text at a time; broken UTF-8 is read with U+FFFD. The id column may have any name;
+other columns take no part. Null ids are judged, never learned from.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._cluster import map_arrow, text_slices
+from corpusloom.llm._cluster import map_arrow, packed_rows, text_slices, with_row
 from corpusloom.llm._sample import labelled_texts
 from corpusloom.llm._text import hashed_counts, letters
 
@@ -103,7 +105,7 @@ def fit(docs: DataFrame, labelled: DataFrame, lang_col: str = "lang", per_lang:
 def identify(docs: DataFrame, model: CodeModel, min_margin: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col`, lang_pred, score (0 to 1), second score, ambiguous, for each row; one pass without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
+    packed = packed_rows(docs, text_col, (id_col,))
 
     def run(batch):
         m = shared.value
@@ -121,7 +123,7 @@ def identify(docs: DataFrame, model: CodeModel, min_margin: float = 0.2, id_col:
                 score = np.where(known, first, 0.0)
                 cols = [batch.column(0).slice(a + i, n), pa.array(pred, pa.string()), pa.array(score), pa.array(np.where(known, second, 0.0)),
                         pa.array(known & (first - second < min_margin))]
-                yield pa.RecordBatch.from_arrays(cols, [id_col, "lang_pred", "score", "second_score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays(cols, ["row", "lang_pred", "score", "second_score", "ambiguous"])
 
-    return map_arrow(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")), run,
-                     f"{id_col} {kind}, lang_pred string, score double, second_score double, ambiguous boolean")
+    out = map_arrow(packed, run, with_row(packed, "lang_pred string, score double, second_score double, ambiguous boolean"))
+    return out.select(F.col(f"row.`{id_col}`"), "lang_pred", "score", "second_score", "ambiguous")

@@ -6,7 +6,8 @@ turn its value f into P(grade <= k) = logistic(threshold_k - f). A row gets the
 probability P(grade >= selected grade).
 
 Null and empty texts have the features of an empty text (f = 0) and are judged by the thresholds alone. Repeated
-rows are judged alike. Without two grades among the ratings every text has the one grade (or 0) with tail 1.
+rows are judged alike. Without two grades among the ratings every text has the one grade (or 0) with tail 1. Texts of
+any length are read whole; broken UTF-8 is read with U+FFFD. Null ids are judged, never learned from.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._cluster import map_arrow, packed_rows, text_slices, unpacked, with_row
+from corpusloom.llm._cluster import filtered_rows, map_arrow, packed_filter_rows, packed_rows, text_slices, unpacked, with_row
 from corpusloom.llm._sample import labelled_texts
 from corpusloom.llm._text import hashed_counts, raw_codes
 
@@ -119,10 +120,10 @@ def fit(docs: DataFrame, ratings: DataFrame, grade_col: str = "quality", per_gra
     return fit_rows(x, table["grade"].to_numpy(), bits, orders)
 
 
-def _judged(docs: DataFrame, model: OrdinalModel, at_least: float, min_tail: float, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """(row, expected_grade, tail_prob, kept); one pass without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    packed = packed_rows(docs, text_col, keep)
+def _judged(packed: DataFrame, model: OrdinalModel, at_least: float, min_tail: float, with_text: bool = False) -> DataFrame:
+    """(row, expected_grade, tail_prob, kept), with_text: and text, of (row, text); one pass without a shuffle."""
+    shared = packed.sparkSession.sparkContext.broadcast(model)
+    names = ["row", *["text"] * with_text, "expected_grade", "tail_prob", "kept"]
 
     def run(batch):
         m = shared.value
@@ -131,12 +132,10 @@ def _judged(docs: DataFrame, model: OrdinalModel, at_least: float, min_tail: flo
                 part = offsets[i : i + 257]
                 x = features(data[part[0] : part[-1]], part - part[0], m.bits, m.orders)
                 grade, tail = m.judge(x, at_least)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a + i, len(part) - 1), pa.array(grade), pa.array(tail), pa.array(tail >= min_tail)],
-                    ["row", "expected_grade", "tail_prob", "kept"],
-                )
+                own = [batch.column(k).slice(a + i, len(part) - 1) for k in range(1 + with_text)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(grade), pa.array(tail), pa.array(tail >= min_tail)], names)
 
-    return map_arrow(packed, run, with_row(packed, "expected_grade double, tail_prob double, kept boolean"))
+    return map_arrow(packed, run, with_row(packed, "text string, " * with_text + "expected_grade double, tail_prob double, kept boolean"))
 
 
 def judge(docs: DataFrame, model: OrdinalModel, at_least: float = 1.0, min_tail: float = 0.5, text_col: str = "text",
@@ -145,9 +144,16 @@ def judge(docs: DataFrame, model: OrdinalModel, at_least: float = 1.0, min_tail:
 
     Kept columns that are named like one of these three give way.
     """
-    return unpacked(_judged(docs, model, at_least, min_tail, text_col, keep), "expected_grade", "tail_prob", "kept")
+    return unpacked(_judged(packed_rows(docs, text_col, keep), model, at_least, min_tail), "expected_grade", "tail_prob", "kept")
 
 
 def good_documents(docs: DataFrame, model: OrdinalModel, at_least: float = 1.0, min_tail: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns whatever their names, whose tail probability is `min_tail` or more."""
-    return _judged(docs, model, at_least, min_tail, text_col, tuple(docs.columns)).where("kept").select("row.*")
+    judged = _judged(packed_filter_rows(docs, text_col), model, at_least, min_tail, with_text=True)
+    return filtered_rows(judged.where("kept"), docs, text_col)
+
+
+def combined_grades(labels: DataFrame, quality_col: str = "quality", toxic_col: str = "toxic", id_col: str = "doc_id") -> DataFrame:
+    """(id, grade): a graded rating made of two labels of 0 and 1: one point for good text, one for text that is not
+    toxic. A row that lacks a label has no grade."""
+    return labels.select(F.col(id_col), (F.col(quality_col) + 1 - F.col(toxic_col)).alias("grade"))

@@ -6,7 +6,8 @@ those whose ratio is significant are kept and enter a logistic regression as r *
 logistic of the bias and the kept n-grams that it has, so it does not drift with the length of the text.
 
 Null and empty texts have no features: their score is that of the bias, below one half. Repeated rows get equal
-scores. Null ids are scored, never learned from. Without any label of both kinds all scores are 0.
+scores. Null ids are scored, never learned from. Without any label of both kinds all scores are 0. Texts of any
+length are read whole, in numpy arrays of some 30 bytes a character; broken UTF-8 is read with U+FFFD.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._cluster import map_arrow, packed_rows, text_slices, unpacked, with_row
+from corpusloom.llm._cluster import filtered_rows, map_arrow, packed_filter_rows, packed_rows, text_slices, unpacked, with_row
 from corpusloom.llm._sample import labelled_texts
 from corpusloom.llm._text import gram_buckets, letters
 
@@ -141,23 +142,25 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_label:
     return NaiveBayesLinear(keys, w * ratio, float(bias), orders)
 
 
-def _scored(docs: DataFrame, model: NaiveBayesLinear, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """(row, score); one pass without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    packed = packed_rows(docs, text_col, keep)
+def _scored(packed: DataFrame, model: NaiveBayesLinear, with_text: bool = False) -> DataFrame:
+    """(row, score), or (row, text, score), of (row, text); one pass without a shuffle."""
+    shared = packed.sparkSession.sparkContext.broadcast(model)
 
     def run(batch):
         for a, b, data, offsets in text_slices(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(shared.value.scores(data, offsets))], ["row", "score"])
+            texts = [batch.column(1).slice(a, b - a)] * with_text
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(a, b - a), *texts, pa.array(shared.value.scores(data, offsets))], ["row", *["text"] * with_text, "score"])
 
-    return map_arrow(packed, run, with_row(packed, "score double"))
+    return map_arrow(packed, run, with_row(packed, "text string, " * with_text + "score double"))
 
 
 def score(docs: DataFrame, model: NaiveBayesLinear, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The `keep` columns and score (double) of each row; a kept column of that name gives way."""
-    return unpacked(_scored(docs, model, text_col, keep), "score")
+    return unpacked(_scored(packed_rows(docs, text_col, keep), model), "score")
 
 
 def clean_documents(docs: DataFrame, model: NaiveBayesLinear, below: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns whatever their names, whose score is less than `below`."""
-    return _scored(docs, model, text_col, tuple(docs.columns)).where(F.col("score") < below).select("row.*")
+    judged = _scored(packed_filter_rows(docs, text_col), model, with_text=True)
+    return filtered_rows(judged.where(F.col("score") < below), docs, text_col)
