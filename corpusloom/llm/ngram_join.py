@@ -9,15 +9,18 @@
    don't make signatures; any set of such shingles gives the same result. A class with too few non-empty groups
    also emits the shingles of a prefix of its set, of which two similar sets share one.
 3. The counts of a class's shingles in hashed groups are a point. The overlap of two sets is at most the sum of the
-   smaller of each two counts. Within a signature's classes the pairs that this bound allows are connected by a
-   spanning forest; the forests' components are candidates, and their sets are gathered by component. Components
-   of more than `block` classes are dealt out as pairs of blocks of that many.
+   smaller of each two counts. Points have enough groups for their set, some 2 to 8 shingles in each, for with
+   fuller groups unrelated sets of like size pass the bound. Within a signature's classes the pairs that the bound
+   allows are connected by a spanning forest; the forests' components are candidates, and their sets are gathered by
+   component. Signatures of more than `FOREST` classes are dealt out as pairs of blocks of that many, components as
+   pairs of blocks that are bounded in classes and in bytes, so no key makes a task large.
 4. In a task the points are packed into an R-tree, whose nodes keep the largest counts below them, so that the
    bound rules out whole nodes; surviving pairs are verified on the sets. A task returns link counts and a spanning
    forest, never pairs.
 
 Two texts link when den * |A & B| >= num * |A | B|. Null texts and texts without words have an empty set, are
-linked with nothing and are their own component. Equal rows link with one another. Null ids take part; a component
+linked with nothing and are their own component. Texts of any length are read whole; broken UTF-8 is read with U+FFFD
+for broken bytes. Equal rows link with one another. Null ids take part; a component
 is named by its smallest id that is not null. Other columns take no part. An empty table gives an empty result.
 """
 
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._cluster import checkpointed, connected_components, hash_bitmap, in_bitmap, map_arrow, packed_rows, text_slices, with_row
+from corpusloom.llm._cluster import BROADCAST_ROWS, checkpointed, connected_components, hash_bitmap, in_bitmap, map_arrow, packed_rows, text_slices, with_row
 from corpusloom.llm._text import mix, shingle_sets
 
 
@@ -111,9 +114,8 @@ def _name(u: np.ndarray, seed: int) -> tuple[int, int]:
 def named_sets(docs: DataFrame, spec: Spec, id_col: str, text_col: str, with_set: bool) -> DataFrame:
     """(doc, n, k1, k2, shingles or point): each row's id, size of its set, the set's 128-bit name and the set itself
     or its group counts."""
-    kind = docs.schema[id_col].dataType.simpleString()
     extra = "shingles" if with_set else "point"
-    schema = f"doc {kind}, n bigint, k1 bigint, k2 bigint, {extra} binary"
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
 
     def run(batch):
         for a, b, data, offsets in text_slices(batch.column(1)):
@@ -124,7 +126,7 @@ def named_sets(docs: DataFrame, spec: Spec, id_col: str, text_col: str, with_set
             cols.append(pa.array([u.tobytes() if with_set else point_of(u) for u in sets], pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, ["doc", "n", "k1", "k2", extra])
 
-    return map_arrow(docs.select(F.col(id_col), F.col(text_col).cast("string")), run, schema)
+    return map_arrow(rows, run, with_row(rows, f"n bigint, k1 bigint, k2 bigint, {extra} binary", "doc"))
 
 
 def frequent_shingles(docs: DataFrame, spec: Spec, id_col: str, text_col: str, sample: int, share: float) -> np.ndarray:
@@ -232,59 +234,98 @@ def _columns(table: pa.Table, width: int) -> tuple:
     )
 
 
-def point_of(u: np.ndarray) -> bytes:
-    """Counts of a set's shingles in hashed groups, a byte each; more groups for larger sets, a power of four times 64."""
+def dims_for(n: int) -> int:
+    """Groups of a point of a set of n shingles: 64 times a power of four, so that some 2 to 8 fall into each."""
     dims = 64
-    while len(u) > 32 * dims:
+    while n > 8 * dims:
         dims *= 4
+    return dims
+
+
+def point_of(u: np.ndarray) -> bytes:
+    """Counts of a set's shingles in hashed groups, a byte each (255: that many or more)."""
+    dims = dims_for(len(u))
     place = ((u & np.uint64(0xFFFFFFFF)) * np.uint64(dims)) >> np.uint64(32)
     return np.minimum(np.bincount(place.astype(np.int64), minlength=dims), 255).astype(np.uint8).tobytes()
 
 
-def _may_link(point: np.ndarray, n: int, points: list[np.ndarray], sizes: np.ndarray, spec: Spec) -> np.ndarray:
-    """Which of `points` (with set sizes) have a count overlap that allows a link with `point`."""
-    out = (sizes >= spec.overlap_of_self(int(n))) & (sizes <= spec.partner(int(n)))
-    need = spec.overlap(n, sizes)
-    for dims in {len(points[k]) for k in np.flatnonzero(out)}:
-        at = np.array([k for k in np.flatnonzero(out) if len(points[k]) == dims])
-        other, own = np.array([points[k] for k in at], np.int32), point.astype(np.int32)
-        full = (other == 255).any(1) | bool((own == 255).any())
-        if dims > len(own):
-            other = other.reshape(len(at), len(own), -1).sum(2)
-        elif dims < len(own):
-            own = own.reshape(dims, -1).sum(1)
-        out[at] = full | (np.minimum(other, own).sum(1) >= need[at])
-    return out
+def allowed_forest(points: list[bytes], sizes: np.ndarray, spec: Spec) -> tuple[list[int], list[int]]:
+    """A spanning forest (places a, b) of the pairs of points whose counts allow a link."""
+    kinds: dict[int, list[int]] = {}
+    for k, p in enumerate(points):
+        kinds.setdefault(len(p), []).append(k)
+    rows = {dims: np.array(at) for dims, at in kinds.items()}
+    counts = {}  # (groups of a point, groups that it is compared in) -> counts of all such points
+    for dims, at in rows.items():
+        own = np.frombuffer(b"".join([points[k] for k in at]), np.uint8).reshape(len(at), dims)
+        for less in rows:
+            if less <= dims:
+                counts[dims, less] = own.reshape(len(at), less, -1).sum(2, dtype=np.int32)
+        counts[dims] = (own == 255).any(1)
+    within = np.empty(len(points), np.int64)
+    for at in rows.values():
+        within[at] = np.arange(len(at))
+    open_ = np.ones(len(points), bool)
+    left, right = [], []
+    for root in range(len(points)):
+        if not open_[root]:
+            continue
+        open_[root] = False
+        queue = [root]
+        while queue:
+            i = queue.pop()
+            n, dims = int(sizes[i]), len(points[i])
+            for other, at in rows.items():
+                at = at[open_[at] & (sizes[at] >= spec.overlap_of_self(n)) & (sizes[at] <= spec.partner(n))]
+                if not len(at):
+                    continue
+                least = min(dims, other)
+                shared = np.minimum(counts[other, least][within[at]], counts[dims, least][within[i]]).sum(1)
+                ok = at[(shared >= spec.overlap(n, sizes[at])) | counts[other][within[at]] | counts[dims][within[i]]]
+                open_[ok] = False
+                left += [i] * len(ok)
+                right += ok.tolist()
+                queue += ok.tolist()
+    return left, right
+
+
+#: Classes of a block of one signature; more are dealt out as pairs of blocks.
+FOREST = 512
+
+
+def dealt_pairs(rows: DataFrame, blocks: str, key: str, own_pairs: bool) -> DataFrame:
+    """`rows` with own (a block from 0 to `blocks` - 1 by a hash of `key`) once for each pair x <= y of blocks that has
+    it. own_pairs: also x = y where there are several blocks."""
+    others = F.sequence(F.lit(0), F.col(blocks) - 1)
+    if not own_pairs:
+        others = F.filter(others, lambda o: (o != F.col("own")) | (F.col(blocks) == 1))
+    pair = F.transform(others, lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64(key), F.col(blocks)).cast("int")).withColumn("pair", F.explode(pair))
+    return dealt.select(*rows.columns, "own", "pair.x", "pair.y")
 
 
 def candidate_edges(buckets: DataFrame, classes: DataFrame, spec: Spec) -> DataFrame:
     """(a, b): a spanning forest, for each bucket, of the pairs that their group counts allow to link.
 
     Two classes that link share a bucket and are allowed by their counts, so they are connected by these edges. A
-    bucket of more than `_LONG` classes is connected whole, which allows more than is needed and loses nothing.
+    bucket of more than FOREST classes is dealt out as pairs of blocks: any two of its classes meet in one task, and
+    none holds more than about two blocks.
     """
-    ordered = buckets.join(classes.select("k1", "n", "point"), "k1").select("bucket", "k1", "n", "point").repartition("bucket").sortWithinPartitions("bucket", "k1")
+    large = checkpointed(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > FOREST).select(
+        "bucket", F.ceil(F.col("n") / FOREST).cast("int").alias("blocks")))
+    n_large = large.count()
+    sized = buckets.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt_pairs(sized, "blocks", "k1", False).select(F.xxhash64("bucket", "x", "y").alias("part"), "k1")
+    ordered = dealt.join(classes.select("k1", "n", "point"), "k1").select("part", "k1", "n", "point").repartition("part").sortWithinPartitions("part", "k1")
 
     def run(batches):
-        for bucket, (key, n, point), whole in _aligned(batches, 3):
-            first = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
+        for part, (key, n, point), _ in _aligned(batches, 3):
+            first = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
             left, right = [], []
             for a, b in zip(first[:-1], first[1:]):
-                if not whole:
-                    left += [key[a]] * (b - a - 1)
-                    right += list(key[a + 1 : b])
-                    continue
-                points = [np.frombuffer(p, np.uint8) for p in point[a:b]]
-                rest = np.arange(b - a)
-                while len(rest) > 1:
-                    queue, rest = [rest[0]], rest[1:]
-                    while queue and len(rest):
-                        i = queue.pop()
-                        ok = _may_link(points[i], n[a + i], [points[k] for k in rest], n[a + rest], spec)
-                        left += [key[a + i]] * int(ok.sum())
-                        right += list(key[a + rest[ok]])
-                        queue += list(rest[ok])
-                        rest = rest[~ok]
+                x, y = allowed_forest(point[a:b], n[a:b], spec)
+                left += key[a:b][x].tolist()
+                right += key[a:b][y].tolist()
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
@@ -292,11 +333,13 @@ def candidate_edges(buckets: DataFrame, classes: DataFrame, spec: Spec) -> DataF
 
 
 class CountRTree:
-    """Points are counts of a set's shingles in `dims` hashed groups; a node keeps the largest counts below it."""
+    """Points are counts of a set's shingles in hashed groups, as many as the largest set needs; a node keeps the
+    largest counts below it."""
 
-    def __init__(self, sets: list[np.ndarray], spec: Spec, dims: int = 64, fan: int = 16):
+    def __init__(self, sets: list[np.ndarray], spec: Spec, dims: int = 0, fan: int = 16):
         self.sets, self.spec, self.fan = sets, spec, fan
         self.n = np.array([len(u) for u in sets], np.int64)
+        dims = dims or dims_for(int(self.n.max(initial=0)))
         self.points = np.zeros((len(sets), dims), np.int32)
         for i, u in enumerate(sets):
             place = ((u & np.uint64(0xFFFFFFFF)) * np.uint64(dims)) >> np.uint64(32)
@@ -381,12 +424,12 @@ def jaccard_components(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_
     return self_join(docs, spec, id_col, text_col, **options)[0]
 
 
-def self_join(docs: DataFrame, spec: Spec, id_col: str, text_col: str, block: int = 4096, hot_sample: int = 5000,
-              hot_share: float = 0.002) -> tuple[DataFrame, Spec]:
+def self_join(docs: DataFrame, spec: Spec, id_col: str, text_col: str, block: int = 4096, block_bytes: int = 16 << 20,
+              hot_sample: int = 5000, hot_share: float = 0.002) -> tuple[DataFrame, Spec]:
     """What `jaccard_components` returns, and the spec with the seed that names sets.
 
-    block: classes compared in one task; hot_sample, hot_share: shingles in more than that share of that many
-    sampled texts make no signatures, which changes the cost only.
+    block, block_bytes: classes and bytes of shingles in a block, of which a task compares two; hot_sample, hot_share:
+    shingles in more than that share of that many sampled texts make no signatures, which changes the cost only.
     """
     for seed in range(8):
         spec = Spec(spec.width, spec.num, spec.den, seed)
@@ -400,12 +443,12 @@ def self_join(docs: DataFrame, spec: Spec, id_col: str, text_col: str, block: in
     else:
         raise RuntimeError("class names collide under every seed")
     hot = frequent_shingles(docs, spec, id_col, text_col, hot_sample, hot_share)
-    buckets = shared_buckets(_signature_rows(docs, spec, hot, id_col, text_col))
+    buckets = checkpointed(shared_buckets(_signature_rows(docs, spec, hot, id_col, text_col)))
     edges = candidate_edges(buckets, classes, spec)
     found = checkpointed(connected_components(edges))
-    members = found.select(F.col("node").alias("k1"), F.col("root")).join(classes.select("k1", "cid", "copies"), "k1")
-    sizes = found.groupBy("root").agg(F.count("*").alias("size"))
-    members = checkpointed(members.join(sizes, "root"))
+    members = checkpointed(found.select(F.col("node").alias("k1"), F.col("root")).join(classes.select("k1", "cid", "copies", "n"), "k1"))
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n") * 8 / block_bytes)).cast("int")
+    members = checkpointed(members.join(members.groupBy("root").agg(blocks.alias("blocks")), "root"))
 
     n_members = members.count()
     bitmap, bits = hash_bitmap(members.where("cid is not null"), "cid", n_members)
@@ -413,14 +456,9 @@ def self_join(docs: DataFrame, spec: Spec, id_col: str, text_col: str, block: in
     likely = docs.select(id_col, text_col).where(in_bitmap(id_col, shared, bits) | F.col(id_col).isNull())
     sets = named_sets(likely, spec, id_col, text_col, True).select(F.col("doc"), F.col("k1"), "shingles")
     gathered = sets.join(members, (sets.k1 == members.k1) & sets.doc.eqNullSafe(members.cid)).select(
-        members.k1.alias("k1"), "root", "copies", "size", "shingles"
-    ).groupBy("k1").agg(*[F.first(c).alias(c) for c in ("root", "copies", "size", "shingles")])
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
-    dealt = gathered.withColumn("blocks", blocks).withColumn("own", own).withColumn("pair", F.explode(pairs)).select(
-        "root", "pair.x", "pair.y", "own", "k1", "copies", "shingles"
-    )
+        members.k1.alias("k1"), "root", "copies", "blocks", "shingles"
+    ).groupBy("k1").agg(*[F.first(c).alias(c) for c in ("root", "copies", "blocks", "shingles")])
+    dealt = dealt_pairs(gathered, "blocks", "k1", True).select("root", "x", "y", "own", "k1", "copies", "shingles")
 
     def local(table: pa.Table) -> pa.Table:
         k1 = table["k1"].to_numpy()
@@ -463,9 +501,13 @@ def one_per_component(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_i
     """
     judged, spec = self_join(docs.select(F.col(id_col), F.col(text_col)), spec, id_col, text_col, **options)
     place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("set_key").alias("key"))
-    rows = checkpointed(judged.where("set_key is not null").select("component_key", place.alias("place")))
-    firsts = rows.groupBy("component_key").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marked = checkpointed(rows.join(firsts, "component_key").groupBy("place").agg(F.max(F.col("place") != F.col("first")).alias("lost"), F.count("*").alias("n")))
+    rows = checkpointed(judged.where("set_key is not null").select("component_key", F.col(id_col).eqNullSafe(F.col("component_id")).alias("least"), place.alias("place")))
+    # rows with the smallest id of their component are few; only they are compared with one another
+    low = rows.where("least")
+    firsts = low.groupBy("component_key").agg(F.min("place.key").alias("first"))
+    told = low.join(firsts, "component_key").select("place", (F.col("place.key") != F.col("first")).alias("lost"))
+    others = rows.where("not least").select("place", F.lit(True).alias("lost"))
+    marked = checkpointed(told.unionByName(others).groupBy("place").agg(F.max("lost").alias("lost"), F.count("*").alias("n")))
     settle = marked.where("lost or n > 1").select(F.col("place.id").alias("id"), F.col("place.key").alias("key"), "lost")
     bitmap, bits = hash_bitmap(settle.where("id is not null"), "id", settle.count())
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
