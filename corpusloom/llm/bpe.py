@@ -14,7 +14,8 @@ exactly with what they had, so the result is the encoding of the whole text, wha
 * Otherwise the window grows until it is the whole text of both sides, which is exact by itself.
 
 Null and empty texts have no tokens and decode to an empty text. Texts of special tokens are special tokens, as
-the library takes them by default. Repeated rows are encoded alike; other columns pass through unread.
+the library takes them by default. Repeated rows are encoded alike; other columns than id and text are left out, and
+the id column may have any name. Broken UTF-8 is read with U+FFFD for broken bytes.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._cluster import map_arrow
+from corpusloom.llm._cluster import map_arrow, packed_rows, utf8_texts, with_row
 
 #: The splitting pattern of byte-level BPE with `use_regex`. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,15 +43,23 @@ _AHEAD = 16
 class TreeEncoder:
     """Encodes and decodes with a byte-level BPE tokenizer file of the `tokenizers` library.
 
-    leaf: characters encoded at once; window: tokens on either side of a join that are tried first.
+    source: the file's path or its content. leaf: characters encoded at once; window: tokens on either side of a
+    join that are tried first; threads: leaves encoded at the same time.
     """
 
-    def __init__(self, path: str, leaf: int = 16384, window: int = 16, threads: int = 1):
+    def __init__(self, source: str | bytes, leaf: int = 8192, window: int = 16, threads: int = 2):
         import tiktoken
 
-        model = json.load(open(path, encoding="utf-8"))
+        model = json.loads(source if isinstance(source, bytes) else Path(source).read_bytes())
         if model["pre_tokenizer"].get("add_prefix_space") or model["normalizer"] or not model["pre_tokenizer"]["use_regex"]:
             raise ValueError("only plain byte-level BPE files are supported")
+        if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in model["added_tokens"]):
+            raise ValueError("special tokens that take in blanks or need word borders are not supported")
+        rank = model["model"]["vocab"]
+        pairs = [x if isinstance(x, list) else x.split(" ") for x in model["model"]["merges"]]
+        made = [rank[a + b] for a, b in pairs]
+        if any(y <= x for x, y in zip(made, made[1:])):
+            raise ValueError("only files whose merges are in the order of their ids are supported")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain}
         byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
@@ -62,7 +72,8 @@ class TreeEncoder:
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
         self.cut = regex.compile("|".join(regex.escape(x) for x in self.special)) if self.special else None
-        self.leaf, self.window, self.threads = leaf, window, threads
+        self.leaf, self.window = leaf, window
+        self.pool = ThreadPoolExecutor(threads) if threads > 1 else None
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
@@ -91,11 +102,8 @@ class TreeEncoder:
             cuts.append(cuts[-1] + len(text[k - self.leaf : k].encode()))
         cuts.append(len(data))
         leaves = [data[a:b].decode() for a, b in zip(cuts, cuts[1:])]
-        if self.threads > 1:
-            with ThreadPoolExecutor(self.threads) as pool:
-                parts = list(pool.map(self.encoding.encode_ordinary, leaves))
-        else:
-            parts = [self.encoding.encode_ordinary(x) for x in leaves]
+        # the encoder works outside the interpreter's lock
+        parts = (self.pool.map if self.pool else map)(self.encoding.encode_ordinary, leaves)
         level = [(a, b, ids) for a, b, ids in zip(cuts, cuts[1:], parts)]
         while len(level) > 1:
             level = [
@@ -166,30 +174,27 @@ class TreeEncoder:
 _encoders: dict[tuple, TreeEncoder] = {}
 
 
-def encoder(path: str, leaf: int, window: int, threads: int) -> TreeEncoder:
-    """One encoder for each process and setting."""
-    key = (path, leaf, window, threads)
-    if key not in _encoders:
-        _encoders[key] = TreeEncoder(*key)
-    return _encoders[key]
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 8192,
+                     window: int = 16, threads: int = 2, with_ids: bool = True, with_text: bool = True) -> DataFrame:
+    """`id_col`, n_tokens, ids_sha256, decoded_sha256, ids (array<int>) and the decoded text of each row of `docs`.
 
-
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 16384,
-                     window: int = 16, threads: int = 1, with_ids: bool = True, with_text: bool = True) -> DataFrame:
-    """`id_col`, n_tokens, ids (array<int>), decoded text, and the digests of both, for each row of `docs`.
-
-    path: the tokenizer's file on every executor. with_ids, with_text: leave those columns out where only the
-    digests are wanted. Everything is done in one pass, without a shuffle.
+    path: the tokenizer's file, read by the driver; its content is broadcast and each worker process makes one
+    encoder of it. with_ids, with_text: leave those columns out where only the digests are wanted. Everything is
+    done in one pass, without a shuffle.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    schema += ", ids array<int>" * with_ids + ", decoded string" * with_text
+    content = Path(path).read_bytes()
+    shared = docs.sparkSession.sparkContext.broadcast(content)
+    key = (hashlib.sha256(content).hexdigest(), leaf, window, threads)
+    packed = packed_rows(docs, text_col, (id_col,))
 
     def run(batch):
-        enc = encoder(path, leaf, window, threads)
+        if key not in _encoders:
+            _encoders.clear()
+            _encoders[key] = TreeEncoder(shared.value, leaf, window, threads)
+        enc = _encoders[key]
         n, h1, h2, all_ids, all_text = [], [], [], [], []
-        for x in batch.column(1):
-            ids = enc.encode(x.as_py() or "")
+        for data in utf8_texts(batch.column(1)):
+            ids = enc.encode(data.decode())
             text = enc.decode(ids)
             n.append(len(ids))
             h1.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
@@ -199,7 +204,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             if with_text:
                 all_text.append(text)
         cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.string()), pa.array(h2, pa.string())]
-        names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+        names = ["row", *own[:3]]
         if with_ids:
             cols.append(pa.array(all_ids, pa.list_(pa.int32())))
             names.append("ids")
@@ -208,4 +213,6 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             names.append("decoded")
         yield pa.RecordBatch.from_arrays(cols, names)
 
-    return map_arrow(docs.select(F.col(id_col), F.col(text_col)), run, schema)
+    own = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text]
+    kinds = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
+    return map_arrow(packed, run, with_row(packed, kinds)).select(F.col(f"row.`{id_col}`"), *own)
