@@ -7,11 +7,14 @@ tested on the executors from a few broadcast bytes, without a join.
 
 Keys of a url are its host and the parent domains of as many labels as listed ones have, alone (lists of hosts) and
 followed by the first characters of its path (rules such as `example.com/en/7`); no other key can be listed, so a
-url has a bounded number of keys however many labels its host has. The longest rule that fits decides; where a block
-and an allow rule are equal, block does; where no rule fits, the list of hosts does.
+url has a bounded number of keys however many labels its host has. The longest rule that fits decides (of equally
+long ones block before allow, then the first in order); where no rule fits, the list of hosts does.
+
+The cascades of one pass are broadcast and bounded in size. Lists that need more are split by a hash of their keys,
+and the urls are read once for each part; what a pass found is checkpointed and carried into the next one.
 
 Null urls and urls without `://` have an empty host and path and fit nothing: they are allowed. Equal urls are
-judged alike. Empty lists fit nothing; an empty table has no universe.
+judged alike. Empty lists fit nothing; an empty table has no universe. The id column may have any name.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._cluster import map_arrow
+from corpusloom.llm._cluster import checkpointed, map_arrow, with_row
 from corpusloom.llm._text import mix
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A cascade is broadcast; lists that need more are refused (split them by a hash of the key instead).
+#: Bytes of the cascades that are broadcast at once.
 MAX_BYTES = 64 << 20
 
 
@@ -119,21 +122,23 @@ def url_keys(host: Column, path: Column, label_counts: list[int], path_lengths:
     return F.flatten(F.transform(tails, lambda t: F.transform(fitting, lambda n: F.concat(t, F.substring(path, F.lit(1), n)))))
 
 
-def build_cascades(universe: DataFrame, lists: dict[str, list[str]], key_col: str = "key") -> dict[str, Cascade]:
-    """A cascade for each list, exact over the distinct `key_col` values of `universe`.
+def first_level_rate(n_listed: int, n_universe: int) -> float:
+    """The share of unlisted keys that a first level lets through, so that about as many pass as are listed."""
+    return min(0.5, max(2.0**-40, n_listed / max(1, n_universe)))
+
+
+def build_cascades(universe: DataFrame, lists: dict[str, list[str]], key_col: str = "key", total: int | None = None) -> dict[str, Cascade]:
+    """A cascade for each list, exact over the distinct `key_col` values of `universe` (about `total` of them).
 
     First levels are sized so that about as many keys of the universe pass by mistake as are listed; only the keys
     that pass, not the universe, are shuffled and reach the driver.
     """
     spark = universe.sparkSession
-    total = universe.agg(F.approx_count_distinct(key_col)).first()[0] or 1
+    total = total if total is not None else universe.agg(F.approx_count_distinct(key_col)).first()[0]
     out, listed = {}, {}
     for name, keys in lists.items():
         listed[name] = np.array(sorted(set(keys)), object)
-        p = min(0.5, max(2.0**-40, len(listed[name]) / total))
-        out[name] = Cascade([Bloom.of(hashes(listed[name]), 0, p)] if len(listed[name]) else [])
-        if out[name].size() > MAX_BYTES:
-            raise ValueError(f"list {name} needs more than {MAX_BYTES} bytes")
+        out[name] = Cascade([Bloom.of(hashes(listed[name]), 0, first_level_rate(len(listed[name]), total))] if len(listed[name]) else [])
     shared = spark.sparkContext.broadcast(out)
 
     def survivors(batch):
@@ -155,43 +160,76 @@ def build_cascades(universe: DataFrame, lists: dict[str, list[str]], key_col: st
     return out
 
 
+def cascade_passes(universe: DataFrame, lists: dict[str, list[str]], key_col: str = "key", max_bytes: int | None = None):
+    """Cascades of parts of the lists, each part (all levels of all its lists) of at most `max_bytes`.
+
+    Keys are dealt to parts by bits of a hash, so a key of several lists is in the same part of each. A single key is
+    a part whatever its cascade takes.
+    """
+    most = MAX_BYTES if max_bytes is None else max_bytes
+    total = universe.agg(F.approx_count_distinct(key_col)).first()[0]
+    todo = [(lists, 0)]
+    while todo:
+        part, depth = todo.pop()
+        needed = sum(len(k) * -np.log2(first_level_rate(len(k), total)) / np.log(2) / 8 for k in part.values() if k)
+        splits = len(set().union(*part.values())) > 1 and depth < 63
+        built = None if splits and needed > most else build_cascades(universe, part, key_col, total)
+        if built is not None and (not splits or sum(c.size() for c in built.values()) <= most):
+            yield built
+            continue
+        halves: tuple[dict, dict] = ({}, {})
+        for name, keys in part.items():
+            bit = (hashes(np.array(keys, object))[0] >> np.uint64(depth)) & np.uint64(1)
+            for side in (0, 1):
+                halves[side][name] = [k for k, b in zip(keys, bit) if b == side]
+        todo += [(half, depth + 1) for half in halves if any(half.values())]
+
+
 def judge_urls(pages: DataFrame, block: list[str], allow: list[str], blocked_hosts: list[str], id_col: str = "page_id",
-               url_col: str = "url") -> DataFrame:
+               url_col: str = "url", max_bytes: int | None = None) -> DataFrame:
     """`id_col`, host, path, rule (the longest that fits, or null), verdict and listed_host, for each row."""
     spark = pages.sparkSession
     rules = [*block, *allow]
     lengths = sorted({0} | {len(r) - r.index("/") for r in rules})
     counts = sorted({h.count(".") + 1 for h in [*blocked_hosts, *(r[: r.index("/")] for r in rules)]}) or [1]
-    host, path = split_url(F.col(url_col))
-    urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    keyed = urls.withColumn("keys", url_keys(F.col("host"), F.col("path"), counts, lengths))
+    host, path = split_url(F.col(f"`{url_col}`"))
+    urls = pages.select(F.struct(F.col(f"`{id_col}`")).alias("row"), host.alias("host"), path.alias("path"))
+    frame = urls.select(
+        "row", "host", "path", url_keys(F.col("host"), F.col("path"), counts, lengths).alias("keys"),
+        F.lit(None).cast("string").alias("rule"), F.lit(False).alias("blocks"), F.lit(False).alias("listed_host"),
+    )
     lists = {"block": block, "allow": allow, "host": blocked_hosts}
-    cascades = build_cascades(keyed.select(F.explode("keys").alias("key")), lists)
-    shared = spark.sparkContext.broadcast(cascades)
-    kind = urls.schema[id_col].dataType.simpleString()
-
-    def run(batch):
-        keys = batch.column("keys").combine_chunks() if isinstance(batch.column("keys"), pa.ChunkedArray) else batch.column("keys")
-        flat = keys.flatten().to_numpy(zero_copy_only=False)
-        h = hashes(flat)
-        slash = np.array(["/" in x for x in flat], bool)
-        size = np.array([len(x) for x in flat], np.int64)
-        member = {name: c.test(h) for name, c in shared.value.items()}
-        sizes = np.array([0 if x is None else x for x in keys.value_lengths().to_pylist()], np.int64)
-        ends = np.cumsum(sizes)
-        rule, verdict, on_list = [], [], []
-        for a, b in zip(ends - sizes, ends):
-            fits = np.flatnonzero((member["block"][a:b] | member["allow"][a:b]) & slash[a:b]) + a
-            listed = bool((member["host"][a:b] & ~slash[a:b]).any())
-            on_list.append(listed)
-            if len(fits):
-                best = fits[np.argmax(size[fits])]
-                rule.append(flat[best])
-                verdict.append("block" if member["block"][best] else "allow")
-            else:
-                rule.append(None)
-                verdict.append("block" if listed else "allow")
-        cols = [batch.column(id_col), batch.column("host"), batch.column("path"), pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(on_list)]
-        yield pa.RecordBatch.from_arrays(cols, [id_col, "host", "path", "rule", "verdict", "listed_host"])
-
-    return map_arrow(keyed, run, f"{id_col} {kind}, host string, path string, rule string, verdict string, listed_host boolean")
+    names = ["row", "host", "path", "keys", "rule", "blocks", "listed_host"]
+    kinds = "host string, path string, keys array<string>, rule string, blocks boolean, listed_host boolean"
+    universe = frame.select(F.explode("keys").alias("key"))
+    for n, cascades in enumerate(cascade_passes(universe, lists, max_bytes=max_bytes)):
+        shared = spark.sparkContext.broadcast(cascades)
+        frame = checkpointed(frame) if n else frame
+
+        def run(batch, shared=shared):
+            keys = batch.column("keys")
+            flat = keys.flatten().to_numpy(zero_copy_only=False)
+            h = hashes(flat)
+            member = {name: c.test(h) for name, c in shared.value.items()}
+            slash = np.array(["/" in x for x in flat], bool)
+            ruled, hosts = (member["block"] | member["allow"]) & slash, member["host"] & ~slash
+            ends = np.cumsum([0 if x is None else x for x in keys.value_lengths().to_pylist()], dtype=np.int64)
+            begins = np.r_[0, ends[:-1]]
+            rule, blocks, listed = (batch.column(k).to_pylist() for k in (4, 5, 6))
+            row_of = lambda hit: np.searchsorted(ends, np.flatnonzero(hit), side="right")
+            for i in set(row_of(hosts).tolist()):
+                listed[i] = True
+            for i in set(row_of(ruled).tolist()):
+                fits = [(-len(flat[k]), not member["block"][k], flat[k]) for k in range(begins[i], ends[i]) if ruled[k]]
+                if rule[i] is not None:
+                    fits.append((-len(rule[i]), not blocks[i], rule[i]))
+                _, allowed, rule[i] = min(fits)
+                blocks[i] = not allowed
+            cols = [*batch.columns[:4], pa.array(rule, pa.string()), pa.array(blocks, pa.bool_()), pa.array(listed, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+        frame = map_arrow(frame, run, with_row(frame, kinds))
+    blocked = F.when(F.col("rule").isNotNull(), F.col("blocks")).otherwise(F.col("listed_host"))
+    return frame.select(
+        F.col(f"row.`{id_col}`"), "host", "path", "rule", F.when(blocked, "block").otherwise("allow").alias("verdict"), "listed_host"
+    )
