@@ -16,23 +16,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known licence sentences, normalised. Fixed values.
+#: Licences that notices name: identifier of the notice, licence, verdict, names as they stand in a notice, normalised. Fixed values.
+NAMED: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
+    ("MIT_NOTICE", "MIT", "permissive", ("the mit license", "an mit license")),
+    ("APACHE2_NOTICE", "Apache-2.0", "permissive", ("the apache license version 2 0", "the apache license 2 0")),
+    ("BSD3_NOTICE", "BSD-3-Clause", "permissive", ("the bsd 3 clause license", "the 3 clause bsd license")),
+    ("BSD2_NOTICE", "BSD-2-Clause", "permissive", ("the bsd 2 clause license", "the 2 clause bsd license")),
+    ("ISC_NOTICE", "ISC", "permissive", ("the isc license",)),
+    ("ZLIB_NOTICE", "Zlib", "permissive", ("the zlib license",)),
+    ("BOOST_NOTICE", "BSL-1.0", "permissive", ("the boost software license version 1 0",)),
+    ("UNLICENSE_NOTICE", "Unlicense", "permissive", ("the unlicense license",)),
+    ("GPL3_NOTICE", "GPL-3.0", "copyleft", ("the gnu general public license version 3", "the gnu general public license v3 0")),
+    ("GPL2_NOTICE", "GPL-2.0", "copyleft", ("the gnu general public license version 2", "the gnu general public license v2 0")),
+    ("LGPL3_NOTICE", "LGPL-3.0", "copyleft", ("the gnu lesser general public license version 3",)),
+    ("LGPL21_NOTICE", "LGPL-2.1", "copyleft", ("the gnu lesser general public license version 2 1",)),
+    ("AGPL3_NOTICE", "AGPL-3.0", "copyleft", ("the gnu affero general public license version 3",)),
+    ("MPL2_NOTICE", "MPL-2.0", "copyleft", ("the mozilla public license version 2 0",)),
+    ("EPL2_NOTICE", "EPL-2.0", "copyleft", ("the eclipse public license version 2 0",)),
+    ("ARTISTIC2_NOTICE", "Artistic-2.0", "permissive", ("the artistic license 2 0",)),
+    ("CC_BY_NC_NOTICE", "CC-BY-NC-4.0", "noncommercial", ("cc by nc 4 0", "a creative commons attribution noncommercial 4 0 international license")),
+    ("CC_BY_NC_SA_NOTICE", "CC-BY-NC-SA-4.0", "noncommercial", ("cc by nc sa 4 0", "a creative commons attribution noncommercial sharealike 4 0 international license")),
+    ("CC_BY_NC_ND_NOTICE", "CC-BY-NC-ND-4.0", "noncommercial", ("cc by nc nd 4 0", "a creative commons attribution noncommercial noderivatives 4 0 international license")),
+    ("CC_BY_ND_NOTICE", "CC-BY-ND-4.0", "restricted", ("cc by nd 4 0", "a creative commons attribution noderivatives 4 0 international license")),
+    ("CC_BY_SA_NOTICE", "CC-BY-SA-4.0", "copyleft", ("cc by sa 4 0", "a creative commons attribution sharealike 4 0 international license")),
+    ("CC_BY_NOTICE", "CC-BY-4.0", "permissive", ("cc by 4 0", "a creative commons attribution 4 0 international license")),
+)
+#: How a notice begins, normalised. Fixed values.
+LEADS = (
+    "licensed under", "released under", "distributed under", "available under", "this work is licensed under", "this project is licensed under", "this software is licensed under", "this file is licensed under",
+    "this document is licensed under", "this text is licensed under", "this program is licensed under", "this library is licensed under", "the code is licensed under",
+)
+_ANCHORED = ("licensed", "license")
+#: Known sentences: notices by rule (a lead and a name), and others. Fixed values.
 SENTENCES: dict[str, str] = {
-    "licensed under the apache license version 2 0": "APACHE2_NOTICE",
+    f"{lead} {name}": notice for notice, _, _, names in NAMED for name in names for lead in LEADS if set(f"{lead} {name}".split()) & set(_ANCHORED)
+} | {
     "you may not use this file except in compliance with the license": "APACHE2_COMPLIANCE",
-    "released under the mit license": "MIT_NOTICE",
-    "this project is licensed under the mit license": "MIT_NOTICE",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MIT_CONDITION",
     "the software is provided as is without warranty of any kind express or implied": "MIT_WARRANTY",
-    "this work is licensed under the gnu general public license version 3": "GPL3_NOTICE",
-    "this work is licensed under the gnu general public license version 2": "GPL2_NOTICE",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "GPL_GRANT",
     "redistributions of source code must retain the above copyright notice": "BSD_SOURCE",
     "redistributions in binary form must reproduce the above copyright notice": "BSD_BINARY",
-    "licensed under cc by nc 4 0": "CC_BY_NC_NOTICE",
-    "licensed under cc by 4 0": "CC_BY_NOTICE",
-    "licensed under cc by sa 4 0": "CC_BY_SA_NOTICE",
     "this work is dedicated to the public domain": "PUBLIC_DOMAIN",
+    "this is free and unencumbered software released into the public domain without notice": "PUBLIC_DOMAIN",
     "all rights reserved": "RESERVED",
 }
 
@@ -64,21 +90,17 @@ BLANK, END = r"\n(?:[ \t\r*#/;-]*\n)+", r'([.!?]|\(the .{0,8}license.{0,8}\);|\b
 #: A word of every known sentence; a text without any of them has no known sentence.
 ANCHORS = ("licensed", "license", "reserved", "notice", "warranty", "dedicated")
 
-#: (rule, identifiers that must follow one another, licence, verdict), tried in this order.
+#: (rule, identifiers that must follow one another, licence, verdict), tried in this order: notices that reserve all rights
+#: after all, dual licences, licence texts, notices.
 RULES: tuple[tuple[str, tuple[str, ...], str, str], ...] = (
-    ("reserved-over-notice", ("MIT_NOTICE", "RESERVED"), "MIT", "conflict"),
-    ("reserved-over-apache", ("APACHE2_NOTICE", "RESERVED"), "Apache-2.0", "conflict"),
+    *((f"reserved-over-{lic.lower()}", (notice, "RESERVED"), lic, "conflict") for notice, lic, verdict, _ in NAMED if verdict == "permissive"),
+    ("dual-mit-apache", ("MIT_NOTICE", "APACHE2_NOTICE"), "MIT OR Apache-2.0", "permissive"),
+    ("dual-apache-mit", ("APACHE2_NOTICE", "MIT_NOTICE"), "MIT OR Apache-2.0", "permissive"),
     ("mit-full", ("MIT_CONDITION", "MIT_WARRANTY"), "MIT", "permissive"),
     ("bsd-full", ("BSD_SOURCE", "BSD_BINARY"), "BSD", "permissive"),
     ("apache-full", ("APACHE2_NOTICE", "APACHE2_COMPLIANCE"), "Apache-2.0", "permissive"),
-    ("gpl3-notice", ("GPL3_NOTICE",), "GPL-3.0", "copyleft"),
-    ("gpl2-notice", ("GPL2_NOTICE",), "GPL-2.0", "copyleft"),
     ("gpl-grant", ("GPL_GRANT",), "GPL", "copyleft"),
-    ("cc-by-nc", ("CC_BY_NC_NOTICE",), "CC-BY-NC-4.0", "noncommercial"),
-    ("cc-by-sa", ("CC_BY_SA_NOTICE",), "CC-BY-SA-4.0", "copyleft"),
-    ("cc-by", ("CC_BY_NOTICE",), "CC-BY-4.0", "permissive"),
-    ("mit-notice", ("MIT_NOTICE",), "MIT", "permissive"),
-    ("apache-notice", ("APACHE2_NOTICE",), "Apache-2.0", "permissive"),
+    *((f"notice-{lic.lower()}", (notice,), lic, verdict) for notice, lic, verdict, _ in sorted(NAMED, key=lambda x: ("copyleft", "noncommercial", "restricted", "permissive").index(x[2]))),
     ("public-domain", ("PUBLIC_DOMAIN",), "public-domain", "permissive"),
     ("reserved", ("RESERVED",), "proprietary", "restricted"),
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +34,12 @@ def tokenizer_path() -> str:
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three grades (see `quality.combined_grades`), learned from rows whose crc32(doc_id as text) mod 3 is not 1."""
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality")
-    return quality.judge(docs, model, at_least=1.0, min_tail=0.4)
+    grades = quality.combined_grades(table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
+    out = quality.judge(docs, quality.fit(docs, grades, "grade"), at_least=2.0, min_tail=0.4)
+    held = F.coalesce(fold("doc_id", 3) == 1, F.lit(True)).alias("held_out")
+    return out.select("doc_id", held, "expected_grade", "tail_prob", "kept")
 
 
 def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,11 +105,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does, from the ledger's bits alone."""
+    led = rules.ledger(rules.measure(table(spark, sf_dir, "documents")))
+    parts = [rules.ablations(led, v).withColumn("policy", F.lit(v)) for v in rules.POLICIES]
+    return reduce(DataFrame.unionByName, parts)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_bpe_tree, op3_ngram_jaccard, op4_language_id, op5_quality_rules, op6_feistel_shards,
-        op7_url_filter, op8_license_scan, op9_decontamination, op10_toxicity,
+        op7_url_filter, op8_license_scan, op9_decontamination, op10_toxicity, rule_ablations,
     )
 }
 
@@ -158,13 +170,54 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, (fail_bits & {v2}) = 0 AS kept, fail_bits FROM b"""
 
 
+def _ablations_sql() -> str:
+    """Each rule of each policy tried on the measurements again, not on bits."""
+    failed = {r.name: f"({r.failed})" for r in rules.RULES}
+    parts = []
+    for version, names in rules.POLICIES.items():
+        for name in names:
+            others = " OR ".join(failed[n] for n in names if n != name) or "false"
+            parts.append(f"SELECT '{version}' AS policy, '{name}' AS rule, count(*) FILTER ({failed[name]}) AS n_failed, count(*) FILTER ({failed[name]} AND NOT ({others})) AS n_only, "
+                         f"count(*) FILTER (NOT ({others})) AS n_kept_without, count(*) FILTER (NOT ({others}) AND NOT {failed[name]}) AS n_kept FROM m")
+    head = _op5_sql()
+    return head[: head.index(",\nb AS (")] + "\n" + " UNION ALL ".join(parts)
+
+
+def _op6_sql() -> str:
+    """CRC-32 by a table over the bytes, row numbers, and the permutation: four rounds, again until the number is in range."""
+    crc = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ 0xEDB88320 if n & 1 else n >> 1
+        crc.append(n)
+
+    def rounds(source: str) -> str:
+        """(rn, x): x permuted once."""
+        out = f"(SELECT rn, x >> b AS l, x & low AS r, b, low FROM {source})"
+        for k, key in enumerate(sharding.round_keys(SEED)):
+            m1, m2 = (sharding._MULTIPLIERS[(k + j) % 4] for j in (0, 1))
+            out = f"(SELECT *, (r * {m1}::BIGINT + {key}) & 2147483647 AS y FROM {out})"
+            out = f"(SELECT rn, r AS l, xor(l, ((xor(y, y >> 15) * {m2}::BIGINT) >> 16) & low) AS r, b, low FROM {out})"
+        return f"(SELECT rn, (l << b) | r AS x, b, low FROM {out})"
+
+    return f"""
+WITH RECURSIVE tab AS (SELECT {crc}::BIGINT[] AS t),
+h AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::BIGINT) AS bs FROM documents),
+c AS (SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, bs), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM h, tab),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS rn FROM c),
+z AS (SELECT count(*) AS n, greatest(1, (length(bin(greatest(count(*) - 1, 1))) + 1) // 2)::BIGINT AS b FROM c),
+w AS (SELECT rn, x, b, low FROM {rounds("(SELECT rn, rn AS x, b, (1::BIGINT << b) - 1 AS low FROM o, z)")}
+  UNION ALL SELECT rn, x, b, low FROM {rounds("(SELECT w.* FROM w, z WHERE x >= z.n)")})
+SELECT doc_id, size, text_crc32, 'rows' AS law, (x % {N_SHARDS})::INT AS shard, x // {N_SHARDS} AS slot, NULL::INT AS grown_shard FROM o JOIN w USING (rn), z WHERE w.x < z.n"""
+
+
 def _op7_sql() -> str:
     found = []
     for r in [*BLOCK_RULES, *ALLOW_RULES]:
         host, path = r[: r.index("/")], r[r.index("/") :]
         found.append((len(r), r, "block" if r in BLOCK_RULES else "allow",
                       f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"))
-    found.sort(key=lambda x: (-x[0], x[2] != "block"))
+    found.sort(key=lambda x: (-x[0], x[2] != "block", x[1]))
     rule = " ".join(f"WHEN {c} THEN '{r}'" for _, r, _, c in found)
     verdict = " ".join(f"WHEN {c} THEN '{v}'" for _, _, v, c in found)
     listed = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in BLOCKED_HOSTS)
@@ -202,7 +255,7 @@ dv AS (SELECT doc_id, k, unnest(range(1, len(ws) - k + 2)) AS i, unnest(list_tra
        FROM dw, ks WHERE len(ws) >= k),
 h AS (SELECT DISTINCT dv.doc_id, dv.i, dv.k, iv.item_id FROM dv JOIN iv ON dv.k = iv.k AND dv.s = iv.s),
 hp AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY doc_id),
-hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+hi AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items
        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
 SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
@@ -212,6 +265,8 @@ FROM dw LEFT JOIN hp ON hp.doc_id = dw.doc_id LEFT JOIN hi ON hi.doc_id = dw.doc
 ORACLES = {
     "op3_ngram_jaccard": _op3_sql(),
     "op5_quality_rules": _op5_sql(),
+    "op6_feistel_shards": _op6_sql(),
+    "rule_ablations": _ablations_sql(),
     "op7_url_filter": _op7_sql(),
     "op8_license_scan": _op8_sql(),
     "op9_decontamination": _op9_sql(),
