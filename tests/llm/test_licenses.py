@@ -53,7 +53,14 @@ def test_customary_texts(spark):
     cases = [(MIT, "mit-full"), (BSD % ("1. ", "2. "), "bsd-full"), (BSD % ("* ", "* "), "bsd-full"), (APACHE, "apache-full"), (GPL, "gpl-grant")]
     cases += [(commented(t, mark), rule) for t, rule in cases for mark in ("#", " *", "//")]
     cases += [(t.replace("\n", "\r\n"), rule) for t, rule in cases[:5]] + [(" ".join(t.split()), rule) for t, rule in cases[:3] + cases[4:5]]
-    cases += [("x y\nAll rights reserved\nand more", "reserved"), ("Released under the MIT License\nAll rights\nreserved", "reserved-over-notice"), ("all rights\n\nreserved", None)]
+    cases += [("x y\nAll rights reserved\nand more", "reserved"), ("Released under the MIT License\nAll rights\nreserved", "reserved-over-mit"), ("all rights\n\nreserved", None)]
     rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: r.rule for r in license_scan.scan_licenses(rows).collect()}
     assert [got[k] for k in range(len(cases))] == [rule for _, rule in cases]
+
+
+def test_notices_by_rule(spark):
+    texts = ["Licensed under either the MIT License.\nThis project is licensed under the MIT License.\nLicensed under the Apache License, Version 2.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+             "Distributed under the Mozilla Public License, version 2.0.", "This text is licensed under CC BY-NC-SA 4.0.", "distributed under cc by 4.0"]
+    out = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "`doc_id` long, text string")).orderBy("doc_id").collect()
+    assert [(r.license, r.verdict) for r in out] == [("MIT OR Apache-2.0", "permissive"), ("CC-BY-SA-4.0", "copyleft"), ("MPL-2.0", "copyleft"), ("CC-BY-NC-SA-4.0", "noncommercial"), (None, "none")]
