@@ -129,3 +129,42 @@ def publish_plan(images: DataFrame, files: DataFrame, base_url: str, prefix: str
     blob = F.concat(F.lit(f"{prefix.rstrip('/')}/"), "file_name")
     plan = joined.where(~bad).select("image_id", "file_name", blob.alias("blob_name"), F.concat(F.lit(f"{base_url.rstrip('/')}/"), blob).alias("public_url"))
     return plan, issues(joined, {code: ("error", x) for code, x in checks.items()}, "image_id")
+
+
+def publish(plan: DataFrame, files: DataFrame, put, sleep=None) -> DataFrame:
+    """(image_id, blob_name, public_url, kind): images of a `publish_plan` whose contents were put; kind is null, or how it failed.
+
+    files: a binary scan (path, content); put(blob_name, content) runs on the executors, is retried as `upload` says and
+    may be called again for the same blob after a lost task, so it has to replace what is there. Contents move from the
+    scan to the provider and nowhere else.
+    """
+    import pandas as pd
+
+    from corpusloom.operators import upload
+
+    wait = {} if sleep is None else {"sleep": sleep}
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
+
+    def run(batches):
+        for batch in batches:
+            kinds = [upload.with_retries(lambda b=b, c=c: put(b, bytes(c)), **wait)[1] for b, c in zip(batch["blob_name"], batch["content"])]
+            yield pd.DataFrame({"image_id": batch["image_id"], "blob_name": batch["blob_name"], "public_url": batch["public_url"], "kind": pd.Series(kinds, dtype=object)})
+
+    return plan.join(named, "file_name").select("image_id", "blob_name", "public_url", "content").mapInPandas(run, "image_id string, blob_name string, public_url string, kind string")
+
+
+def write_candidates(candidates: DataFrame, path: str) -> None:
+    """Rendered candidates (source_id, page, image_id, ..) as JSON lines in the order of source, page and id."""
+    from corpusloom.sources.files import write_jsonl
+
+    write_jsonl(candidates, path, "source_id", "page", "image_id")
+
+
+def image_step(images: DataFrame | None, sources: DataFrame, base_url: str | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """(chunks, issues) of the images of a build for `corpus.build`; without a manifest neither."""
+    from corpusloom.operators.corpus import issue_rows
+
+    if images is None:
+        return None, None
+    chunks, found = image_chunks(images, sources, base_url)
+    return chunks, issue_rows(found, F.lit(None), F.col("image_id"))

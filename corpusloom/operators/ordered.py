@@ -16,13 +16,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 
+#: A setting of Spark 4.1 and later.
+_UNIONS = "spark.sql.unionOutputPartitioning"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df` cut off from its lineage by a reliable checkpoint in the shared folder of the session.
 
     spark.checkpoint.dir is used; a folder of our own is made only where that is unset and all runs in one process.
+    Unions are no longer planned as partitioned like their parts in this session: adaptive plans store fewer partitions
+    than they promise, and such a union of them then fails ("Can't zip RDDs with unequal numbers of partitions").
     """
     spark = df.sparkSession
     sc = spark.sparkContext
+    spark.conf.set(_UNIONS, "false")
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):

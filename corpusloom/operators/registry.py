@@ -134,18 +134,20 @@ def build(items: DataFrame, hosts=HOSTS, titles: DataFrame | None = None, prefix
     return full.drop("_slug", "broken")
 
 
-def error_snapshots(failed: DataFrame, pages: DataFrame) -> DataFrame:
+def error_snapshots(failed: DataFrame, pages: DataFrame, block: int = 1000) -> DataFrame:
     """Failed urls with the first captured page (path) whose slug holds that of the url's file name, or null.
 
-    A containment has no key to join by. Failed workbooks are few and their number is checked, so their slugs go to
-    the pages as literals, and the pages are read once.
+    A containment has no key to join by: slugs of failed workbooks go to the pages as literals, `block` of them at a time,
+    and the pages are read once for each block.
     """
     stem = F.regexp_replace(F.regexp_extract(F.coalesce(F.try_url_decode(url_path(F.col("url"))), F.lit("")), r"([^/]+)/*$", 1), r"\.[^.]*$", "")
     wanted = failed.select("url", slug(stem, 70).alias("key")).distinct()
-    keys = [r["key"] for r in wanted.select("key").distinct().limit(1001).collect()]
-    if len(keys) > 1000:
-        raise ValueError("more than 1000 failed workbooks; split them into runs")
+    keys = wanted.select("key").distinct()
+    n = max(1, -(-keys.count() // block))
     page = slug(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", ""), 100)
-    hit = F.filter(F.array(*map(F.lit, keys)) if keys else F.expr("cast(array() as array<string>)"), lambda k: F.contains(page, k))
-    found = pages.select("path", F.explode(hit).alias("key")).groupBy("key").agg(F.min("path").alias("path"))
-    return wanted.join(found, "key", "left").drop("key")
+    parts = []
+    for k in range(n):
+        own = [F.lit(r["key"]) for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(n)) == k).collect()]
+        hit = F.filter(F.array(*own) if own else F.expr("cast(array() as array<string>)"), lambda x: F.contains(page, x))
+        parts.append(pages.select("path", F.explode(hit).alias("key")).groupBy("key").agg(F.min("path").alias("path")))
+    return wanted.join(reduce(lambda a, b: a.unionByName(b), parts), "key", "left").drop("key")

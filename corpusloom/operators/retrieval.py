@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpusloom.functions import vocab
@@ -71,6 +72,7 @@ def _task_best(rows: DataFrame, query_ids: list, query_field: StructField, k: in
     id_field = rows.schema[0]
     schema = StructType([StructField("query_id", query_field.dataType), StructField(id_field.name, id_field.dataType), StructField(name, DoubleType())])
     kinds: list = []
+    query_kind = to_arrow_type(query_field.dataType)
 
     def run(batches):
         best = _Best(len(query_ids), k)
@@ -81,7 +83,7 @@ def _task_best(rows: DataFrame, query_ids: list, query_field: StructField, k: in
                 best.add(part, ids[at : at + len(part)])
         if best.rows and len(best.rows[0]):
             query, value, ids = best.rows
-            yield pa.RecordBatch.from_arrays([pa.array([query_ids[q] for q in query]), pa.array(ids, kinds[0]), pa.array(value)], ["query_id", id_field.name, name])
+            yield pa.RecordBatch.from_arrays([pa.array([query_ids[q] for q in query], query_kind), pa.array(ids, kinds[0]), pa.array(value)], ["query_id", id_field.name, name])
 
     return rows.mapInArrow(run, schema)
 

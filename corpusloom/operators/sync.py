@@ -40,6 +40,22 @@ def cache_join(chunks: DataFrame, cache: DataFrame, key: str, dims: int, vector:
     return chunks.join(known, key, "left")
 
 
+CACHE_KEY = ["model", "dimensions", "content_hash"]
+
+
+def cached_vectors(cache: DataFrame, model: str, dims: int) -> DataFrame:
+    """(content_hash, vector) of a cache (`CACHE_KEY`, vector) for one model and size; invalid vectors are left out."""
+    own = cache.where((F.col("model") == model) & (F.col("dimensions") == dims))
+    return own.where(valid_vector(F.col("vector"), dims)).groupBy("content_hash").agg(F.min("vector").alias("vector"))
+
+
+def cache_put(cache: DataFrame, rows: DataFrame, model: str, dims: int) -> DataFrame:
+    """The cache with valid vectors of `rows` (content_hash, vector) for one model and size, in place of those it had."""
+    new = cached_vectors(rows.withColumns({"model": F.lit(model), "dimensions": F.lit(dims)}), model, dims)
+    full = new.select(F.lit(model).alias("model"), F.lit(dims).alias("dimensions"), "content_hash", "vector")
+    return cache.join(full.select(*CACHE_KEY), CACHE_KEY, "left_anti").select(*CACHE_KEY, "vector").unionByName(full)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """One row of each key of `new` (of several the smallest row; null is a key), and the rows of `old` whose key `new` does
     not have. Columns that one of them lacks are null there."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusloom.operators import constraints, registry, sync, upload
+from corpusloom.operators import constraints, images, registry, sync, upload
 from corpusloom.plans.corpus_queries import NONE, made, strings
 from corpusloom.plans.queries import register, table
 from corpusloom.sources import files, html, paged, workbook
@@ -275,3 +275,29 @@ def delete_scope_faults(spark, d):
     scope = upload.scope_rows(ids.where(F.col("id") != "src1").withColumns({"review_status": F.lit("approved"), "status": F.lit("current")}), "m", "c", [], True, True)
     chunks = table(spark, d, "documents").where("source is not null").select(F.col("source").alias("source_id"))
     return upload.scope_issues(scope, ids, chunks, "m", "c")
+
+
+@register("""WITH c AS (SELECT doc_id, doc_id % 2 = 0 AS had, doc_id % 3 = 0 AS put FROM documents) SELECT 'h' || doc_id AS content_hash, CASE WHEN put THEN 2 ELSE 1 END AS version FROM c WHERE had OR put""")
+def cache_store(spark, d):
+    """A cache of two models after vectors of one of them were put, some of them invalid; what is read back of that model."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("h"), "doc_id").alias("content_hash"))
+    vec = lambda x: F.array(F.lit(float(x)).cast("float"), F.lit(0.0).cast("float"))
+    had = docs.where("doc_id % 2 = 0").select(F.explode(strings("m", "other")).alias("model"), F.lit(2).alias("dimensions"), "content_hash", vec(1).alias("vector"))
+    new = docs.select("content_hash", F.when(F.col("doc_id") % 3 == 0, vec(2)).otherwise(F.array(F.lit(float("nan")).cast("float"), F.lit(0.0).cast("float"))).alias("vector"))
+    out = sync.cached_vectors(sync.cache_put(had, new, "m", 2), "m", 2)
+    return out.select("content_hash", F.get("vector", F.lit(0)).cast("int").alias("version"))
+
+
+@register("""SELECT 'i' || doc_id AS image_id, 'p/i' || doc_id || '.webp' AS blob_name, CASE doc_id % 4 WHEN 3 THEN 'provider_error' END AS kind FROM documents WHERE doc_id % 2 = 1""")
+def image_publish(spark, d):
+    """Contents put under their names; a quarter of them is refused."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("i"), "doc_id").alias("image_id"), "doc_id")
+    name = F.concat("image_id", F.lit(".webp"))
+    plan = docs.where("doc_id % 2 = 1").select("image_id", name.alias("file_name"), F.concat(F.lit("p/"), name).alias("blob_name"), F.concat(F.lit("https://m/p/"), name).alias("public_url"))
+    scan = docs.select(F.concat(F.lit("file:/x/"), name).alias("path"), F.when(F.col("doc_id") % 4 == 3, "no").otherwise("yes").cast("binary").alias("content"))
+    return images.publish(plan, scan, _put, sleep=lambda s: None).select("image_id", "blob_name", "kind")
+
+
+def _put(blob: str, content: bytes) -> None:
+    if content == b"no":
+        raise upload.ProviderError(400, "", "refused")
