@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from corpusloom.operators.ordered import stored
+
 #: Rows of a table that is broadcast; larger ones are joined without a hint.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of an Arrow batch that goes to a Python worker (a single longer row goes alone).
@@ -22,18 +23,8 @@ SLICE_BYTES = 1 << 19
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` cut off from its lineage by a reliable checkpoint in the cluster's shared folder.
-
-    spark.checkpoint.dir of the session is used; a folder of our own is set only where that is unset.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
-    return df.checkpoint()
+    """`df` cut off from its lineage by a reliable checkpoint in the shared folder of the session; see `ordered.stored`."""
+    return stored(df)
 
 
 def packed_rows(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:

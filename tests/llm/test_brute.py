@@ -238,6 +238,6 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     from corpusloom.llm import _cluster
 
-    df = N(sparkSession=N(sparkContext=N(getCheckpointDir=lambda: None, master="spark://h:1"), conf=N(get=lambda *a: None)))
+    df = N(sparkSession=N(sparkContext=N(getCheckpointDir=lambda: None, master="spark://h:1"), conf=N(get=lambda *a: None, set=lambda *a: None)))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         _cluster.checkpointed(df)
