@@ -35,16 +35,20 @@ NAMED: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
     ("EPL2_NOTICE", "EPL-2.0", "copyleft", ("the eclipse public license version 2 0",)),
     ("ARTISTIC2_NOTICE", "Artistic-2.0", "permissive", ("the artistic license 2 0",)),
     ("CC_BY_NC_NOTICE", "CC-BY-NC-4.0", "noncommercial", ("cc by nc 4 0", "a creative commons attribution noncommercial 4 0 international license")),
-    ("CC_BY_NC_SA_NOTICE", "CC-BY-NC-SA-4.0", "noncommercial", ("cc by nc sa 4 0", "a creative commons attribution noncommercial sharealike 4 0 international license")),
-    ("CC_BY_NC_ND_NOTICE", "CC-BY-NC-ND-4.0", "noncommercial", ("cc by nc nd 4 0", "a creative commons attribution noncommercial noderivatives 4 0 international license")),
+    ("CC_BY_NC_SA_NOTICE", "CC-BY-NC-SA-4.0", "noncommercial", ("cc by nc sa 4 0",
+        "a creative commons attribution noncommercial sharealike 4 0 international license")),
+    ("CC_BY_NC_ND_NOTICE", "CC-BY-NC-ND-4.0", "noncommercial", ("cc by nc nd 4 0",
+        "a creative commons attribution noncommercial noderivatives 4 0 international license")),
     ("CC_BY_ND_NOTICE", "CC-BY-ND-4.0", "restricted", ("cc by nd 4 0", "a creative commons attribution noderivatives 4 0 international license")),
     ("CC_BY_SA_NOTICE", "CC-BY-SA-4.0", "copyleft", ("cc by sa 4 0", "a creative commons attribution sharealike 4 0 international license")),
     ("CC_BY_NOTICE", "CC-BY-4.0", "permissive", ("cc by 4 0", "a creative commons attribution 4 0 international license")),
 )
 #: How a notice begins, normalised. Fixed values.
 LEADS = (
-    "licensed under", "released under", "distributed under", "available under", "this work is licensed under", "this project is licensed under", "this software is licensed under", "this file is licensed under",
-    "this document is licensed under", "this text is licensed under", "this program is licensed under", "this library is licensed under", "the code is licensed under",
+    "licensed under", "released under", "distributed under", "available under", "this work is licensed under", "this project is licensed under",
+        "this software is licensed under", "this file is licensed under",
+    "this document is licensed under", "this text is licensed under", "this program is licensed under", "this library is licensed under",
+        "the code is licensed under",
 )
 _ANCHORED = ("licensed", "license")
 #: Known sentences: notices by rule (a lead and a name), and others. Fixed values.
@@ -100,7 +104,8 @@ RULES: tuple[tuple[str, tuple[str, ...], str, str], ...] = (
     ("bsd-full", ("BSD_SOURCE", "BSD_BINARY"), "BSD", "permissive"),
     ("apache-full", ("APACHE2_NOTICE", "APACHE2_COMPLIANCE"), "Apache-2.0", "permissive"),
     ("gpl-grant", ("GPL_GRANT",), "GPL", "copyleft"),
-    *((f"notice-{lic.lower()}", (notice,), lic, verdict) for notice, lic, verdict, _ in sorted(NAMED, key=lambda x: ("copyleft", "noncommercial", "restricted", "permissive").index(x[2]))),
+    *((f"notice-{lic.lower()}", (notice,), lic, verdict) for notice, lic, verdict,
+        _ in sorted(NAMED, key=lambda x: ("copyleft", "noncommercial", "restricted", "permissive").index(x[2]))),
     ("public-domain", ("PUBLIC_DOMAIN",), "public-domain", "permissive"),
     ("reserved", ("RESERVED",), "proprietary", "restricted"),
 )
@@ -129,7 +134,8 @@ def sentence_ids(text: Column, sentences: dict[str, str] = KNOWN, anchors: tuple
         tails = F.transform(F.slice(lines, start + 1, F.lit(most)), lambda _, i: of(F.array_join(F.slice(lines, start + i + 1, F.lit(most)), " ")))
         # the lines before the first line with which a sentence begins that goes to the end, and that sentence
         ended = F.aggregate(tails, F.struct(start.alias("at"), F.lit(None).cast("string").alias("id")),
-                            lambda s, t: F.when(s["id"].isNotNull(), s).otherwise(F.struct((s["at"] + t.isNull().cast("int")).alias("at"), t.alias("id"))),
+                            lambda s, t: F.when(s["id"].isNotNull(), s).otherwise(F.struct((s["at"] + t.isNull().cast("int")).alias("at"),
+                                t.alias("id"))),
                             lambda s: F.concat(F.slice(alone, F.lit(1), s["at"]), F.array(s["id"])))
         return F.when(n == 1, F.array(of(unit))).otherwise(ended)
 

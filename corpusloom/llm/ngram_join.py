@@ -314,9 +314,11 @@ def candidate_edges(buckets: DataFrame, classes: DataFrame, spec: Spec) -> DataF
     large = checkpointed(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > FOREST).select(
         "bucket", F.ceil(F.col("n") / FOREST).cast("int").alias("blocks")))
     n_large = large.count()
-    sized = buckets.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sized = buckets.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "bucket", "left").withColumn("blocks",
+        F.coalesce("blocks", F.lit(1)))
     dealt = dealt_pairs(sized, "blocks", "k1", False).select(F.xxhash64("bucket", "x", "y").alias("part"), "k1")
-    ordered = dealt.join(classes.select("k1", "n", "point"), "k1").select("part", "k1", "n", "point").repartition("part").sortWithinPartitions("part", "k1")
+    ordered = dealt.join(classes.select("k1", "n", "point"), "k1").select("part", "k1", "n", "point").repartition("part").sortWithinPartitions("part",
+        "k1")
 
     def run(batches):
         for part, (key, n, point), _ in _aligned(batches, 3):
@@ -482,7 +484,8 @@ def self_join(docs: DataFrame, spec: Spec, id_col: str, text_col: str, block: in
     named = whole.join(classes.select("k1", "cid"), "k1").groupBy("rep").agg(F.min("cid").alias("component"))
     labelled = whole.join(named, "rep").select("k1", "component", "rep", "links")
     known = checkpointed(classes.join(labelled, "k1", "left").select(
-        "k1", "copies", F.coalesce("component", "cid").alias("component"), F.coalesce("rep", "k1").alias("rep"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
+        "k1", "copies", F.coalesce("component", "cid").alias("component"), F.coalesce("rep", "k1").alias("rep"),
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
     ))
     out = rows.select("doc", "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1")).join(known, "k1", "left")
     return out.select(
@@ -501,7 +504,8 @@ def one_per_component(docs: DataFrame, spec: Spec = Spec(), id_col: str = "doc_i
     """
     judged, spec = self_join(docs.select(F.col(id_col), F.col(text_col)), spec, id_col, text_col, **options)
     place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("set_key").alias("key"))
-    rows = checkpointed(judged.where("set_key is not null").select("component_key", F.col(id_col).eqNullSafe(F.col("component_id")).alias("least"), place.alias("place")))
+    rows = checkpointed(judged.where("set_key is not null").select("component_key", F.col(id_col).eqNullSafe(F.col("component_id")).alias("least"),
+        place.alias("place")))
     # rows with the smallest id of their component are few; only they are compared with one another
     low = rows.where("least")
     firsts = low.groupBy("component_key").agg(F.min("place.key").alias("first"))

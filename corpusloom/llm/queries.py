@@ -202,13 +202,16 @@ def _op6_sql() -> str:
 
     return f"""
 WITH RECURSIVE tab AS (SELECT {crc}::BIGINT[] AS t),
-h AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::BIGINT) AS bs FROM documents),
-c AS (SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, bs), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM h, tab),
+h AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))),
+  '..'), lambda p: ('0x' || p)::BIGINT) AS bs FROM documents),
+c AS (SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, bs), lambda a, x: xor(a >> 8, t[(xor(a,
+  x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM h, tab),
 o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS rn FROM c),
 z AS (SELECT count(*) AS n, greatest(1, (length(bin(greatest(count(*) - 1, 1))) + 1) // 2)::BIGINT AS b FROM c),
 w AS (SELECT rn, x, b, low FROM {rounds("(SELECT rn, rn AS x, b, (1::BIGINT << b) - 1 AS low FROM o, z)")}
   UNION ALL SELECT rn, x, b, low FROM {rounds("(SELECT w.* FROM w, z WHERE x >= z.n)")})
-SELECT doc_id, size, text_crc32, 'rows' AS law, (x % {N_SHARDS})::INT AS shard, x // {N_SHARDS} AS slot, NULL::INT AS grown_shard FROM o JOIN w USING (rn), z WHERE w.x < z.n"""
+SELECT doc_id, size, text_crc32, 'rows' AS law, (x % {N_SHARDS})::INT AS shard, x // {N_SHARDS} AS slot, NULL::INT AS grown_shard FROM o
+  JOIN w USING (rn), z WHERE w.x < z.n"""
 
 
 def _op7_sql() -> str:
@@ -235,7 +238,8 @@ def _op8_sql() -> str:
     return rf"""
 WITH known(sentence, id) AS (VALUES {known}),
 s AS (SELECT doc_id, unnest(string_split(regexp_replace(lower(coalesce(text, '')), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))) AS part,
-        generate_subscripts(string_split(regexp_replace(lower(coalesce(text, '')), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), 1) AS i FROM documents),
+        generate_subscripts(string_split(regexp_replace(lower(coalesce(text, '')), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), 1) AS i
+  FROM documents),
 k AS (SELECT s.doc_id, s.i, known.id FROM s JOIN known ON trim(regexp_replace(s.part, '[^a-z0-9]+', ' ', 'g')) = known.sentence),
 q AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i) AS ids FROM k GROUP BY doc_id),
 d AS (SELECT documents.doc_id, coalesce(n, 0) AS n, coalesce(ids, '') AS ids, ',' || coalesce(ids, '') || ',' AS run
@@ -247,11 +251,13 @@ SELECT doc_id, n::BIGINT AS n_sentences, ids AS sentence_ids, CASE {pick(1)} ELS
 def _op9_sql() -> str:
     return rf"""
 WITH iw AS (SELECT item_id, {_ALNUM} AS ws FROM benchmark),
-iv AS (SELECT item_id, least(len(ws), 10) AS k, unnest(list_transform(range(1, greatest(1, len(ws) - 9) + 1), lambda i: array_to_string(ws[i:i + 9], ' '))) AS s
+iv AS (SELECT item_id, least(len(ws), 10) AS k, unnest(list_transform(range(1, greatest(1, len(ws) - 9) + 1),
+  lambda i: array_to_string(ws[i:i + 9], ' '))) AS s
        FROM iw WHERE len(ws) > 0),
 ks AS (SELECT DISTINCT k FROM iv),
 dw AS (SELECT doc_id, {_ALNUM} AS ws FROM documents),
-dv AS (SELECT doc_id, k, unnest(range(1, len(ws) - k + 2)) AS i, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS s
+dv AS (SELECT doc_id, k, unnest(range(1, len(ws) - k + 2)) AS i, unnest(list_transform(range(1, len(ws) - k + 2),
+  lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS s
        FROM dw, ks WHERE len(ws) >= k),
 h AS (SELECT DISTINCT dv.doc_id, dv.i, dv.k, iv.item_id FROM dv JOIN iv ON dv.k = iv.k AND dv.s = iv.s),
 hp AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY doc_id),

@@ -70,7 +70,8 @@ def numbered(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     tied = df.withColumn("_tie", F.monotonically_increasing_id())
     ranged = tied.repartitionByRange(int(parts), *sort).sortWithinPartitions(*sort).drop("_tie")
     stored = checkpointed(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
-    sizes = sorted((r["_part"], r["n"], r["first"]) for r in stored.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("first")).collect())
+    sizes = sorted((r["_part"], r["n"], r["first"]) for r in stored.groupBy("_part").agg(F.count("*").alias("n"),
+        F.min("_at").alias("first")).collect())
     base, rows = [], 0
     for part, n, first in sizes:
         base.append((part, rows - first))
@@ -89,7 +90,8 @@ def shard(df: DataFrame, n_shards: int, order: list[str], seed: int = 0) -> Data
         return pd.Series(permute(numbers.to_numpy(), n, seed))
 
     placed = rows.withColumn("_place", place("row_number"))
-    return placed.withColumn("shard", F.pmod("_place", F.lit(n_shards)).cast("int")).withColumn("slot", F.expr(f"_place div {int(n_shards)}")).drop("_place")
+    return placed.withColumn("shard", F.pmod("_place", F.lit(n_shards)).cast("int")).withColumn("slot",
+        F.expr(f"_place div {int(n_shards)}")).drop("_place")
 
 
 def document_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
