@@ -27,7 +27,8 @@ def absolute(href: Column, base: Column) -> Column:
     parts = F.slice(F.split(joined, "/"), 2, F.size(F.split(joined, "/")))
 
     def climb(stack: Column, p: Column) -> Column:
-        return F.when(p == "..", F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).when(p == ".", stack).otherwise(F.concat(stack, F.array(p)))
+        return F.when(p == "..", F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).when(p == ".",
+            stack).otherwise(F.concat(stack, F.array(p)))
 
     walked = F.aggregate(parts, F.expr("cast(array() as array<string>)"), climb)
     folder_end = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(walked) > 0), "/").otherwise("")
@@ -47,18 +48,23 @@ def safe_stem(url: Column) -> Column:
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     path = F.regexp_replace(F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path), "^/+|/+$", "")
     query = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*[?]([^#]*)", 1), "&"), lambda kv: kv.rlike("=."))
-    pair = lambda x: F.concat_ws("-", *[F.coalesce(F.try_url_decode(p), p) for p in (F.substring_index(x, "=", 1), F.substr(x, F.locate("=", x) + F.lit(1)))])
-    named = F.concat_ws("-", raw, F.replace(F.when(path == "", "index").otherwise(path), F.lit("/"), F.lit("-")), F.nullif(F.array_join(F.transform(query, pair), "-"), F.lit("")))
+    pair = lambda x: F.concat_ws("-", *[F.coalesce(F.try_url_decode(p), p) for p in (F.substring_index(x, "=", 1),
+        F.substr(x, F.locate("=", x) + F.lit(1)))])
+    named = F.concat_ws("-", raw, F.replace(F.when(path == "", "index").otherwise(path), F.lit("/"), F.lit("-")),
+        F.nullif(F.array_join(F.transform(query, pair), "-"), F.lit("")))
     clean = F.lower(F.regexp_replace(F.regexp_replace(named, "[^A-Za-z0-9._-]+", "-"), "^[-.]+|[-.]+$", ""))
     return F.concat(F.substring(clean, 1, 150), F.lit("-"), F.substring(F.sha2(url, 256), 1, 10))
 
 
 #: Extensions of media types besides PDF and HTML.
 EXTENSIONS = {
-    "text/plain": ".txt", "text/csv": ".csv", "text/css": ".css", "text/xml": ".xml", "application/xml": ".xml", "application/json": ".json", "application/zip": ".zip",
-    "application/msword": ".doc", "application/vnd.ms-excel": ".xls", "application/vnd.ms-powerpoint": ".ppt", "image/png": ".png", "image/jpeg": ".jpg",
+    "text/plain": ".txt", "text/csv": ".csv", "text/css": ".css", "text/xml": ".xml", "application/xml": ".xml", "application/json": ".json",
+        "application/zip": ".zip",
+    "application/msword": ".doc", "application/vnd.ms-excel": ".xls", "application/vnd.ms-powerpoint": ".ppt", "image/png": ".png",
+        "image/jpeg": ".jpg",
     "image/gif": ".gif", "image/webp": ".webp", "image/svg+xml": ".svg", "application/octet-stream": ".bin",
-    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": ".xlsx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": ".docx",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": ".xlsx",
+        "application/vnd.openxmlformats-officedocument.wordprocessingml.document": ".docx",
 }
 
 

@@ -31,7 +31,8 @@ def source_checks(ranks: dict[str, int] | None = None) -> Catalogue:
         HASH_INVALID=K.unlike(c("sha256"), K.SHA256), PERIOD_INVALID=K.unlike_if_any(c("tax_year"), K.PERIOD),
         RELATED_ID_NOT_SLUG=K.any_unlike(related, K.SLUG), RENDER_PAGES_REPEATED=K.repeats(c("render_pages")),
         RENDER_PAGE_NOT_POSITIVE=K.sure(F.exists("render_pages", lambda p: p < 1)),
-        RANK_MISMATCH=c("authority_rank").isNull() | c("authority_level").isNull() | K.rank_differs(c("authority_level"), c("authority_rank"), ranks or vocab.AUTHORITY_RANKS),
+        RANK_MISMATCH=c("authority_rank").isNull() | c("authority_level").isNull() | K.rank_differs(c("authority_level"), c("authority_rank"),
+            ranks or vocab.AUTHORITY_RANKS),
         DATES_REVERSED=K.before(c("effective_to"), c("effective_from")), SUPERSEDES_ITSELF=K.sure(F.array_contains(related, c("id"))),
         EXCLUSION_REASON_MISSING=K.sure(c("status") == "excluded") & K.blank(c("exclusion_reason")),
     )
@@ -42,7 +43,8 @@ def extraction_checks() -> Catalogue:
     c = F.col
     return _errors(
         RECORD_ID_EMPTY=K.blank(c("record_id")), SOURCE_ID_NOT_SLUG=K.unlike(c("source_id"), K.SLUG), CONTENT_EMPTY=K.blank(c("content")),
-        TITLE_PATH_BLANK=K.any_blank(c("title_path")), TABLE_HEADERS_BLANK=K.any_blank(c("table_headers")), HASH_INVALID=K.unlike(c("content_hash"), K.SHA256),
+        TITLE_PATH_BLANK=K.any_blank(c("title_path")), TABLE_HEADERS_BLANK=K.any_blank(c("table_headers")),
+            HASH_INVALID=K.unlike(c("content_hash"), K.SHA256),
         PDF_WITHOUT_PAGE=K.sure(c("extraction_method").isin("pdf_text", "pdf_ocr")) & c("page").isNull(),
         WORKBOOK_WITHOUT_SHEET=K.sure(c("extraction_method") == "xlsm_xml") & K.blank(c("sheet")), **_locator(),
     )
@@ -58,7 +60,8 @@ def chunk_checks(ranks: dict[str, int] | None = None) -> Catalogue:
     c = F.col
     place = F.coalesce("page", F.lit(None)).isNull() & K.blank(c("section")) & K.blank(c("sheet"))
     return _errors(
-        ID_EMPTY=K.blank(c("id")), SOURCE_ID_NOT_SLUG=K.unlike(c("source_id"), K.SLUG), CONTENT_EMPTY=K.blank(c("content")), TITLE_EMPTY=K.blank(c("title")),
+        ID_EMPTY=K.blank(c("id")), SOURCE_ID_NOT_SLUG=K.unlike(c("source_id"), K.SLUG), CONTENT_EMPTY=K.blank(c("content")),
+            TITLE_EMPTY=K.blank(c("title")),
         EMBEDDING_TEXT_EMPTY=K.blank(c("embedding_text")), SOURCE_URL_NOT_HTTPS=K.not_https(c("source_url"), needed=False),
         PERIOD_INVALID=K.unlike_if_any(c("tax_year"), K.PERIOD), RELATED_ID_NOT_SLUG=K.any_unlike(c("supersedes"), K.SLUG),
         RANK_MISMATCH=K.rank_differs(c("authority_level"), c("authority_rank"), ranks or vocab.AUTHORITY_RANKS),
@@ -84,18 +87,21 @@ def image_file_checks() -> Catalogue:
     pair = lambda said, real: ~K.sure(F.col(said) == F.col(real))
     return _errors(
         IMAGE_HASH_MISMATCH=pair("binary_sha256", "file_sha256"), IMAGE_SIZE_MISMATCH=pair("byte_size", "file_bytes"),
-        IMAGE_DIMENSIONS_MISMATCH=pair("width", "file_width") | pair("height", "file_height"), IMAGE_FORMAT_MISMATCH=~K.sure(F.col("file_format") == "webp"),
+        IMAGE_DIMENSIONS_MISMATCH=pair("width", "file_width") | pair("height", "file_height"),
+            IMAGE_FORMAT_MISMATCH=~K.sure(F.col("file_format") == "webp"),
     )
 
 
 def issue_checks() -> Catalogue:
-    return _errors(CODE_EMPTY=K.blank(F.col("code")), MESSAGE_EMPTY=K.blank(F.col("message")), SEVERITY_UNKNOWN=~K.sure(F.col("severity").isin("warning", "error")))
+    return _errors(CODE_EMPTY=K.blank(F.col("code")), MESSAGE_EMPTY=K.blank(F.col("message")),
+        SEVERITY_UNKNOWN=~K.sure(F.col("severity").isin("warning", "error")))
 
 
 def guide_checks(steps: Column) -> Catalogue:
     """Of guides: steps numbered 1, 2, .. and with texts."""
     return _errors(
-        STEPS_NOT_NUMBERED=K.not_counted(F.transform(steps, lambda s: s["number"])), STEP_TITLE_EMPTY=K.sure(F.exists(steps, lambda s: K.blank(s["title"]))),
+        STEPS_NOT_NUMBERED=K.not_counted(F.transform(steps, lambda s: s["number"])),
+            STEP_TITLE_EMPTY=K.sure(F.exists(steps, lambda s: K.blank(s["title"]))),
     )
 
 
@@ -118,7 +124,8 @@ def registry_issues(sources: DataFrame, allowed_hosts: list[str], ranks: dict[st
     own = source_checks(ranks) | _errors(HOST_NOT_ALLOWED=~K.sure(K.host(F.col("source_url")).isin(hosts)))
     row = lambda df, code: df.select("id", F.lit(code).alias("code"), F.lit("error").alias("severity"))
     twice = sources.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    named = sources.select("id", F.explode(F.array_distinct(F.concat(F.coalesce("supersedes", F.array()), F.coalesce("superseded_by", F.array())))).alias("other"))
+    named = sources.select("id", F.explode(F.array_distinct(F.concat(F.coalesce("supersedes", F.array()),
+        F.coalesce("superseded_by", F.array())))).alias("other"))
     unknown = named.join(sources.select(F.col("id").alias("other")).distinct(), "other", "left_anti").select("id").distinct()
     return issues(sources, own, "id").unionByName(row(twice, "ID_REPEATED")).unionByName(row(unknown, "RELATED_ID_UNKNOWN"))
 
@@ -142,7 +149,8 @@ def file_issues(sources: DataFrame, files: DataFrame, folder: str = "") -> DataF
     joined = sources.join(files.select("local_file", "file_sha256", "signature", "page_count", F.lit(True).alias("_there")), "local_file", "left")
     there, out = c("_there").isNotNull(), K.sure(c("status") == "excluded")
     book = K.sure(c("media_type") == "application/vnd.ms-excel.sheet.macroEnabled.12")
-    below = F.when(c("local_file").startswith("/"), c("local_file")).otherwise(F.concat(F.lit(f"{folder.strip('/')}/" if folder else ""), c("local_file")))
+    below = F.when(c("local_file").startswith("/"), c("local_file")).otherwise(F.concat(F.lit(f"{folder.strip('/')}/" if folder else ""),
+        c("local_file")))
     escape = escapes(below)
     found = {
         "PATH_ESCAPES": ("error", escape), "FILE_MISSING": ("error", ~there & ~out), "EXCLUDED_WITHOUT_FILE": ("warning", ~there & out),
@@ -158,6 +166,7 @@ def file_issues(sources: DataFrame, files: DataFrame, folder: str = "") -> DataF
 
 def registry_summary(sources: DataFrame, found: DataFrame) -> DataFrame:
     """One row: counts of sources, approved, excluded, errors, warnings, and whether the registry is valid."""
-    s = sources.agg(F.count("*").alias("source_count"), F.count_if(F.col("review_status") == "approved").alias("approved_count"), F.count_if(F.col("status") == "excluded").alias("excluded_count"))
+    s = sources.agg(F.count("*").alias("source_count"), F.count_if(F.col("review_status") == "approved").alias("approved_count"),
+        F.count_if(F.col("status") == "excluded").alias("excluded_count"))
     i = found.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
     return s.crossJoin(i).withColumn("valid", F.col("errors") == 0)  # one row each

@@ -38,7 +38,8 @@ def unknown_ids(sources: DataFrame, requested: list[str]) -> DataFrame:
 def issue_rows(found: DataFrame, source: Column, record: Column | None = None, message: Column | None = None) -> DataFrame:
     """Rows of issues from (code, severity, ..)."""
     none = F.lit(None).cast("string")
-    return found.select(source.cast("string").alias("source_id"), (none if record is None else record.cast("string")).alias("record_id"), "code", "severity",
+    return found.select(source.cast("string").alias("source_id"), (none if record is None else record.cast("string")).alias("record_id"), "code",
+        "severity",
                         F.coalesce(none if message is None else message, "code").alias("message"))
 
 
@@ -50,8 +51,10 @@ def record_warnings(records: DataFrame) -> DataFrame:
 
 def failure_issue(source: Column, error: Column) -> Column:
     """The issue of a source that could not be extracted. error: struct<code, kind>; contents are never told."""
-    return F.struct(source.alias("source_id"), F.lit(None).cast("string").alias("record_id"), F.coalesce(error["code"], F.lit("EXTRACTION_FAILED")).alias("code"),
-                    F.lit("error").alias("severity"), F.concat(F.lit("extraction failed: "), F.coalesce(error["kind"], F.lit("Exception"))).alias("message"))
+    return F.struct(source.alias("source_id"), F.lit(None).cast("string").alias("record_id"),
+        F.coalesce(error["code"], F.lit("EXTRACTION_FAILED")).alias("code"),
+                    F.lit("error").alias("severity"), F.concat(F.lit("extraction failed: "),
+                        F.coalesce(error["kind"], F.lit("Exception"))).alias("message"))
 
 
 def merge_issues(*lists: DataFrame) -> DataFrame:
@@ -81,7 +84,8 @@ def dispatch(sources: DataFrame, readers: dict, key: str = "media_type") -> tupl
     (records, issues). Sources of any other type give an issue; null is another type."""
     parts = [read(sources.where(F.col(key) == kind)) for kind, read in readers.items()]
     strange = sources.where(~F.coalesce(F.col(key).isin(*readers), F.lit(False)))
-    issue = issue_rows(strange.select("id", F.lit("EXTRACTION_FAILED").alias("code"), F.lit("error").alias("severity")), F.col("id"), message=F.lit("unsupported media type"))
+    issue = issue_rows(strange.select("id", F.lit("EXTRACTION_FAILED").alias("code"), F.lit("error").alias("severity")), F.col("id"),
+        message=F.lit("unsupported media type"))
     records = parts[0][0]
     for more, _ in parts[1:]:
         records = records.unionByName(more, allowMissingColumns=True)
@@ -101,7 +105,8 @@ class Build:
     names: list[str] = field(default_factory=list)
 
 
-def build(sources: DataFrame, extracted: DataFrame, extraction_issues: DataFrame | None = None, requested: list[str] | None = None, image_chunks: DataFrame | None = None,
+def build(sources: DataFrame, extracted: DataFrame, extraction_issues: DataFrame | None = None, requested: list[str] | None = None,
+    image_chunks: DataFrame | None = None,
           image_issues: DataFrame | None = None, cached: DataFrame | None = None, allowed_hosts: list[str] | None = None) -> Build:
     """Records, chunks and issues of the eligible sources.
 
@@ -121,7 +126,8 @@ def build(sources: DataFrame, extracted: DataFrame, extraction_issues: DataFrame
     ids = own.select(F.col("id").alias("source_id"))
     fresh = extracted.join(ids, "source_id", "left_semi")
     if cached is not None:
-        fresh = fresh.join(cached.select("source_id").distinct(), "source_id", "left_anti").unionByName(cached.join(ids, "source_id", "left_semi"), allowMissingColumns=True)
+        fresh = fresh.join(cached.select("source_id").distinct(), "source_id", "left_anti").unionByName(cached.join(ids, "source_id", "left_semi"),
+            allowMissingColumns=True)
     records = normalize_records(fresh)
     chunks = chunking.build_chunks(records, own)
     if image_chunks is not None:
@@ -135,7 +141,8 @@ def totals(b: Build) -> DataFrame:
     """One row: numbers of sources, records, chunks, errors, warnings and estimated tokens of the embedding texts."""
     n = lambda df, name, *more: df.agg(F.count("*").alias(name), *more)
     tokens = F.coalesce(F.sum(token_estimate(F.col("embedding_text"))), F.lit(0)).alias("embedding_tokens")
-    counted = b.issues.agg(F.count_if(F.col("severity") == "error").alias("error_count"), F.count_if(F.col("severity") == "warning").alias("warning_count"))
+    counted = b.issues.agg(F.count_if(F.col("severity") == "error").alias("error_count"),
+        F.count_if(F.col("severity") == "warning").alias("warning_count"))
     parts = [n(b.sources, "source_count"), n(b.records, "extraction_record_count"), n(b.chunks, "chunk_count", tokens), counted]
     out = parts[0]
     for p in parts[1:]:
@@ -154,15 +161,18 @@ def source_report(b: Build) -> DataFrame:
     Every input is aggregated by source before it is joined, so no row is multiplied.
     """
     methods = b.records.groupBy("source_id", "extraction_method").agg(F.count("*").alias("n")).where("extraction_method is not null")
-    histogram = methods.groupBy("source_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("extraction_method", "n")))).alias("extraction_methods"))
+    histogram = methods.groupBy("source_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("extraction_method",
+        "n")))).alias("extraction_methods"))
     records = b.records.groupBy("source_id").agg(F.count("*").alias("extraction_record_count"))
     chunks = b.chunks.groupBy("source_id").agg(F.count("*").alias("chunk_count"))
-    issues = b.issues.groupBy("source_id").agg(F.count_if(F.col("severity") == "error").alias("error_count"), F.count_if(F.col("severity") == "warning").alias("warning_count"))
+    issues = b.issues.groupBy("source_id").agg(F.count_if(F.col("severity") == "error").alias("error_count"),
+        F.count_if(F.col("severity") == "warning").alias("warning_count"))
     out = b.sources.select(F.col("id").alias("source_id"))
     for part in (records, chunks, issues):
         out = out.join(part, "source_id", "left")
     zero = {"extraction_record_count": 0, "chunk_count": 0, "error_count": 0, "warning_count": 0}
-    return out.na.fill(zero).join(histogram, "source_id", "left").withColumn("extraction_methods", F.coalesce("extraction_methods", F.expr("map()").cast("map<string,bigint>")))
+    return out.na.fill(zero).join(histogram, "source_id", "left").withColumn("extraction_methods",
+        F.coalesce("extraction_methods", F.expr("map()").cast("map<string,bigint>")))
 
 
 def estimate(chunks: DataFrame, cache: DataFrame | None, model: str, dims: int) -> DataFrame:
@@ -176,15 +186,18 @@ def estimate(chunks: DataFrame, cache: DataFrame | None, model: str, dims: int)
         known = rows.withColumn("hit", F.lit(False))
     else:
         valid = cache.where((F.col("model") == model) & (F.col("dimensions") == dims) & sync.valid_vector(F.col("vector"), dims))
-        known = rows.join(valid.select("content_hash").distinct().withColumn("_hit", F.lit(True)), "content_hash", "left").withColumn("hit", F.col("_hit").isNotNull())
+        known = rows.join(valid.select("content_hash").distinct().withColumn("_hit", F.lit(True)), "content_hash", "left").withColumn("hit",
+            F.col("_hit").isNotNull())
     return known.agg(
-        F.count("*").alias("chunk_count"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("estimated_characters"), F.coalesce(F.sum(token_estimate(F.col("t"))), F.lit(0)).alias("estimated_tokens"),
+        F.count("*").alias("chunk_count"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("estimated_characters"),
+            F.coalesce(F.sum(token_estimate(F.col("t"))), F.lit(0)).alias("estimated_tokens"),
         F.count_if("hit").alias("cache_hits"), F.count_if(~F.col("hit")).alias("cache_misses"))
 
 
 def download_counts(results: DataFrame) -> DataFrame:
     """One row: downloads asked for, done and failed."""
-    return results.agg(F.count("*").alias("source_count"), F.count_if(F.col("status") == "downloaded").alias("downloaded_count"), F.count_if(F.col("status") == "failed").alias("failed_count"))
+    return results.agg(F.count("*").alias("source_count"), F.count_if(F.col("status") == "downloaded").alias("downloaded_count"),
+        F.count_if(F.col("status") == "failed").alias("failed_count"))
 
 
 def duplicate_groups(rows: DataFrame, digest: str = "sha256", id_col: str = "id") -> DataFrame:
@@ -200,12 +213,18 @@ def batches(rows: DataFrame, by: list[str], order: list[str], size: int) -> Data
 
 #: Fields of the index with their attributes: k key, s searchable, f filterable, t sortable, c facetable.
 INDEX_FIELDS = (
-    ("id", "string", "kf"), ("content", "string", "s"), ("content_type", "string", "fc"), ("title", "string", "sf"), ("source_id", "string", "f"), ("source_url", "string", ""),
-    ("blob_path", "string", ""), ("page", "int", "f"), ("page_end", "int", "f"), ("section", "string", "sf"), ("sheet", "string", "sf"), ("cell_range", "string", ""),
-    ("published_date", "timestamp", "ft"), ("effective_from", "timestamp", "ft"), ("effective_to", "timestamp", "ft"), ("tax_year", "string", "fc"), ("document_version", "string", "f"),
-    ("workflow_id", "string", "f"), ("authority_level", "string", "fc"), ("authority_rank", "int", "ft"), ("tax_types", "array<string>", "sfc"), ("taxpayer_types", "array<string>", "sfc"),
-    ("language", "string", "fc"), ("status", "string", "fc"), ("supersedes", "array<string>", "f"), ("form_code", "string", "sf"), ("tags", "array<string>", "sfc"), ("source_hash", "string", "f"),
-    ("chunk_hash", "string", "f"), ("image_id", "string", "f"), ("image_url", "string", ""), ("image_alt_text", "string", "s"), ("image_caption", "string", "s"), ("embedding", "array<float>", "s"),
+    ("id", "string", "kf"), ("content", "string", "s"), ("content_type", "string", "fc"), ("title", "string", "sf"), ("source_id", "string", "f"),
+        ("source_url", "string", ""),
+    ("blob_path", "string", ""), ("page", "int", "f"), ("page_end", "int", "f"), ("section", "string", "sf"), ("sheet", "string", "sf"),
+        ("cell_range", "string", ""),
+    ("published_date", "timestamp", "ft"), ("effective_from", "timestamp", "ft"), ("effective_to", "timestamp", "ft"), ("tax_year", "string", "fc"),
+        ("document_version", "string", "f"),
+    ("workflow_id", "string", "f"), ("authority_level", "string", "fc"), ("authority_rank", "int", "ft"), ("tax_types", "array<string>", "sfc"),
+        ("taxpayer_types", "array<string>", "sfc"),
+    ("language", "string", "fc"), ("status", "string", "fc"), ("supersedes", "array<string>", "f"), ("form_code", "string", "sf"),
+        ("tags", "array<string>", "sfc"), ("source_hash", "string", "f"),
+    ("chunk_hash", "string", "f"), ("image_id", "string", "f"), ("image_url", "string", ""), ("image_alt_text", "string", "s"),
+        ("image_caption", "string", "s"), ("embedding", "array<float>", "s"),
 )
 _ATTRIBUTES = {"k": "key", "s": "searchable", "f": "filterable", "t": "sortable", "c": "facetable"}
 
@@ -226,7 +245,8 @@ def index_schema(dims: int, fields=INDEX_FIELDS):
 def index_rows(chunks: DataFrame, dims: int) -> DataFrame:
     """Chunks in the columns and types of `index_schema`; columns that they lack are null."""
     schema = index_schema(dims)
-    return chunks.select(*[(F.col(f.name) if f.name in chunks.columns else F.lit(None)).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in schema])
+    return chunks.select(*[(F.col(f.name) if f.name in chunks.columns else F.lit(None)).cast(f.dataType).alias(f.name,
+        metadata=f.metadata) for f in schema])
 
 
 def iso_time(value: Column) -> Column:
@@ -257,7 +277,8 @@ class Settings:
 
     #: Least and largest value of each number.
     bounds = {
-        "timeout_seconds": (1, 120), "max_output_tokens": (64, 8192), "dimensions": (1, 3072), "min_score": (0, 1), "initial_top": (1, 100), "vector_k": (1, 100),
+        "timeout_seconds": (1, 120), "max_output_tokens": (64, 8192), "dimensions": (1, 3072), "min_score": (0, 1), "initial_top": (1, 100),
+            "vector_k": (1, 100),
         "image_top_k": (1, 50), "max_evidence": (1, 24), "max_images": (1, 8), "max_message_chars": (100, 50_000), "max_history_messages": (1, 50),
     }
 

@@ -34,7 +34,8 @@ def provenance_checks(base_url: str | None = None) -> dict[str, tuple[str, Colum
     found = {
         "PAGE_MISSING": c("page").isNull(), "SOURCE_UNKNOWN": ~known, "SOURCE_NOT_APPROVED": known & ~K.sure(s("review_status") == "approved"),
         "SOURCE_EXCLUDED": K.sure(s("status") == "excluded"), "SOURCE_URL_MISMATCH": known & ~own_url,
-        "PAGE_NOT_RENDERED": K.sure(F.size(pages) > 0) & ~K.sure(F.array_contains(pages, c("page"))), "IMAGE_EXCLUDED": K.sure(c("status") == "excluded"),
+        "PAGE_NOT_RENDERED": K.sure(F.size(pages) > 0) & ~K.sure(F.array_contains(pages, c("page"))),
+            "IMAGE_EXCLUDED": K.sure(c("status") == "excluded"),
         "PUBLIC_URL_INVALID": ~K.public_image(c("public_url"), F.lit(base_url.rstrip("/")) if base_url else None),
     }
     return {code: ("error", bad) for code, bad in found.items()}
@@ -58,16 +59,20 @@ def image_chunks(images: DataFrame, sources: DataFrame, base_url: str | None = N
     line = lambda label, value: F.when(value.isNotNull() & (value.cast("string") != ""), F.concat(F.lit(label), value.cast("string")))
     workflow = line("Workflow: ", c("workflow_id"))
     content = F.concat_ws("\n", "title", "alt_text", line("", c("caption")), workflow, line("Reviewed page text:\n", page_text(c("page_text"))))
-    head = F.concat_ws("\n", F.concat(F.lit("Document: "), s("title")), line("Document type: ", s("document_type")), line("Tax type: ", F.array_join(labels("tax_types"), ", ")), line("Page: ", c("page")), workflow)
+    head = F.concat_ws("\n", F.concat(F.lit("Document: "), s("title")), line("Document type: ", s("document_type")),
+        line("Tax type: ", F.array_join(labels("tax_types"), ", ")), line("Page: ", c("page")), workflow)
     place = F.concat_ws(":", "source_id", F.lit("page"), c("page").cast("string"), F.lit("image"), "image_id")
     rows = joined.where(~bad).select(
-        "image_id", "source_id", "title", "source_url", "page", c("page").alias("page_end"), "workflow_id", "effective_from", "effective_to", "status",
-        labels("tax_types").alias("tax_types"), labels("taxpayer_types").alias("taxpayer_types"), content.alias("content"), "source", place.alias("_place"),
+        "image_id", "source_id", "title", "source_url", "page", c("page").alias("page_end"), "workflow_id", "effective_from", "effective_to",
+            "status",
+        labels("tax_types").alias("tax_types"), labels("taxpayer_types").alias("taxpayer_types"), content.alias("content"), "source",
+            place.alias("_place"),
         c("public_url").alias("image_url"), c("alt_text").alias("image_alt_text"), c("caption").alias("image_caption"),
     )
     digest = F.sha2(F.to_json(F.struct("content", c("_place").alias("locator"))), 256)
     out = rows.withColumn("chunk_hash", digest).select(
-        F.concat(F.lit("guide-image-"), "image_id", F.lit("-"), F.substring("chunk_hash", 1, 24)).alias("id"), F.concat(head, F.lit("\n\n"), "content").alias("embedding_text"),
+        F.concat(F.lit("guide-image-"), "image_id", F.lit("-"), F.substring("chunk_hash", 1, 24)).alias("id"),
+            F.concat(head, F.lit("\n\n"), "content").alias("embedding_text"),
         F.lit("guide_image").alias("content_type"), s("authority_level").alias("authority_level"), s("authority_rank").alias("authority_rank"),
         s("sha256").alias("source_hash"), *[x for x in rows.columns if x not in ("source", "_place")], "chunk_hash",
     )
@@ -101,8 +106,10 @@ def webp_facts(content: Column) -> Column:
 
 def image_files(files: DataFrame) -> DataFrame:
     """(file_name, file_sha256, file_bytes, file_format, file_width, file_height) of rows of a binary scan (path, length, content)."""
-    facts = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2("content", 256).alias("file_sha256"), F.col("length").alias("file_bytes"), webp_facts(F.col("content")).alias("f"))
-    return facts.select("file_name", "file_sha256", "file_bytes", F.col("f.format").alias("file_format"), F.col("f.width").alias("file_width"), F.col("f.height").alias("file_height"))
+    facts = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2("content", 256).alias("file_sha256"),
+        F.col("length").alias("file_bytes"), webp_facts(F.col("content")).alias("f"))
+    return facts.select("file_name", "file_sha256", "file_bytes", F.col("f.format").alias("file_format"), F.col("f.width").alias("file_width"),
+        F.col("f.height").alias("file_height"))
 
 
 def publish_plan(images: DataFrame, files: DataFrame, base_url: str, prefix: str) -> tuple[DataFrame, DataFrame]:
@@ -120,14 +127,17 @@ def publish_plan(images: DataFrame, files: DataFrame, base_url: str, prefix: str
     checks = {
         "IMAGE_ID_REPEATED": c("_twice"), "IMAGE_EXCLUDED": K.sure(c("status") == "excluded"), "PAGE_MISSING": c("page").isNull(),
         "HASH_INVALID": K.unlike(c("binary_sha256"), K.SHA256), "FACTS_MISSING": c("byte_size").isNull() | c("width").isNull() | c("height").isNull(),
-        "FILE_MISSING": ~there, "IMAGE_SIZE_MISMATCH": differs("byte_size", "file_bytes"), "IMAGE_HASH_MISMATCH": differs("binary_sha256", "file_sha256"),
-        "IMAGE_FORMAT_MISMATCH": there & ~K.sure(c("file_format") == "webp"), "IMAGE_DIMENSIONS_MISMATCH": differs("width", "file_width") | differs("height", "file_height"),
+        "FILE_MISSING": ~there, "IMAGE_SIZE_MISMATCH": differs("byte_size", "file_bytes"),
+            "IMAGE_HASH_MISMATCH": differs("binary_sha256", "file_sha256"),
+        "IMAGE_FORMAT_MISMATCH": there & ~K.sure(c("file_format") == "webp"),
+            "IMAGE_DIMENSIONS_MISMATCH": differs("width", "file_width") | differs("height", "file_height"),
     }
     bad = F.lit(False)
     for wrong in checks.values():
         bad = bad | wrong
     blob = F.concat(F.lit(f"{prefix.rstrip('/')}/"), "file_name")
-    plan = joined.where(~bad).select("image_id", "file_name", blob.alias("blob_name"), F.concat(F.lit(f"{base_url.rstrip('/')}/"), blob).alias("public_url"))
+    plan = joined.where(~bad).select("image_id", "file_name", blob.alias("blob_name"),
+        F.concat(F.lit(f"{base_url.rstrip('/')}/"), blob).alias("public_url"))
     return plan, issues(joined, {code: ("error", x) for code, x in checks.items()}, "image_id")
 
 
@@ -148,9 +158,11 @@ def publish(plan: DataFrame, files: DataFrame, put, sleep=None) -> DataFrame:
     def run(batches):
         for batch in batches:
             kinds = [upload.with_retries(lambda b=b, c=c: put(b, bytes(c)), **wait)[1] for b, c in zip(batch["blob_name"], batch["content"])]
-            yield pd.DataFrame({"image_id": batch["image_id"], "blob_name": batch["blob_name"], "public_url": batch["public_url"], "kind": pd.Series(kinds, dtype=object)})
+            yield pd.DataFrame({"image_id": batch["image_id"], "blob_name": batch["blob_name"], "public_url": batch["public_url"],
+                "kind": pd.Series(kinds, dtype=object)})
 
-    return plan.join(named, "file_name").select("image_id", "blob_name", "public_url", "content").mapInPandas(run, "image_id string, blob_name string, public_url string, kind string")
+    return plan.join(named, "file_name").select("image_id", "blob_name", "public_url", "content").mapInPandas(run,
+        "image_id string, blob_name string, public_url string, kind string")
 
 
 def write_candidates(candidates: DataFrame, path: str) -> None:

@@ -77,7 +77,8 @@ def runs(df: DataFrame, keys: list[str], by: list[str], order: str) -> DataFrame
     own = Window.partitionBy("_part", *by).orderBy(F.col(order).asc_nulls_first())
     same = F.struct(*keys).eqNullSafe(F.lag(F.struct(*keys)).over(own))
     first = F.row_number().over(own) == 1
-    steps = rows.withColumn("_step", (~same & ~first).cast("int")).withColumn("_n", F.sum("_step").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    steps = rows.withColumn("_step", (~same & ~first).cast("int")).withColumn("_n",
+        F.sum("_step").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     at, value = F.struct(F.col(order).isNotNull(), F.col(order)), F.struct(*keys)
     ends = steps.groupBy("_part", *by).agg(F.sum("_step").alias("_n"), F.min_by(value, at).alias("_first"), F.max_by(value, at).alias("_last"))
     parts = Window.partitionBy(*by).orderBy("_part")
@@ -115,7 +116,8 @@ class Greedy:
         return np.where(size >= self.full, -1, size), begins
 
 
-def greedy_groups(df: DataFrame, by: list[str], keys: list[str], order: str, length: str, alone: str, most: int, full: int, glue: int = 2) -> DataFrame:
+def greedy_groups(df: DataFrame, by: list[str], keys: list[str], order: str, length: str, alone: str, most: int, full: int,
+    glue: int = 2) -> DataFrame:
     """`df` with first: the `order` value (bigint, unique within `by`) of the first row of a row's group.
 
     Neighbours in order are grouped while they agree in `by` and `keys` (null-safe) and their joined length (with `glue`
@@ -127,7 +129,8 @@ def greedy_groups(df: DataFrame, by: list[str], keys: list[str], order: str, len
     rule = Greedy(most, full, glue)
     mark = F.md5(F.to_json(F.struct(*by, *keys)))
     rows = ranged(df.withColumn("_mark", mark), by, [order])
-    slim = rows.select("_part", "_mark", F.coalesce(F.col(length), F.lit(0)).cast("int").alias("n"), F.coalesce(F.col(alone), F.lit(False)).alias("alone"), F.col(order).cast("bigint").alias("at"))
+    slim = rows.select("_part", "_mark", F.coalesce(F.col(length), F.lit(0)).cast("int").alias("n"),
+        F.coalesce(F.col(alone), F.lit(False)).alias("alone"), F.col(order).cast("bigint").alias("at"))
 
     def described(batches):
         """One row a range: whole (one run without a row that is alone), the marks at its ends, the last state and the first row of
@@ -168,7 +171,8 @@ def greedy_groups(df: DataFrame, by: list[str], keys: list[str], order: str, len
 
     arrow = pa.schema([("part", pa.int32()), ("whole", pa.bool_()), ("first_mark", pa.string()), ("mark", pa.string()), ("state", pa.int32()),
                        ("start", pa.int64()), ("kind", pa.binary()), ("states", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
-    found = slim.mapInArrow(described, "part int, whole boolean, first_mark string, mark string, state int, start bigint, kind binary, states array<bigint>, starts array<bigint>")
+    found = slim.mapInArrow(described,
+        "part int, whole boolean, first_mark string, mark string, state int, start bigint, kind binary, states array<bigint>, starts array<bigint>")
     entry: dict[int, tuple] = {}
     mark_, state, start = None, -1, None
     for r in sorted(found.collect(), key=lambda r: r["part"]):  # a row for each range

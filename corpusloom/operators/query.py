@@ -70,10 +70,12 @@ def validate_requests(messages: DataFrame, key: str = "conv_id", turn: str = "tu
     known = F.coalesce(F.col(role).isin("user", "assistant"), F.lit(False))
     out = messages.groupBy(key).agg(
         F.count("*").alias("n_messages"), F.sum(F.coalesce(F.length(text), F.lit(0))).cast("bigint").alias("n_chars"),
-        F.max_by(role, turn).alias("last_role"), F.sum((~known).cast("bigint")).alias("bad_roles"), F.sum(empty.cast("bigint")).alias("empty_messages"),
+        F.max_by(role, turn).alias("last_role"), F.sum((~known).cast("bigint")).alias("bad_roles"),
+            F.sum(empty.cast("bigint")).alias("empty_messages"),
     )
     return out.withColumns({
-        "valid": (F.col("bad_roles") == 0) & (F.col("empty_messages") == 0) & (F.col("last_role") == "user") & F.col("n_messages").between(1, max_messages),
+        "valid": (F.col("bad_roles") == 0) & (F.col("empty_messages") == 0) & (F.col("last_role") == "user") & F.col("n_messages").between(1,
+            max_messages),
         "too_large": F.col("n_chars") > max_chars,
     })
 

@@ -30,7 +30,8 @@ def latest_questions(messages: DataFrame, settings: Settings) -> DataFrame:
     recent = query.history(messages, settings.max_history_messages)
     said = recent.groupBy(F.col("conv_id").alias("query_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_m"))
     out = checked.join(last, "query_id", "left").join(said, "query_id", "left")
-    return out.select("query_id", "q.question", "q.retrieval_text", F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("said"), "valid", "too_large")
+    return out.select("query_id", "q.question", "q.retrieval_text", F.transform("_m",
+        lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("said"), "valid", "too_large")
 
 
 def search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, top: int, images: bool) -> DataFrame:
@@ -48,10 +49,12 @@ def search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, top: int
         words = retrieval.bm25_top(chunks.select("id", "content"), own, top, "id", "content", among=ids)
         near = retrieval.cosine_top(vectors.join(ids, "id", "left_semi"), own, top, "id")
         fused = retrieval.fuse([(words, "rank"), (near, "rank")], "id").withColumn("score", F.round("rrf", 9))
-        best = retrieval.top_k(fused, "score", top, "id", "original_rank").select("query_id", "id", "score", (F.col("original_rank") - 1).alias("original_rank"))
+        best = retrieval.top_k(fused, "score", top, "id", "original_rank").select("query_id", "id", "score",
+            (F.col("original_rank") - 1).alias("original_rank"))
         parts.append(best.join(fit, "id"))
     if not parts:
-        return chunks.limit(0).select(F.lit(None).cast(questions.schema["query_id"].dataType).alias("query_id"), F.lit(0.0).alias("score"), F.lit(0).alias("original_rank"), "*")
+        return chunks.limit(0).select(F.lit(None).cast(questions.schema["query_id"].dataType).alias("query_id"), F.lit(0.0).alias("score"),
+            F.lit(0).alias("original_rank"), "*")
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -74,12 +77,14 @@ def generated(prompts: DataFrame, generate: Callable[[list[str]], list[str]], re
             texts, failed = upload.with_retries(call, retries, **wait)
             n = len(batch)
             wrong = failed is not None or len(texts) != n
-            yield pd.DataFrame({"query_id": batch["query_id"], "text": [None] * n if wrong else texts, "code": [codes[-1] if codes else 0] * n if wrong else [None] * n})
+            yield pd.DataFrame({"query_id": batch["query_id"], "text": [None] * n if wrong else texts,
+                "code": [codes[-1] if codes else 0] * n if wrong else [None] * n})
 
     return prompts.select("query_id", "prompt").mapInPandas(run, f"query_id {kind}, text string, code int")
 
 
-def answer_questions(messages: DataFrame, chunks: DataFrame | None, vectors: DataFrame | None, embed, generate, settings: Settings = Settings(), sleep=None) -> DataFrame:
+def answer_questions(messages: DataFrame, chunks: DataFrame | None, vectors: DataFrame | None, embed, generate, settings: Settings = Settings(),
+    sleep=None) -> DataFrame:
     """(query_id, answer, citations, guide, error) for each conversation; error: struct<code, status> where there is no answer.
 
     chunks: rows of `retrieval.row_defaults`, images among them; vectors: (id, embedding). Without chunks the model is
@@ -95,14 +100,17 @@ def answer_questions(messages: DataFrame, chunks: DataFrame | None, vectors: Dat
         analysed = query.analyze(fine.select("query_id", "retrieval_text"))
         texts = analysed.select(F.col("query_id").cast("string").alias("content_hash"), F.col("retrieval_text").alias("embedding_text"))
         wait = {} if sleep is None else {"sleep": sleep}
-        vecs = stored(upload.embed(texts, embed, settings.dimensions, **wait).where("vector is not null")).select(F.col("key").alias("_q"), F.col("vector").alias("query_vec"))
-        ready = stored(analysed.join(vecs, F.col("query_id").cast("string") == F.col("_q")).drop("_q").withColumn("query_text", F.col("retrieval_text")))
+        vecs = stored(upload.embed(texts, embed, settings.dimensions, **wait).where("vector is not null")).select(F.col("key").alias("_q"),
+            F.col("vector").alias("query_vec"))
+        ready = stored(analysed.join(vecs, F.col("query_id").cast("string") == F.col("_q")).drop("_q").withColumn("query_text",
+            F.col("retrieval_text")))
         found = search(ready, chunks, vectors, settings.initial_top, False)
         how = ready.where("procedural_intent")
         pictures = search(how, chunks, vectors, settings.image_top_k, True)
         evidence, shown = retrieval.retrieve(ready, found, pictures, settings.min_score, settings.max_evidence, settings.max_images)
         contexts = stored(answer.build_context(evidence, shown))
-        prompts = ready.select("query_id").join(fine.select("query_id", "said"), "query_id").join(contexts.select("query_id", "context"), "query_id", "left").select(
+        prompts = ready.select("query_id").join(fine.select("query_id", "said"), "query_id").join(contexts.select("query_id", "context"), "query_id",
+            "left").select(
             "query_id", answer.prompt(F.col("said"), F.col("context")).alias("prompt"))
     told = stored(generated(prompts, generate, sleep=sleep))
     if contexts is None:
@@ -110,13 +118,15 @@ def answer_questions(messages: DataFrame, chunks: DataFrame | None, vectors: Dat
         image = "array<struct<marker:string,image_id:string,image_url:string,image_alt_text:string,image_caption:string,source_id:string,page:int,content_type:string,status:string>>"
         contexts = told.select("query_id", F.from_json(F.lit("[]"), empty).alias("sources"), F.from_json(F.lit("[]"), image).alias("images"))
     made = answer.answer_rows(told.select("query_id", "text"), contexts, settings.media_base_url)
-    return asked.select("query_id", "valid", "too_large").join(told.select("query_id", "code"), "query_id", "left").join(made, "query_id", "left").select(
+    return asked.select("query_id", "valid", "too_large").join(told.select("query_id", "code"), "query_id", "left").join(made, "query_id",
+        "left").select(
         "query_id", "answer", "citations", "guide", _error(F.col("valid"), F.col("too_large"), F.col("code"), F.col("answer")).alias("error"))
 
 
 def _error(valid: Column, too_large: Column, code: Column, text: Column) -> Column:
     of = lambda name, status: F.struct(F.lit(name).alias("code"), F.lit(status).alias("status"))
     return (
-        F.when(~valid, of("REQUEST_INVALID", 422)).when(too_large, of("REQUEST_TOO_LARGE", 413)).when(code.isNotNull(), answer.provider_error(code, "GENERATION_ERROR"))
+        F.when(~valid, of("REQUEST_INVALID", 422)).when(too_large, of("REQUEST_TOO_LARGE", 413)).when(code.isNotNull(),
+            answer.provider_error(code, "GENERATION_ERROR"))
         .when(text.isNull(), of("ANSWER_INVALID", 503))
     )

@@ -51,7 +51,8 @@ def signature(content: Column) -> Column:
     member = lambda name: F.contains(content, F.lit(name.encode()))
     first = lambda n: F.hex(F.substring(content, 1, n))
     book = (first(2) == "504B") & member("[Content_Types].xml") & member("xl/workbook.xml")
-    return F.when(first(4) == "25504446", "pdf").when(book, "xlsm").when(head.rlike("^(?:<!doctype|<html|<[?]xml|<head|<body)"), "html").otherwise("unknown")
+    return F.when(first(4) == "25504446", "pdf").when(book, "xlsm").when(head.rlike("^(?:<!doctype|<html|<[?]xml|<head|<body)"),
+        "html").otherwise("unknown")
 
 
 def url_path(url: Column) -> Column:
@@ -60,8 +61,10 @@ def url_path(url: Column) -> Column:
 
 def url_title(url: Column, host_default: str = "Official webpage") -> Column:
     """The last part of a url's path as words, else its host."""
-    last = F.coalesce(F.try_url_decode(F.replace(F.regexp_extract(url_path(url), r"([^/]+)/*$", 1), F.lit("+"), F.lit("%2B"))), F.regexp_extract(url_path(url), r"([^/]+)/*$", 1))
-    words = strip(F.regexp_replace(F.regexp_replace(F.when(last != "", last).otherwise(K.host(url)), r"(?i)\.(?:pdf|xlsm|aspx?|html?)$", ""), "[_-]+", " "))
+    last = F.coalesce(F.try_url_decode(F.replace(F.regexp_extract(url_path(url), r"([^/]+)/*$", 1), F.lit("+"), F.lit("%2B"))),
+        F.regexp_extract(url_path(url), r"([^/]+)/*$", 1))
+    words = strip(F.regexp_replace(F.regexp_replace(F.when(last != "", last).otherwise(K.host(url)), r"(?i)\.(?:pdf|xlsm|aspx?|html?)$", ""), "[_-]+",
+        " "))
     return F.coalesce(F.nullif(words, F.lit("")), F.lit(host_default))
 
 
@@ -87,14 +90,17 @@ def classify(rows: DataFrame, url: str = "source_url", media_type: str = "media_
     old = (F.col("document_type") == "portal_guide") & (F.col("tax_year") < CURRENT_PERIOD)
     return found.withColumns({
         "authority_rank": F.try_element_at(ranks, F.col("authority_level")), "language": language,
-        "document_version": F.nullif(F.regexp_replace(version, r"\s+", ""), F.lit("")), "form_code": F.nullif(F.regexp_extract(F.upper(text), FORM_CODE, 1), F.lit("")),
-        "tax_types": labels(text, TAX_PATTERNS), "taxpayer_types": labels(text, TAXPAYER_PATTERNS), "status": F.when(K.sure(old), "historical").otherwise("current"),
+        "document_version": F.nullif(F.regexp_replace(version, r"\s+", ""), F.lit("")),
+            "form_code": F.nullif(F.regexp_extract(F.upper(text), FORM_CODE, 1), F.lit("")),
+        "tax_types": labels(text, TAX_PATTERNS), "taxpayer_types": labels(text, TAXPAYER_PATTERNS),
+            "status": F.when(K.sure(old), "historical").otherwise("current"),
     })
 
 
 def manifest_rows(manifests: list[DataFrame]) -> DataFrame:
     """Rows of manifests, each a DataFrame with one `sources` array, with `position`: (number of the manifest, of the row)."""
-    flat = [m.select(F.posexplode("sources").alias("_p", "s")).select(F.struct(F.lit(k).alias("m"), F.col("_p").alias("p")).alias("position"), "s.*") for k, m in enumerate(manifests)]
+    flat = [m.select(F.posexplode("sources").alias("_p", "s")).select(F.struct(F.lit(k).alias("m"), F.col("_p").alias("p")).alias("position"),
+        "s.*") for k, m in enumerate(manifests)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), flat)
 
 
@@ -114,21 +120,27 @@ def build(items: DataFrame, hosts=HOSTS, titles: DataFrame | None = None, prefix
     row = F.struct("url", "final_url", "media_type", "local_file")
     first = usable.where("NOT broken").groupBy("sha256").agg(F.min("position").alias("position"), F.min_by(row, "position").alias("r"))
     urls = own.where("NOT broken").groupBy("sha256", "url").agg(F.min("position").alias("at"))
-    others = urls.join(first.select("sha256", F.col("position").alias("_first"), F.col("r.url").alias("_url")), "sha256").where("url <> _url AND at > _first")
+    others = urls.join(first.select("sha256", F.col("position").alias("_first"), F.col("r.url").alias("_url")),
+        "sha256").where("url <> _url AND at > _first")
     aliases = others.groupBy("sha256").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "url"))), lambda s: s["url"]).alias("aliases"))
     none = F.expr("cast(array() as array<string>)")
-    kept = first.select("sha256", "position", "r.*", F.lit(False).alias("broken")).join(aliases, "sha256", "left").withColumn("aliases", F.coalesce("aliases", none))
-    rows = kept.unionByName(usable.where("broken").select("sha256", "position", "url", "final_url", "media_type", "local_file", "broken", none.alias("aliases")))
+    kept = first.select("sha256", "position", "r.*", F.lit(False).alias("broken")).join(aliases, "sha256", "left").withColumn("aliases",
+        F.coalesce("aliases", none))
+    rows = kept.unionByName(usable.where("broken").select("sha256", "position", "url", "final_url", "media_type", "local_file", "broken",
+        none.alias("aliases")))
     named = rows.withColumn("title", url_title(F.col("url")))
     if titles is not None:
         known = titles.groupBy("url").agg(F.last("title").alias("_title"))
         named = named.join(known, "url", "left").withColumn("title", F.coalesce("_title", "title")).drop("_title")
     done = classify(named.withColumnRenamed("url", "source_url").withColumn("_slug", slug(F.concat(F.lit(prefix), "title"))))
     out = F.col("broken") | (F.col("language") != "en")
-    reason = F.when(F.col("broken"), "The workbook's url answered with a web page.").when(F.col("language") != "en", "Kept in the registry; its language is not one of the corpus.")
+    reason = F.when(F.col("broken"), "The workbook's url answered with a web page.").when(F.col("language") != "en",
+        "Kept in the registry; its language is not one of the corpus.")
     full = sync.unique_ids(done, "_slug", "sha256", "position").withColumns({
-        "status": F.when(out, "excluded").otherwise(F.col("status")), "review_status": F.when(F.col("broken"), "rejected").otherwise("approved"), "exclusion_reason": reason,
-        "media_type": F.when(F.col("broken"), "text/html").otherwise(F.col("media_type")), "final_url": F.when(F.col("final_url") != F.col("source_url"), F.col("final_url")),
+        "status": F.when(out, "excluded").otherwise(F.col("status")), "review_status": F.when(F.col("broken"), "rejected").otherwise("approved"),
+            "exclusion_reason": reason,
+        "media_type": F.when(F.col("broken"), "text/html").otherwise(F.col("media_type")),
+            "final_url": F.when(F.col("final_url") != F.col("source_url"), F.col("final_url")),
         "jurisdiction": F.lit("LK"),
     })
     return full.drop("_slug", "broken")

@@ -70,7 +70,8 @@ def _task_best(rows: DataFrame, query_ids: list, query_field: StructField, k: in
     """(query_id, id, name) of the k best rows of each question within each task. rows: id first, without null ids;
     score(batch) yields (first row, scores) for runs of rows."""
     id_field = rows.schema[0]
-    schema = StructType([StructField("query_id", query_field.dataType), StructField(id_field.name, id_field.dataType), StructField(name, DoubleType())])
+    schema = StructType([StructField("query_id", query_field.dataType), StructField(id_field.name, id_field.dataType),
+        StructField(name, DoubleType())])
     kinds: list = []
     query_kind = to_arrow_type(query_field.dataType)
 
@@ -83,7 +84,8 @@ def _task_best(rows: DataFrame, query_ids: list, query_field: StructField, k: in
                 best.add(part, ids[at : at + len(part)])
         if best.rows and len(best.rows[0]):
             query, value, ids = best.rows
-            yield pa.RecordBatch.from_arrays([pa.array([query_ids[q] for q in query], query_kind), pa.array(ids, kinds[0]), pa.array(value)], ["query_id", id_field.name, name])
+            yield pa.RecordBatch.from_arrays([pa.array([query_ids[q] for q in query], query_kind), pa.array(ids, kinds[0]), pa.array(value)],
+                ["query_id", id_field.name, name])
 
     return rows.mapInArrow(run, schema)
 
@@ -126,7 +128,8 @@ def _term_scorer(shared, k1: float, b: float, mean: float):
     return score
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, k: int = 24, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, among: DataFrame | None = None) -> DataFrame:
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int = 24, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75,
+    among: DataFrame | None = None) -> DataFrame:
     """(query_id, id, bm25, rank) of the k best documents of each question (query_id, query_text), by its distinct terms.
 
     With `among` (a table of ids), only its documents are ranked; the statistics stay those of all documents. Null
@@ -160,13 +163,16 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 24, id_col: str
     Vectors without a direction (null, with a null, NaN or infinity, or of length zero), those of another dimension
     than the question's and those with a null id are not ranked; ties go to the smaller id. Scores are rounded to 9 places.
     """
-    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~F.exists(vec_col, lambda x: x.isNull())).select(id_col, F.col(vec_col).cast("array<double>").alias("v"))
-    asked = queries.where(F.col("query_vec").isNotNull() & ~F.exists("query_vec", lambda x: x.isNull())).select("query_id", F.col("query_vec").cast("array<double>").alias("v"))
+    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~F.exists(vec_col, lambda x: x.isNull())).select(id_col,
+        F.col(vec_col).cast("array<double>").alias("v"))
+    asked = queries.where(F.col("query_vec").isNotNull() & ~F.exists("query_vec", lambda x: x.isNull())).select("query_id",
+        F.col("query_vec").cast("array<double>").alias("v"))
     out = []
     for block in _blocks(asked, max(1, -(-asked.count() // QUERY_BLOCK))):
         sizes = [len(r["v"]) for r in block]
         by_size = {d: [i for i, n in enumerate(sizes) if n == d] for d in set(sizes)}
-        shared = vectors.sparkSession.sparkContext.broadcast({d: (np.array(at), _unit(np.array([block[i]["v"] for i in at]).reshape(-1, d))) for d, at in by_size.items()})
+        shared = vectors.sparkSession.sparkContext.broadcast({d: (np.array(at), _unit(np.array([block[i]["v"] for i in at]).reshape(-1, d))) for d,
+            at in by_size.items()})
         n = len(block)
 
         def score(batch, shared=shared, n=n):
@@ -248,7 +254,8 @@ def scored_rows(candidates: DataFrame) -> DataFrame:
     return candidates.withColumns({
         "s_period": period_score(F.col("q_tax_year")),
         "s_exact": F.when((F.col("q_tax_year") != "") & (F.col("tax_year") == F.col("q_tax_year")), 1).otherwise(0),
-        "s_status": F.coalesce(F.when(F.col("q_historical"), _lookup(vocab.STATUS_PAST, status)).otherwise(_lookup(vocab.STATUS_NOW, status)), F.lit(0)),
+        "s_status": F.coalesce(F.when(F.col("q_historical"), _lookup(vocab.STATUS_PAST, status)).otherwise(_lookup(vocab.STATUS_NOW, status)),
+            F.lit(0)),
         "s_tax": F.when(F.size(low("q_tax_types")) == 0, 0).when(F.size(low("tax_types")) == 0, 1)
         .when(F.arrays_overlap(low("tax_types"), low("q_tax_types")), 2).otherwise(0),
         "s_authority": F.coalesce(preference, own),
@@ -285,13 +292,15 @@ def rerank_images(images: DataFrame, evidence: DataFrame, limit: int = 4) -> Dat
     pages = evidence.where("source_id <> '' and page is not null").select("query_id", "source_id", "page").distinct().withColumn("_p", F.lit(2))
     flows = evidence.where("trim(workflow_id) <> ''").select("query_id", F.trim("workflow_id").alias("_flow")).distinct().withColumn("_w", F.lit(1))
     status = F.coalesce(F.lower(F.col("status")), F.lit(""))
-    own = images.where((F.col("content_type") == "guide_image") & ~status.isin("excluded", "superseded", "historical")).withColumn("_flow", F.trim("workflow_id"))
+    own = images.where((F.col("content_type") == "guide_image") & ~status.isin("excluded", "superseded", "historical")).withColumn("_flow",
+        F.trim("workflow_id"))
     joined = own.join(pages, ["query_id", "source_id", "page"], "left").join(flows, ["query_id", "_flow"], "left")
     written = F.when(F.col("_flow") == F.col("workflow_id"), 1).otherwise(0)
     tied = scored_rows(joined.where("_p is not null or _w is not null").withColumn("association", F.coalesce("_p", written)))
     tied = tied.where("q_tax_year is null or q_tax_year = '' or s_period > 0")
     keys = [F.col(c).desc() for c in ("association", "s_period", "s_tax", "s_authority")] + [F.col("original_rank"), F.col("id")]
-    return tied.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*keys))).where(F.col("rank") <= limit).drop("_p", "_w", "_flow")
+    return tied.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*keys))).where(F.col("rank") <= limit).drop("_p", "_w",
+        "_flow")
 
 
 def row_defaults(rows: DataFrame) -> DataFrame:
@@ -314,15 +323,18 @@ def row_defaults(rows: DataFrame) -> DataFrame:
         own = F.filter(name, lambda x: x.isNotNull()) if have[name].startswith("array") else F.array(F.col(name).cast("string"))
         return F.when(F.col(name).isNull(), none).otherwise(own).alias(name)
 
-    plain = ("source_url", "blob_path", "section", "sheet", "cell_range", "tax_year", "document_version", "workflow_id", "authority_level", "language", "status",
+    plain = ("source_url", "blob_path", "section", "sheet", "cell_range", "tax_year", "document_version", "workflow_id", "authority_level",
+        "language", "status",
              "form_code", "source_hash", "chunk_hash", "image_id", "image_url", "image_alt_text", "image_caption")
     return rows.select(
-        *map(text, ("id", "content", "content_type", "title", "source_id")), *[col(c).cast("string").alias(c) for c in plain], *map(number, ("page", "page_end", "authority_rank")),
+        *map(text, ("id", "content", "content_type", "title", "source_id")), *[col(c).cast("string").alias(c) for c in plain],
+            *map(number, ("page", "page_end", "authority_rank")),
         *map(day, ("published_date", "effective_from", "effective_to")), *map(many, ("tax_types", "taxpayer_types", "supersedes", "tags")),
     )
 
 
-def retrieve(questions: DataFrame, found: DataFrame, image_found: DataFrame, min_score: float = 0.01, max_evidence: int = 8, max_images: int = 4) -> tuple[DataFrame, DataFrame]:
+def retrieve(questions: DataFrame, found: DataFrame, image_found: DataFrame, min_score: float = 0.01, max_evidence: int = 8,
+    max_images: int = 4) -> tuple[DataFrame, DataFrame]:
     """(evidence, images) of analysed questions from the rows that searches found.
 
     questions: query_id, tax_year, tax_types, procedural_intent, historical_intent, retrieval_text (see `query.analyze`);

@@ -21,9 +21,11 @@ def unique_ids(rows: DataFrame, slug: str, digest: str, order: str) -> DataFrame
     Rows are numbered in ranges (`ordered.numbered`), so a slug of any number of rows is no task of its own.
     """
     n = F.col("_nth")
-    base = numbered(rows, [slug], [order], "_nth").withColumn("_base", F.when(n == 1, F.col(slug)).otherwise(F.concat_ws("-", slug, F.substring(digest, 1, 8)))).drop("_nth")
+    base = numbered(rows, [slug], [order], "_nth").withColumn("_base", F.when(n == 1,
+        F.col(slug)).otherwise(F.concat_ws("-", slug, F.substring(digest, 1, 8)))).drop("_nth")
     again = F.col("_nth")
-    named = numbered(base, ["_base"], [order], "_nth").withColumn("id", F.when(again == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", again.cast("string"))))
+    named = numbered(base, ["_base"], [order], "_nth").withColumn("id", F.when(again == 1,
+        F.col("_base")).otherwise(F.concat_ws("-", "_base", again.cast("string"))))
     return named.drop("_base", "_nth")
 
 

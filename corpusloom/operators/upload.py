@@ -60,16 +60,19 @@ def embed_batch(keys: list[str], texts: list[str], provider, dims: int, sleep=ti
     """(key, vector, kind) of one batch: the batch first; if that stays transient, sub-batches of four."""
     got, kind = with_retries(lambda: provider(texts), sleep=sleep)
     if kind == "transient" and len(texts) > RETRY_BATCH:
-        return [row for k in range(0, len(texts), RETRY_BATCH) for row in embed_batch(keys[k : k + RETRY_BATCH], texts[k : k + RETRY_BATCH], provider, dims, sleep)]
+        return [row for k in range(0, len(texts), RETRY_BATCH) for row in embed_batch(keys[k : k + RETRY_BATCH], texts[k : k + RETRY_BATCH], provider,
+            dims, sleep)]
     if kind is None and len(got) != len(texts):
         got, kind = None, "provider_error"
     if kind:
         return [(k, None, kind) for k in keys]
-    fine = lambda v: v is not None and len(v) == dims and all(isinstance(x, (int, float)) and not isinstance(x, bool) and abs(x) < float("inf") for x in v)
+    fine = lambda v: v is not None and len(v) == dims and all(isinstance(x, (int, float)) and not isinstance(x,
+        bool) and abs(x) < float("inf") for x in v)
     return [(k, list(map(float, v)), None) if fine(v) else (k, None, "provider_error") for k, v in zip(keys, got)]
 
 
-def embed(misses: DataFrame, provider: Callable[[list[str]], list], dims: int, key: str = "content_hash", text: str = "embedding_text", sleep=time.sleep) -> DataFrame:
+def embed(misses: DataFrame, provider: Callable[[list[str]], list], dims: int, key: str = "content_hash", text: str = "embedding_text",
+    sleep=time.sleep) -> DataFrame:
     """(key, vector, kind) of rows whose vectors are not cached. A task stops asking once its quota is spent.
 
     Rows of equal keys are asked for once, which is a partial aggregation before the shuffle.
@@ -112,7 +115,8 @@ def hashing_provider(dims: int) -> Callable[[list[str]], list]:
 def scope_row(sources: DataFrame, manifest_sha256: str, chunks_sha256: str, requested: list[str], complete: bool, includes_images: bool) -> dict:
     """The provenance of a build: whose sources it covers, from which files. Ids of sources, never chunks, come to the driver."""
     ids = sorted(r[0] for r in sources.where("review_status = 'approved' AND status <> 'excluded'").select("id").distinct().collect())
-    return {"schema_version": 1, "complete": complete, "includes_images": includes_images, "source_ids": ids, "requested_source_ids": sorted(requested),
+    return {"schema_version": 1, "complete": complete, "includes_images": includes_images, "source_ids": ids,
+        "requested_source_ids": sorted(requested),
             "manifest_sha256": manifest_sha256, "chunks_sha256": chunks_sha256}
 
 
@@ -134,21 +138,24 @@ def scope_faults(scope: dict | None, approved: DataFrame, chunks: DataFrame, man
     differ = len(set(ids)) < len(ids) or not known.join(named, "id", "left_anti").isEmpty() or not named.join(known, "id", "left_anti").isEmpty()
     strange = not chunks.join(F.broadcast(named) if len(ids) < 100_000 else named, chunks["source_id"] == named["id"], "left_anti").isEmpty()
     found = {
-        "BUILD_INCOMPLETE": scope.get("complete") is not True, "IMAGES_NOT_INCLUDED": scope.get("includes_images") is not True, "SCOPE_DIFFERS": differ,
+        "BUILD_INCOMPLETE": scope.get("complete") is not True, "IMAGES_NOT_INCLUDED": scope.get("includes_images") is not True,
+            "SCOPE_DIFFERS": differ,
         "BUILD_OF_SUBSET": set(asked) not in (set(), set(ids)), "MANIFEST_DIFFERS": scope.get("manifest_sha256") != manifest_sha256,
         "CHUNKS_DIFFER": scope.get("chunks_sha256") != chunks_sha256, "CHUNKS_OUTSIDE_SCOPE": strange,
     }
     return [code for code, bad in found.items() if bad]
 
 
-def scope_rows(sources: DataFrame, manifest_sha256: str, chunks_sha256: str, requested: list[str], complete: bool, includes_images: bool) -> DataFrame:
+def scope_rows(sources: DataFrame, manifest_sha256: str, chunks_sha256: str, requested: list[str], complete: bool,
+    includes_images: bool) -> DataFrame:
     """The provenance of a build as a table: a row for each source that it covers or was asked for (source_id, included,
     asked), with the facts of the build in each; a build without any has one row without a source."""
     spark = sources.sparkSession
     own = eligible(sources, requested).select(F.col("id").alias("source_id")).distinct().withColumn("included", F.lit(True))
     asked = spark.createDataFrame([(x,) for x in sorted(set(requested))], "source_id string").withColumn("asked", F.lit(True))
     rows = own.join(asked, "source_id", "full").na.fill(False, ["included", "asked"])
-    facts = {"schema_version": 1, "complete": complete, "includes_images": includes_images, "manifest_sha256": manifest_sha256, "chunks_sha256": chunks_sha256}
+    facts = {"schema_version": 1, "complete": complete, "includes_images": includes_images, "manifest_sha256": manifest_sha256,
+        "chunks_sha256": chunks_sha256}
     one = spark.range(1).select(*[F.lit(v).alias(k) for k, v in facts.items()])
     return one.join(rows, F.lit(True), "left")  # one row on the left
 
@@ -166,8 +173,10 @@ def scope_issues(scope: DataFrame, approved: DataFrame, chunks: DataFrame, manif
     strange = chunks.select(F.col("source_id").alias("id")).distinct().join(ids, "id", "left_anti")
     subset = scope.agg(F.bool_or("asked").alias("some"), F.bool_or(F.col("asked") != F.col("included")).alias("other")).where("some and other")
     parts = [
-        some(scope.agg(F.count("*").alias("n"), F.max("schema_version").alias("v")).where("n = 0 or v <> 1"), "SCOPE_MISSING"), wrong("not complete", "BUILD_INCOMPLETE"),
-        wrong("not includes_images", "IMAGES_NOT_INCLUDED"), some(differ, "SCOPE_DIFFERS"), some(subset, "BUILD_OF_SUBSET"), wrong(F.col("manifest_sha256") != manifest_sha256, "MANIFEST_DIFFERS"),
+        some(scope.agg(F.count("*").alias("n"), F.max("schema_version").alias("v")).where("n = 0 or v <> 1"), "SCOPE_MISSING"),
+            wrong("not complete", "BUILD_INCOMPLETE"),
+        wrong("not includes_images", "IMAGES_NOT_INCLUDED"), some(differ, "SCOPE_DIFFERS"), some(subset, "BUILD_OF_SUBSET"),
+            wrong(F.col("manifest_sha256") != manifest_sha256, "MANIFEST_DIFFERS"),
         wrong(F.col("chunks_sha256") != chunks_sha256, "CHUNKS_DIFFER"), some(strange, "CHUNKS_OUTSIDE_SCOPE"),
     ]
     out = parts[0]
@@ -186,7 +195,8 @@ def embed_waves(misses: DataFrame, provider, dims: int, write, key: str = "conte
     for k in range(waves):
         part = misses.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(waves)) == k)
         if spent:
-            rows = part.select(F.col(key).cast("string").alias("key")).distinct().select("key", F.lit(None).cast("array<float>").alias("vector"), F.lit("quota_exhausted").alias("kind"))
+            rows = part.select(F.col(key).cast("string").alias("key")).distinct().select("key", F.lit(None).cast("array<float>").alias("vector"),
+                F.lit("quota_exhausted").alias("kind"))
         else:
             rows = write(f"embedded_{k}", embed(part, provider, dims, key, sleep=sleep))
             spent = not rows.where("kind = 'quota_exhausted'").isEmpty()
@@ -194,7 +204,8 @@ def embed_waves(misses: DataFrame, provider, dims: int, write, key: str = "conte
     return out
 
 
-def run_upload(chunks: DataFrame, cache: DataFrame, index: DataFrame, provider, dims: int, write, key: str = "content_hash", delete_scope_faults: list[str] | None = None, sleep=time.sleep, waves: int = 4) -> dict:
+def run_upload(chunks: DataFrame, cache: DataFrame, index: DataFrame, provider, dims: int, write, key: str = "content_hash",
+    delete_scope_faults: list[str] | None = None, sleep=time.sleep, waves: int = 4) -> dict:
     """One sync of an index: cached vectors, embedded misses, upserted rows, stale rows of the scope.
 
     `write(name, df)` stores a DataFrame as table `name` and returns what was stored; each step reads the stored
@@ -213,4 +224,5 @@ def run_upload(chunks: DataFrame, cache: DataFrame, index: DataFrame, provider,
     if clean:
         new = new.join(sync.stale(index, chunks, "id", "source_id").select("id"), "id", "left_anti")
     write("index", new)
-    return {"chunks": counts["n"], "failed": counts["failed"], "failures": kinds, "stale_deleted": clean, "stopped_on_quota": "quota_exhausted" in kinds}
+    return {"chunks": counts["n"], "failed": counts["failed"], "failures": kinds, "stale_deleted": clean,
+        "stopped_on_quota": "quota_exhausted" in kinds}

@@ -26,66 +26,89 @@ def numbered(spark: SparkSession, d: str) -> tuple[DataFrame, object]:
 
 # checks of records
 
-@register(faults(("SOURCE_ID_NOT_SLUG", "doc_id % 3 = 0"), ("CONTENT_EMPTY", "doc_id % 5 = 0"), ("HASH_INVALID", "doc_id % 7 = 0"), ("PDF_WITHOUT_PAGE", "doc_id % 2 = 0 AND doc_id % 11 = 0"), ("WORKBOOK_WITHOUT_SHEET", "doc_id % 2 = 1"),
-                 ("PAGE_END_WITHOUT_PAGE", "doc_id % 11 = 0"), ("PAGES_REVERSED", "doc_id % 11 > 0 AND doc_id % 13 = 0"), ("TITLE_PATH_BLANK", "doc_id % 17 = 0")))
+@register(faults(("SOURCE_ID_NOT_SLUG", "doc_id % 3 = 0"), ("CONTENT_EMPTY", "doc_id % 5 = 0"), ("HASH_INVALID", "doc_id % 7 = 0"),
+    ("PDF_WITHOUT_PAGE", "doc_id % 2 = 0 AND doc_id % 11 = 0"), ("WORKBOOK_WITHOUT_SHEET", "doc_id % 2 = 1"),
+                 ("PAGE_END_WITHOUT_PAGE", "doc_id % 11 = 0"), ("PAGES_REVERSED", "doc_id % 11 > 0 AND doc_id % 13 = 0"),
+                     ("TITLE_PATH_BLANK", "doc_id % 17 = 0")))
 def extraction_record_checks(spark, d):
     rows, every = numbered(spark, d)
     page = F.when(F.col("doc_id") % 11 > 0, 4)
     made_up = rows.select(
-        "doc_id", F.lit("r").alias("record_id"), every(3, "No Slug", "a-b").alias("source_id"), every(5, " \t", "c").alias("content"), F.when(F.col("doc_id") % 17 == 0, F.array(F.lit("a"), F.lit(" "))).otherwise(strings("a")).alias("title_path"),
-        F.expr(NONE).alias("table_headers"), every(7, "abc", "0" * 64).alias("content_hash"), F.when(F.col("doc_id") % 2 == 0, "pdf_text").otherwise("xlsm_xml").alias("extraction_method"), page.alias("page"),
+        "doc_id", F.lit("r").alias("record_id"), every(3, "No Slug", "a-b").alias("source_id"), every(5, " \t", "c").alias("content"),
+            F.when(F.col("doc_id") % 17 == 0, F.array(F.lit("a"), F.lit(" "))).otherwise(strings("a")).alias("title_path"),
+        F.expr(NONE).alias("table_headers"), every(7, "abc", "0" * 64).alias("content_hash"),
+            F.when(F.col("doc_id") % 2 == 0, "pdf_text").otherwise("xlsm_xml").alias("extraction_method"), page.alias("page"),
         every(13, 3, 5).alias("page_end"), F.lit(None).cast("string").alias("sheet"))
     return sync.issues(made_up, constraints.extraction_checks(), "doc_id").select(F.col("doc_id").alias("id"), "code")
 
 
-@register(faults(("EMBEDDING_TEXT_EMPTY", "doc_id % 3 = 0"), ("PERIOD_INVALID", "doc_id % 5 = 0"), ("RELATED_ID_NOT_SLUG", "doc_id % 7 = 0"), ("RANK_MISMATCH", "doc_id % 11 = 0"), ("DATES_REVERSED", "doc_id % 13 = 0"),
-                 ("SHEET_RANGE_INCOMPLETE", "doc_id % 17 = 0"), ("URL_MISSING", "doc_id % 19 = 0"), ("LOCATOR_MISSING", "doc_id % 23 = 0 AND doc_id % 17 > 0"), ("HASH_MISSING", "doc_id % 29 = 0")))
+@register(faults(("EMBEDDING_TEXT_EMPTY", "doc_id % 3 = 0"), ("PERIOD_INVALID", "doc_id % 5 = 0"), ("RELATED_ID_NOT_SLUG", "doc_id % 7 = 0"),
+    ("RANK_MISMATCH", "doc_id % 11 = 0"), ("DATES_REVERSED", "doc_id % 13 = 0"),
+                 ("SHEET_RANGE_INCOMPLETE", "doc_id % 17 = 0"), ("URL_MISSING", "doc_id % 19 = 0"),
+                     ("LOCATOR_MISSING", "doc_id % 23 = 0 AND doc_id % 17 > 0"), ("HASH_MISSING", "doc_id % 29 = 0")))
 def chunk_record_checks(spark, d):
     rows, every = numbered(spark, d)
     made_up = rows.select(
-        "doc_id", F.col("key").alias("id"), F.lit("s").alias("source_id"), F.lit("c").alias("content"), F.lit("t").alias("title"), every(3, "", "e").alias("embedding_text"), every(19, None, "https://h/x").alias("source_url"),
-        every(5, "2025-26", "2025/2026").alias("tax_year"), F.when(F.col("doc_id") % 7 == 0, strings("A")).otherwise(F.expr(NONE)).alias("supersedes"), F.lit("gazette").alias("authority_level"), every(11, 91, 90).alias("authority_rank"),
-        F.lit("2024-01-02").cast("date").alias("effective_from"), every(13, "2023-01-01", "2025-01-01").cast("date").alias("effective_to"), every(29, None, "h").alias("content_hash"), every(17, "S", None).alias("sheet"),
-        F.lit(None).cast("string").alias("cell_range"), every(23, None, 1).alias("page"), F.lit(None).cast("int").alias("page_end"), F.lit(None).cast("string").alias("section"))
+        "doc_id", F.col("key").alias("id"), F.lit("s").alias("source_id"), F.lit("c").alias("content"), F.lit("t").alias("title"),
+            every(3, "", "e").alias("embedding_text"), every(19, None, "https://h/x").alias("source_url"),
+        every(5, "2025-26", "2025/2026").alias("tax_year"), F.when(F.col("doc_id") % 7 == 0,
+            strings("A")).otherwise(F.expr(NONE)).alias("supersedes"), F.lit("gazette").alias("authority_level"),
+            every(11, 91, 90).alias("authority_rank"),
+        F.lit("2024-01-02").cast("date").alias("effective_from"), every(13, "2023-01-01", "2025-01-01").cast("date").alias("effective_to"),
+            every(29, None, "h").alias("content_hash"), every(17, "S", None).alias("sheet"),
+        F.lit(None).cast("string").alias("cell_range"), every(23, None, 1).alias("page"), F.lit(None).cast("int").alias("page_end"),
+            F.lit(None).cast("string").alias("section"))
     return sync.issues(made_up, constraints.chunk_checks(), "doc_id").select(F.col("doc_id").alias("id"), "code")
 
 
-@register(faults(("ALT_TEXT_EMPTY", "doc_id % 3 = 0"), ("PAGE_NOT_POSITIVE", "doc_id % 5 = 0"), ("PUBLIC_URL_INVALID", "doc_id % 2 = 0 AND doc_id % 7 = 0"), ("IMAGE_ID_NOT_SLUG", "doc_id % 11 = 0"), ("IMAGE_HASH_MISMATCH", "doc_id % 13 = 0"),
-                 ("IMAGE_SIZE_MISMATCH", "doc_id % 17 = 0"), ("IMAGE_DIMENSIONS_MISMATCH", "doc_id % 19 = 0"), ("IMAGE_FORMAT_MISMATCH", "doc_id % 23 = 0")))
+@register(faults(("ALT_TEXT_EMPTY", "doc_id % 3 = 0"), ("PAGE_NOT_POSITIVE", "doc_id % 5 = 0"),
+    ("PUBLIC_URL_INVALID", "doc_id % 2 = 0 AND doc_id % 7 = 0"), ("IMAGE_ID_NOT_SLUG", "doc_id % 11 = 0"), ("IMAGE_HASH_MISMATCH", "doc_id % 13 = 0"),
+                 ("IMAGE_SIZE_MISMATCH", "doc_id % 17 = 0"), ("IMAGE_DIMENSIONS_MISMATCH", "doc_id % 19 = 0"),
+                     ("IMAGE_FORMAT_MISMATCH", "doc_id % 23 = 0")))
 def image_record_checks(spark, d):
     """Rules of images and of their files in one pass."""
     rows, every = numbered(spark, d)
     url = F.when(F.col("doc_id") % 14 == 0, "https://m/a.png").when(F.col("doc_id") % 7 == 0, "https://other/x.webp").otherwise("https://m/a.webp")
     made_up = rows.select(
-        "doc_id", every(11, "a_b", "a-b").alias("image_id"), F.lit("s").alias("source_id"), F.lit("t").alias("title"), every(3, " ", "alt").alias("alt_text"), F.lit("https://h/x").alias("source_url"), every(5, 0, 1).alias("page"),
-        F.lit(None).cast("date").alias("effective_from"), F.lit(None).cast("date").alias("effective_to"), F.when(F.col("doc_id") % 2 == 0, "approved").otherwise("draft").alias("review_status"), url.alias("public_url"),
-        F.lit("h").alias("binary_sha256"), every(13, "g", "h").alias("file_sha256"), F.lit(9).alias("byte_size"), every(17, None, 9).alias("file_bytes"), F.lit(4).alias("width"), F.lit(5).alias("height"), F.lit(4).alias("file_width"),
+        "doc_id", every(11, "a_b", "a-b").alias("image_id"), F.lit("s").alias("source_id"), F.lit("t").alias("title"),
+            every(3, " ", "alt").alias("alt_text"), F.lit("https://h/x").alias("source_url"), every(5, 0, 1).alias("page"),
+        F.lit(None).cast("date").alias("effective_from"), F.lit(None).cast("date").alias("effective_to"),
+            F.when(F.col("doc_id") % 2 == 0, "approved").otherwise("draft").alias("review_status"), url.alias("public_url"),
+        F.lit("h").alias("binary_sha256"), every(13, "g", "h").alias("file_sha256"), F.lit(9).alias("byte_size"),
+            every(17, None, 9).alias("file_bytes"), F.lit(4).alias("width"), F.lit(5).alias("height"), F.lit(4).alias("file_width"),
         every(19, 6, 5).alias("file_height"), every(23, "png", "webp").alias("file_format"))
-    return sync.issues(made_up, constraints.image_checks("https://m") | constraints.image_file_checks(), "doc_id").select(F.col("doc_id").alias("id"), "code")
+    return sync.issues(made_up, constraints.image_checks("https://m") | constraints.image_file_checks(), "doc_id").select(F.col("doc_id").alias("id"),
+        "code")
 
 
-@register(faults(("CODE_EMPTY", "doc_id % 3 = 0"), ("SEVERITY_UNKNOWN", "doc_id % 5 = 0"), ("STEPS_NOT_NUMBERED", "doc_id % 7 = 0"), ("STEP_TITLE_EMPTY", "doc_id % 11 = 0")))
+@register(faults(("CODE_EMPTY", "doc_id % 3 = 0"), ("SEVERITY_UNKNOWN", "doc_id % 5 = 0"), ("STEPS_NOT_NUMBERED", "doc_id % 7 = 0"),
+    ("STEP_TITLE_EMPTY", "doc_id % 11 = 0")))
 def issue_and_guide_checks(spark, d):
     rows, every = numbered(spark, d)
     step = lambda n, title: F.struct(n.alias("number"), title.alias("title"))
     steps = F.array(step(F.lit(1), F.lit("a")), step(every(7, 3, 2), every(11, " ", "b")))
-    made_up = rows.select("doc_id", every(3, "", "X").alias("code"), F.lit("m").alias("message"), every(5, "fatal", "error").alias("severity"), steps.alias("steps"))
+    made_up = rows.select("doc_id", every(3, "", "X").alias("code"), F.lit("m").alias("message"), every(5, "fatal", "error").alias("severity"),
+        steps.alias("steps"))
     checks = constraints.issue_checks() | constraints.guide_checks(F.col("steps"))
     return sync.issues(made_up, checks, "doc_id").select(F.col("doc_id").alias("id"), "code")
 
 
-@register("""SELECT count(*) AS source_count, count(*) FILTER (doc_id % 3 > 0) AS approved_count, count(*) FILTER (doc_id % 5 = 0) AS excluded_count, count(*) FILTER (doc_id % 7 = 0) AS errors,
+@register("""SELECT count(*) AS source_count, count(*) FILTER (doc_id % 3 > 0) AS approved_count,
+  count(*) FILTER (doc_id % 5 = 0) AS excluded_count, count(*) FILTER (doc_id % 7 = 0) AS errors,
 count(*) FILTER (doc_id % 11 = 0) AS warnings, count(*) FILTER (doc_id % 7 = 0) = 0 AS valid FROM documents""")
 def registry_counts(spark, d):
     rows, every = numbered(spark, d)
     found = rows.where("doc_id % 7 = 0").select(F.lit("error").alias("severity")).unionByName(rows.where("doc_id % 11 = 0").select(F.lit("warning").alias("severity")))
-    return constraints.registry_summary(rows.select(every(3, "draft", "approved").alias("review_status"), every(5, "excluded", "current").alias("status")), found)
+    return constraints.registry_summary(rows.select(every(3, "draft", "approved").alias("review_status"),
+        every(5, "excluded", "current").alias("status")), found)
 
 
 # pages, headings
 
-_TEXTS = {"page": "chr(10)", "lines": ["'1. Scope of this part' || chr(10) || 'text, and so on.'", "'1.2 Rates' || chr(10) || 'more text; here'", "'GENERAL RULES 2024' || chr(10) || 'x'", "'no heading here at all, is there.'", "'2) Last Part' || chr(10) || '2.1.1 Deep'"]}
-_PAGES = "SELECT doc_id, doc_id // 10 AS source_id, CAST(doc_id % 10 + 1 AS int) AS page, CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_TEXTS["lines"])) + " END AS text FROM documents"
+_TEXTS = {"page": "chr(10)", "lines": ["'1. Scope of this part' || chr(10) || 'text, and so on.'", "'1.2 Rates' || chr(10) || 'more text; here'",
+    "'GENERAL RULES 2024' || chr(10) || 'x'", "'no heading here at all, is there.'", "'2) Last Part' || chr(10) || '2.1.1 Deep'"]}
+_PAGES = "SELECT doc_id, doc_id // 10 AS source_id, CAST(doc_id % 10 + 1 AS int) AS page, CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN {x}" for k,
+    x in enumerate(_TEXTS["lines"])) + " END AS text FROM documents"
 _OPEN = ["1. Scope of this part", "1. Scope of this part > 1.2 Rates", "GENERAL RULES 2024", "GENERAL RULES 2024", "2) Last Part > 2.1.1 Deep"]
 
 
@@ -102,19 +125,24 @@ def heading_paths(spark, d):
     return paged.heading_paths(whole).select("doc_id", F.array_join("title_path", " > ").alias("title_path"))
 
 
-@register(f"""WITH p AS ({_PAGES}), r AS (SELECT *, length(regexp_replace(text, '\\s', '', 'g')) AS n FROM p) SELECT doc_id, CASE WHEN n >= 80 THEN 'pdf_text' WHEN doc_id % 3 = 0 THEN 'pdf_ocr' ELSE 'pdf_text' END AS extraction_method,
-CASE WHEN n >= 80 THEN '' WHEN doc_id % 3 = 0 THEN 'OCR_USED' ELSE 'OCR_WEAKER_THAN_NATIVE' END AS warnings, sha256(CASE WHEN n < 80 AND doc_id % 3 = 0 THEN repeat('ocr text ', 20)[1:179] ELSE text END) AS content_hash
+@register(f"""WITH p AS ({_PAGES}), r AS (SELECT *, length(regexp_replace(text, '\\s', '', 'g')) AS n FROM p) SELECT doc_id, CASE WHEN n >= 80
+  THEN 'pdf_text' WHEN doc_id % 3 = 0 THEN 'pdf_ocr' ELSE 'pdf_text' END AS extraction_method,
+CASE WHEN n >= 80 THEN '' WHEN doc_id % 3 = 0 THEN 'OCR_USED' ELSE 'OCR_WEAKER_THAN_NATIVE' END AS warnings, sha256(CASE WHEN n < 80
+  AND doc_id % 3 = 0 THEN repeat('ocr text ', 20)[1:179] ELSE text END) AS content_hash
 FROM r WHERE n >= 20 OR doc_id % 3 = 0""")
 def page_records(spark, d):
     """Pages with native and OCR text to records."""
     rows = _pages(spark, d).withColumn("ocr_text", F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("ocr text "), 20)))
     out = paged.page_records(rows)
     place = rows.select("doc_id", "source_id", "page")
-    return out.join(place, ["source_id", "page"]).select("doc_id", "extraction_method", F.array_join("warnings", ",").alias("warnings"), "content_hash")
+    return out.join(place, ["source_id", "page"]).select("doc_id", "extraction_method", F.array_join("warnings", ",").alias("warnings"),
+        "content_hash")
 
 
-@register(f"""WITH p AS ({_PAGES}), n AS (SELECT source_id, max(page) + 2 AS pages FROM p GROUP BY 1), a AS (SELECT source_id, unnest(range(1, pages + 1)) AS page FROM n)
-SELECT a.source_id, a.page::INT AS page FROM a LEFT JOIN p ON p.source_id = a.source_id AND p.page = a.page AND p.doc_id % 2 = 0 WHERE p.page IS NULL""")
+@register(f"""WITH p AS ({_PAGES}), n AS (SELECT source_id, max(page) + 2 AS pages FROM p GROUP BY 1), a AS (SELECT source_id, unnest(range(1,
+  pages + 1)) AS page FROM n)
+SELECT a.source_id, a.page::INT AS page FROM a LEFT JOIN p ON p.source_id = a.source_id AND p.page = a.page AND p.doc_id % 2 = 0
+  WHERE p.page IS NULL""")
 def ocr_required(spark, d):
     """Pages without a record of 80 visible characters; every second page has one."""
     rows = _pages(spark, d)
@@ -122,28 +150,35 @@ def ocr_required(spark, d):
     return paged.ocr_required(counts, rows.where("doc_id % 2 = 0").select("source_id", "page", F.repeat(F.lit("word "), 30).alias("content")))
 
 
-@register("""SELECT 's' || source AS source_id, page FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) , unnest([2, 5]) AS t(page) WHERE (length(source) + ascii(right(source, 1))) % 3 > 0""")
+@register("""SELECT 's' || source AS source_id, page FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) , unnest([2,
+  5]) AS t(page) WHERE (length(source) + ascii(right(source, 1))) % 3 > 0""")
 def render_pages(spark, d):
     rows = table(spark, d, "documents").where("source is not null").select("source").distinct()
     keep = (F.length("source") + F.ascii(F.substring("source", -1, 1))) % 3 > 0
-    sources = rows.select(F.concat(F.lit("s"), "source").alias("id"), F.when(keep, "approved").otherwise("draft").alias("review_status"), F.lit("current").alias("status"), F.lit("application/pdf").alias("media_type"),
+    sources = rows.select(F.concat(F.lit("s"), "source").alias("id"), F.when(keep, "approved").otherwise("draft").alias("review_status"),
+        F.lit("current").alias("status"), F.lit("application/pdf").alias("media_type"),
                           F.array(F.lit(5), F.lit(2), F.lit(5), F.lit(0)).alias("render_pages"))
     return paged.render_candidates(sources)
 
 
 #: A page's text with its blocks apart: H and P begin headings and paragraphs, what else there is has no text.
 _MARKED = r"regexp_replace(regexp_replace(html, '(?s)<head>.*</head>|<nav>.*?</nav>|<footer>.*?</footer>|<script>.*?</script>|<!--.*?-->', '', 'g'), '<br>', chr(2), 'g')"
-for _tag, _mark in (("<h1>", "chr(1) || 'H'"), ("<p>", "chr(1) || 'P'"), ('<div class="ad">', "chr(1) || 'P'"), ("</h1>", "chr(1)"), ("</p>", "chr(1)"), ("</div>", "chr(1)"), ("<article>", "chr(1)"), ("</article>", "chr(1)")):
+for _tag, _mark in (("<h1>", "chr(1) || 'H'"), ("<p>", "chr(1) || 'P'"), ('<div class="ad">', "chr(1) || 'P'"), ("</h1>", "chr(1)"),
+    ("</p>", "chr(1)"), ("</div>", "chr(1)"), ("<article>", "chr(1)"), ("</article>", "chr(1)")):
     _MARKED = f"replace({_MARKED}, '{_tag}', {_mark})"
 _PLAIN = r"regexp_replace(regexp_replace(x[2:], '<[^>]*>', '', 'g'), '\s+', ' ', 'g')"
 for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("amp", "&")):
     _PLAIN = f"replace({_PLAIN}, '&{_name};', '{_char}')"
 
 
-@register(rf"""WITH b AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, unnest(string_split({_MARKED}, chr(1))) AS x, generate_subscripts(string_split({_MARKED}, chr(1)), 1) AS i FROM pages),
-c AS (SELECT page_id, i, x[1:1] AS k, trim(regexp_replace(regexp_replace({_PLAIN}, ' ?' || chr(2) || ' ?', chr(10), 'g'), ' +', ' ', 'g'), ' ' || chr(10)) AS content, trim(replace(title, '&amp;', '&')) AS title FROM b WHERE x[1:1] IN ('H', 'P')),
-o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS ordinal, last_value(CASE WHEN k = 'H' THEN content END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i) AS head FROM c WHERE content <> '')
-SELECT page_id, ordinal::INT AS ordinal, CASE k WHEN 'H' THEN 'heading' ELSE 'paragraph' END AS kind, coalesce(head, title) AS title_path, sha256(content) AS content_hash FROM o""")
+@register(rf"""WITH b AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, unnest(string_split({_MARKED},
+  chr(1))) AS x, generate_subscripts(string_split({_MARKED}, chr(1)), 1) AS i FROM pages),
+c AS (SELECT page_id, i, x[1:1] AS k, trim(regexp_replace(regexp_replace({_PLAIN}, ' ?' || chr(2) || ' ?', chr(10), 'g'), ' +', ' ', 'g'), ' '
+  || chr(10)) AS content, trim(replace(title, '&amp;', '&')) AS title FROM b WHERE x[1:1] IN ('H', 'P')),
+o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS ordinal, last_value(CASE WHEN k = 'H'
+  THEN content END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i) AS head FROM c WHERE content <> '')
+SELECT page_id, ordinal::INT AS ordinal, CASE k WHEN 'H' THEN 'heading' ELSE 'paragraph' END AS kind, coalesce(head, title) AS title_path,
+  sha256(content) AS content_hash FROM o""")
 def html_block_rows(spark, d):
     b = html.html_blocks(table(spark, d, "pages"))
     return b.select("page_id", "ordinal", "kind", F.array_join("title_path", " > ").alias("title_path"), F.sha2("content", 256).alias("content_hash"))
@@ -152,36 +187,47 @@ def html_block_rows(spark, d):
 # workbooks
 
 #: Workbooks of 40 cells in three columns, with an empty row after each four rows; every tenth value is a formula without a result.
-_CELLS = """SELECT doc_id // 40 AS book, CAST(doc_id % 40 AS int) AS k, CAST((doc_id % 40) // 3 + 1 + ((doc_id % 40) // 3) // 4 AS int) AS r, CAST(doc_id % 40 % 3 + 1 AS int) AS c,
-  CASE WHEN doc_id % 40 % 10 = 9 THEN '=A1' ELSE concat('v', doc_id) END AS value, CASE WHEN doc_id % 11 = 0 THEN 'note' ELSE '' END AS comment, CASE WHEN doc_id % 13 = 0 THEN '0%' ELSE 'General' END AS format FROM documents"""
-_SHOWN_SQL = f"""ce AS (SELECT *, chr(64 + c) || r AS address, concat_ws(' | ', value, CASE WHEN comment <> '' THEN 'Comment: ' || comment END, CASE WHEN format = '0%' THEN 'Expected format: 0%' END) AS t FROM ({_CELLS})),
-li AS (SELECT book, r, (r - 1) // 5 AS island, string_agg(address || ': ' || t, ' | ' ORDER BY c) AS line, min(c) AS c1, max(c) AS c2, bool_or(value = '=A1') AS formula FROM ce GROUP BY book, r),
+_CELLS = """SELECT doc_id // 40 AS book, CAST(doc_id % 40 AS int) AS k, CAST((doc_id % 40) // 3 + 1 + ((doc_id % 40) // 3) // 4 AS int) AS r,
+  CAST(doc_id % 40 % 3 + 1 AS int) AS c,
+  CASE WHEN doc_id % 40 % 10 = 9 THEN '=A1' ELSE concat('v', doc_id) END AS value, CASE WHEN doc_id % 11 = 0 THEN 'note' ELSE '' END AS comment,
+  CASE WHEN doc_id % 13 = 0 THEN '0%' ELSE 'General' END AS format FROM documents"""
+_SHOWN_SQL = f"""ce AS (SELECT *, chr(64 + c) || r AS address, concat_ws(' | ', value, CASE WHEN comment <> '' THEN 'Comment: ' || comment END,
+  CASE WHEN format = '0%' THEN 'Expected format: 0%' END) AS t FROM ({_CELLS})),
+li AS (SELECT book, r, (r - 1) // 5 AS island, string_agg(address || ': ' || t, ' | ' ORDER BY c) AS line, min(c) AS c1, max(c) AS c2,
+  bool_or(value = '=A1') AS formula FROM ce GROUP BY book, r),
 al AS (SELECT book, r, min(value) AS v FROM ce GROUP BY book, r HAVING count(*) = 1)"""
 
 
 def _workbooks(spark: SparkSession, d: str) -> DataFrame:
     """Parsed workbooks, each with one sheet and one named range."""
     rows = made(spark, d, _CELLS.replace("//", "div"))
-    cell = F.struct(F.lit(1).alias("sheet_no"), F.lit("Sheet A").alias("sheet"), F.col("r").alias("row"), F.col("c").alias("col"), "value", "comment", F.lit("").alias("validation"), F.lit(False).alias("partial"), "format")
-    name = F.struct(F.lit("Some range").alias("name"), F.lit("Sheet A").alias("sheet"), F.lit(1).alias("sheet_no"), F.lit(2).alias("row1"), F.lit(2).alias("col1"), F.lit(3).alias("row2"), F.lit(3).alias("col2"))
+    cell = F.struct(F.lit(1).alias("sheet_no"), F.lit("Sheet A").alias("sheet"), F.col("r").alias("row"), F.col("c").alias("col"), "value", "comment",
+        F.lit("").alias("validation"), F.lit(False).alias("partial"), "format")
+    name = F.struct(F.lit("Some range").alias("name"), F.lit("Sheet A").alias("sheet"), F.lit(1).alias("sheet_no"), F.lit(2).alias("row1"),
+        F.lit(2).alias("col1"), F.lit(3).alias("row2"), F.lit(3).alias("col2"))
     want = StructType.fromDDL(workbook.PARSED)
     books = rows.groupBy(F.concat(F.lit("book"), "book").alias("source_id")).agg(F.collect_list(cell).alias("cells"))
-    full = books.select("source_id", F.lit(None).cast("string").alias("error"), F.lit(False).alias("hidden"), F.array(F.lit("x")).alias("loose_sheets"), "cells", F.array(name).alias("names"))
+    full = books.select("source_id", F.lit(None).cast("string").alias("error"), F.lit(False).alias("hidden"),
+        F.array(F.lit("x")).alias("loose_sheets"), "cells", F.array(name).alias("names"))
     fit = lambda items, kind: F.transform(items, lambda x: F.struct(*[x[f.name].alias(f.name) for f in kind.elementType]))
     return full.withColumns({"cells": fit(F.col("cells"), want["cells"].dataType), "names": fit(F.col("names"), want["names"].dataType)})
 
 
-@register(f"""WITH {_SHOWN_SQL}, g AS (SELECT book, island, min(r) AS r1, max(r) AS r2, min(c1) AS c1, max(c2) AS c2, string_agg(line, chr(10) ORDER BY r) AS lines, bool_or(formula) AS formula FROM li GROUP BY book, island)
-SELECT 'book' || book AS source_id, r1 AS first_row, chr(64 + c1) || r1 || ':' || chr(64 + c2) || r2 AS cell_range, CASE WHEN formula THEN 'FORMULA_WITHOUT_CACHED_VALUE' ELSE '' END AS warnings,
+@register(f"""WITH {_SHOWN_SQL}, g AS (SELECT book, island, min(r) AS r1, max(r) AS r2, min(c1) AS c1, max(c2) AS c2, string_agg(line, chr(10)
+  ORDER BY r) AS lines, bool_or(formula) AS formula FROM li GROUP BY book, island)
+SELECT 'book' || book AS source_id, r1 AS first_row, chr(64 + c1) || r1 || ':' || chr(64 + c2) || r2 AS cell_range, CASE WHEN formula
+  THEN 'FORMULA_WITHOUT_CACHED_VALUE' ELSE '' END AS warnings,
 sha256('Sheet: Sheet A' || chr(10) || lines) AS content_hash FROM g""")
 def workbook_regions(spark, d):
     out = workbook.regions(_workbooks(spark, d))
     return out.select("source_id", "first_row", "cell_range", F.array_join("warnings", ",").alias("warnings"), "content_hash")
 
 
-@register(f"""WITH {_SHOWN_SQL}, n AS (SELECT book, r, string_agg(address || ': ' || t, ' | ' ORDER BY c) AS line FROM ce WHERE r BETWEEN 2 AND 3 AND c BETWEEN 2 AND 3 GROUP BY book, r), b AS (SELECT DISTINCT book FROM ce),
+@register(f"""WITH {_SHOWN_SQL}, n AS (SELECT book, r, string_agg(address || ': ' || t, ' | ' ORDER BY c) AS line FROM ce WHERE r BETWEEN 2 AND 3
+  AND c BETWEEN 2 AND 3 GROUP BY book, r), b AS (SELECT DISTINCT book FROM ce),
 a AS (SELECT book, string_agg(line, chr(10) ORDER BY r) AS lines FROM n GROUP BY book)
-SELECT 'book' || b.book AS source_id, 'Named range: Some range' AS section, sha256('Sheet: Sheet A' || chr(10) || 'Named range: Some range' || chr(10) || 'Range: B2:C3' || chr(10) || coalesce(lines, '[named range contains no visible cell values]')) AS content_hash
+SELECT 'book' || b.book AS source_id, 'Named range: Some range' AS section, sha256('Sheet: Sheet A' || chr(10) || 'Named range: Some range'
+  || chr(10) || 'Range: B2:C3' || chr(10) || coalesce(lines, '[named range contains no visible cell values]')) AS content_hash
 FROM b LEFT JOIN a ON a.book = b.book""")
 def workbook_named_ranges(spark, d):
     return workbook.named_ranges(_workbooks(spark, d)).select("source_id", "section", "content_hash")
@@ -194,39 +240,50 @@ def workbook_cells(spark, d):
 
 # the registry
 
-_MANIFEST = """SELECT page_id, regexp_replace(url, '://[^/?#:]*[.]example[.]com', '://www.example.com') AS url, CASE WHEN page_id % 7 = 0 THEN 'failed' ELSE 'downloaded' END AS status, CASE page_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/html; charset=utf-8' ELSE 'application/pdf' END AS content_type,
+_MANIFEST = """SELECT page_id, regexp_replace(url, '://[^/?#:]*[.]example[.]com', '://www.example.com') AS url, CASE WHEN page_id % 7 = 0
+  THEN 'failed' ELSE 'downloaded' END AS status, CASE page_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/html; charset=utf-8'
+  ELSE 'application/pdf' END AS content_type,
   concat('h', page_id % 40) AS h FROM pages"""
 
 
-@register(f"""WITH m AS (SELECT *, regexp_extract(url, '://([^/?#:]*)', 1) AS host FROM ({_MANIFEST})), o AS (SELECT * FROM m WHERE host = 'www.example.com' AND status = 'downloaded'),
+@register(f"""WITH m AS (SELECT *, regexp_extract(url, '://([^/?#:]*)', 1) AS host FROM ({_MANIFEST})), o AS (SELECT * FROM m
+  WHERE host = 'www.example.com' AND status = 'downloaded'),
 u AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY page_id) AS n FROM o WHERE content_type <> 'image/png'), f AS (SELECT * FROM u WHERE n = 1)
-SELECT f.url AS source_url, sha256(f.h) AS sha256, CASE WHEN f.content_type LIKE 'text/html%' THEN 'text/html' ELSE 'application/pdf' END AS media_type,
-coalesce((SELECT string_agg(z.url, ',' ORDER BY z.pos) FROM (SELECT o.h, o.url, min(o.page_id) AS pos FROM o GROUP BY 1, 2) z WHERE z.h = f.h AND z.url <> f.url AND z.pos > f.page_id), '') AS aliases FROM f""")
+SELECT f.url AS source_url, sha256(f.h) AS sha256, CASE WHEN f.content_type LIKE 'text/html%' THEN 'text/html'
+  ELSE 'application/pdf' END AS media_type,
+coalesce((SELECT string_agg(z.url, ',' ORDER BY z.pos) FROM (SELECT o.h, o.url, min(o.page_id) AS pos FROM o GROUP BY 1, 2) z WHERE z.h = f.h
+  AND z.url <> f.url AND z.pos > f.page_id), '') AS aliases FROM f""")
 def registry_build(spark, d):
     """A registry of downloaded pages: one row for each content, with the urls of later copies as aliases."""
     m = made(spark, d, _MANIFEST, "pages")
-    items = m.select(F.struct(F.lit(0).alias("m"), "page_id").alias("position"), "url", F.lit(None).cast("string").alias("final_url"), "status", "content_type", F.sha2("h", 256).alias("sha256"), F.lit("f").alias("local_file"))
+    items = m.select(F.struct(F.lit(0).alias("m"), "page_id").alias("position"), "url", F.lit(None).cast("string").alias("final_url"), "status",
+        "content_type", F.sha2("h", 256).alias("sha256"), F.lit("f").alias("local_file"))
     out = registry.build(items, ["www.example.com"])
     return out.select("source_url", "sha256", "media_type", F.array_join("aliases", ",").alias("aliases"))
 
 
-@register(r"""WITH p AS (SELECT page_id, trim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/') AS path, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages)
-SELECT page_id, trim(regexp_replace(CASE WHEN path = '' THEN host ELSE regexp_replace(string_split(path, '/')[-1], '\.(pdf|xlsm|aspx?|html?)$', '') END, '[_-]+', ' ', 'g')) AS title FROM p""")
+@register(r"""WITH p AS (SELECT page_id, trim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/') AS path, regexp_extract(url, '://([^/?#]*)',
+  1) AS host FROM pages)
+SELECT page_id, trim(regexp_replace(CASE WHEN path = '' THEN host ELSE regexp_replace(string_split(path, '/')[-1], '\.(pdf|xlsm|aspx?|html?)$',
+  '') END, '[_-]+', ' ', 'g')) AS title FROM p""")
 def url_titles(spark, d):
     return table(spark, d, "pages").select("page_id", registry.url_title(F.col("url")).alias("title"))
 
 
-@register("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' WHEN 2 THEN 'xlsm' WHEN 3 THEN 'html' ELSE 'unknown' END AS signature FROM documents""")
+@register("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' WHEN 2 THEN 'xlsm' WHEN 3 THEN 'html'
+  ELSE 'unknown' END AS signature FROM documents""")
 def file_signatures(spark, d):
     rows, _ = numbered(spark, d)
     text = F.expr("CASE doc_id % 5 WHEN 0 THEN '%PDF-1.7 x' WHEN 1 THEN ' \n<!DOCTYPE html>' WHEN 2 THEN 'PK..[Content_Types].xml..xl/workbook.xml' WHEN 3 THEN '<HTML>' ELSE 'PK' END")
     return rows.select("doc_id", registry.signature(F.concat(text, "key").cast("binary")).alias("signature"))
 
 
-@register(r"""SELECT DISTINCT url FROM (SELECT unnest(['https://a.example/' || (doc_id % 50), 'https://b.example/x_' || (doc_id % 7)]) AS url FROM documents)""")
+@register(r"""SELECT DISTINCT url FROM (SELECT unnest(['https://a.example/' || (doc_id % 50), 'https://b.example/x_' || (doc_id % 7)]) AS url
+  FROM documents)""")
 def markdown_urls(spark, d):
     rows, _ = numbered(spark, d)
-    return files.markdown_links(rows.select(F.concat(F.lit("see [a](https://a.example/"), (F.col("doc_id") % 50), F.lit(") <https://b.example/x_"), (F.col("doc_id") % 7), F.lit("> http://no.example")).alias("value")))
+    return files.markdown_links(rows.select(F.concat(F.lit("see [a](https://a.example/"), (F.col("doc_id") % 50), F.lit(") <https://b.example/x_"),
+        (F.col("doc_id") % 7), F.lit("> http://no.example")).alias("value")))
 
 
 @register("""SELECT '{"a":' || doc_id || ',"b":' || CASE WHEN doc_id % 3 = 0 THEN 'null' ELSE '"x"' END || '}' AS line FROM documents""")
@@ -247,7 +304,8 @@ def _provider(texts: list[str]) -> list[list[float]]:
     return [[float(len(t)), 1.0] if "bad" not in t else [1.0] for t in texts]
 
 
-@register("""SELECT 'k' || (doc_id % 400) AS key, CASE WHEN doc_id % 400 % 10 = 3 THEN NULL ELSE (length('text ') + length((doc_id % 400)::VARCHAR))::DOUBLE END AS size,
+@register("""SELECT 'k' || (doc_id % 400) AS key, CASE WHEN doc_id % 400 % 10 = 3 THEN NULL
+  ELSE (length('text ') + length((doc_id % 400)::VARCHAR))::DOUBLE END AS size,
 CASE WHEN doc_id % 400 % 10 = 3 THEN 'provider_error' END AS kind FROM documents GROUP BY doc_id % 400""")
 def embed_misses(spark, d):
     """Embeddings of texts, each key once; some batches are refused as a whole and go through in parts, some vectors are wrong."""
@@ -264,7 +322,8 @@ def cache_upkeep(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("content_hash"))
     cache = docs.where("content_hash % 2 = 0").withColumn("vector", F.array(F.lit(0.0).cast("float"), F.lit(0.0).cast("float")))
     joined = sync.cache_join(docs.withColumn("embedding_text", F.lit("t")), cache, "content_hash", 2)
-    fresh = upload.embed(joined.where("vector is null").drop("vector"), _provider, 2, sleep=lambda s: None).select(F.col("key").alias("content_hash"), "vector")
+    fresh = upload.embed(joined.where("vector is null").drop("vector"), _provider, 2, sleep=lambda s: None).select(F.col("key").alias("content_hash"),
+        "vector")
     return sync.upsert(cache, fresh, "content_hash").select(F.col("content_hash").alias("id"), (F.get("vector", F.lit(1)) == 0).alias("cached"))
 
 
@@ -272,29 +331,36 @@ def cache_upkeep(spark, d):
 def delete_scope_faults(spark, d):
     """A scope of all sources but one may not delete: it differs from the approved ones, and chunks lie outside of it."""
     ids = table(spark, d, "documents").where("source is not null").select(F.col("source").alias("id")).distinct()
-    scope = upload.scope_rows(ids.where(F.col("id") != "src1").withColumns({"review_status": F.lit("approved"), "status": F.lit("current")}), "m", "c", [], True, True)
+    scope = upload.scope_rows(ids.where(F.col("id") != "src1").withColumns({"review_status": F.lit("approved"), "status": F.lit("current")}), "m",
+        "c", [], True, True)
     chunks = table(spark, d, "documents").where("source is not null").select(F.col("source").alias("source_id"))
     return upload.scope_issues(scope, ids, chunks, "m", "c")
 
 
-@register("""WITH c AS (SELECT doc_id, doc_id % 2 = 0 AS had, doc_id % 3 = 0 AS put FROM documents) SELECT 'h' || doc_id AS content_hash, CASE WHEN put THEN 2 ELSE 1 END AS version FROM c WHERE had OR put""")
+@register("""WITH c AS (SELECT doc_id, doc_id % 2 = 0 AS had, doc_id % 3 = 0 AS put FROM documents) SELECT 'h' || doc_id AS content_hash, CASE
+  WHEN put THEN 2 ELSE 1 END AS version FROM c WHERE had OR put""")
 def cache_store(spark, d):
     """A cache of two models after vectors of one of them were put, some of them invalid; what is read back of that model."""
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("h"), "doc_id").alias("content_hash"))
     vec = lambda x: F.array(F.lit(float(x)).cast("float"), F.lit(0.0).cast("float"))
-    had = docs.where("doc_id % 2 = 0").select(F.explode(strings("m", "other")).alias("model"), F.lit(2).alias("dimensions"), "content_hash", vec(1).alias("vector"))
-    new = docs.select("content_hash", F.when(F.col("doc_id") % 3 == 0, vec(2)).otherwise(F.array(F.lit(float("nan")).cast("float"), F.lit(0.0).cast("float"))).alias("vector"))
+    had = docs.where("doc_id % 2 = 0").select(F.explode(strings("m", "other")).alias("model"), F.lit(2).alias("dimensions"), "content_hash",
+        vec(1).alias("vector"))
+    new = docs.select("content_hash", F.when(F.col("doc_id") % 3 == 0, vec(2)).otherwise(F.array(F.lit(float("nan")).cast("float"),
+        F.lit(0.0).cast("float"))).alias("vector"))
     out = sync.cached_vectors(sync.cache_put(had, new, "m", 2), "m", 2)
     return out.select("content_hash", F.get("vector", F.lit(0)).cast("int").alias("version"))
 
 
-@register("""SELECT 'i' || doc_id AS image_id, 'p/i' || doc_id || '.webp' AS blob_name, CASE doc_id % 4 WHEN 3 THEN 'provider_error' END AS kind FROM documents WHERE doc_id % 2 = 1""")
+@register("""SELECT 'i' || doc_id AS image_id, 'p/i' || doc_id || '.webp' AS blob_name, CASE doc_id % 4 WHEN 3 THEN 'provider_error' END AS kind
+  FROM documents WHERE doc_id % 2 = 1""")
 def image_publish(spark, d):
     """Contents put under their names; a quarter of them is refused."""
     docs = table(spark, d, "documents").select(F.concat(F.lit("i"), "doc_id").alias("image_id"), "doc_id")
     name = F.concat("image_id", F.lit(".webp"))
-    plan = docs.where("doc_id % 2 = 1").select("image_id", name.alias("file_name"), F.concat(F.lit("p/"), name).alias("blob_name"), F.concat(F.lit("https://m/p/"), name).alias("public_url"))
-    scan = docs.select(F.concat(F.lit("file:/x/"), name).alias("path"), F.when(F.col("doc_id") % 4 == 3, "no").otherwise("yes").cast("binary").alias("content"))
+    plan = docs.where("doc_id % 2 = 1").select("image_id", name.alias("file_name"), F.concat(F.lit("p/"), name).alias("blob_name"),
+        F.concat(F.lit("https://m/p/"), name).alias("public_url"))
+    scan = docs.select(F.concat(F.lit("file:/x/"), name).alias("path"), F.when(F.col("doc_id") % 4 == 3,
+        "no").otherwise("yes").cast("binary").alias("content"))
     return images.publish(plan, scan, _put, sleep=lambda s: None).select("image_id", "blob_name", "kind")
 
 

@@ -36,10 +36,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType, key: str | No
     lines = spark.read.text(path).select(F.col("value")).where(F.trim("value") != "")
     parsed = lines.select("value", F.from_json("value", raw.schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("r"))
     rows = parsed.where(F.col(f"r.{bad}").isNull() & F.col("r").isNotNull()).select(*[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields])
-    faults = parsed.where(F.col(f"r.{bad}").isNotNull() | F.col("r").isNull()).select(F.lit("LINE_MALFORMED").alias("code"), F.lit(None).cast("string").alias("key"), F.substring("value", 1, 200).alias("line"))
+    faults = parsed.where(F.col(f"r.{bad}").isNotNull() | F.col("r").isNull()).select(F.lit("LINE_MALFORMED").alias("code"),
+        F.lit(None).cast("string").alias("key"), F.substring("value", 1, 200).alias("line"))
     if key:
         twice = rows.groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("n")).where("n > 1 OR key IS NULL")
-        faults = faults.unionByName(twice.select(F.when(F.col("key").isNull(), "KEY_MISSING").otherwise("KEY_REPEATED").alias("code"), "key", F.lit(None).cast("string").alias("line")))
+        faults = faults.unionByName(twice.select(F.when(F.col("key").isNull(), "KEY_MISSING").otherwise("KEY_REPEATED").alias("code"), "key",
+            F.lit(None).cast("string").alias("line")))
     return rows, faults
 
 
@@ -62,7 +64,8 @@ def reusable(spark: SparkSession, path: str, schema: StructType, wanted: DataFra
 def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(local_file, bytes, file_sha256, signature) of the files under a folder; contents are read once and not kept."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("local_file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("file_sha256"), signature(F.col("content")).alias("signature"))
+    return files.select(F.col("path").alias("local_file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("file_sha256"),
+        signature(F.col("content")).alias("signature"))
 
 
 def json_line(df: DataFrame):

@@ -31,7 +31,8 @@ BOILERPLATE = (
 #: The same of classes of hidden parts, and a part of a class that hides.
 HIDDEN_CLASSES, HIDDEN_PART = ("d-none", "hidden", "visually-hidden"), "ms-hide"
 #: What may hold the content where there is no main element, in order: (attribute, value); class: one of several.
-MAIN_PLACES = (("data-name", "ContentPlaceHolderMain"), ("id", "DeltaPlaceHolderMain"), ("class", "ms-rtestate-field"), ("class", "content_common"), ("class", "container-body"))
+MAIN_PLACES = (("data-name", "ContentPlaceHolderMain"), ("id", "DeltaPlaceHolderMain"), ("class", "ms-rtestate-field"), ("class", "content_common"),
+    ("class", "container-body"))
 #: Parts of ids and classes of tables that lay out a page, and of tables of content.
 LAYOUT_MARKS, CONTENT_MARKS = ("webpart", "ms-core", "ms-table", "layout"), ("in-table", "e-table", "d-table")
 
@@ -126,7 +127,8 @@ def hidden(n: _Node) -> bool:
         return False
     of = n.attrs.get
     return (
-        of("aria-hidden", "").lower() == "true" or "hidden" in n.attrs or bool(_HIDE_STYLE.search(of("style", ""))) or HIDDEN_PART in of("class", "").lower()
+        of("aria-hidden", "").lower() == "true" or "hidden" in n.attrs or bool(_HIDE_STYLE.search(of("style", ""))) or HIDDEN_PART in of("class",
+            "").lower()
         or bool(_HIDE.search(of("class", ""))) or bool(_BOILER.search(f"{of('id', '')} {of('class', '')}"))
     )
 
@@ -307,8 +309,10 @@ _PIECE = "struct<kind:string,depth:int,number:int,text:string,cells:array<string
 def page_pieces(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(`id_col`, url, title, fallback, blocks, error): the pieces of each block of each page, or why it can't be read (the
     kind of error)."""
-    packed = pages.select(F.struct(F.col(f"`{id_col}`")).alias("row"), F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url"), F.col(f"`{html_col}`").alias("html"))
-    piece = pa.list_(pa.struct([("kind", pa.string()), ("depth", pa.int32()), ("number", pa.int32()), ("text", pa.string()), ("cells", pa.list_(pa.string()))]))
+    packed = pages.select(F.struct(F.col(f"`{id_col}`")).alias("row"), F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url"),
+        F.col(f"`{html_col}`").alias("html"))
+    piece = pa.list_(pa.struct([("kind", pa.string()), ("depth", pa.int32()), ("number", pa.int32()), ("text", pa.string()),
+        ("cells", pa.list_(pa.string()))]))
     names = ("kind", "depth", "number", "text", "cells")
     grouped = lambda found: [[dict(zip(names, p[1:])) for p in ps] for _, ps in groupby(found, key=lambda p: p[0])]
 
@@ -323,10 +327,12 @@ def page_pieces(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                     out.append(("", False, [], type(e).__name__))
             title, fallback, found, error = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(title, pa.string()), pa.array(fallback, pa.bool_()), pa.array(found, pa.list_(piece)), pa.array(error, pa.string())],
+                [batch.column(0), batch.column(1), pa.array(title, pa.string()), pa.array(fallback, pa.bool_()), pa.array(found, pa.list_(piece)),
+                    pa.array(error, pa.string())],
                 ["row", "url", "title", "fallback", "blocks", "error"])
 
-    schema = StructType([packed.schema["row"], *StructType.fromDDL(f"url string, title string, fallback boolean, blocks array<array<{_PIECE}>>, error string")])
+    schema = StructType([packed.schema["row"],
+        *StructType.fromDDL(f"url string, title string, fallback boolean, blocks array<array<{_PIECE}>>, error string")])
     out = packed.mapInArrow(run, schema)
     return out.select(F.col(f"row.`{id_col}`"), "url", "title", "fallback", "blocks", "error")
 
@@ -339,7 +345,8 @@ def block_text(ps: Column) -> Column:
     line = lambda p: (
         F.when(p["kind"] == "item", F.when(p["text"] != "", F.concat(F.repeat(F.lit("  "), p["depth"]), mark(p), p["text"])))
         .when(p["kind"] == "caption", F.concat(F.lit("Table: "), p["text"])).when(p["kind"] == "header", F.concat(F.lit("Headers: "), cells(p)))
-        .when(p["kind"] == "row", F.when(full(p), F.concat(F.lit("Row: "), cells(p)))).when(p["kind"] == "term", F.concat(p["text"], F.lit(": "), F.get(p["cells"], F.lit(0))))
+        .when(p["kind"] == "row", F.when(full(p), F.concat(F.lit("Row: "), cells(p)))).when(p["kind"] == "term",
+            F.concat(p["text"], F.lit(": "), F.get(p["cells"], F.lit(0))))
         .otherwise(p["text"]))
     return F.array_join(F.array_compact(F.transform(ps, line)), "\n")
 
@@ -350,9 +357,12 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     title_path: the open headings, else the page's title, else its url. A heading closes those of its level and below.
     """
     read = page_pieces(pages, id_col, url_col, html_col)
-    kind = lambda ps: F.when(ps[0]["kind"] == "item", "list").when(ps[0]["kind"] == "term", "definition_list").when(ps[0]["kind"].isin("caption", "header", "row"), "table").otherwise(ps[0]["kind"])
-    head = lambda ps: F.coalesce(F.get(F.filter(ps, lambda p: p["kind"] == "header"), F.lit(0))["cells"], F.expr("cast(array() as array<string>)"))
-    one = lambda ps: F.struct(kind(ps).alias("kind"), block_text(ps).alias("content"), head(ps).alias("headers"), ps[0]["depth"].alias("depth"))
+    kind = lambda ps: F.when(ps[0]["kind"] == "item", "list").when(ps[0]["kind"] == "term",
+        "definition_list").when(ps[0]["kind"].isin("caption", "header", "row"), "table").otherwise(ps[0]["kind"])
+    head = lambda ps: F.coalesce(F.get(F.filter(ps, lambda p: p["kind"] == "header"), F.lit(0))["cells"],
+        F.expr("cast(array() as array<string>)"))
+    one = lambda ps: F.struct(kind(ps).alias("kind"), block_text(ps).alias("content"), head(ps).alias("headers"),
+        ps[0]["depth"].alias("depth"))
     rows = read.withColumn("bs", F.filter(F.transform("blocks", one), lambda b: b["content"] != ""))
 
     def follow(s: Column, b: Column) -> Column:
@@ -365,14 +375,16 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     flat = paths.select(id_col, "url", "title", "fallback", F.posexplode(F.arrays_zip("bs", "paths")).alias("at", "x"))
     named = F.when(F.size("x.paths") > 0, F.col("x.paths")).otherwise(F.array(F.coalesce(F.nullif("title", F.lit("")), "url")))
     warned = F.when(F.col("fallback"), F.array(F.lit("HTML_MAIN_FALLBACK"))).otherwise(none)
-    return flat.select(id_col, (F.col("at") + 1).alias("ordinal"), F.col("x.bs.kind").alias("kind"), named.alias("title_path"), F.col("x.bs.content").alias("content"),
+    return flat.select(id_col, (F.col("at") + 1).alias("ordinal"), F.col("x.bs.kind").alias("kind"), named.alias("title_path"),
+        F.col("x.bs.content").alias("content"),
                        F.col("x.bs.headers").alias("headers"), warned.alias("warnings"))
 
 
 def html_issues(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(`id_col`, code, severity, message) of pages that can't be read; messages don't tell contents."""
     bad = page_pieces(pages, id_col, url_col, html_col).where("error is not null")
-    return bad.select(id_col, F.lit("EXTRACTION_FAILED").alias("code"), F.lit("error").alias("severity"), F.concat(F.lit("page can't be read: "), "error").alias("message"))
+    return bad.select(id_col, F.lit("EXTRACTION_FAILED").alias("code"), F.lit("error").alias("severity"),
+        F.concat(F.lit("page can't be read: "), "error").alias("message"))
 
 
 def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -389,4 +401,5 @@ def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = flat.select(id_col, "source", "at", F.col("l.label").alias("label"), absolute(F.col("l.href"), F.col("source")).alias("url"))
     own = rows.where((host(F.col("url")) != "") & (host(F.col("url")) == host(F.col("source"))))
     first = own.groupBy("label", "url").agg(F.min(F.struct("source", "at", F.col(id_col).alias("id"))).alias("f"))
-    return first.select(F.col("f.id").alias(id_col), "f.source", F.when(F.col("label") == "", "Unlabelled link").otherwise(F.col("label")).alias("label"), "url")
+    return first.select(F.col("f.id").alias(id_col), "f.source", F.when(F.col("label") == "",
+        "Unlabelled link").otherwise(F.col("label")).alias("label"), "url")

@@ -45,7 +45,8 @@ def heading_paths(pages: DataFrame, source: str = "source_id", page: str = "page
         return F.struct(stack.alias("stack"), F.concat(state["out"], F.array(F.struct(p["page"].alias("page"), stack.alias("path")))).alias("out"))
 
     kind = pages.schema[page].dataType.simpleString()
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("stack"), F.expr(f"cast(array() as array<struct<page:{kind},path:array<string>>>)").alias("out"))
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("stack"),
+        F.expr(f"cast(array() as array<struct<page:{kind},path:array<string>>>)").alias("out"))
     paths = by_file.select(source, F.explode(F.aggregate("_ps", start, turn, lambda s: s["out"])).alias("_p"))
     return pages.join(paths.select(source, F.col("_p.page").alias(page), F.col("_p.path").alias("title_path")), [source, page], "left")
 
@@ -59,7 +60,8 @@ def page_records(pages: DataFrame) -> DataFrame:
     loss = F.when(looks_tabular(F.col("content")), F.lit("TABLE_LAYOUT_LOSS"))
     digest = F.sha2("content", 256)
     return paths.where("decision <> 'EMPTY_PAGE'").select(
-        "source_id", "page", F.concat(F.col("source_id"), F.lit("-p"), F.col("page").cast("string"), F.lit("-"), F.substring(digest, 1, 16)).alias("record_id"),
+        "source_id", "page", F.concat(F.col("source_id"), F.lit("-p"), F.col("page").cast("string"), F.lit("-"),
+            F.substring(digest, 1, 16)).alias("record_id"),
         F.lit("page").alias("content_kind"), "title_path", F.get("title_path", F.size("title_path") - 1).alias("section"),
         "content", F.when(F.col("decision") == "OCR_USED", "pdf_ocr").otherwise("pdf_text").alias("extraction_method"),
         F.filter(F.array(code, loss), lambda x: x.isNotNull()).alias("warnings"), digest.alias("content_hash"),
@@ -69,7 +71,8 @@ def page_records(pages: DataFrame) -> DataFrame:
 def audit(pages: DataFrame) -> DataFrame:
     """Per file: pages, pages with more than 20 characters, characters. One partial aggregation."""
     n = F.length(F.coalesce("text", F.lit("")))
-    return pages.groupBy("source_id").agg(F.count("*").alias("pages"), F.count_if(n > 20).alias("pages_with_text"), F.sum(n.cast("bigint")).alias("chars"))
+    return pages.groupBy("source_id").agg(F.count("*").alias("pages"), F.count_if(n > 20).alias("pages_with_text"),
+        F.sum(n.cast("bigint")).alias("chars"))
 
 
 def ocr_required(counts: DataFrame, records: DataFrame) -> DataFrame:

@@ -148,7 +148,8 @@ def _formats(archive: zipfile.ZipFile) -> list[str]:
     if root is None:
         return []
     own = {n.get("numFmtId"): n.get("formatCode", "") for n in root.iter("numFmt")}
-    return [own.get(x.get("numFmtId", "0"), _FORMATS.get(int(x.get("numFmtId", "0") or 0), "General")) for xs in root.iter("cellXfs") for x in xs.iter("xf")]
+    return [own.get(x.get("numFmtId", "0"), _FORMATS.get(int(x.get("numFmtId", "0") or 0),
+        "General")) for xs in root.iter("cellXfs") for x in xs.iter("xf")]
 
 
 def _number(raw: str, fmt: str, base: datetime) -> str:
@@ -166,7 +167,8 @@ def _number(raw: str, fmt: str, base: datetime) -> str:
 
 def _rule(v) -> tuple[str, bool]:
     """Text of a validation rule, and whether a part of it is not spelled out."""
-    out = [f"{label}: {_text(v.get(key))}" for key, label in (("promptTitle", "Prompt title"), ("prompt", "Prompt"), ("errorTitle", "Error title"), ("error", "Error")) if v.get(key)]
+    out = [f"{label}: {_text(v.get(key))}" for key, label in (("promptTitle", "Prompt title"), ("prompt", "Prompt"), ("errorTitle", "Error title"),
+        ("error", "Error")) if v.get(key)]
     formula = (v.findtext("formula1") or "").strip()
     listed = [x.strip() for x in formula[1:-1].split(",") if x.strip()] if len(formula) > 1 and formula[0] == formula[-1] == '"' else []
     if listed:
@@ -328,7 +330,8 @@ def display(value: Column, comment: Column, validation: Column, fmt: Column) ->
     known = lambda c: c != ""
     shown = F.when(known(value), value).when(known(validation), F.lit("[blank input]")).when(known(comment), F.lit("[blank cell]"))
     tells = F.lower(fmt).rlike("|".join(map(re.escape, _SHAPES))) & (fmt != "General")
-    parts = F.concat_ws(" | ", shown, F.when(known(comment), F.concat(F.lit("Comment: "), comment)), F.when(known(validation), validation), F.when(tells, F.concat(F.lit("Expected format: "), fmt)))
+    parts = F.concat_ws(" | ", shown, F.when(known(comment), F.concat(F.lit("Comment: "), comment)), F.when(known(validation), validation),
+        F.when(tells, F.concat(F.lit("Expected format: "), fmt)))
     return F.when(shown.isNotNull(), parts)
 
 
@@ -346,12 +349,15 @@ def _lines(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     """`lines` of each key: the cells of a row joined by ` | `, rows in order; cells are joined before rows are."""
     per_row = rows.groupBy(*keys, "row").agg(
         F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("col", F.concat_ws(": ", "address", "text").alias("t"))))).alias("ts"),
-        F.min("col").alias("c1"), F.max("col").alias("c2"), F.bool_or(F.col("value").startswith("=")).alias("formula"), F.bool_or("partial").alias("partial"), *more,
+        F.min("col").alias("c1"), F.max("col").alias("c2"), F.bool_or(F.col("value").startswith("=")).alias("formula"),
+            F.bool_or("partial").alias("partial"), *more,
     )
     line = F.when(F.size("ts") > 0, F.struct("row", F.array_join(F.transform("ts", lambda t: t["t"]), " | ").alias("t")))
     return per_row.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(line)).alias("ls"), F.min("row").alias("r1"), F.max("row").alias("r2"), F.min("c1").alias("c1"), F.max("c2").alias("c2"),
-        F.bool_or("formula").alias("formula"), F.bool_or("partial").alias("partial"), F.bool_or("hidden").alias("hidden"), F.bool_or("loose").alias("loose"), F.min_by("above", "row").alias("heading"),
+        F.array_sort(F.collect_list(line)).alias("ls"), F.min("row").alias("r1"), F.max("row").alias("r2"), F.min("c1").alias("c1"),
+            F.max("c2").alias("c2"),
+        F.bool_or("formula").alias("formula"), F.bool_or("partial").alias("partial"), F.bool_or("hidden").alias("hidden"),
+            F.bool_or("loose").alias("loose"), F.min_by("above", "row").alias("heading"),
     ).withColumn("lines", F.transform("ls", lambda x: x["t"])).drop("ls")
 
 
@@ -369,7 +375,8 @@ def regions(parsed: DataFrame) -> DataFrame:
     only = (F.count(F.nullif("value", F.lit(""))).over(one) == 1) & (F.max(F.length("value")).over(one) <= 160)
     titled = filled.withColumn("alone", F.when(only, F.max(F.nullif("value", F.lit(""))).over(one)))
     above = titled.withColumn("above", F.last("alone", ignorenulls=True).over(by_row.rangeBetween(-5, -1)))
-    out = _lines(above, [*sheet, "island"], F.bool_or("hidden").alias("hidden"), F.bool_or("loose").alias("loose"), F.max("above").alias("above")).where(F.size("lines") > 0)
+    out = _lines(above, [*sheet, "island"], F.bool_or("hidden").alias("hidden"), F.bool_or("loose").alias("loose"),
+        F.max("above").alias("above")).where(F.size("lines") > 0)
     heading = F.when(F.col("heading").isNotNull(), F.concat(F.lit("Heading: "), "heading"))
     warn = lambda c, code: F.when(c, F.lit(code))
     flagged = F.filter(F.array(warn(F.col("hidden"), "HIDDEN_SHEET_SKIPPED"), warn(F.col("partial") | F.col("loose"), "DATA_VALIDATION_PARTIAL"),
@@ -385,17 +392,20 @@ def named_ranges(parsed: DataFrame) -> DataFrame:
 
     Cells meet ranges by (source_id, sheet) and then by bounds: a range holds 20,000 cells at most.
     """
-    names = parsed.select("source_id", F.posexplode("names").alias("n", "r")).select("source_id", "n", "r.name", "r.sheet", "r.sheet_no", "r.row1", "r.col1", "r.row2", "r.col2")
+    names = parsed.select("source_id", F.posexplode("names").alias("n", "r")).select("source_id", "n", "r.name", "r.sheet", "r.sheet_no", "r.row1",
+        "r.col1", "r.row2", "r.col2")
     inside = cells(parsed).drop("hidden", "loose_sheets").join(
         names, ["source_id", "sheet", "sheet_no"]).where("row BETWEEN row1 AND row2 AND col BETWEEN col1 AND col2")
     no = F.lit(False)
-    lines = _lines(inside, ["source_id", "n"], F.bool_or(no).alias("hidden"), F.bool_or(no).alias("loose"), F.lit(None).cast("string").alias("above")).select("source_id", "n", "lines")
+    lines = _lines(inside, ["source_id", "n"], F.bool_or(no).alias("hidden"), F.bool_or(no).alias("loose"),
+        F.lit(None).cast("string").alias("above")).select("source_id", "n", "lines")
     rows = names.join(lines, ["source_id", "n"], "left").withColumnsRenamed({"row1": "r1", "col1": "c1", "row2": "r2", "col2": "c2"})
     empty = F.coalesce(F.size("lines") <= 0, F.lit(True))
     body = F.when(empty, F.lit("[named range contains no visible cell values]")).otherwise(F.array_join("lines", "\n"))
     title = F.concat(F.lit("Named range: "), "name")
     content = F.concat_ws("\n", F.concat(F.lit("Sheet: "), "sheet"), title, F.concat(F.lit("Range: "), _range()), body)
-    return _records(rows, content, title, F.array(F.col("sheet"), title), F.expr("cast(array() as array<string>)"), F.concat(F.lit("named-"), _fragment(F.col("name")), F.lit("-")), 12)
+    return _records(rows, content, title, F.array(F.col("sheet"), title), F.expr("cast(array() as array<string>)"),
+        F.concat(F.lit("named-"), _fragment(F.col("name")), F.lit("-")), 12)
 
 
 def _range() -> Column:
@@ -411,8 +421,10 @@ def _records(rows: DataFrame, content: Column, section: Column, path: Column, wa
     full = rows.withColumn("content", content).withColumn("content_hash", F.sha2("content", 256))
     return full.select(
         "source_id", "sheet_no", F.col("r1").alias("first_row"),
-        F.concat(F.col("source_id"), F.lit("-"), _fragment(F.col("sheet")), F.lit("-"), infix, F.substring("content_hash", 1, digits)).alias("record_id"),
-        F.lit("worksheet").alias("content_kind"), path.alias("title_path"), "content", section.alias("section"), "sheet", _range().alias("cell_range"),
+        F.concat(F.col("source_id"), F.lit("-"), _fragment(F.col("sheet")), F.lit("-"), infix,
+            F.substring("content_hash", 1, digits)).alias("record_id"),
+        F.lit("worksheet").alias("content_kind"), path.alias("title_path"), "content", section.alias("section"), "sheet",
+            _range().alias("cell_range"),
         F.lit("xlsm_xml").alias("extraction_method"), warnings.alias("warnings"), "content_hash",
     )
 

@@ -35,7 +35,8 @@ def yaml_to_json(texts: pd.Series) -> pd.Series:
 def read_yaml(spark: SparkSession, path: str, schema: str | StructType, pattern: str = "*.y*ml") -> tuple[DataFrame, DataFrame]:
     """(path and the columns of `schema` for each file, issues (path, code)) of the YAML files under `path`."""
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), yaml_to_json("value").alias("json"))
+    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"),
+        yaml_to_json("value").alias("json"))
     parsed = files.select("path", "json", F.from_json("json", schema).alias("r"))
     rows = parsed.where("json is not null").select("path", "r.*")
     return rows, parsed.where("json is null").select("path", F.lit("YAML_INVALID").alias("code"))
