@@ -76,7 +76,10 @@ def locator_checks() -> constraints.Catalogue:
 
 def normalize_records(records: DataFrame) -> DataFrame:
     """Records with normalised contents and their hashes; those without content then are left out."""
-    return records.withColumn("content", normalize_text(F.col("content"))).where("content <> ''").withColumn("content_hash", F.sha2("content", 256))
+    made = F.transform(F.array(normalize_text(F.col("content"))), lambda t: F.struct(t.alias("content"), F.sha2(t, 256).alias("content_hash")))
+    rest = [F.col(f"`{c}`") for c in records.columns if c not in ("content", "content_hash")]
+    # rows without content vanish in the explosion; a filter would normalise twice
+    return records.select(*rest, F.explode(F.filter(made, lambda x: x["content"] != "")).alias("_n")).select(*rest, "_n.*")
 
 
 def dispatch(sources: DataFrame, readers: dict, key: str = "media_type") -> tuple[DataFrame, DataFrame]:

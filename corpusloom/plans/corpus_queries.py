@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions import urls
 from corpusloom.operators import answer, chunking, constraints, corpus, images, query, registry, retrieval, sync, upload
-from corpusloom.plans.queries import _GREEDY_SQL, _NORMAL_SQL, _PIECES_SQL, register, table
+from corpusloom.plans.search_queries import _GREEDY_SQL, _NORMAL_SQL, _PIECES_SQL, register, table
 from corpusloom.sources import html, paged, workbook
 
 NONE = "cast(array() as array<string>)"

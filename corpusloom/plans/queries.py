@@ -1,673 +1,6 @@
-"""Registered queries of the evidence engine over the synthetic tables, each with the DuckDB SQL of the same rows.
-
-Documents stand in for chunks (source -> source_id, lang -> language), labels for their status, embeddings for their
-vectors (vec_id = doc_id), conversations for chat messages, pages for snapshots, events for provider results.
-"""
+"""The registered queries of the engine, Q, and the DuckDB SQL of the same rows, SQL, by name."""
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from corpusloom.functions import text as T
-from corpusloom.functions import vocab
-from corpusloom.operators import answer, chunking, constraints, images, query, registry, retrieval, sync
-from corpusloom.sources import paged, yaml_files
-
-Q: dict = {}
-SQL: dict[str, str] = {}
-
-
-def register(sql: str | None = None):
-    def add(f):
-        Q[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-_LEVELS = list(vocab.AUTHORITY_RANKS)
-_STATUS = "CASE WHEN quality = 0 THEN 'superseded' WHEN toxic = 1 THEN 'historical' WHEN quality = 1 THEN 'current' END"
-_NAMES = " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(_LEVELS))
-#: Labels of documents as chunks, in SQL that both engines run.
-_LABELS = {
-    "tax_year": "CASE doc_id % 4 WHEN 1 THEN '2024/2025' WHEN 2 THEN '2025/2026' END",
-    "authority_level": f"CASE doc_id % 9 {_NAMES} END",
-    "authority_rank": "CAST(doc_id % 100 AS int)",
-    "effective_from": "CASE WHEN doc_id % 3 > 0 THEN make_date(CAST(2020 + doc_id % 6 AS int), 1, 1) END",
-    "effective_to": "CASE WHEN doc_id % 3 = 2 THEN make_date(CAST(2022 + doc_id % 6 AS int), 12, 31) END",
-    "tax_type": "CASE doc_id % 5 WHEN 1 THEN 'vat' WHEN 2 THEN 'WHT' WHEN 3 THEN 'income_tax' END",
-}
-#: The same of questions: every arm of the period, status, tax type and authority orders is asked for.
-_ASKED = {
-    "q_tax_year": "CASE query_id % 3 WHEN 0 THEN '2025/2026' WHEN 1 THEN '2023' END",
-    "q_tax_type": "CASE query_id % 7 WHEN 1 THEN 'vat' WHEN 2 THEN 'wht' WHEN 3 THEN 'sscl' END",
-    "q_text": "CASE WHEN query_id % 11 = 0 THEN 'the Act, and its rate' ELSE 'the action' END",
-    "q_procedural": "(query_id % 60 = 20)",
-    "q_historical": "(query_id % 80 = 40)",
-}
-_CHUNKS_SQL = f"""chunks AS (SELECT d.doc_id AS id, d.source AS source_id, d.text AS content, d.lang AS language, {_STATUS} AS status,
-  {', '.join(f"{x.replace('doc_id', 'd.doc_id')} AS {n}" for n, x in _LABELS.items())}
-  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
-
-
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    named = {n: F.expr(x) for n, x in _LABELS.items()}
-    kind = named.pop("tax_type")
-    return docs.join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.col("text").alias("content"),
-        F.col("lang").alias("language"), F.expr(_STATUS).alias("status"), *[c.alias(n) for n, c in named.items()],
-        F.array_compact(F.array(kind)).alias("tax_types"), F.lit("text").alias("content_type"),
-    )
-
-
-def questions(spark: SparkSession, d: str) -> DataFrame:
-    """Every document whose id is divisible by 20 as a question, with its whole text."""
-    rows = table(spark, d, "documents").where("doc_id % 20 = 0")
-    return rows.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
-
-
-def question_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Every stored vector whose id is divisible by 20 as a question."""
-    rows = table(spark, d, "embeddings").where("vec_id % 20 = 0")
-    return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-
-
-_TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
-_PART = "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))"
-_BM25_SQL = f"""
-w AS (SELECT doc_id, {_TOK.format('text')} AS ts FROM documents),
-qt AS (SELECT doc_id AS query_id, unnest(list_distinct(ts)) AS term FROM w WHERE doc_id % 20 = 0),
-st AS (SELECT (SELECT count(*) FROM documents) AS n, avg(len(ts)) AS mean FROM w),
-tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM w) x
-  WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-post AS (SELECT doc_id, term, {_PART} AS s FROM tf JOIN df USING (term), st),
-bm AS (SELECT query_id, doc_id, round(sum(s), 9) AS bm25 FROM post JOIN qt USING (term) WHERE {{among}} GROUP BY 1, 2),
-br AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS rank FROM bm) WHERE rank <= 24)"""
-_DOT = "list_sum(list_transform(list_zip({a}::DOUBLE[], {b}::DOUBLE[]), lambda z: z[1] * z[2]))"
-_KNN_SQL = f"""
-nv AS (SELECT vec_id, embedding, sqrt({_DOT.format(a='embedding', b='embedding')}) AS size FROM embeddings),
-cs AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round({_DOT.format(a='b.embedding', b='a.embedding')} / (b.size * a.size), 9) AS cosine
-  FROM nv a, nv b WHERE a.vec_id % 20 = 0 AND {{among}}),
-kr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS rank FROM cs) WHERE rank <= 24)"""
-
-
-def _searches_sql(bm25_among: str = "true", knn_among: str = "true") -> str:
-    return f"{_BM25_SQL.replace('{among}', bm25_among)}, {_KNN_SQL.replace('{among}', knn_among)}"
-
-
-def _bm25(spark, d, among=None):
-    return retrieval.bm25_top(table(spark, d, "documents"), questions(spark, d), 24, among=among)
-
-
-def _knn(spark, d, among=None):
-    v = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    v = v if among is None else v.join(among, "doc_id", "left_semi")
-    return retrieval.cosine_top(v, question_vectors(spark, d), 24, "doc_id")
-
-
-@register(f"WITH {_BM25_SQL.replace('{among}', 'true')} SELECT query_id, doc_id, rank, round(bm25, 6) AS bm25 FROM br")
-def bm25_topk(spark, d):
-    return _bm25(spark, d).select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("bm25", 6).alias("bm25"))
-
-
-@register(f"WITH {_KNN_SQL.replace('{among}', 'true')} SELECT query_id, doc_id, rank, round(cosine, 6) AS cosine FROM kr")
-def knn_topk(spark, d):
-    return _knn(spark, d).select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("cosine", 6).alias("cosine"))
-
-
-_FUSE_SQL = """
-fu AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf
-  FROM (SELECT query_id, doc_id, rank FROM br UNION ALL SELECT query_id, doc_id, rank FROM kr) GROUP BY 1, 2)"""
-
-
-@register(f"WITH {_searches_sql()}, {_FUSE_SQL} SELECT query_id, doc_id, round(rrf, 6) AS rrf FROM fu")
-def rrf_fuse(spark, d):
-    lists = [(_bm25(spark, d), "rank"), (_knn(spark, d), "rank")]
-    return retrieval.fuse(lists, "doc_id").select("query_id", "doc_id", F.round("rrf", 6).alias("rrf"))
-
-
-_ELIGIBLE = "(language IS NULL OR language = 'en') AND (status IS NULL OR status <> 'excluded')"
-_ORDER = "sp DESC, se DESC, ss DESC, st DESC, sa DESC, original_rank, id"
-
-
-def _when(key: str, found: dict[str, int]) -> str:
-    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in found.items()) + " END"
-
-
-_SCORES_SQL = f"""*,
-  CASE WHEN q_tax_year IS NULL THEN CASE WHEN status = 'current' THEN 1 ELSE 0 END WHEN tax_year = q_tax_year THEN 3
-    WHEN year(effective_from) <= q_tax_year[1:4]::INT AND (effective_to IS NULL OR year(effective_to) >= q_tax_year[1:4]::INT) THEN 2
-    WHEN tax_year IS NULL AND effective_from IS NULL THEN 1 ELSE 0 END AS sp,
-  CASE WHEN tax_year = q_tax_year THEN 1 ELSE 0 END AS se,
-  CASE WHEN q_historical THEN {_when("coalesce(status, 'unknown')", vocab.STATUS_PAST)}
-  ELSE {_when("coalesce(status, 'unknown')", vocab.STATUS_NOW)} END AS ss,
-  CASE WHEN q_tax_type IS NULL THEN 0 WHEN tax_type IS NULL THEN 1 WHEN lower(tax_type) = q_tax_type THEN 2 ELSE 0 END AS st,
-  coalesce(CASE WHEN regexp_matches(lower(q_text), '\\b(?:{vocab.LEGAL})\\b') THEN {_when('authority_level', vocab.AUTHORITY_LEGAL)}
-    WHEN q_procedural THEN {_when('authority_level', vocab.AUTHORITY_PROCEDURAL)} ELSE {_when('authority_level', vocab.AUTHORITY_DEFAULT)} END,
-    least(authority_rank // 10, 8)) AS sa""".replace("\\\\b", "\\b")
-_ASKED_SQL = ", ".join(f"{x} AS {n}" for n, x in _ASKED.items())
-_RANKED_SQL = f"""{_CHUNKS_SQL}, el AS (SELECT id FROM chunks WHERE {_ELIGIBLE}),
-{_searches_sql('doc_id IN (SELECT id FROM el)', 'b.vec_id IN (SELECT id FROM el)')}, {_FUSE_SQL},
-kd AS (SELECT fu.query_id, c.*, {_ASKED_SQL}, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, id) - 1 AS original_rank
-  FROM fu JOIN chunks c ON c.id = fu.doc_id WHERE rrf >= 0.01),
-sc AS (SELECT {_SCORES_SQL}, max(CASE WHEN coalesce(status, 'unknown') <> 'superseded' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS live
-  FROM kd),
-cp AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY {_ORDER}) AS n
-  FROM sc WHERE q_historical OR live = 0 OR coalesce(status, 'unknown') <> 'superseded'),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) AS rank FROM cp WHERE n <= 2)"""
-
-
-def asked(rows: DataFrame) -> DataFrame:
-    """`rows` with what the question of their query_id asks for."""
-    named = {n: F.expr(x) for n, x in _ASKED.items()}
-    kind = named.pop("q_tax_type")
-    return rows.withColumns(named | {"q_tax_types": F.array_compact(F.array(kind))})
-
-
-def _evidence(spark, d):
-    c = retrieval.evidence_filter(chunks(spark, d))
-    ids = c.select(F.col("id").alias("doc_id"))
-    fused = retrieval.fuse([(_bm25(spark, d, ids), "rank"), (_knn(spark, d, ids), "rank")], "doc_id").where("rrf >= 0.01")
-    rows = c.join(fused.withColumnRenamed("doc_id", "id"), "id").withColumn("rrf", F.round("rrf", 9))
-    ranked = retrieval.top_k(rows, "rrf", 48, "id", "original_rank").withColumn("original_rank", F.col("original_rank") - 1)
-    return retrieval.rerank(asked(ranked))
-
-
-@register(f"""WITH {_RANKED_SQL}
-SELECT query_id, rank, id, source_id, coalesce(status, 'unknown') AS status, original_rank FROM rk WHERE rank <= 8""")
-def hybrid_retrieve(spark, d):
-    return _evidence(spark, d).select(
-        "query_id", F.col("rank").cast("bigint").alias("rank"), "id", "source_id", F.coalesce("status", F.lit("unknown")).alias("status"),
-        F.col("original_rank").cast("bigint").alias("original_rank"),
-    )
-
-
-@register(f"""WITH {_RANKED_SQL},
-ev AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id, trim(content) ORDER BY rank) AS k FROM rk WHERE rank <= 8
-  AND trim(content) <> ''),
-mk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM ev WHERE k = 1),
-bl AS (SELECT query_id, position, '[SOURCE_' || position || ']' || chr(10) || 'source_id: ' || source_id || chr(10) || content AS b FROM mk)
-SELECT query_id, sha256(string_agg(b, chr(10) || chr(10) ORDER BY position)) AS context_sha, count(*) AS n FROM bl GROUP BY 1""")
-def context_blocks(spark, d):
-    marked = answer.numbered_evidence(_evidence(spark, d))
-    n = marked.groupBy("query_id").agg(F.count("*").alias("n"))
-    return answer.context(marked, "source_id").join(n, "query_id").select("query_id", F.sha2("context", 256).alias("context_sha"), "n")
-
-
-@register(f"WITH {_CHUNKS_SQL} SELECT id, status, tax_year FROM chunks WHERE (language IS NULL OR language = 'en') AND (status IS NULL OR status <> 'superseded') AND (tax_year IS NULL OR tax_year = '2025/2026')")
-def evidence_filter_nulls(spark, d):
-    out = retrieval.evidence_filter(chunks(spark, d), tax_year=F.lit("2025/2026"))
-    return out.where("status IS NULL OR status <> 'superseded'").select("id", "status", "tax_year")
-
-
-_USERS_SQL = r"""us AS (SELECT conv_id, turn, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS question FROM conversations
-  WHERE lower(role) = 'user'),
-uq AS (SELECT *, lag(question, 1) OVER w AS p1, lag(question, 2) OVER w AS p2 FROM us WHERE question <> '' WINDOW w AS (PARTITION BY conv_id
-  ORDER BY turn)),
-""" + rf"""rt AS (SELECT conv_id, turn, question, CASE WHEN len(regexp_split_to_array(question, '\s+')) < 8 OR regexp_matches(question,
-  '\b(?:{vocab.FOLLOW_UP})\b', 'i')
-  THEN concat_ws(chr(10), p2, p1, question) ELSE question END AS retrieval_text FROM uq)"""
-
-
-@register(f"WITH {_USERS_SQL} SELECT conv_id, turn, retrieval_text FROM rt")
-def conversation_context(spark, d):
-    return query.user_questions(table(spark, d, "conversations")).select("conv_id", "turn", "retrieval_text")
-
-
-#: Vocabulary of words that the synthetic texts have, in the shape of the default one.
-FIXTURE_LABELS = {"and_then": ["and the", "is the"], "of_that": ["that", "of the"], "with": ["with"], "was": ["was"]}
-FIXTURE_ALIASES = {"ER": "Error Rate", "TI": "Total Income", "ND": "Net Duty"}
-_LABEL_SQL = "list_filter([" + ", ".join(
-    f"CASE WHEN regexp_matches(lower(retrieval_text), '(?:^|[^\\p{{L}}\\p{{N}}_])(?:{'|'.join(map(re.escape, ps))})(?:$|[^\\p{{L}}\\p{{N}}_])') THEN '{n}' END" for n,
-        ps in FIXTURE_LABELS.items()
-) + "], lambda x: x IS NOT NULL)"
-_ALIAS_SQL = "concat_ws(' ', retrieval_text, " + ", ".join(
-    f"CASE WHEN regexp_matches(retrieval_text, '(?:^|[^A-Za-z0-9]){a}(?:$|[^A-Za-z0-9])', 'i') THEN '{x}' END" for a, x in FIXTURE_ALIASES.items()
-) + ")"
-_VERBS = "|".join(vocab.PROCEDURAL_VERBS)
-
-
-@register(rf"""WITH {_USERS_SQL} SELECT conv_id, turn, array_to_string({_LABEL_SQL}, ',') AS labels, sha256({_ALIAS_SQL}) AS expanded_sha,
-regexp_matches(retrieval_text, '\b(?:{_VERBS})\b', 'i') AS procedural, regexp_matches(retrieval_text, '\b(?:{vocab.HISTORICAL})\b',
-  'i') AS historical FROM rt""")
-def query_analysis(spark, d):
-    rows = query.user_questions(table(spark, d, "conversations"))
-    c = F.col("retrieval_text")
-    return rows.select(
-        "conv_id", "turn", F.array_join(query.labels(c, FIXTURE_LABELS), ",").alias("labels"),
-            F.sha2(query.expand_aliases(c, FIXTURE_ALIASES), 256).alias("expanded_sha"),
-        query.procedural(c).alias("procedural"), query.matches(c, vocab.HISTORICAL).alias("historical"),
-    )
-
-
-@register("""SELECT conv_id, count(*) AS n_messages, sum(length(text))::BIGINT AS n_chars, max_by(role, turn) AS last_role,
-sum(CASE WHEN role IN ('user', 'assistant') THEN 0 ELSE 1 END)::BIGINT AS bad_roles, sum(length(text)) > 1000 AS too_large FROM conversations
-  GROUP BY conv_id""")
-def request_validation(spark, d):
-    out = query.validate_requests(table(spark, d, "conversations"), max_chars=1000)
-    return out.select("conv_id", "n_messages", "n_chars", "last_role", "bad_roles", "too_large")
-
-
-@register("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4")
-def history_bound(spark, d):
-    return query.history(table(spark, d, "conversations"), 4).select("conv_id", "turn", "role")
-
-
-@register("SELECT source, count(*) AS n, sum((length(text) + 3) // 4)::BIGINT AS tokens, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source")
-def token_estimate(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.groupBy("source").agg(F.count("*").alias("n"), F.sum(T.token_estimate(F.col("text"))).alias("tokens"),
-        F.sum(F.length("text")).cast("bigint").alias("chars"))
-
-
-@register(r"""SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
-  lambda x: trim(x) <> ''))::BIGINT AS n_sentences FROM documents""")
-def sentence_split_counts(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("n_sentences"))
-
-
-_STRIP = "regexp_replace({}, '^[\\s\\x1c-\\x1f\\x85\\xa0]+|[\\s\\x1c-\\x1f\\x85\\xa0]+$', '', 'g')"
-#: Texts by their line table: a line, the line before it, and what joins them. The tables have no character that NFKC
-#: changes and NFC does not.
-_NORMAL_SQL = rf"""ls AS (SELECT doc_id, unnest(string_split_regex(nfc_normalize(replace(coalesce(text, ''), chr(173), '')), '\r\n|\r|\n')) AS x,
-  generate_subscripts(string_split_regex(nfc_normalize(replace(coalesce(text, ''), chr(173), '')), '\r\n|\r|\n'), 1) AS i FROM documents),
-lt AS (SELECT doc_id, i, {_STRIP.format('x')} AS x FROM ls),
-lb AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY i), '') AS p FROM lt),
-gl AS (SELECT doc_id, i, x, CASE WHEN regexp_matches(x, '^\p{{Ll}}') AND p <> '' AND NOT regexp_matches(p, '[.!?:;,)\]}}–—-]$')
-    AND NOT regexp_matches(p, '^([-*+•‣▪◦]|\d+[.)])\s') AND NOT regexp_matches(x, '^([-*+•‣▪◦]|\d+[.)])\s') THEN ' ' ELSE chr(10) END AS g FROM lb),
-jo AS (SELECT doc_id, string_agg(g || x, '' ORDER BY i) AS t FROM gl GROUP BY doc_id),
-nt AS (SELECT doc_id, trim(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)) AS text FROM jo)"""
-
-
-@register(f"WITH {_NORMAL_SQL} SELECT doc_id, sha256(text) AS content_hash, length(text) AS n_chars FROM nt")
-def normalize_documents(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("text"))
-    return rows.select("doc_id", F.sha2("text", 256).alias("content_hash"), F.length("text").cast("bigint").alias("n_chars"))
-
-
-#: Pieces of texts: units (paragraphs, sentences of long ones, windows over long sentences) packed up to 4,200 characters.
-_PIECES_SQL = r"""
-pa AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, string_split_regex(text, '\n{2,}') AS ps
-  FROM documents WHERE length(text) > 4200)),
-pt AS (SELECT doc_id, i, trim(p, chr(32) || chr(9) || chr(10) || chr(13)) AS p FROM pa),
-se AS (SELECT doc_id, i, unnest(ss) AS s, generate_subscripts(ss, 1) AS j FROM (SELECT doc_id, i,
-  CASE WHEN length(p) <= 4200 THEN [p] ELSE string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) END AS ss FROM pt
-  WHERE p <> '')),
-su AS (SELECT doc_id, i, j, trim(s, chr(32) || chr(9) || chr(10) || chr(13)) AS s FROM se),
-hw AS (SELECT doc_id, i, j, s, 0 AS k, 0 AS a, NULL::INT AS z FROM su WHERE s <> ''
-  UNION ALL SELECT doc_id, i, j, s, k + 1, CASE WHEN k = 0 THEN 0 ELSE greatest(a + 1, z - 400) END AS b,
-    CASE WHEN (CASE WHEN k = 0 THEN 0 ELSE greatest(a + 1, z - 400) END) + 4200 >= length(s) THEN length(s)
-      ELSE (CASE WHEN k = 0 THEN 0 ELSE greatest(a + 1, z - 400) END) + 4200
-        - strpos(reverse(substr(s, (CASE WHEN k = 0 THEN 0 ELSE greatest(a + 1, z - 400) END) + 2101, 2100)), ' ') END
-  FROM hw WHERE z IS NULL OR z < length(s)),
-un AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j, k) AS u, x FROM
-  (SELECT doc_id, i, j, k, trim(substr(s, a + 1, z - a), chr(32) || chr(9) || chr(10) || chr(13)) AS x FROM hw WHERE z IS NOT NULL) WHERE x <> ''),
-pk AS (SELECT doc_id, u, 0 AS part, x AS piece FROM un WHERE u = 1
-  UNION ALL SELECT pk.doc_id, un.u, part + (length(piece) + 2 + length(x) > 4200)::INT,
-    CASE WHEN length(piece) + 2 + length(x) > 4200 THEN x ELSE piece || chr(10) || chr(10) || x END FROM pk JOIN un ON un.doc_id = pk.doc_id
-  AND un.u = pk.u + 1),
-pieces AS (SELECT doc_id, part, max_by(piece, u) AS piece FROM pk GROUP BY 1, 2
-  UNION ALL SELECT doc_id, 0, coalesce(text, '') FROM documents WHERE coalesce(length(text), 0) <= 4200)"""
-
-
-@register(f"WITH RECURSIVE {_PIECES_SQL} SELECT doc_id, part::BIGINT AS part, length(piece) AS n_chars, sha256(piece) AS chunk_hash FROM pieces")
-def chunk_structural(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.split_pieces(F.col("text"))).alias("part", "content"))
-    return rows.select("doc_id", F.col("part").cast("bigint").alias("part"), F.length("content").cast("bigint").alias("n_chars"),
-        F.sha2("content", 256).alias("chunk_hash"))
-
-
-@register("""WITH RECURSIVE t AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)),
-  lambda x: x <> ''), chr(10)) AS s FROM documents),
-c AS (SELECT doc_id, s, 0 AS part, 0 AS pos FROM t WHERE s <> ''
-UNION ALL SELECT doc_id, s, part + 1, greatest(pos + 1, e - 300) FROM (SELECT *, CASE WHEN pos + 2400 < length(s) AND strpos(reverse(substr(s,
-  pos + 1201, 1200)), chr(10)) > 0
-   THEN pos + 2400 - strpos(reverse(substr(s, pos + 1201, 1200)), chr(10)) ELSE least(pos + 2400, length(s)) END AS e FROM c) z WHERE e < length(s))
-SELECT doc_id, count(*)::BIGINT AS n_chunks, max_by(length(trim(substr(s, pos + 1), ' ' || chr(10))), pos)::BIGINT AS last_chars FROM c
-  GROUP BY doc_id""")
-def chunk_fixed_windows(spark, d):
-    docs = table(spark, d, "documents")
-    cut = docs.select("doc_id", chunking.fixed_windows(F.col("text"), 2400, 300).alias("ps"))
-    return cut.where(F.size("ps") > 0).select("doc_id", F.size("ps").cast("bigint").alias("n_chunks"),
-        F.length(F.element_at("ps", -1)).cast("bigint").alias("last_chars"))
-
-
-#: Greedy chunks of a source: pieces in order, one step of the recursion for each place in all sources at once.
-_GREEDY_SQL = """
-pn AS (SELECT source, lang, doc_id, part, doc_id * 100000 + part AS pos, piece, count(*) OVER (PARTITION BY doc_id) > 1 AS alone,
-  row_number() OVER (PARTITION BY source ORDER BY doc_id, part) AS i FROM pieces JOIN documents USING (doc_id)),
-gr AS (SELECT source, i, lang, pos, pos AS first, CASE WHEN alone OR length(piece) >= 3597 THEN NULL ELSE length(piece) END AS len FROM pn WHERE i = 1
-  UNION ALL SELECT p.source, p.i, p.lang, p.pos,
-    CASE WHEN gr.len IS NULL OR p.alone OR gr.lang IS DISTINCT FROM p.lang OR gr.len + 2 + length(p.piece) > 3600 THEN p.pos ELSE gr.first END,
-    CASE WHEN p.alone THEN NULL WHEN gr.len IS NULL OR gr.lang IS DISTINCT FROM p.lang OR gr.len + 2 + length(p.piece) > 3600
-      THEN CASE WHEN length(p.piece) >= 3597 THEN NULL ELSE length(p.piece) END
-      WHEN gr.len + 2 + length(p.piece) >= 3597 THEN NULL ELSE gr.len + 2 + length(p.piece) END
-  FROM gr JOIN pn p ON p.source = gr.source AND p.i = gr.i + 1)"""
-
-
-@register(f"""WITH RECURSIVE {_PIECES_SQL}, {_GREEDY_SQL}
-SELECT source, pos // 100000 AS doc_id, (pos % 100000)::BIGINT AS part, first AS chunk FROM gr""")
-def chunk_merge(spark, d):
-    """Greedy merging of neighbours of a source, in document order; each piece of a split document is a chunk of its own."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
-    out = chunking.merged(docs, ["source"], ["lang"], "doc_id", chunking.split_pieces(F.col("text")))
-    return out.select("source", "doc_id", F.col("part").cast("bigint").alias("part"), F.col("first").alias("chunk"))
-
-
-@register("""WITH x AS (SELECT o_custkey, o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = lag(o_orderstatus) OVER w THEN 0 ELSE 1 END AS new
-  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
-y AS (SELECT *, sum(new) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS run FROM x)
-SELECT o_custkey, run::BIGINT AS run, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, count(*) AS n FROM y GROUP BY 1, 2""")
-def merge_runs(spark, d):
-    r = chunking.runs(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_orderstatus"], ["o_custkey"], "o_orderkey")
-    return r.groupBy("o_custkey", F.col("run").cast("bigint").alias("run")).agg(F.min("o_orderkey").alias("first_key"),
-        F.max("o_orderkey").alias("last_key"), F.count("*").alias("n"))
-
-
-@register("""SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, min_by(source, doc_id) AS source,
-array_to_string(list_sort(list_filter(list_distinct(list(source)), lambda s: s <> min_by(source, doc_id))), ',') AS aliases, count(*) AS n
-  FROM documents GROUP BY 1""".replace(
-    "lambda s: s <> min_by(source, doc_id)", "lambda s: true"))
-def dedupe_by_hash_aliases(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("sha256"))
-    out = sync.dedupe_with_aliases(rows, "sha256", "doc_id", "source")
-    return out.select("sha256", "doc_id", "source", F.array_join(F.array_sort(F.concat(F.array("source"), "aliases")), ",").alias("aliases"), "n")
-
-
-@register("SELECT min(doc_id) AS doc_id, source, sha256(text) AS sha256 FROM documents GROUP BY source, text")
-def chunk_dedupe(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("sha256"))
-    return chunking.dedupe(rows, ["source", "sha256"], "doc_id")
-
-
-@register(r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, nullif(regexp_extract(url, '[/]([a-z]{2})/', 1), '') AS language,
-regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:82] AS slug FROM pages""")
-def registry_metadata(spark, d):
-    u = F.col("url")
-    return table(spark, d, "pages").select(
-        "page_id", F.regexp_extract(u, "^[a-z]+://([^/?#]*)", 1).alias("host"),
-            F.nullif(F.regexp_extract(u, "[/]([a-z]{2})/", 1), F.lit("")).alias("language"), T.slug(u).alias("slug"),
-    )
-
-
-@register("""WITH s AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS slug, sha256(url) AS h FROM pages),
-b AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY slug ORDER BY page_id) = 1 THEN slug ELSE slug || '-' || h[1:8] END AS base FROM s),
-n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY page_id) AS k FROM b) SELECT page_id, CASE WHEN k = 1 THEN base ELSE base || '-'
-  || k END AS id FROM n""")
-def unique_slug_ids(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("slug"), F.sha2("url", 256).alias("h"))
-    return sync.unique_ids(p, "slug", "h", "page_id").select("page_id", "id")
-
-
-@register(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html,
-  '<a [^>]*href='))::BIGINT AS n_links FROM pages""")
-def html_title_link_counts(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
-        F.size(F.regexp_extract_all("html", F.lit("<a [^>]*href="), F.lit(0))).cast("bigint").alias("n_links"))
-
-
-@register(r"SELECT doc_id, len(list_filter(string_split(replace(text, ' | ', '   '), chr(10)), lambda x: regexp_matches(x, '\S {3,}\S'))) >= 2 AS tabular FROM documents")
-def table_like_detection(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.looks_tabular(F.replace("text", F.lit(" | "), F.lit("   "))).alias("tabular"))
-
-
-@register(r"""WITH x AS (SELECT doc_id, length(regexp_replace(text[1:doc_id % 120], '\s', '', 'g')) AS n,
-  length(regexp_replace(text[1:doc_id % 170], '\s', '', 'g')) AS o FROM documents)
-SELECT doc_id, CASE WHEN n >= 80 THEN 'NATIVE' WHEN n < 20 AND o < 20 THEN 'EMPTY_PAGE' WHEN o >= n + 20 THEN 'OCR_USED'
-  ELSE 'OCR_WEAKER_THAN_NATIVE' END AS decision FROM x""")
-def ocr_decision(spark, d):
-    cut = lambda n: F.expr(f"substr(text, 1, cast(doc_id % {n} as int))")
-    return table(spark, d, "documents").select("doc_id", sync.ocr_decision(cut(120), cut(170)).alias("decision"))
-
-
-@register("""WITH m AS (SELECT source, max(doc_id) // 20 + 1 AS pages FROM documents GROUP BY 1), p AS (SELECT source, unnest(range(1,
-  pages + 1)) AS page FROM m)
-SELECT p.source, p.page::BIGINT AS page FROM p LEFT JOIN (SELECT DISTINCT source, doc_id // 20 + 1 AS page FROM documents
-  WHERE n_chars >= 800) r ON r.source = p.source AND r.page = p.page WHERE r.page IS NULL""")
-def page_coverage(spark, d):
-    docs = table(spark, d, "documents").select("source", (F.floor(F.col("doc_id") / 20) + 1).cast("bigint").alias("page"), "n_chars")
-    pages = docs.groupBy("source").agg(F.max("page").alias("n")).select("source", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("page"))
-    return pages.join(docs.where("n_chars >= 800").select("source", "page"), ["source", "page"], "left_anti")
-
-
-_ISSUES_SQL = f"""iss AS (SELECT source_id, id, unnest(list_filter([CASE WHEN status IS NULL THEN 'STATUS_UNKNOWN:warning' END, CASE
-  WHEN length(content) > 4200 THEN 'CHUNK_TOO_LONG:error' END,
-CASE WHEN language IS NULL OR language <> 'en' THEN 'LANGUAGE_OTHER:warning' END], lambda x: x IS NOT NULL)) AS i FROM chunks)"""
-
-
-def _issues(spark, d):
-    checks = {
-        "STATUS_UNKNOWN": ("warning", F.col("status").isNull()), "CHUNK_TOO_LONG": ("error", F.length("content") > 4200),
-        "LANGUAGE_OTHER": ("warning", F.col("language").isNull() | (F.col("language") != "en")),
-    }
-    return sync.issues(chunks(spark, d), checks, "source_id", "id")
-
-
-@register(f"WITH {_CHUNKS_SQL}, {_ISSUES_SQL} SELECT split_part(i, ':', 2) AS severity, split_part(i, ':', 1) AS code, count(*) AS n FROM iss GROUP BY 1, 2")
-def audit_issue_counts(spark, d):
-    return _issues(spark, d).groupBy("severity", "code").agg(F.count("*").alias("n"))
-
-
-@register(f"""WITH {_CHUNKS_SQL}, {_ISSUES_SQL}, r AS (SELECT source_id, count(*) AS n_records FROM chunks GROUP BY 1),
-e AS (SELECT source_id, count(*) FILTER (i LIKE '%:error') AS errors, count(*) FILTER (i LIKE '%:warning') AS warnings FROM iss GROUP BY 1)
-SELECT r.source_id, n_records, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings FROM r LEFT JOIN e ON e.source_id = r.source_id""")
-def audit_source_summary(spark, d):
-    c = chunks(spark, d).select("source_id", "id")
-    return sync.source_summary(c, c, _issues(spark, d))
-
-
-@register("SELECT lang, source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
-def counts_by_type_and_source(spark, d):
-    return table(spark, d, "documents").groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count("*").alias("n"))
-
-
-@register("SELECT count(*) AS n, count(vec_id) AS hits, count(*) - count(vec_id) AS misses, sum(CASE WHEN vec_id IS NULL THEN length(text) ELSE 0 END)::BIGINT AS miss_chars FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
-def cache_hits_misses(spark, d):
-    cache = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    j = sync.cache_join(table(spark, d, "documents").select("doc_id", "text"), cache, "doc_id", 64)
-    miss = F.col("vector").isNull()
-    return j.agg(F.count("*").alias("n"), F.count_if(~miss).alias("hits"), F.count_if(miss).alias("misses"),
-        F.sum(F.when(miss, F.length("text")).otherwise(0)).cast("bigint").alias("miss_chars"))
-
-
-@register("SELECT vec_id, len(embedding) = 64 AS ok64, len(embedding) = 32 AS ok32 FROM embeddings")
-def vector_validation(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", sync.valid_vector(F.col("embedding"), 64).alias("ok64"),
-        sync.valid_vector(F.col("embedding"), 32).alias("ok32"))
-
-
-@register("""WITH c AS (SELECT doc_id, source FROM documents WHERE doc_id % 7 <> 0 AND source <> 'src3') SELECT doc_id, source FROM documents
-  WHERE source IN (SELECT source FROM c) AND doc_id NOT IN (SELECT doc_id FROM c)""")
-def stale_ids(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    return sync.stale(docs, docs.where("doc_id % 7 <> 0 AND source <> 'src3'"), "doc_id", "source").select("doc_id", "source")
-
-
-@register("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM documents")
-def index_upsert(spark, d):
-    docs = table(spark, d, "documents").select("doc_id")
-    return sync.upsert(docs.where("doc_id % 2 = 0 OR doc_id % 3 <> 0").withColumn("version", F.lit("old")),
-        docs.where("doc_id % 3 = 0").withColumn("version", F.lit("new")), "doc_id")
-
-
-@register("""WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 400 END AS code, event_type FROM events)
-SELECT event_id, CASE WHEN code = 429 AND event_type = 'purchase' THEN 'quota_exhausted' WHEN code IN (429, 503) THEN 'transient'
-  WHEN code IS NULL AND event_id % 5 = 3 THEN 'transient' ELSE 'provider_error' END AS kind FROM e""")
-def failure_classification(spark, d):
-    e = table(spark, d, "events")
-    code = F.expr("CASE event_id % 5 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 400 END")
-    status = F.expr("CASE event_id % 5 WHEN 3 THEN 'UNAVAILABLE' WHEN 4 THEN 'INVALID' END")
-    message = F.when(F.col("event_type") == "purchase", "Quota exceeded for project").otherwise("limit per minute")
-    return e.select("event_id", sync.failure_kind(code, status, message).alias("kind"))
-
-
-@register("SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS failed, round(sum(value), 4) AS total FROM events GROUP BY 1")
-def upload_report(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("failed"),
-        F.round(F.sum("value"), 4).alias("total"))
-
-
-@register("""WITH a AS (SELECT doc_id, (doc_id % 4) + 1 AS k, (doc_id % 3) + 2 AS j FROM documents)
-SELECT doc_id, CASE WHEN j = k THEN 1 ELSE 2 END::BIGINT AS n_cited, ('x [SOURCE_' || k || '] [SOURCE_' || j || '] y') AS cleaned FROM a""")
-def answer_cleaning(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 4 + 1).cast("string").alias("k"),
-        (F.col("doc_id") % 3 + 2).cast("string").alias("j"))
-    raw = F.concat(F.lit(" x [SOURCE_"), "k", F.lit(", SOURCE_"), "j", F.lit("] y[SOURCE_99] [IMAGE_1]![a](https://x/y.png)"))
-    known = F.array(*[F.lit(f"SOURCE_{n}") for n in range(1, 6)])
-    out = docs.select("doc_id", answer.clean_answer(raw, known).alias("cleaned"))
-    return out.select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("cleaned", F.lit("SOURCE_[0-9]+"),
-        F.lit(0)))).cast("bigint").alias("n_cited"), "cleaned")
-
-
-@register("SELECT doc_id, strftime(DATE '2024-01-01' + (doc_id % 300)::INTEGER, '%Y-%m-%d') || 'T00:00:00Z' AS effective_from, sha256(text) AS content_hash FROM documents")
-def index_document_projection(spark, d):
-    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(300)).cast("int"))
-    return table(spark, d, "documents").select("doc_id", T.midnight(day).alias("effective_from"), F.sha2("text", 256).alias("content_hash"))
-
-
-@register("SELECT source AS source_id, count(*) AS pages, count(*) FILTER (length(text) > 20) AS pages_with_text, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM documents GROUP BY 1")
-def page_audit(spark, d):
-    return paged.audit(table(spark, d, "documents").select(F.col("source").alias("source_id"), "text"))
-
-
-@register("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'x' WHEN 1 THEN 'y' END AS answer, CASE doc_id % 5 WHEN 1 THEN 1 END::BIGINT AS n_steps
-  FROM documents""")
-def answer_contract(spark, d):
-    """Generated answers of five kinds, two of which keep the contract."""
-    kinds = ['{"answer": "x"}', '{"answer": "y", "guide": {"steps": [{"title": "t", "instruction": "i"}]}}', '{"answer": " "}',
-        '{"answer": "z", "more": 1}', "no json"]
-    raw = F.get(F.array(*map(F.lit, kinds)), F.pmod("doc_id", F.lit(5)).cast("int"))
-    out = table(spark, d, "documents").select("doc_id", answer.parse_generated(raw).alias("g"))
-    return out.select("doc_id", F.col("g.answer").alias("answer"), F.when(F.col("g.guide").isNotNull(),
-        F.size("g.guide.steps")).cast("bigint").alias("n_steps"))
-
-
-@register("""WITH f AS (SELECT 'doc-' || doc_id AS id, unnest(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'RANK_MISMATCH' END, CASE
-  WHEN doc_id % 4 = 0 THEN 'PERIOD_INVALID' END,
-CASE WHEN doc_id % 5 = 0 THEN 'EXCLUSION_REASON_MISSING' END, CASE WHEN doc_id % 7 = 0 THEN 'HOST_NOT_ALLOWED' END, CASE WHEN doc_id % 11 = 0
-  THEN 'RELATED_ID_UNKNOWN' END], lambda x: x IS NOT NULL)) AS code FROM documents)
-SELECT id, code, 'error' AS severity FROM f""")
-def registry_validation(spark, d):
-    """Registry rules over rows made of documents, with faults by the id."""
-    every = lambda n, bad, good: F.when(F.col("doc_id") % n == 0, F.lit(bad)).otherwise(F.lit(good))
-    rows = table(spark, d, "documents").select(
-        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.lit("t").alias("title"), F.lit("f").alias("local_file"),
-            every(7, "https://b/x", "https://a/x").alias("source_url"),
-        F.lit(None).cast("string").alias("final_url"), F.sha2(F.col("doc_id").cast("string"), 256).alias("sha256"),
-            every(4, "2025", "2025/2026").alias("tax_year"),
-        F.array(every(11, "none", "doc-1")).alias("supersedes"), F.expr("cast(array() as array<string>)").alias("superseded_by"),
-            F.array(F.lit(1)).alias("render_pages"), F.lit("gazette").alias("authority_level"),
-        every(3, 1, 90).alias("authority_rank"), F.lit(None).cast("date").alias("effective_from"), F.lit(None).cast("date").alias("effective_to"),
-            every(5, "excluded", "current").alias("status"),
-        F.lit(None).cast("string").alias("exclusion_reason"), F.col("doc_id"),
-    )
-    # doc-1 is the related id, so its own row names none
-    safe = rows.withColumn("supersedes", F.when(F.col("doc_id") == 1, F.expr("cast(array() as array<string>)")).otherwise(F.col("supersedes")))
-    return constraints.registry_issues(safe.drop("doc_id"), ["a"])
-
-
-@register(r"""WITH x AS (SELECT page_id, lower(url) AS u, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS p FROM pages)
-SELECT page_id, CASE WHEN regexp_matches(p, 'acts_|_acts/|/acts/') THEN 'act' WHEN p LIKE '%gazette%' THEN 'gazette' WHEN p LIKE '%circular%'
-  THEN 'circular'
-WHEN regexp_matches(u, 'latest%20news|latest news|/pn_') THEN 'public_notice' WHEN regexp_matches(u, 'tax_calendar|tax calendar')
-  THEN 'tax_calendar' WHEN regexp_matches(p, 'eservices') THEN 'portal_guide'
-WHEN regexp_matches(u, 'guide|tax table') THEN 'return_guide' WHEN regexp_matches(p, '/forms_|/asmt_|/downloads/it_') OR u LIKE '%return%'
-  THEN 'return_form' ELSE 'official_webpage' END AS document_type,
-CASE WHEN p LIKE '%/si/%' OR regexp_matches(p, '_s\.(pdf|html?)$') THEN 'si' WHEN p LIKE '%/ta/%' THEN 'ta' ELSE 'en' END AS language FROM x""")
-def registry_classify(spark, d):
-    rows = table(spark, d, "pages").select("page_id", F.col("url").alias("source_url"), F.lit("application/pdf").alias("media_type"),
-        F.lit(None).cast("string").alias("title"))
-    return registry.classify(rows).select("page_id", "document_type", "language")
-
-
-_IMAGES = """SELECT concat('image-', doc_id) AS image_id, coalesce(source, 'none') AS source_id, concat('Figure ', doc_id) AS title,
-  substring(text, 1, 40) AS alt_text,
-  CASE WHEN doc_id % 2 = 0 THEN lang END AS caption, concat('https://h.example/', source) AS source_url, CAST(doc_id % 5 + 1 AS int) AS page, CASE
-  WHEN doc_id % 3 = 0 THEN concat('flow-', lang) END AS workflow_id,
-  CASE WHEN doc_id % 11 = 0 THEN 'excluded' ELSE 'current' END AS status, CASE WHEN doc_id % 7 = 0 THEN 'draft' ELSE 'approved' END AS review_status,
-  CASE WHEN doc_id % 13 = 0 THEN 'http://m.example/a.webp' ELSE concat('https://m.example/', doc_id, '.webp') END AS public_url FROM documents"""
-_IMAGE_SOURCES = """SELECT source AS id, concat('Guide of ', source) AS title, max(CASE WHEN lang = 'en' THEN 'return_guide'
-  ELSE 'web_page' END) AS document_type, concat('https://h.example/', source) AS source_url,
-  CASE WHEN count(*) % 9 = 0 THEN 'excluded' ELSE 'current' END AS status, CASE WHEN count(*) % 4 = 0 THEN 'draft'
-  ELSE 'approved' END AS review_status FROM documents WHERE source IS NOT NULL GROUP BY source"""
-_IMAGE_CHUNKS_SQL = f"""WITH i AS ({_IMAGES}), s AS ({_IMAGE_SOURCES}),
-j AS (SELECT i.*, s.id, s.title AS doc_title, s.document_type, s.source_url AS own_url, s.status AS source_status,
-  s.review_status AS source_review FROM i LEFT JOIN s ON s.id = i.source_id WHERE i.review_status = 'approved'),
-c AS (SELECT *, concat_ws(chr(10), title, alt_text, nullif(caption, ''), 'Workflow: ' || workflow_id) AS content FROM j
-  WHERE source_review = 'approved' AND source_status <> 'excluded' AND own_url = source_url AND page <= 3 AND status <> 'excluded' AND public_url LIKE 'https://m.example/%'),
-h AS (SELECT *,
-  sha256(CAST(to_json({{'content': content, 'locator': concat(source_id, ':page:', page, ':image:', image_id)}}) AS VARCHAR)) AS chunk_hash FROM c)
-SELECT concat('guide-image-', image_id, '-', substring(chunk_hash, 1, 24)) AS id, source_id, content, chunk_hash,
-  concat(concat_ws(chr(10), 'Document: ' || doc_title, 'Document type: ' || document_type, 'Tax type: vat', 'Page: ' || page, 'Workflow: '
-  || workflow_id), chr(10), chr(10), content) AS embedding_text FROM h"""
-
-
-def _guide_images(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Images and sources made of documents; every source has the pages 1 to 3 selected and the label vat."""
-    documents = table(spark, d, "documents")
-    none = F.expr("cast(array() as array<string>)")
-    own = spark.sql(_IMAGES.replace("FROM documents", "FROM {documents}"), documents=documents)
-    own = own.select("*", none.alias("tax_types"), none.alias("taxpayer_types"), F.lit(None).cast("date").alias("effective_from"),
-        F.lit(None).cast("date").alias("effective_to"), F.lit(None).cast("string").alias("page_text"))
-    sources = spark.sql(_IMAGE_SOURCES.replace("FROM documents", "FROM {documents}"), documents=documents)
-    known = sources.select(
-        "*", F.lit(None).cast("string").alias("final_url"), F.array(*map(F.lit, (1, 2, 3))).alias("render_pages"),
-            F.array(F.lit("vat")).alias("tax_types"), none.alias("taxpayer_types"),
-        F.lit("guide").alias("authority_level"), F.lit(1).alias("authority_rank"), F.lit(None).cast("string").alias("sha256"),
-    )
-    return own, known
-
-
-@register(_IMAGE_CHUNKS_SQL)
-def image_chunks(spark: SparkSession, d: str) -> DataFrame:
-    own, known = _guide_images(spark, d)
-    return images.image_chunks(own, known, "https://m.example")[0].select("id", "source_id", "content", "chunk_hash", "embedding_text")
-
-
-@register(f"""WITH i AS ({_IMAGES}), s AS ({_IMAGE_SOURCES}),
-j AS (SELECT i.*, s.id, s.source_url AS own_url, s.status AS source_status, s.review_status AS source_review FROM i LEFT
-  JOIN s ON s.id = i.source_id WHERE i.review_status = 'approved'),
-f AS (SELECT unnest([CASE WHEN id IS NULL THEN 'SOURCE_UNKNOWN' END, CASE WHEN id IS NOT NULL AND source_review <> 'approved'
-  THEN 'SOURCE_NOT_APPROVED' END, CASE WHEN source_status = 'excluded' THEN 'SOURCE_EXCLUDED' END,
-  CASE WHEN id IS NOT NULL AND own_url <> source_url THEN 'SOURCE_URL_MISMATCH' END, CASE WHEN id IS NOT NULL AND page > 3
-  THEN 'PAGE_NOT_RENDERED' END, CASE WHEN status = 'excluded' THEN 'IMAGE_EXCLUDED' END,
-  CASE WHEN public_url NOT LIKE 'https://m.example/%' THEN 'PUBLIC_URL_INVALID' END]) AS code FROM j)
-SELECT code, count(*) AS n FROM f WHERE code IS NOT NULL GROUP BY code""")
-def image_issue_counts(spark: SparkSession, d: str) -> DataFrame:
-    own, known = _guide_images(spark, d)
-    return images.image_chunks(own, known, "https://m.example")[1].groupBy("code").agg(F.count("*").alias("n"))
-
-
-@register("""SELECT conv_id, 'Workflow: ' || concat('conversation ', conv_id) || chr(10) || 'Steps:' || chr(10) ||
-  coalesce(string_agg(CASE WHEN role = 'user' THEN n || '. ' || text END, chr(10) ORDER BY n), '') || CASE
-  WHEN count(*) FILTER (role = 'system') > 0 THEN chr(10) || 'Notes:' || chr(10) ||
-  string_agg(CASE WHEN role = 'system' THEN '- ' || text END, chr(10) ORDER BY n) ELSE '' END AS content
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS n FROM conversations WHERE text IS NOT NULL)
-  GROUP BY conv_id""")
-def guide_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations as guides: user turns are steps, system turns notes."""
-    said = table(spark, d, "conversations").where("text is not null")
-    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))),
-        lambda x: x["text"])
-    lists = said.groupBy("conv_id").agg(of("user").alias("steps"), of("system").alias("notes"))
-    title = F.concat(F.lit("conversation "), F.col("conv_id").cast("string"))
-    return lists.select("conv_id", yaml_files.guide_text(title, F.col("steps"), F.col("notes")).alias("content"))
-
-
-def _more() -> None:
-    """Registers the queries of the other modules, which need this one."""
-    from corpusloom.plans import corpus_queries, record_queries  # noqa: F401
-
-
-_more()
+from corpusloom.plans import corpus_queries, record_queries, search_queries  # noqa: F401
+from corpusloom.plans.search_queries import SQL, Q  # noqa: F401

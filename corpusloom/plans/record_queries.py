@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from corpusloom.operators import constraints, images, registry, sync, upload
 from corpusloom.plans.corpus_queries import NONE, made, strings
-from corpusloom.plans.queries import register, table
+from corpusloom.plans.search_queries import register, table
 from corpusloom.sources import files, html, paged, workbook
 
 
