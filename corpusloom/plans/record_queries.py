@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusloom.operators import constraints, images, registry, sync, upload
+from corpusloom.operators import answer, constraints, images, registry, sync, upload
+from corpusloom.operators.ordered import stored
 from corpusloom.plans.corpus_queries import NONE, made, strings
 from corpusloom.plans.search_queries import register, table
-from corpusloom.sources import files, html, paged, workbook
+from corpusloom.sources import files, html, paged, workbook, yaml_files
 
 
 def faults(*cases: tuple[str, str], id_sql: str = "doc_id") -> str:
@@ -367,3 +370,70 @@ def image_publish(spark, d):
 def _put(blob: str, content: bytes) -> None:
     if content == b"no":
         raise upload.ProviderError(400, "", "refused")
+
+
+# files
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder where the session keeps its checkpoints, which all executors share."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        stored(spark.range(1))
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@register("""SELECT doc_id, sha256(coalesce(text, '')) AS text_sha, lang, 'row' AS kind FROM documents
+UNION ALL SELECT NULL, NULL, CASE k WHEN 0 THEN 'LINE_MALFORMED' ELSE 'KEY_REPEATED' END, 'issue' FROM unnest([0, 1]) AS t(k)""")
+def jsonl_round_trip(spark, d):
+    """Documents written as JSON lines and read back; a malformed line and a repeated key beside them are issues."""
+    path = _folder(spark, "lines")
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    files.write_jsonl(docs, path)
+    more = spark.createDataFrame([('{"doc_id": "x', ), ('{"doc_id": -1, "text": "a"}', ), ('{"doc_id": -1, "text": "a"}', )], "value string")
+    more.write.mode("append").text(path)
+    rows, faults_ = files.read_jsonl(spark, path, docs.schema, "doc_id")
+    out = rows.where("doc_id >= 0").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha"), "lang", F.lit("row").alias("kind"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return out.unionByName(faults_.select(none("bigint").alias("doc_id"), none("string").alias("text_sha"), F.col("code").alias("lang"), F.lit("issue").alias("kind")))
+
+
+@register("""SELECT source AS id, 'T ' || source AS title, (row_number() OVER (ORDER BY source) - 1)::INT AS position FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)""")
+def yaml_registry_scan(spark, d):
+    """The sources of the documents written as a YAML manifest and read back."""
+    path = _folder(spark, "yaml")
+    names = table(spark, d, "documents").where("source is not null").select("source").distinct()
+    lines = F.array(F.concat(F.lit("- id: "), "source"), F.concat(F.lit("  title: T "), "source"))
+    body = names.select(F.lit(1).alias("part"), "source", F.posexplode(lines).alias("at", "value"))
+    head = spark.createDataFrame([(0, "", 0, "schema_version: 1"), (0, "", 1, "sources:")], "part int, source string, at int, value string")
+    head.unionByName(body).coalesce(1).sortWithinPartitions("part", "source", "at").select("value").write.text(path)
+    rows, _ = yaml_files.read_items(spark, path, "sources", "id:string,title:string", pattern="part-*")
+    return rows.select("id", "title", "position")
+
+
+@register("""SELECT page_id % 2 AS m, url || CASE k WHEN 0 THEN '' ELSE '#again' END AS url, k::INT AS p FROM pages, unnest([0, 1]) AS t(k)""")
+def manifest_union(spark, d):
+    """Rows of two lists of download manifests, each manifest with two entries, with their places."""
+    pages = table(spark, d, "pages")
+    entries = F.array(F.struct("url"), F.struct(F.concat("url", F.lit("#again")).alias("url")))
+    rows = registry.manifest_rows([pages.where(F.col("page_id") % 2 == k).select(entries.alias("sources")) for k in (0, 1)])
+    return rows.select(F.col("position.m").cast("bigint").alias("m"), "url", F.col("position.p").alias("p"))
+
+
+# parts of answers
+
+@register("""SELECT doc_id AS query_id, n::INT AS number, CASE n WHEN 1 THEN 'open' ELSE 'step ' || doc_id END AS title FROM documents, unnest([1, 2]) AS t(n) WHERE n = 1 OR doc_id % 3 > 0""")
+def guide_step_numbers(spark, d):
+    rows, every = numbered(spark, d)
+    steps = F.array(F.lit(" open "), F.lit(" "), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("step "), "key")))
+    return rows.select(F.col("doc_id").alias("query_id"), F.explode(answer.guide_steps(steps)).alias("s")).select("query_id", "s.number", "s.title")
+
+
+@register("""SELECT doc_id AS query_id, 'SOURCE_' || m AS marker, o::INT AS "order", 's' || m AS source_id FROM
+(SELECT doc_id, o, CASE WHEN (doc_id % 2 = 0) = (o = 1) THEN 2 ELSE 1 END AS m FROM documents, unnest([1, 2]) AS t(o))""")
+def citation_rows(spark, d):
+    """Known markers of answers in the order of their first use."""
+    rows, _ = numbered(spark, d)
+    text = F.when(F.col("doc_id") % 2 == 0, "a [SOURCE_2] b [SOURCE_1] [SOURCE_2] [SOURCE_7]").otherwise("a [SOURCE_1] b [SOURCE_2] [SOURCE_x]")
+    marks = rows.select(F.col("doc_id").alias("query_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    marked = marks.select("query_id", F.concat(F.lit("SOURCE_"), "n").alias("marker"), F.col("n").alias("id"), F.concat(F.lit("s"), "n").alias("source_id"))
+    out = answer.citations(rows.select(F.col("doc_id").alias("query_id"), text.alias("answer")), marked)
+    return out.select("query_id", "marker", "order", "source_id")

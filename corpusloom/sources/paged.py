@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import looks_tabular, strip, visible_length
 from corpusloom.operators.sync import ocr_decision
 
-#: Forms of headings: numbered lines without sentence marks, and lines in capitals.
+#: Forms of headings, numbered lines without sentence marks, and lines in capitals.
 NUMBERED = r"^(\d+(?:\.\d+){0,5})\s*[.)-]?\s+[^.!?;:]{2,160}$"
 CAPITALS = r"^[A-Z][A-Z0-9][A-Z0-9 /&()'\-]{2,119}$"
 

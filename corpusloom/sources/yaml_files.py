@@ -42,12 +42,12 @@ def read_yaml(spark: SparkSession, path: str, schema: str | StructType, pattern:
     return rows, parsed.where("json is null").select("path", F.lit("YAML_INVALID").alias("code"))
 
 
-def read_items(spark: SparkSession, path: str, field: str, item: str, version: int = 1) -> tuple[DataFrame, DataFrame]:
+def read_items(spark: SparkSession, path: str, field: str, item: str, version: int = 1, pattern: str = "*.y*ml") -> tuple[DataFrame, DataFrame]:
     """(path, position and columns of each entry of the list `field`, issues) of manifests; other versions are issues.
 
     A manifest without schema_version counts as one of `version`.
     """
-    rows, faults = read_yaml(spark, path, StructType.fromDDL(f"schema_version int, `{field}` array<struct<{item}>>"))
+    rows, faults = read_yaml(spark, path, StructType.fromDDL(f"schema_version int, `{field}` array<struct<{item}>>"), pattern)
     right = F.coalesce("schema_version", F.lit(version)) == version
     out = rows.where(right).select("path", F.posexplode(field).alias("position", "r")).select("path", "position", "r.*")
     return out, faults.unionByName(rows.where(~right).select("path", F.lit("VERSION_UNSUPPORTED").alias("code")))
