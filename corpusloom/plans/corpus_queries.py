@@ -231,7 +231,7 @@ def answer_contexts(spark, d):
     return answer.build_context(evidence, pictures).select("query_id", "context")
 
 
-@register("""SELECT doc_id AS query_id, n::INT AS number, k::INT AS at, k + 1 AS cited, 'T' || (k + 1) AS title FROM documents, unnest([1,
+@register("""SELECT doc_id AS query_id, n::INT AS number, k::INT AS at, (k + 1)::BIGINT AS cited, 'T' || (k + 1) AS title FROM documents, unnest([1,
   2]) AS s(n), unnest([0, 1]) AS t(k) WHERE doc_id % 4 = 1""")
 def step_citations(spark, d):
     generated, evidence, pictures = _answer_inputs(spark, d)
