@@ -38,11 +38,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ranged(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """`df` sorted by (by, order), nulls first, in stored ranges, with _part: the number of the range."""
-    keys = [F.col(c).asc_nulls_first() for c in (*by, *order)]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
+def _order(by: list[str], order: list[str]) -> list[Column]:
+    return [F.col(c).asc_nulls_first() for c in (*by, *order)]
+
+
+def spread(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """`df` in ranges of (by, order), nulls first, not sorted within them."""
+    return df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_order(by, order))
+
+
+def ranged(df: DataFrame, by: list[str], order: list[str], is_spread: bool = False) -> DataFrame:
+    """`df` sorted by (by, order), nulls first, in stored ranges, with _part: the number of the range. is_spread: `df` is in
+    such ranges already."""
+    rows = df if is_spread else spread(df, by, order)
+    return stored(rows.sortWithinPartitions(*_order(by, order)).withColumn("_part", F.spark_partition_id()))
 
 
 def _carried(rows: DataFrame, sums: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -117,7 +126,7 @@ class Greedy:
 
 
 def greedy_groups(df: DataFrame, by: list[str], keys: list[str], order: str, length: str, alone: str, most: int, full: int,
-    glue: int = 2) -> DataFrame:
+    glue: int = 2, is_spread: bool = False) -> DataFrame:
     """`df` with first: the `order` value (bigint, unique within `by`) of the first row of a row's group.
 
     Neighbours in order are grouped while they agree in `by` and `keys` (null-safe) and their joined length (with `glue`
@@ -128,7 +137,7 @@ def greedy_groups(df: DataFrame, by: list[str], keys: list[str], order: str, len
     """
     rule = Greedy(most, full, glue)
     mark = F.md5(F.to_json(F.struct(*by, *keys)))
-    rows = ranged(df.withColumn("_mark", mark), by, [order])
+    rows = ranged(df.withColumn("_mark", mark), by, [order], is_spread)
     slim = rows.select("_part", "_mark", F.coalesce(F.col(length), F.lit(0)).cast("int").alias("n"),
         F.coalesce(F.col(alone), F.lit(False)).alias("alone"), F.col(order).cast("bigint").alias("at"))
 
