@@ -33,22 +33,22 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, per_label
     label's last place falls are ranked. Small tables (labels, cells, chosen ids) are broadcast where their counted
     size allows it; for more labels or rows the joins go without a hint.
     """
-    known = checkpointed(
+    known = (
         labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).where("id is not null and label is not null")
         .groupBy("id").agg(F.max("label").alias("label")).withColumn("place", F.pmod(F.xxhash64("id"), F.lit(_SPAN)))
     )
-    sizes = checkpointed(known.groupBy("label").agg(F.count("*").alias("size")).withColumn(
-        "below", F.least(F.lit(float(_SPAN)), F.lit(2.0 * (per_label + 50) * _SPAN) / F.col("size"))).drop("size"))
+    sizes = known.groupBy("label").agg(F.count("*").alias("size")).withColumn(
+        "below", F.least(F.lit(float(_SPAN)), F.lit(2.0 * (per_label + 50) * _SPAN) / F.col("size"))).drop("size")
     n_labels = sizes.count()
     cell = F.floor(F.col("place") / F.col("below") * _CELLS).cast("int")
     likely = known.join(_hinted(sizes, n_labels), "label").where(F.col("place") < F.col("below")).select("id", "label", "place", cell.alias("cell"))
     counts = likely.groupBy("label", "cell").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = checkpointed(counts.withColumn("left", F.lit(per_label) - before).where("left > 0"))
+    cells = counts.withColumn("left", F.lit(per_label) - before).where("left > 0")
     dealt = likely.join(_hinted(cells, n_labels * _CELLS), ["label", "cell"])
     order = Window.partitionBy("label").orderBy("place", "id")
     last = dealt.where("n > left").withColumn("rank", F.row_number().over(order)).where("rank <= left")
-    chosen = checkpointed(dealt.where("n <= left").select("id", "label").unionByName(last.select("id", "label")))
+    chosen = dealt.where("n <= left").select("id", "label").unionByName(last.select("id", "label"))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    joined = texts.join(_hinted(chosen, chosen.count()), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    joined = texts.join(_hinted(chosen, n_labels * per_label), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     return checkpointed(joined)
