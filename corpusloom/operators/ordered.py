@@ -77,6 +77,18 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "n") ->
     return _carried(rows.withColumn("_n", place), counts, by, "_n").withColumn(name, F.col("_n") + F.col("_before")).drop("_n", "_before", "_part")
 
 
+def running(rows: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """`rows`, made by `ranged`, with `name`: the sum of `value` (bigint, null counts as 0) over the earlier rows of the key.
+
+    The ranges are kept, so that sums of several values take one sort. Columns named _v, _n, _key or _before give way.
+    """
+    own = Window.partitionBy("_part", *by).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    valued = rows.withColumn("_v", F.coalesce(value, F.lit(0)).cast("bigint"))
+    sums = valued.groupBy("_part", *by).agg(F.sum("_v").alias("_n"))
+    carried = _carried(valued.withColumn("_n", F.coalesce(F.sum("_v").over(own), F.lit(0))), sums, by, "_n")
+    return carried.withColumn(name, F.col("_n") + F.col("_before")).drop("_v", "_n", "_before")
+
+
 def runs(df: DataFrame, keys: list[str], by: list[str], order: str) -> DataFrame:
     """`df` with run: a number, from 1, that grows wherever a row differs from the one before it in `keys` (null-safe).
 
