@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontam, langid, license_scan, ngram_join, quality, rules, sharding, toxicity, urlfilter
+from corpusloom.llm import bpe, decontam, langid, license_scan, mixing, ngram_join, periodic, quality, rules, sharding, toxicity, urlfilter
 from corpusloom.llm._sample import fold
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -105,6 +105,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(mixing.sized(table(spark, sf_dir, "documents")), seed=SEED)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.find_runs(table(spark, sf_dir, "documents"), loop_key="crc32(cast(doc_id as string))")
+    return out.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", periodic.runs_digest("runs").alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of each policy does, from the ledger's bits alone."""
     led = rules.ledger(rules.measure(table(spark, sf_dir, "documents")))
@@ -116,7 +129,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_bpe_tree, op3_ngram_jaccard, op4_language_id, op5_quality_rules, op6_feistel_shards,
-        op7_url_filter, op8_license_scan, op9_decontamination, op10_toxicity, rule_ablations,
+        op7_url_filter, op8_license_scan, op9_decontamination, op10_toxicity, op11_pareto_mix, op13_periodic_runs, rule_ablations,
     )
 }
 
@@ -183,13 +196,18 @@ def _ablations_sql() -> str:
     return head[: head.index(",\nb AS (")] + "\n" + " UNION ALL ".join(parts)
 
 
-def _op6_sql() -> str:
-    """CRC-32 by a table over the bytes, row numbers, and the permutation: four rounds, again until the number is in range."""
+def _crc_table() -> list[int]:
     crc = []
     for n in range(256):
         for _ in range(8):
             n = n >> 1 ^ 0xEDB88320 if n & 1 else n >> 1
         crc.append(n)
+    return crc
+
+
+def _op6_sql() -> str:
+    """CRC-32 by a table over the bytes, row numbers, and the permutation: four rounds, again until the number is in range."""
+    crc = _crc_table()
 
     def rounds(source: str) -> str:
         """(rn, x): x permuted once."""
@@ -268,7 +286,68 @@ SELECT dw.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM dw LEFT JOIN hp ON hp.doc_id = dw.doc_id LEFT JOIN hi ON hi.doc_id = dw.doc_id"""
 
 
+def _op11_sql() -> str:
+    def level(items: str, by: str, weight: str, cap: str, total: str) -> str:
+        """Items that share a total by weight up to their caps: which are full, and what the rest share."""
+        own = f"PARTITION BY {by} ORDER BY {cap} / nullif({weight}, 0) NULLS FIRST"
+        placed = f"""(SELECT *, row_number() OVER o AS pos, {total} - coalesce(sum({cap}) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+          0)::BIGINT AS avail, (sum({weight}) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS sum_w FROM {items} WINDOW o AS ({own}))"""
+        fits = f"sum_w > 0 AND avail * {weight} <= {cap} * sum_w"
+        firsts = f"(SELECT *, min(pos) FILTER ({fits}) OVER (PARTITION BY {by}) AS fit FROM {placed})"
+        pick = f"any_value({{}}) FILTER (pos = fit) OVER (PARTITION BY {by})"
+        return f"(SELECT * EXCLUDE (avail, sum_w), fit IS NULL OR pos < fit AS filled, {pick.format('avail')} AS avail, {pick.format('sum_w')} AS sum_w FROM {firsts})"
+
+    goal = level("(SELECT *, (sum(source_size) OVER ())::BIGINT AS total, 3 * source_size AS cap, 1 AS one FROM s)", "one", "weight", "cap", "total")
+    inner = level("(SELECT k.*, g.source_size, g.target, words * lev AS w, 3 * words AS cap FROM k JOIN g ON g.source IS NOT DISTINCT FROM k.source)", "source", "w", "cap", "target")
+    u = f"((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|{SEED}'), 1, 13))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE"
+    run = "coalesce(sum({}) OVER (PARTITION BY source ORDER BY rk NULLS FIRST, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT"
+    return rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size FROM documents),
+c AS (SELECT *, least(8, 1 + size // 8)::BIGINT AS lev, {u} AS u FROM d),
+k AS (SELECT source, lev, sum(size)::BIGINT AS words FROM c GROUP BY source, lev),
+s AS (SELECT source, sum(words)::BIGINT AS source_size, ([1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT])::BIGINT AS weight
+  FROM k GROUP BY source),
+g AS (SELECT source, source_size, CASE WHEN filled THEN cap::DOUBLE ELSE (avail * weight)::DOUBLE / sum_w::DOUBLE END AS target FROM {goal}),
+e AS (SELECT *, CASE WHEN words = 0 THEN 0::DOUBLE WHEN filled THEN 3::DOUBLE ELSE avail * lev / sum_w END AS want FROM {inner}),
+r AS (SELECT source, any_value(target) - sum(floor(want)::BIGINT * words)::BIGINT AS gap FROM e GROUP BY source),
+p AS (SELECT c.doc_id, c.source, c.size, e.source_size, e.target, r.gap, floor(e.want)::BIGINT AS whole, e.want - floor(e.want) AS p, u
+  FROM c JOIN e ON e.source IS NOT DISTINCT FROM c.source AND e.lev = c.lev JOIN r ON r.source IS NOT DISTINCT FROM c.source),
+q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rk FROM p),
+f AS (SELECT *, rk IS NOT NULL AND {run.format("CASE WHEN rk IS NOT NULL THEN size END")} + size <= gap AS one FROM q),
+h AS (SELECT *, gap - sum(CASE WHEN one THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest FROM f),
+j AS (SELECT *, rk IS NOT NULL AND NOT one AND size <= 2 * rest AS may FROM h),
+z AS (SELECT *, whole + (one OR may AND 2 * {run.format("CASE WHEN may THEN size END")} + size <= 2 * rest)::BIGINT AS copies FROM j)
+SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM z"""
+
+
+def _op13_sql() -> str:
+    """Runs from all pairs of equal words: places i with word i = word i + q in a row, and the smallest q of a stretch."""
+    return rf"""
+WITH tab AS (SELECT {_crc_table()}::BIGINT[] AS t),
+h0 AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(
+  hex(encode(doc_id::VARCHAR)), '..'), lambda p: ('0x' || p)::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)::BIGINT AS h
+  FROM documents, tab),
+h1 AS (SELECT doc_id, ws, len(ws)::BIGINT AS n, h, h // 10 AS g, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM h0),
+h2 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM h1),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE ws END AS ws
+  FROM h2),
+w AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(ws) AS w FROM d),
+e AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.w = y.w AND x.i < y.i AND 2 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM e),
+c AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY doc_id, q, isle HAVING count(*) >= q AND count(*) + q >= 12),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM c GROUP BY doc_id, start, length),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.i) AS txt FROM w ANTI JOIN gone ON gone.doc_id = w.doc_id AND gone.i = w.i GROUP BY w.doc_id),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+  first(struct_pack(s := start, l := length, q := period) ORDER BY length DESC, start, period) AS best FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.q::BIGINT AS period,
+  (1000 * best.l // best.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(txt, '')) AS collapsed_sha256
+FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+
 ORACLES = {
+    "op11_pareto_mix": _op11_sql(),
+    "op13_periodic_runs": _op13_sql(),
     "op3_ngram_jaccard": _op3_sql(),
     "op5_quality_rules": _op5_sql(),
     "op6_feistel_shards": _op6_sql(),
