@@ -26,6 +26,8 @@ from corpusloom.operators.ordered import ranged, running
 
 #: Bits of a random number.
 _BITS = 52
+#: How often the rest of a target is filled.
+PASSES = 3
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -111,13 +113,16 @@ def mix(rows: DataFrame, weights=cyclic_weights, prefer=by_length, most: int = 3
         F.when((p > 0) & (F.col("size") > 0), (u / (1 - u)) / (p / (1 - p))).alias("rank"))
     order = ["rank", "doc_id", "size"]
     held = ranged(ranked, ["source"], order)
-    # the first documents that fit, then shorter ones in what is left
-    rank, size, gap = F.col("rank").isNotNull(), F.col("size"), F.col("gap")
-    first = running(held, ["source"], order, F.when(rank, size), "_words").withColumn("_first", rank & (F.col("_words") + size <= gap))
-    left = first.groupBy("source").agg((F.max("gap") - F.sum(F.when(F.col("_first"), size).otherwise(0))).alias("rest"))
-    second = _joined(first.drop("_words"), left, n)
-    fits = rank & ~F.col("_first") & (size <= 2 * F.col("rest"))
-    filled = running(second, ["source"], order, F.when(fits, size), "_words").withColumn(
-        "_second", fits & (2 * F.col("_words") + size <= 2 * F.col("rest")))
-    copies = F.col("whole") + (F.col("_first") | F.col("_second")).cast("bigint")
+    # the first documents that fit; then, of those behind them, the first that fit into what is left; the last time to the nearest
+    size = F.col("size")
+    filled = held.withColumns({"_rest": F.col("gap"), "_in": F.lit(False)})
+    for k in range(PASSES):
+        near = 2 if k == PASSES - 1 else 1  # may pass the rest by as much as it would lack otherwise
+        fits = F.col("rank").isNotNull() & ~F.col("_in") & (size <= near * F.col("_rest"))
+        summed = running(filled, ["source"], order, F.when(fits, size), "_words")
+        filled = summed.withColumn("_in", F.col("_in") | (fits & (near * F.col("_words") + size <= near * F.col("_rest"))))
+        if k < PASSES - 1:
+            left = filled.groupBy("source").agg((F.max("gap") - F.sum(F.when(F.col("_in"), size).otherwise(0))).alias("_rest"))
+            filled = _joined(filled.drop("_words", "_rest"), left, n)
+    copies = F.col("whole") + F.col("_in").cast("bigint")
     return filled.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * size).alias("taken"))

@@ -301,6 +301,14 @@ def _op11_sql() -> str:
     inner = level("(SELECT k.*, g.source_size, g.target, words * lev AS w, 3 * words AS cap FROM k JOIN g ON g.source IS NOT DISTINCT FROM k.source)", "source", "w", "cap", "target")
     u = f"((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|{SEED}'), 1, 13))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE"
     run = "coalesce(sum({}) OVER (PARTITION BY source ORDER BY rk NULLS FIRST, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT"
+    passes, last = "t0 AS (SELECT *, false AS took, gap AS rest FROM q),\n", "t0"
+    for k in range(mixing.PASSES):
+        near, new = (2 if k == mixing.PASSES - 1 else 1), f"t{k + 1}"
+        may = f"(rk IS NOT NULL AND NOT took AND size <= {near} * rest)"
+        words = run.format(f"CASE WHEN {may} THEN size END")
+        passes += f"""n{k} AS (SELECT * EXCLUDE (took), took OR {may} AND {near} * {words} + size <= {near} * rest AS took FROM {last}),
+{new} AS (SELECT * EXCLUDE (rest), gap - (sum(CASE WHEN took THEN size ELSE 0 END) OVER (PARTITION BY source))::BIGINT AS rest FROM n{k}),\n"""
+        last = new
     return rf"""
 WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size FROM documents),
 c AS (SELECT *, least(8, 1 + size // 8)::BIGINT AS lev, {u} AS u FROM d),
@@ -313,10 +321,7 @@ r AS (SELECT source, any_value(target) - sum(floor(want)::BIGINT * words)::BIGIN
 p AS (SELECT c.doc_id, c.source, c.size, e.source_size, e.target, r.gap, floor(e.want)::BIGINT AS whole, e.want - floor(e.want) AS p, u
   FROM c JOIN e ON e.source IS NOT DISTINCT FROM c.source AND e.lev = c.lev JOIN r ON r.source IS NOT DISTINCT FROM c.source),
 q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rk FROM p),
-f AS (SELECT *, rk IS NOT NULL AND {run.format("CASE WHEN rk IS NOT NULL THEN size END")} + size <= gap AS one FROM q),
-h AS (SELECT *, gap - sum(CASE WHEN one THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest FROM f),
-j AS (SELECT *, rk IS NOT NULL AND NOT one AND size <= 2 * rest AS may FROM h),
-z AS (SELECT *, whole + (one OR may AND 2 * {run.format("CASE WHEN may THEN size END")} + size <= 2 * rest)::BIGINT AS copies FROM j)
+{passes}z AS (SELECT *, whole + took::BIGINT AS copies FROM {last})
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM z"""
 
 
