@@ -35,15 +35,16 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased (A-Z) words `[^\\x20\\x09-\\x0D]+` of consecutive texts, and each text's first word.
 
-    data: UTF-8 bytes; offsets: where texts begin and end. The second result has one more entry than texts.
+    data: UTF-8 bytes; offsets: where texts begin and end; space: other bytes that end words. The second result has one
+    more entry than texts.
     """
     first = np.zeros(len(offsets), np.int64)
     if not len(data):
         return np.zeros(0, np.uint64), first
-    space = SPACE[data]
+    space = space[data]
     begin = ~space
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True

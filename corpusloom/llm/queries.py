@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontam, langid, license_scan, mixing, ngram_join, periodic, quality, rules, sharding, toxicity, urlfilter
+from corpusloom.llm import bpe, decontam, langid, lexical, license_scan, mixing, ngram_join, periodic, quality, rules, sharding, toxicity, urlfilter
 from corpusloom.llm._sample import fold
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -110,6 +110,12 @@ def op11_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    index = lexical.build_index(table(spark, sf_dir, "documents"), only=lexical.term_bitmap(items))
+    return lexical.search(index, items, 20)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = periodic.find_runs(table(spark, sf_dir, "documents"), loop_key="crc32(cast(doc_id as string))")
     return out.select(
@@ -129,7 +135,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_bpe_tree, op3_ngram_jaccard, op4_language_id, op5_quality_rules, op6_feistel_shards,
-        op7_url_filter, op8_license_scan, op9_decontamination, op10_toxicity, op11_pareto_mix, op13_periodic_runs, rule_ablations,
+        op7_url_filter, op8_license_scan, op9_decontamination, op10_toxicity, op11_pareto_mix, op12_lexical_search, op13_periodic_runs,
+        rule_ablations,
     )
 }
 
@@ -325,6 +332,21 @@ q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p))
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM z"""
 
 
+def _op12_sql() -> str:
+    terms = r"regexp_extract_all(translate(coalesce(text, ''), " + _AZ + r"), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH dt AS (SELECT doc_id, {terms} AS ts FROM documents),
+st AS (SELECT count(*) FILTER (len(ts) > 0) AS big_n, sum(len(ts))::BIGINT AS big_l FROM dt),
+qt AS (SELECT item_id, t, count(*) AS r FROM (SELECT item_id, unnest({terms}) AS t FROM benchmark) GROUP BY item_id, t),
+tf AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM dt) SEMI JOIN qt USING (t) GROUP BY doc_id, n, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+w AS (SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, st),
+p AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))) AS v FROM tf JOIN w USING (t), st),
+s AS (SELECT item_id, doc_id, sum(r * v)::BIGINT AS score FROM qt JOIN p USING (t) GROUP BY item_id, doc_id),
+k AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM k WHERE rank <= 20"""
+
+
 def _op13_sql() -> str:
     """Runs from all pairs of equal words: places i with word i = word i + q in a row, and the smallest q of a stretch."""
     return rf"""
@@ -352,6 +374,7 @@ FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id"""
 
 ORACLES = {
     "op11_pareto_mix": _op11_sql(),
+    "op12_lexical_search": _op12_sql(),
     "op13_periodic_runs": _op13_sql(),
     "op3_ngram_jaccard": _op3_sql(),
     "op5_quality_rules": _op5_sql(),
