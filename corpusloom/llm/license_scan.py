@@ -50,10 +50,9 @@ LEADS = (
     "this document is licensed under", "this text is licensed under", "this program is licensed under", "this library is licensed under",
         "the code is licensed under",
 )
-_ANCHORED = ("licensed", "license")
 #: Known sentences: notices by rule (a lead and a name), and others. Fixed values.
 SENTENCES: dict[str, str] = {
-    f"{lead} {name}": notice for notice, _, _, names in NAMED for name in names for lead in LEADS if set(f"{lead} {name}".split()) & set(_ANCHORED)
+    f"{lead} {name}": notice for notice, _, _, names in NAMED for name in names for lead in LEADS
 } | {
     "you may not use this file except in compliance with the license": "APACHE2_COMPLIANCE",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MIT_CONDITION",
@@ -91,8 +90,8 @@ KNOWN = SENTENCES | FULL_SENTENCES
 #: A line without words, which ends a paragraph (comment marks may stand in it), and the end of a sentence.
 BLANK, END = r"\n(?:[ \t\r*#/;-]*\n)+", r'([.!?]|\(the .{0,8}license.{0,8}\);|\b(?:met|conditions):)\s+'
 
-#: A word of every known sentence; a text without any of them has no known sentence.
-ANCHORS = ("licensed", "license", "reserved", "notice", "warranty", "dedicated")
+#: Words, or words in a row, of every known sentence; a text without any of them has no known sentence.
+ANCHORS = ("licensed", "license", "reserved", "notice", "warranty", "dedicated", "cc by")
 
 #: (rule, identifiers that must follow one another, licence, verdict), tried in this order: notices that reserve all rights
 #: after all, dual licences, licence texts, notices.
@@ -120,7 +119,7 @@ def sentence_ids(text: Column, sentences: dict[str, str] = KNOWN, anchors: tuple
     def anchored(c: Column) -> Column:
         out = F.lit(False)
         for a in anchors:
-            out = out | c.contains(a)
+            out = out | (c.rlike("[^a-z0-9]+".join(a.split())) if " " in a else c.contains(a))
         return out
 
     of = lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
@@ -152,7 +151,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stand in no rule.
     """
     for s in sentences:
-        if not set(s.split()) & set(anchors):
+        if not any(f" {a} " in f" {s} " for a in anchors):
             raise ValueError(f"no anchor word in known sentence: {s}")
     found = docs.select(F.col(id_col), sentence_ids(F.coalesce(F.col(text_col).cast("string"), F.lit("")), sentences, anchors).alias("sentence_ids"))
     run = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))

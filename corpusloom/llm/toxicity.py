@@ -72,12 +72,12 @@ class NaiveBayesLinear:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_label: int = 3000, orders: tuple[int, int] = (4, 7),
-        min_z: float = 5.0, max_features: int = 20000, l2: float = 1e-3, steps: int = 300, id_col: str = "doc_id",
+        min_z: float = 5.0, l2: float = 1e-3, steps: int = 300, id_col: str = "doc_id",
         text_col: str = "text") -> NaiveBayesLinear:
     """Learns from at most `per_label` texts of each of the labels 0 and 1 (rows that `labels` has).
 
-    N-gram frequencies are summed on the executors; the driver gets the `max_features` most significant n-grams and
-    which of them each sampled text has.
+    N-gram frequencies are summed on the executors; the driver gets all n-grams whose frequencies differ by `min_z`
+    standard errors or more, and which of them each sampled text has. The sample bounds both.
     """
     sample = labelled_texts(docs, labels.where(F.col(label_col).isin(0, 1)), label_col, per_label, id_col, text_col)
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_label:
     middle = (F.col("c0") + F.col("c1") + 2) / (n0 + n1 + 4)
     z = (p - q) / F.sqrt(middle * (1 - middle) * (1 / n0 + 1 / n1))
     kept = counts.select("key", F.log(p / q).alias("r"), z.alias("z")).where(F.abs("z") >= min_z)
-    rows = kept.orderBy(F.abs("z").desc(), "key").limit(max_features).collect()
+    rows = kept.collect()
     keys = np.array([r.key for r in rows], np.int64).astype(np.uint32)
     order = np.argsort(keys)
     keys, ratio = keys[order], np.array([r.r for r in rows])[order]

@@ -61,6 +61,15 @@ def test_customary_texts(spark):
 
 def test_notices_by_rule(spark):
     texts = ["Licensed under either the MIT License.\nThis project is licensed under the MIT License.\nLicensed under the Apache License, Version 2.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-             "Distributed under the Mozilla Public License, version 2.0.", "This text is licensed under CC BY-NC-SA 4.0.", "distributed under cc by 4.0"]
+             "Distributed under the Mozilla Public License, version 2.0.", "This text is licensed under CC BY-NC-SA 4.0.", "distributed under cc by 4.0", "accept under bylaws"]
     out = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "`doc_id` long, text string")).orderBy("doc_id").collect()
-    assert [(r.license, r.verdict) for r in out] == [("MIT OR Apache-2.0", "permissive"), ("CC-BY-SA-4.0", "copyleft"), ("MPL-2.0", "copyleft"), ("CC-BY-NC-SA-4.0", "noncommercial"), (None, "none")]
+    assert [(r.license, r.verdict) for r in out] == [("MIT OR Apache-2.0", "permissive"), ("CC-BY-SA-4.0", "copyleft"), ("MPL-2.0", "copyleft"), ("CC-BY-NC-SA-4.0", "noncommercial"), ("CC-BY-4.0", "permissive"), (None, "none")]
+
+
+def test_every_lead_with_every_name(spark):
+    cases = [(lead, name, lic, verdict) for _, lic, verdict, names in license_scan.NAMED for name in names for lead in license_scan.LEADS]
+    texts = [f"Some words here.\n{lead.capitalize()} {name.upper()}\nand others." for lead, name, _, _ in cases]
+    texts += [t.replace("CC BY", "CC-BY-").replace(" 4 0", " 4.0") for t, c in zip(texts, cases) if c[1] == "cc by 4 0"]
+    out = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    want = [(lic, verdict) for _, _, lic, verdict in cases] + [("CC-BY-4.0", "permissive")] * len(license_scan.LEADS)
+    assert [(r.license, r.verdict) for r in out] == want
