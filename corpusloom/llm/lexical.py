@@ -148,9 +148,10 @@ def route(weights: np.ndarray, depth: int, doc: np.ndarray, feature: np.ndarray,
 
 @dataclass
 class Index:
-    """shards: the stored table of shards; n_docs and n_terms: N and L."""
+    """shards: the stored table of shards; unnamed: terms of the documents without an id; n_docs and n_terms: N and L."""
 
     shards: DataFrame
+    unnamed: DataFrame
     n_docs: int
     n_terms: int
 
@@ -229,7 +230,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     leaves = map_arrow(ranked, routed, StructType([*ranked.schema, StructField("leaf", IntegerType())])).withColumn("h", F.xxhash64("doc_id", "n"))
     dealt = leaves.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "leaf", "h").sortWithinPartitions("leaf", "h")
     shards = dealt.select("doc_id", "n", "terms", "tf").mapInArrow(lambda batches: _shards(batches, n_docs, n_terms), _SHARD_SCHEMA)
-    return Index(checkpointed(shards), n_docs, n_terms)
+    return Index(checkpointed(shards), rows.where("doc_id is null").select("terms"), n_docs, n_terms)
 
 
 def _sampled(rows: DataFrame, n: int) -> list[np.ndarray]:
@@ -423,7 +424,12 @@ def document_frequencies(index: Index) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, np.int64)), pa.array(np.diff(np.frombuffer(begin, np.int32)).astype(np.int64))],
                     ["term", "n"])
 
-    return index.shards.select("terms", "begin").mapInArrow(counted, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
+    def once(batch):
+        terms, _ = _flat(batch.column(0), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(np.ones(len(terms), np.int64))], ["term", "n"])
+
+    found = index.shards.select("terms", "begin").mapInArrow(counted, "term bigint, n bigint")
+    return found.unionByName(map_arrow(index.unnamed, once, "term bigint, n bigint")).groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def _question_blocks(questions: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list]]:

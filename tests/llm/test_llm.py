@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -331,7 +332,9 @@ def test_pipeline_against_its_stages(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     tox = {r.doc_id for r in toxicity.score(docs, toxicity.fit(docs, labels.where(fold("doc_id", 3) != 1))).where("score < 0.7").collect()}
     left = docs.where(F.col("doc_id").isin(list(tox)))
-    good = {r.doc_id for r in quality.judge(left, quality.fit(left, labels), min_tail=0.4).where("kept").collect()}
+    model = quality.fit(docs, quality.combined_grades(labels), "grade")
+    assert len(model.thresholds) == 2
+    good = {r.doc_id for r in quality.judge(left, model, 2.0, 0.4).where("kept").collect()}
     rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in good)
     first = {d for d, (_, low, _) in brute_join(rows, ngram_join.Spec(5, 80, 100)).items() if d == low}
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -343,11 +346,26 @@ def test_pipeline_against_its_stages(spark):
         return any(tuple(w[k : k + n]) in grams for n in {len(g) for g in grams} for k in range(len(w) - n + 1))
 
     want = {d for d, t in rows if d in first and not hit(t)}
-    assert {r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()} == want
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, DATA).collect()}
+    assert got.keys() == want
+    tokenizer = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+    for d, t in rows:
+        if d in want:
+            ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+            assert got[d].n_tokens == len(ids) and got[d].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+@pytest.mark.parametrize("bare", ["documents", "labels", "benchmark"])
+def test_pipeline_of_empty_tables(spark, tmp_path, bare):
+    for name in ("documents", "labels", "benchmark"):
+        rows = spark.read.parquet(f"{SMALL}/{name}.parquet")
+        rows.limit(0 if name == bare else 60).write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert kept == 0 if bare == "documents" else kept > 0
 
 
 def test_pipeline_stages_keep_columns(spark, odd, tmp_path):
-    for name in ("benchmark", "labels"):
+    for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
     docs = odd
     for _, stage in corpus_pipeline.STAGES[:-1]:

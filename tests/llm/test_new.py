@@ -70,7 +70,7 @@ def test_inclusion_follows_the_preference(spark):
         goal = sum(words) * w / 3
         base = sum(min(8, 1 + (1 + k % 60) // 8) * (1 + k % 60) for k in range(300) if "ab"[k % 2] == s)
         for level in range(1, 9):  # no level is at its cap here
-            assert total[s, level] == pytest.approx(count[s, level] * level * goal / base, rel=0.3, abs=1.5)
+            assert total[s, level] == pytest.approx(count[s, level] * level * goal / base, rel=0.3, abs=2.5)  # what is left open goes to short ones
 
 
 def test_mix_of_odd_rows(spark, odd, empty):  # noqa: F811
