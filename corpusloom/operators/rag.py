@@ -7,7 +7,6 @@ batch of rows; what they raise becomes the error of their rows (see `upload.Prov
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,30 +33,6 @@ def latest_questions(messages: DataFrame, settings: Settings) -> DataFrame:
         lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("said"), "valid", "too_large")
 
 
-def search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, top: int, images: bool) -> DataFrame:
-    """(query_id, score, original_rank and the columns of the chunk) of the `top` best chunks that are fit for each question.
-
-    questions: query_id, query_text, query_vec, tax_year. chunks: see `retrieval.evidence_filter`; vectors: id, embedding. The
-    filter comes before the search; it depends on the period that is asked for, so questions are searched by period, of
-    which there are few: each is a year or two in a row, and only they come to the driver.
-    """
-    parts = []
-    for (year,) in stored(questions.select("tax_year").distinct()).collect():
-        own = questions.where(F.col("tax_year").eqNullSafe(F.lit(year)))
-        fit = retrieval.evidence_filter(chunks, tax_year=F.lit(year).cast("string"), images=images)
-        ids = fit.select("id")
-        words = retrieval.bm25_top(chunks.select("id", "content"), own, top, "id", "content", among=ids)
-        near = retrieval.cosine_top(vectors.join(ids, "id", "left_semi"), own, top, "id")
-        fused = retrieval.fuse([(words, "rank"), (near, "rank")], "id").withColumn("score", F.round("rrf", 9))
-        best = retrieval.top_k(fused, "score", top, "id", "original_rank").select("query_id", "id", "score",
-            (F.col("original_rank") - 1).alias("original_rank"))
-        parts.append(best.join(fit, "id"))
-    if not parts:
-        return chunks.limit(0).select(F.lit(None).cast(questions.schema["query_id"].dataType).alias("query_id"), F.lit(0.0).alias("score"),
-            F.lit(0).alias("original_rank"), "*")
-    return reduce(DataFrame.unionByName, parts)
-
-
 def generated(prompts: DataFrame, generate: Callable[[list[str]], list[str]], retries: int = upload.RETRIES, sleep=None) -> DataFrame:
     """(query_id, text, code): the generated text of each prompt, or the HTTP code of the failure (0 without one)."""
     kind = prompts.schema["query_id"].dataType.simpleString()
@@ -104,9 +79,9 @@ def answer_questions(messages: DataFrame, chunks: DataFrame | None, vectors: Dat
             F.col("vector").alias("query_vec"))
         ready = stored(analysed.join(vecs, F.col("query_id").cast("string") == F.col("_q")).drop("_q").withColumn("query_text",
             F.col("retrieval_text")))
-        found = search(ready, chunks, vectors, settings.initial_top, False)
+        found = retrieval.hybrid(ready, chunks, vectors, settings.initial_top)
         how = ready.where("procedural_intent")
-        pictures = search(how, chunks, vectors, settings.image_top_k, True)
+        pictures = retrieval.hybrid(how, chunks, vectors, settings.image_top_k, images=True)
         evidence, shown = retrieval.retrieve(ready, found, pictures, settings.min_score, settings.max_evidence, settings.max_images)
         contexts = stored(answer.build_context(evidence, shown))
         prompts = ready.select("query_id").join(fine.select("query_id", "said"), "query_id").join(contexts.select("query_id", "context"), "query_id",

@@ -66,21 +66,34 @@ class _Best:
         self.rows = tuple(x[rank < self.k] for x in (query, score, ids))
 
 
-def _task_best(rows: DataFrame, query_ids: list, query_field: StructField, k: int, name: str, score) -> DataFrame:
+def _codes(periods: list, of: list) -> np.ndarray:
+    """The place of each period in `of`; -1 for null and -2 for one that is not there."""
+    place = {p: k for k, p in enumerate(of)}
+    return np.array([-1 if p is None else place.get(p, -2) for p in periods], np.int64)
+
+
+def _task_best(rows: DataFrame, query_ids: list, query_field: StructField, k: int, name: str, score, periods: list | None = None) -> DataFrame:
     """(query_id, id, name) of the k best rows of each question within each task. rows: id first, without null ids;
-    score(batch) yields (first row, scores) for runs of rows."""
+    score(batch) yields (first row, scores) for runs of rows. With periods, one of each question, the last column of `rows`
+    is the period of the row, and rows of another period than the question's (where both have one) are no candidates."""
     id_field = rows.schema[0]
     schema = StructType([StructField("query_id", query_field.dataType), StructField(id_field.name, id_field.dataType),
         StructField(name, DoubleType())])
     kinds: list = []
     query_kind = to_arrow_type(query_field.dataType)
+    known = sorted({p for p in periods or () if p is not None})
+    asked = _codes(periods or (), known)
 
     def run(batches):
         best = _Best(len(query_ids), k)
         for batch in batches:
             kinds[:] = [batch.column(0).type]
             ids = batch.column(0).to_numpy(zero_copy_only=False)
+            own = _codes(batch.column(batch.num_columns - 1).to_pylist(), known)[:, None] if periods is not None else None
             for at, part in score(batch):
+                if own is not None:
+                    of = own[at : at + len(part)]
+                    part = np.where((of == -1) | (asked == -1) | (of == asked), part, -np.inf)
                 best.add(part, ids[at : at + len(part)])
         if best.rows and len(best.rows[0]):
             query, value, ids = best.rows
@@ -129,19 +142,23 @@ def _term_scorer(shared, k1: float, b: float, mean: float):
 
 
 def bm25_top(docs: DataFrame, queries: DataFrame, k: int = 24, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75,
-    among: DataFrame | None = None) -> DataFrame:
+    among: DataFrame | None = None, period: str | None = None) -> DataFrame:
     """(query_id, id, bm25, rank) of the k best documents of each question (query_id, query_text), by its distinct terms.
 
     With `among` (a table of ids), only its documents are ranked; the statistics stay those of all documents. Null
     texts have no terms and count as documents; documents without a term of the question, and those with a null id,
     are not ranked; ties go to the smaller id. Scores are rounded to 9 places, so that ranks don't depend on the order
-    of sums. Questions of one id are one question.
+    of sums. Questions of one id are one question. period: a column of both tables; a document that has another period than
+    the question asks for is not ranked, where neither is null. Any number of periods are searched at once.
     """
-    words = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("ts"))
+    own_period = [F.col(period)] if period else []
+    words = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("ts"), *own_period)
     n, mean = words.agg(F.count("*"), F.avg(F.size("ts"))).first()
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")).distinct()
     df = words.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     found = asked.join(df, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "df")).alias("terms"))
+    if period:
+        found = found.join(queries.groupBy("query_id").agg(F.max(period).alias("period")), "query_id")
     found = stored(found)  # a question's own terms, with the number of documents that have them
     n_queries, n_pairs = found.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     own = (words if among is None else words.join(among.select(id_col), id_col, "left_semi")).where(F.col(id_col).isNotNull())
@@ -153,20 +170,22 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int = 24, id_col: str = "do
         freq = np.array(list(df_of.values()), float)
         block = (pa.array(df_of, pa.string()), np.log(1 + (n - freq + 0.5) / (freq + 0.5)), pairs[:, 0], pairs[:, 1], len(rows))
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        out.append(_task_best(own, [r["query_id"] for r in rows], queries.schema["query_id"], k, "bm25", _term_scorer(shared, k1, b, mean or 1.0)))
+        out.append(_task_best(own, [r["query_id"] for r in rows], queries.schema["query_id"], k, "bm25", _term_scorer(shared, k1, b, mean or 1.0),
+            [r["period"] for r in rows] if period else None))
     return top_k(reduce(DataFrame.unionByName, out), "bm25", k, id_col)
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 24, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, id, cosine, rank) of the k best vectors of each question (query_id, query_vec); exact.
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 24, id_col: str = "vec_id", vec_col: str = "embedding",
+    period: str | None = None) -> DataFrame:
+    """(query_id, id, cosine, rank) of the k best vectors of each question (query_id, query_vec); exact. period: as in `bm25_top`.
 
     Vectors without a direction (null, with a null, NaN or infinity, or of length zero), those of another dimension
     than the question's and those with a null id are not ranked; ties go to the smaller id. Scores are rounded to 9 places.
     """
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~F.exists(vec_col, lambda x: x.isNull())).select(id_col,
-        F.col(vec_col).cast("array<double>").alias("v"))
+        F.col(vec_col).cast("array<double>").alias("v"), *[F.col(c) for c in [period] if c])
     asked = queries.where(F.col("query_vec").isNotNull() & ~F.exists("query_vec", lambda x: x.isNull())).select("query_id",
-        F.col("query_vec").cast("array<double>").alias("v"))
+        F.col("query_vec").cast("array<double>").alias("v"), *[F.col(c).alias("period") for c in [period] if c])
     out = []
     for block in _blocks(asked, max(1, -(-asked.count() // QUERY_BLOCK))):
         sizes = [len(r["v"]) for r in block]
@@ -189,7 +208,8 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 24, id_col: str
                     out[own[:, None], at[None, :]] = np.round(_unit(v) @ q.T, 9)
                 yield a, np.where(np.isnan(out), -np.inf, out)
 
-        out.append(_task_best(rows, [r["query_id"] for r in block], queries.schema["query_id"], k, "cosine", score))
+        out.append(_task_best(rows, [r["query_id"] for r in block], queries.schema["query_id"], k, "cosine", score,
+            [r["period"] for r in block] if period else None))
     return top_k(reduce(DataFrame.unionByName, out), "cosine", k, id_col)
 
 
@@ -215,6 +235,22 @@ def fuse(lists: list[tuple[DataFrame, str]], id_col: str, k: int = 60) -> DataFr
     return out.groupBy("query_id", id_col).agg(F.sum("s").alias("rrf"))
 
 
+def hybrid(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, top: int = 24, images: bool = False) -> DataFrame:
+    """(query_id, score, original_rank from 0 and the columns of the chunk) of the `top` best chunks of each question, by words and vectors.
+
+    questions: query_id, query_text, query_vec (either may be null), tax_year; chunks: see `evidence_filter`; vectors: id,
+    embedding. The filter comes before the searches, the period of each question within them, so that any number of
+    periods is one plan.
+    """
+    fit = evidence_filter(chunks, images=images)
+    words = bm25_top(chunks.select("id", "content", "tax_year"), questions.where("query_text is not null"), top, "id", "content", among=fit.select("id"),
+        period="tax_year")
+    near = cosine_top(vectors.select("id", "embedding").join(fit.select("id", "tax_year"), "id"), questions, top, "id", period="tax_year")
+    fused = fuse([(words, "rank"), (near, "rank")], "id").withColumn("score", F.round("rrf", 9))
+    best = top_k(fused, "score", top, "id", "original_rank").select("query_id", "id", "score", (F.col("original_rank") - 1).alias("original_rank"))
+    return best.join(fit, "id")
+
+
 def evidence_filter(chunks: DataFrame, language: str = "en", tax_year: Column | None = None, images: bool = False) -> DataFrame:
     """Rows that may be evidence: right kind, language and period where they have one, status not excluded."""
     kind = F.coalesce(F.col("content_type"), F.lit("text"))

@@ -106,13 +106,12 @@ def _searches_sql(bm25_among: str = "true", knn_among: str = "true") -> str:
     return f"{_BM25_SQL.replace('{among}', bm25_among)}, {_KNN_SQL.replace('{among}', knn_among)}"
 
 
-def _bm25(spark, d, among=None):
-    return retrieval.bm25_top(table(spark, d, "documents"), questions(spark, d), 24, among=among)
+def _bm25(spark, d):
+    return retrieval.bm25_top(table(spark, d, "documents"), questions(spark, d), 24)
 
 
-def _knn(spark, d, among=None):
+def _knn(spark, d):
     v = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    v = v if among is None else v.join(among, "doc_id", "left_semi")
     return retrieval.cosine_top(v, question_vectors(spark, d), 24, "doc_id")
 
 
@@ -157,10 +156,18 @@ _SCORES_SQL = f"""*,
     WHEN q_procedural THEN {_when('authority_level', vocab.AUTHORITY_PROCEDURAL)} ELSE {_when('authority_level', vocab.AUTHORITY_DEFAULT)} END,
     least(authority_rank // 10, 8)) AS sa""".replace("\\\\b", "\\b")
 _ASKED_SQL = ", ".join(f"{x} AS {n}" for n, x in _ASKED.items())
+
+
+def _among_sql(doc: str, question: str) -> str:
+    """Eligible chunks of the period that is asked for, of none, or any where none is asked for."""
+    own, asked_ = _LABELS["tax_year"].replace("doc_id", doc), _ASKED["q_tax_year"].replace("query_id", question)
+    return f"{doc} IN (SELECT id FROM el) AND coalesce(({own}) = ({asked_}), true)"
+
+
 _RANKED_SQL = f"""{_CHUNKS_SQL}, el AS (SELECT id FROM chunks WHERE {_ELIGIBLE}),
-{_searches_sql('doc_id IN (SELECT id FROM el)', 'b.vec_id IN (SELECT id FROM el)')}, {_FUSE_SQL},
-kd AS (SELECT fu.query_id, c.*, {_ASKED_SQL}, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, id) - 1 AS original_rank
-  FROM fu JOIN chunks c ON c.id = fu.doc_id WHERE rrf >= 0.01),
+{_searches_sql(_among_sql('doc_id', 'query_id'), _among_sql('b.vec_id', 'a.vec_id'))}, {_FUSE_SQL},
+fo AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, doc_id) - 1 AS original_rank FROM fu),
+kd AS (SELECT fo.query_id, fo.original_rank, c.*, {_ASKED_SQL} FROM fo JOIN chunks c ON c.id = fo.doc_id WHERE original_rank < 24 AND round(rrf, 9) >= 0.01),
 sc AS (SELECT {_SCORES_SQL}, max(CASE WHEN coalesce(status, 'unknown') <> 'superseded' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS live
   FROM kd),
 cp AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY {_ORDER}) AS n
@@ -176,12 +183,9 @@ def asked(rows: DataFrame) -> DataFrame:
 
 
 def _evidence(spark, d):
-    c = retrieval.evidence_filter(chunks(spark, d))
-    ids = c.select(F.col("id").alias("doc_id"))
-    fused = retrieval.fuse([(_bm25(spark, d, ids), "rank"), (_knn(spark, d, ids), "rank")], "doc_id").where("rrf >= 0.01")
-    rows = c.join(fused.withColumnRenamed("doc_id", "id"), "id").withColumn("rrf", F.round("rrf", 9))
-    ranked = retrieval.top_k(rows, "rrf", 48, "id", "original_rank").withColumn("original_rank", F.col("original_rank") - 1)
-    return retrieval.rerank(asked(ranked))
+    wanted = questions(spark, d).join(question_vectors(spark, d), "query_id", "full").withColumn("tax_year", F.expr(_ASKED["q_tax_year"]))
+    vectors = table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    return retrieval.rerank(asked(retrieval.hybrid(wanted, chunks(spark, d), vectors).where("score >= 0.01")))
 
 
 @register(f"""WITH {_RANKED_SQL}

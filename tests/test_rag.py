@@ -51,7 +51,7 @@ def test_answers(spark, corpus_rows):
 def test_search_filters_by_the_period_that_is_asked_for(spark, corpus_rows):
     chunks, vectors = corpus_rows
     asked = spark.createDataFrame([(1, "VAT", [1.0, 1.0], "2024/2025"), (2, "VAT", [1.0, 1.0], "2025/2026"), (3, "VAT", [1.0, 1.0], None)], "query_id int, query_text string, query_vec array<double>, tax_year string")
-    found = rag.search(asked, chunks, vectors, 8, False).groupBy("query_id").agg(F.array_sort(F.collect_set("id")).alias("ids")).collect()
+    found = retrieval.hybrid(asked, chunks, vectors, 8).groupBy("query_id").agg(F.array_sort(F.collect_set("id")).alias("ids")).collect()
     assert {r.query_id: r.ids for r in found} == {1: ["c1", "c2", "c3"], 2: ["c1", "c3"], 3: ["c1", "c2", "c3"]}
 
 
