@@ -103,44 +103,90 @@ def _task_best(rows: DataFrame, query_ids: list, query_field: StructField, k: in
     return rows.mapInArrow(run, schema)
 
 
-def _term_scorer(shared, k1: float, b: float, mean: float):
-    """Scores of batches (id, tokens) against a broadcast block: (terms, idf, question of each pair, term of each pair, questions)."""
-
-    def score(batch):
-        terms, idf, q, t, n = shared.value
-        n_of = np.bincount(t, minlength=len(terms))
+class TermBlock:
+    """Questions 0 to n - 1 with their terms: idf of each term and pairs (question, term), by question."""
+
+    def __init__(self, terms: list, idf: np.ndarray, question: np.ndarray, term: np.ndarray, n: int):
+        self.terms, self.idf, self.question, self.term, self.n = pa.array(terms, pa.string()), idf, question, term, n
+
+    def prepare(self, live: np.ndarray | None = None):
+        """A function that turns parts of scores (row, term, value) of n_rows rows into scores (n_rows x n), 0 without a
+        common term. With `live` only these questions' pairs count. Terms of many questions take part in a matrix product, the
+        others one by one."""
+        q, t = self.question, self.term
+        if live is not None:
+            q, t = q[live[q]], t[live[q]]
+        n_of = np.bincount(t, minlength=len(self.terms))
         common = np.flatnonzero(n_of >= _COMMON)
-        column = np.full(len(terms), -1)
+        column = np.full(len(self.terms), -1)
         column[common] = np.arange(len(common))
-        dense = np.zeros((len(common), n))
+        dense = np.zeros((len(common), self.n))
         often = column[t] >= 0
         dense[column[t[often]], q[often]] = 1.0
         rare = np.argsort(t[~often], kind="stable")
-        rare_q, ends = q[~often][rare], np.cumsum(np.bincount(t[~often], minlength=len(terms)))
+        rare_q, ends = q[~often][rare], np.cumsum(np.bincount(t[~often], minlength=len(self.terms)))
+        n_of = np.where(column >= 0, 0, n_of)
+
+        def scores(row: np.ndarray, term: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
+            weight = np.zeros((n_rows, len(common)))
+            hit = column[term] >= 0
+            weight[row[hit], column[term[hit]]] = value[hit]
+            out = weight @ dense
+            row, term, value = row[~hit], term[~hit], value[~hit]
+            begin, count = ends[term] - n_of[term], n_of[term]
+            flat = np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+            cell = np.repeat(row, count) * self.n + rare_q[flat]
+            return out + np.bincount(cell, weights=np.repeat(value, count), minlength=n_rows * self.n).reshape(n_rows, self.n)
+
+        return scores, max(1, _CELLS // max(1, self.n, len(common)))
+
+
+def _term_scorer(shared, k1: float, b: float, mean: float):
+    """Scores of batches (id, tokens) against a broadcast `TermBlock`."""
+
+    def score(batch):
+        block = shared.value
+        scores, step = block.prepare()
         size = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy().astype(np.int64)
         offsets = np.r_[0, np.cumsum(size)]
-        place = pc.fill_null(pc.index_in(pc.list_flatten(batch.column(1)), value_set=terms), -1).to_numpy()
-        step = max(1, _CELLS // max(1, n, len(common)))
+        place = pc.fill_null(pc.index_in(pc.list_flatten(batch.column(1)), value_set=block.terms), -1).to_numpy()
         for a in range(0, batch.num_rows, step):
             z = min(batch.num_rows, a + step)
             at = place[offsets[a] : offsets[z]]
             row = np.repeat(np.arange(z - a), size[a:z])[at >= 0]
-            key, tf = np.unique(row * len(terms) + at[at >= 0], return_counts=True)
-            row, term = key // len(terms), key % len(terms)
-            part = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[a:z][row] / mean))
-            weight = np.zeros((z - a, len(common)))
-            hit = column[term] >= 0
-            weight[row[hit], column[term[hit]]] = part[hit]
-            out = weight @ dense
-            row, term, part = row[~hit], term[~hit], part[~hit]
-            begin, count = ends[term] - n_of[term], n_of[term]
-            flat = np.repeat(begin - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-            out += np.bincount(np.repeat(row, count) * n + rare_q[flat], weights=np.repeat(part, count), minlength=(z - a) * n).reshape(z - a, n)
+            key, tf = np.unique(row * len(block.terms) + at[at >= 0], return_counts=True)
+            row, term = key // max(1, len(block.terms)), key % max(1, len(block.terms))
+            out = scores(row, term, block.idf[term] * term_part(tf, size[a:z][row], k1, b, mean), z - a)
             yield a, np.round(np.where(out > 0, out, -np.inf), 9)
 
     return score
 
 
+def term_part(tf: np.ndarray, length: np.ndarray, k1: float, b: float, mean: float) -> np.ndarray:
+    """What a term found tf times in a document of so many terms adds for each unit of its idf: grows with tf, falls with the length."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+
+
+def idf(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def term_blocks(queries: DataFrame, frequencies: DataFrame, n: int, period: str | None = None) -> Iterator[tuple[TermBlock, list, list | None]]:
+    """(block, query ids, periods) of the questions (query_id, query_text) that have a term of `frequencies` (term, df) of n documents."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")).distinct()
+    found = asked.join(frequencies, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "df")).alias("terms"))
+    if period:
+        found = found.join(queries.groupBy("query_id").agg(F.max(period).alias("period")), "query_id")
+    found = stored(found)  # a question's own terms, with the number of documents that have them
+    n_queries, n_pairs = found.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    for rows in _blocks(found, max(1, -(-n_queries // TERM_BLOCK), -(-n_pairs // TERM_PAIRS))):
+        df_of = {t["term"]: t["df"] for r in rows for t in r["terms"]}
+        place = {t: i for i, t in enumerate(df_of)}
+        pairs = np.array([(q, place[t["term"]]) for q, r in enumerate(rows) for t in r["terms"]], np.int64).reshape(-1, 2)
+        block = TermBlock(list(df_of), idf(n, np.array(list(df_of.values()), float)), pairs[:, 0], pairs[:, 1], len(rows))
+        yield block, [r["query_id"] for r in rows], [r["period"] for r in rows] if period else None
+
+
 def bm25_top(docs: DataFrame, queries: DataFrame, k: int = 24, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75,
     among: DataFrame | None = None, period: str | None = None) -> DataFrame:
     """(query_id, id, bm25, rank) of the k best documents of each question (query_id, query_text), by its distinct terms.
@@ -154,24 +200,12 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int = 24, id_col: str = "do
     own_period = [F.col(period)] if period else []
     words = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("ts"), *own_period)
     n, mean = words.agg(F.count("*"), F.avg(F.size("ts"))).first()
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term")).distinct()
     df = words.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    found = asked.join(df, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "df")).alias("terms"))
-    if period:
-        found = found.join(queries.groupBy("query_id").agg(F.max(period).alias("period")), "query_id")
-    found = stored(found)  # a question's own terms, with the number of documents that have them
-    n_queries, n_pairs = found.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     own = (words if among is None else words.join(among.select(id_col), id_col, "left_semi")).where(F.col(id_col).isNotNull())
     out = []
-    for rows in _blocks(found, max(1, -(-n_queries // TERM_BLOCK), -(-n_pairs // TERM_PAIRS))):
-        df_of = {t["term"]: t["df"] for r in rows for t in r["terms"]}
-        place = {t: i for i, t in enumerate(df_of)}
-        pairs = np.array([(q, place[t["term"]]) for q, r in enumerate(rows) for t in r["terms"]], np.int64).reshape(-1, 2)
-        freq = np.array(list(df_of.values()), float)
-        block = (pa.array(df_of, pa.string()), np.log(1 + (n - freq + 0.5) / (freq + 0.5)), pairs[:, 0], pairs[:, 1], len(rows))
+    for block, ids, periods in term_blocks(queries, df, n, period):
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        out.append(_task_best(own, [r["query_id"] for r in rows], queries.schema["query_id"], k, "bm25", _term_scorer(shared, k1, b, mean or 1.0),
-            [r["period"] for r in rows] if period else None))
+        out.append(_task_best(own, ids, queries.schema["query_id"], k, "bm25", _term_scorer(shared, k1, b, mean or 1.0), periods))
     return top_k(reduce(DataFrame.unionByName, out), "bm25", k, id_col)
 
 
