@@ -92,11 +92,17 @@ def _swap(spark: SparkSession, path: str, m: Manifest) -> None:
         raise Conflict(f"version {m.version} of {path} is there already")
 
 
-def _stored(spark: SparkSession, path: str, rows: DataFrame, schema: StructType, buckets: int) -> tuple[str, list[int], int]:
-    """Writes rows (with `bucket`) into a folder of their own: its name, the buckets that have rows, bytes."""
+def _stored(spark: SparkSession, path: str, rows: DataFrame, schema: StructType, buckets: int, split: str | None = None) -> tuple[str, list[int], int]:
+    """Writes rows (with `bucket`) into a folder of their own: its name, the buckets that have rows, bytes. A bucket is one task,
+    or where `split` names a column it is cut by ranges of its hash, so that buckets may be of any size."""
     name = uuid.uuid4().hex
     where = f"{path}/data/write={name}"
-    rows.select(*schema.names, "bucket").repartition(buckets, "bucket").write.partitionBy("bucket").parquet(where)
+    own = rows.select(*schema.names, "bucket")
+    if split:
+        dealt = own.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", F.xxhash64(split)).sortWithinPartitions("bucket")
+    else:
+        dealt = own.repartition(buckets, "bucket")
+    dealt.write.partitionBy("bucket").parquet(where)
     found = [int(n.split("=")[1]) for n in _children(spark, where) if n.startswith("bucket=")]
     fs, at = _files(spark, where)
     return name, found, fs.getContentSummary(at).getLength()
@@ -107,11 +113,11 @@ def create(rows: DataFrame, path: str, key: list[str], buckets: int = 64) -> Cha
     return create_raw(first_of(rows, key, F.lit(0)).withColumn("bucket", bucket_of(key, buckets)), path, key, buckets)
 
 
-def create_raw(rows: DataFrame, path: str, key: list[str], buckets: int) -> Change:
-    """Version 1 of rows that have their `bucket` already."""
+def create_raw(rows: DataFrame, path: str, key: list[str], buckets: int, split: str | None = None) -> Change:
+    """Version 1 of rows that have their `bucket` already; split: a column by whose hash large buckets are cut into tasks."""
     spark = rows.sparkSession
     schema = StructType([f for f in rows.schema if f.name != "bucket"])
-    name, found, size = _stored(spark, path, rows, schema, buckets)
+    name, found, size = _stored(spark, path, rows, schema, buckets, split)
     _swap(spark, path, Manifest(1, tuple(key), buckets, schema, {k: name for k in found}))
     return Change(1, sorted(found), size)
 
@@ -130,9 +136,9 @@ def load(spark: SparkSession, path: str, version: int | None = None, buckets: li
     return rows.select(*m.schema.names, *["bucket"] * with_bucket)
 
 
-def replace(spark: SparkSession, path: str, rows: DataFrame, buckets: list[int], of: Manifest) -> Change:
+def replace(spark: SparkSession, path: str, rows: DataFrame, buckets: list[int], of: Manifest, split: str | None = None) -> Change:
     """The next version after `of`: `rows` (with `bucket`) instead of all rows of `buckets`; other buckets are neither read nor written."""
-    name, found, size = _stored(spark, path, rows, of.schema, max(1, len(buckets)))
+    name, found, size = _stored(spark, path, rows, of.schema, max(1, len(buckets)), split)
     folders = {k: v for k, v in of.folders.items() if k not in set(buckets)} | {k: name for k in found}
     _swap(spark, path, Manifest(of.version + 1, of.key, of.buckets, of.schema, folders))
     return Change(of.version + 1, sorted(buckets), size)

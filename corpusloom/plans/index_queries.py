@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import postings
+from corpusloom.operators import postings, vectors
 from corpusloom.plans.record_queries import _folder
-from corpusloom.plans.search_queries import _BM25_SQL, questions, register, table
+from corpusloom.plans.search_queries import _BM25_SQL, _KNN_SQL, _knn, question_vectors, questions, register, table
 
 
 @register(f"WITH {_BM25_SQL.replace('{among}', 'true')} SELECT query_id, doc_id, rank, round(bm25, 6) AS bm25 FROM br")
@@ -21,3 +21,32 @@ def postings_topk(spark, d):
     postings.upsert(spark, path, docs.where(changed.isin(1, 2)), deletes=more.select("id"))
     found = postings.search(spark, path, questions(spark, d)).rows
     return found.select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("bigint").alias("rank"), F.round("bm25", 6).alias("bm25"))
+
+
+def _vector_index(spark, d) -> str:
+    """An index of all embeddings, some of which were others, lacked or were too many before an upsert."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    path = _folder(spark, "vectors")
+    changed = F.pmod(F.xxhash64("id"), F.lit(50))
+    before = rows.where(changed != 1).withColumn("embedding", F.when(changed == 2, F.reverse("embedding")).otherwise(F.col("embedding")))
+    more = rows.where(changed == 3).withColumn("id", -1 - F.col("id"))
+    vectors.build(before.unionByName(more), path)
+    vectors.upsert(spark, path, rows.where(changed.isin(1, 2)), deletes=more.select("id"))
+    return path
+
+
+@register(f"WITH {_KNN_SQL.replace('{among}', 'true')} SELECT query_id, doc_id, rank, round(cosine, 6) AS cosine FROM kr")
+def vector_index_topk(spark, d):
+    """The lists of `knn_topk` from cells: exact."""
+    found = vectors.search(spark, _vector_index(spark, d), question_vectors(spark, d), exact=True).rows
+    return found.select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("bigint").alias("rank"), F.round("cosine", 6).alias("cosine"))
+
+
+@register(f"WITH {_KNN_SQL.replace('{among}', 'true')} SELECT count(DISTINCT query_id) AS n_questions, count(*) AS n_exact, true AS recall_of_90 FROM kr")
+def vector_index_recall(spark, d):
+    """Whether probing the cells that `calibrate` asks for finds nine tenths of the exact lists."""
+    path = _vector_index(spark, d)
+    found = vectors.search(spark, path, question_vectors(spark, d), probe=vectors.calibrate(spark, path)).rows
+    both = _knn(spark, d).join(found.select("query_id", F.col("id").alias("doc_id"), F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+    counts = both.agg(F.count_distinct("query_id").alias("n_questions"), F.count("*").alias("n_exact"), F.count("hit").alias("hits"))
+    return counts.select("n_questions", "n_exact", (F.col("hits") >= 0.9 * F.col("n_exact")).alias("recall_of_90"))
