@@ -112,20 +112,32 @@ _TEXTS = {"page": "chr(10)", "lines": ["'1. Scope of this part' || chr(10) || 't
     "'GENERAL RULES 2024' || chr(10) || 'x'", "'no heading here at all, is there.'", "'2) Last Part' || chr(10) || '2.1.1 Deep'"]}
 _PAGES = "SELECT doc_id, doc_id // 10 AS source_id, CAST(doc_id % 10 + 1 AS int) AS page, CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN {x}" for k,
     x in enumerate(_TEXTS["lines"])) + " END AS text FROM documents"
-_OPEN = ["1. Scope of this part", "1. Scope of this part > 1.2 Rates", "GENERAL RULES 2024", "GENERAL RULES 2024", "2) Last Part > 2.1.1 Deep"]
+#: A numbered heading made of the first word of a text, above the whole text; files are sources, one of them with a third of all pages.
+_FILES = """SELECT doc_id, source AS source_id, doc_id AS page, concat(repeat('1.', cast(length(coalesce(text, '')) % 4 AS int)), '2 ',
+  coalesce(nullif(regexp_extract(text, '[A-Za-z]+', 0), ''), 'none'), chr(10), coalesce(text, '')) AS text FROM documents"""
+_HEADINGS_SQL = r"""pg AS (""" + _FILES + r"""),
+ln AS (SELECT doc_id, source_id, page, unnest(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')) AS raw,
+  generate_subscripts(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), 1) AS k FROM pg),
+vl AS (SELECT *, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS v FROM ln),
+nm AS (SELECT *, regexp_extract(v, '^(\d+(?:\.\d+){0,5})\s*[.)-]?\s+[^.!?;:]{2,160}$', 1) AS num, string_split(v, ' ') AS ws FROM vl WHERE v <> '' AND length(v) <= 160),
+hd AS (SELECT *, CASE WHEN num <> '' THEN length(num) - length(replace(num, '.', '')) + 1
+  WHEN regexp_matches(v, '^[A-Z][A-Z0-9][A-Z0-9 /&()''\-]{2,119}$') OR (len(ws) BETWEEN 2 AND 12 AND regexp_matches(v, '[\p{L}\p{N}]$')
+    AND len(list_filter(ws, lambda w: NOT regexp_matches(w, '^(?:\p{Lu}|\p{Lt}|[^\p{L}]|$)'))) = 0) THEN 1 END AS depth FROM nm),
+sq AS (SELECT source_id, page, v, depth, row_number() OVER (PARTITION BY source_id ORDER BY page, k) AS n FROM hd WHERE depth IS NOT NULL),
+st(source_id, n, page, stack) AS (SELECT source_id, n, page, [v] FROM sq WHERE n = 1
+  UNION ALL SELECT sq.source_id, sq.n, sq.page, list_append(st.stack[1:sq.depth - 1], sq.v) FROM st JOIN sq ON sq.source_id IS NOT DISTINCT FROM st.source_id AND sq.n = st.n + 1),
+en AS (SELECT source_id, page, arg_max(stack, n) AS stack FROM st GROUP BY source_id, page)"""
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return made(spark, d, _PAGES.replace("doc_id // 10", "doc_id div 10").replace("chr(10)", "char(10)"))
 
 
-@register("SELECT doc_id, CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_OPEN)) + """ END AS title_path FROM documents
-WHERE doc_id // 10 IN (SELECT doc_id // 10 FROM documents GROUP BY 1 HAVING count(*) = 10)""")
+@register(f"WITH RECURSIVE {_HEADINGS_SQL} SELECT pg.doc_id, coalesce(array_to_string(last_value(stack IGNORE NULLS) OVER (PARTITION BY pg.source_id ORDER BY pg.page), ' > '), '') AS title_path "
+    "FROM pg LEFT JOIN en ON en.source_id IS NOT DISTINCT FROM pg.source_id AND en.page = pg.page")
 def heading_paths(spark, d):
-    """Open headings at the end of each page; files of ten pages without a gap."""
-    whole = _pages(spark, d)
-    whole = whole.join(whole.groupBy("source_id").count().where("count = 10").select("source_id"), "source_id", "left_semi")
-    return paged.heading_paths(whole).select("doc_id", F.array_join("title_path", " > ").alias("title_path"))
+    """Open headings at the end of each page."""
+    return paged.heading_paths(made(spark, d, _FILES.replace("chr(10)", "char(10)"))).select("doc_id", F.array_join("title_path", " > ").alias("title_path"))
 
 
 @register(f"""WITH p AS ({_PAGES}), r AS (SELECT *, length(regexp_replace(text, '\\s', '', 'g')) AS n FROM p) SELECT doc_id, CASE WHEN n >= 80
