@@ -113,13 +113,13 @@ def create(rows: DataFrame, path: str, key: list[str], buckets: int = 64) -> Cha
     return create_raw(first_of(rows, key, F.lit(0)).withColumn("bucket", bucket_of(key, buckets)), path, key, buckets)
 
 
-def create_raw(rows: DataFrame, path: str, key: list[str], buckets: int, split: str | None = None) -> Change:
-    """Version 1 of rows that have their `bucket` already; split: a column by whose hash large buckets are cut into tasks."""
+def create_raw(rows: DataFrame, path: str, key: list[str], buckets: int, split: str | None = None, version: int = 1) -> Change:
+    """Version 1 (or `version`) of rows that have their `bucket` already; split: a column by whose hash large buckets are cut into tasks."""
     spark = rows.sparkSession
     schema = StructType([f for f in rows.schema if f.name != "bucket"])
     name, found, size = _stored(spark, path, rows, schema, buckets, split)
-    _swap(spark, path, Manifest(1, tuple(key), buckets, schema, {k: name for k in found}))
-    return Change(1, sorted(found), size)
+    _swap(spark, path, Manifest(version, tuple(key), buckets, schema, {k: name for k in found}))
+    return Change(version, sorted(found), size)
 
 
 def load(spark: SparkSession, path: str, version: int | None = None, buckets: list[int] | None = None, with_bucket: bool = False,
@@ -136,12 +136,18 @@ def load(spark: SparkSession, path: str, version: int | None = None, buckets: li
     return rows.select(*m.schema.names, *["bucket"] * with_bucket)
 
 
-def replace(spark: SparkSession, path: str, rows: DataFrame, buckets: list[int], of: Manifest, split: str | None = None) -> Change:
-    """The next version after `of`: `rows` (with `bucket`) instead of all rows of `buckets`; other buckets are neither read nor written."""
+def newest(spark: SparkSession, path: str) -> int:
+    """The number of the newest version; 0 where there is none."""
+    return max((int(n.split(".")[0]) for n in _children(spark, f"{path}/manifests") if n.endswith(".json")), default=0)
+
+
+def replace(spark: SparkSession, path: str, rows: DataFrame, buckets: list[int], of: Manifest, split: str | None = None, version: int | None = None) -> Change:
+    """The next version after `of`, or `version`: `rows` (with `bucket`) instead of all rows of `buckets`; other buckets are neither read nor written."""
     name, found, size = _stored(spark, path, rows, of.schema, max(1, len(buckets)), split)
     folders = {k: v for k, v in of.folders.items() if k not in set(buckets)} | {k: name for k in found}
-    _swap(spark, path, Manifest(of.version + 1, of.key, of.buckets, of.schema, folders))
-    return Change(of.version + 1, sorted(buckets), size)
+    version = version or of.version + 1
+    _swap(spark, path, Manifest(version, of.key, of.buckets, of.schema, folders))
+    return Change(version, sorted(buckets), size)
 
 
 def upsert(spark: SparkSession, path: str, changes: DataFrame, deletes: DataFrame | None = None) -> Change:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import postings, vectors
+from corpusloom.operators import corpus, incremental, postings, vectors
+from corpusloom.plans.corpus_queries import _BUILD_SQL, _corpus
 from corpusloom.plans.record_queries import _folder
 from corpusloom.plans.search_queries import _BM25_SQL, _KNN_SQL, _knn, question_vectors, questions, register, table
 
@@ -50,3 +51,24 @@ def vector_index_recall(spark, d):
     both = _knn(spark, d).join(found.select("query_id", F.col("id").alias("doc_id"), F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
     counts = both.agg(F.count_distinct("query_id").alias("n_questions"), F.count("*").alias("n_exact"), F.count("hit").alias("hits"))
     return counts.select("n_questions", "n_exact", (F.col("hits") >= 0.9 * F.col("n_exact")).alias("recall_of_90"))
+
+
+@register(f"""WITH RECURSIVE {_BUILD_SQL} SELECT id, source_id, locator, chunk_hash, length(content) AS n_chars, sha256(embedding_text) AS embedding_sha FROM chunks2""")
+def incremental_build(spark, d):
+    """The chunks of `chunk_build` after three builds in one folder: with another title and other records for some sources
+    and one source more, with all as it is, and again without a change."""
+    sources, records = _corpus(spark, d)
+    path = _folder(spark, "build")
+    before = sources.withColumn("title", F.when(odd_id("id"), F.concat(F.lit("former "), "title")).otherwise(F.col("title")))
+    gone = corpus.eligible(sources).limit(1).withColumn("id", F.lit("gone"))
+    former = records.withColumn("content", F.concat(F.lit("former "), F.coalesce("content", F.lit(""))))
+    incremental.build(before.unionByName(gone), path, lambda s: former.join(s.select(F.col("id").alias("source_id")).where(odd_id("source_id")), "source_id", "left_semi").unionByName(
+        records.join(s.select(F.col("id").alias("source_id")).where(~odd_id("source_id")), "source_id", "left_semi")))
+    for _ in range(2):
+        incremental.build(sources, path, lambda s: records.join(s.select(F.col("id").alias("source_id")), "source_id", "left_semi"))
+    return incremental.load(spark, path).select("id", "source_id", "locator", "chunk_hash", F.length("content").cast("bigint").alias("n_chars"),
+        F.sha2("embedding_text", 256).alias("embedding_sha"))
+
+
+def odd_id(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(3)) == 0
