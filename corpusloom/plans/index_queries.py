@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import corpus, incremental, postings, vectors
+from corpusloom.operators import corpus, incremental, postings, snapshots, vectors
 from corpusloom.plans.corpus_queries import _BUILD_SQL, _corpus
 from corpusloom.plans.record_queries import _folder
 from corpusloom.plans.search_queries import _BM25_SQL, _KNN_SQL, _knn, question_vectors, questions, register, table
+from corpusloom.streaming import sessions
 
 
 @register(f"WITH {_BM25_SQL.replace('{among}', 'true')} SELECT query_id, doc_id, rank, round(bm25, 6) AS bm25 FROM br")
@@ -72,3 +73,35 @@ def incremental_build(spark, d):
 
 def odd_id(column: str):
     return F.pmod(F.xxhash64(column), F.lit(3)) == 0
+
+
+@register("""WITH k AS (SELECT *, conv_id // 5 AS o FROM conversations),
+kept AS (SELECT DISTINCT conv_id, o FROM k WHERE conv_id % 7 <> 3 AND o % 11 <> 4),
+head AS (SELECT 'o' || o AS owner, 's' || conv_id AS session, 0 AS n, NULL AS role, 'conversation ' || conv_id AS text, conv_id % 5 AS seq FROM kept),
+said AS (SELECT 'o' || o AS owner, 's' || conv_id AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role, text, (turn + 1) * 10 + conv_id % 5 AS seq
+  FROM k JOIN kept USING (conv_id, o)),
+new AS (SELECT DISTINCT 'o' || o AS owner, 'r' || o AS session, 0 AS n, NULL AS role, NULL AS text, 200000 AS seq FROM k WHERE o % 11 = 4 AND conv_id % 7 <> 3)
+SELECT owner, session, n::BIGINT AS n, role, sha256(coalesce(text, '')) AS text_sha, seq::BIGINT AS seq
+FROM (SELECT * FROM head UNION ALL SELECT * FROM said UNION ALL SELECT * FROM new)""")
+def session_replay(spark, d):
+    """Conversations told as events of owners (five conversations each), a seventh of them removed and each eleventh owner's cleared, taken
+    up by a stream in three runs of its checkpoint."""
+    talk = table(spark, d, "conversations").withColumn("o", F.expr("conv_id div 5")).withColumn("k", F.col("conv_id") % 5)
+    each = talk.select("conv_id", "o", "k").distinct()
+    none = F.lit(None).cast("string")
+
+    def events(rows, seq, kind, role=none, text=none, replacement=none, session=F.concat(F.lit("s"), "conv_id")):
+        return rows.select(F.concat(F.lit("o"), "o").alias("owner"), seq.cast("bigint").alias("seq"), session.alias("session"), F.lit(kind).alias("kind"), role.alias("role"),
+            text.alias("text"), replacement.alias("replacement"))
+
+    told = events(each, F.col("k"), "new", text=F.concat(F.lit("conversation "), "conv_id")).unionByName(
+        events(talk, (F.col("turn") + 1) * 10 + F.col("k"), "append", F.col("role"), F.col("text"))).unionByName(
+        events(each.where("conv_id % 7 = 3"), F.lit(100000) + F.col("k"), "remove")).unionByName(
+        events(each.where("o % 11 = 4").select("o").distinct(), F.lit(200000), "clear", replacement=F.concat(F.lit("r"), "o"), session=none))
+    path = _folder(spark, "sessions")
+    for a, b in ((0, 30), (30, 60), (60, 1 << 40)):
+        told.where(F.col("seq").between(a, b - 1)).write.mode("append").parquet(f"{path}/events")
+        stream = spark.readStream.schema(sessions.EVENT).parquet(f"{path}/events")
+        sessions.session_stream(stream, f"{path}/table", f"{path}/progress").awaitTermination()
+    rows = snapshots.load(spark, f"{path}/table")
+    return rows.select("owner", "session", "n", "role", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha"), "seq")
