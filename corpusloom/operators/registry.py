@@ -146,20 +146,42 @@ def build(items: DataFrame, hosts=HOSTS, titles: DataFrame | None = None, prefix
     return full.drop("_slug", "broken")
 
 
-def error_snapshots(failed: DataFrame, pages: DataFrame, block: int = 1000) -> DataFrame:
+#: Characters of the parts of slugs by which failed files and pages meet; shorter slugs meet by all their characters.
+GRAM = 5
+
+
+def _grams(c: Column, n: Column) -> Column:
+    """The different parts of n characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n)))
+
+
+def containing(keys: DataFrame, texts: DataFrame, gram: int = GRAM) -> DataFrame:
+    """(key, text) where text contains key. keys: (key), texts: (text), each value once, none of them null or empty.
+
+    A key and a text that contains it share each part of `gram` characters of the key (or the key, if it is shorter).
+    They meet by the part of the key that the fewest texts have, and the pair is checked; keys with a part that no
+    text has meet none. No list of keys goes to the driver or into a plan.
+    """
+    n = F.least(F.length("key"), F.lit(gram))
+    sized = keys.select("key", n.alias("n"))
+    parts = sized.select("key", "n", F.explode(_grams(F.col("key"), F.col("n"))).alias("part"))
+    lengths = sized.select("n").distinct()  # at most `gram` rows
+    seen = texts.join(F.broadcast(lengths), F.length("text") >= F.col("n")).select("text", F.explode(_grams(F.col("text"), F.col("n"))).alias("part"))
+    counts = seen.groupBy("part").agg(F.count("*").alias("texts"))
+    rarest = parts.join(counts, "part", "left").groupBy("key").agg(F.min_by("part", F.struct(F.coalesce("texts", F.lit(0)), "part")).alias("part"))
+    met = seen.join(rarest, "part")
+    return met.where(F.contains("text", F.col("key"))).select("key", "text")
+
+
+def error_snapshots(failed: DataFrame, pages: DataFrame) -> DataFrame:
     """Failed urls with the first captured page (path) whose slug holds that of the url's file name, or null.
 
-    A containment has no key to join by: slugs of failed workbooks go to the pages as literals, `block` of them at a time,
-    and the pages are read once for each block.
+    Pages of one slug are one page, the first; slugs have at least three characters.
     """
     stem = F.regexp_replace(F.regexp_extract(F.coalesce(F.try_url_decode(url_path(F.col("url"))), F.lit("")), r"([^/]+)/*$", 1), r"\.[^.]*$", "")
     wanted = failed.select("url", slug(stem, 70).alias("key")).distinct()
-    keys = wanted.select("key").distinct()
-    n = max(1, -(-keys.count() // block))
-    page = slug(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", ""), 100)
-    parts = []
-    for k in range(n):
-        own = [F.lit(r["key"]) for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(n)) == k).collect()]
-        hit = F.filter(F.array(*own) if own else F.expr("cast(array() as array<string>)"), lambda x: F.contains(page, x))
-        parts.append(pages.select("path", F.explode(hit).alias("key")).groupBy("key").agg(F.min("path").alias("path")))
-    return wanted.join(reduce(lambda a, b: a.unionByName(b), parts), "key", "left").drop("key")
+    name = slug(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", ""), 100)
+    captured = pages.where("path is not null").select("path", name.alias("text")).groupBy("text").agg(F.min("path").alias("path"))
+    pairs = containing(wanted.select("key").distinct(), captured.select("text"))
+    first = pairs.join(captured, "text").groupBy("key").agg(F.min("path").alias("path"))
+    return wanted.join(first, "key", "left").drop("key")

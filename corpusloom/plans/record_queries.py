@@ -449,3 +449,17 @@ def citation_rows(spark, d):
     marked = marks.select("query_id", F.concat(F.lit("SOURCE_"), "n").alias("marker"), F.col("n").alias("id"), F.concat(F.lit("s"), "n").alias("source_id"))
     out = answer.citations(rows.select(F.col("doc_id").alias("query_id"), text.alias("answer")), marked)
     return out.select("query_id", "marker", "order", "source_id")
+
+
+_SLUG = "regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@register(rf"""WITH f AS (SELECT DISTINCT url, {_SLUG.format("regexp_replace(regexp_extract(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '([^/]+)/*$', 1), '[.][^.]*$', '')")} AS s FROM pages WHERE page_id % 3 = 0),
+k AS (SELECT url, CASE WHEN length(s) < 3 THEN s || '-source' ELSE s END AS key FROM f),
+p AS (SELECT 'snap/' || regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g') || '.html' AS path, regexp_replace({_SLUG.format('url')}[1:100], '-+$', '') AS slug FROM pages)
+SELECT url, min(path) AS path FROM k LEFT JOIN p ON contains(p.slug, k.key) GROUP BY url""")
+def error_snapshots(spark, d):
+    """Pages captured under names made of their urls, for the urls of every third page."""
+    pages = table(spark, d, "pages")
+    names = pages.select(F.concat(F.lit("snap/"), F.regexp_replace("url", "[^A-Za-z0-9]+", "_"), F.lit(".html")).alias("path"))
+    return registry.error_snapshots(pages.where("page_id % 3 = 0").select("url"), names)

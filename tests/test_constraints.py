@@ -1,5 +1,7 @@
 """Catalogues of records, chunks and images; snapshots of failed workbooks."""
 
+import random
+
 from corpusloom.operators import constraints, registry
 from corpusloom.operators.sync import issues
 
@@ -47,3 +49,12 @@ def test_snapshots(spark):
     got = {r["url"]: r["path"] for r in registry.error_snapshots(failed, pages).collect()}
     assert got == {"https://h/en/WHT_Schedule.xlsm": "/r/a/wht_schedule_1.html", "https://h/none.xlsm": None}
     assert registry.error_snapshots(failed.limit(0), pages).count() == 0
+
+
+def test_containment_equals_brute_force(spark):
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choices("abc-", k=n))
+    texts = sorted({word(rnd.randint(1, 30)) for _ in range(300)} | {"page-" + word(4) for _ in range(100)})
+    keys = sorted({word(rnd.randint(1, 9)) for _ in range(150)} | {"page", "page-", "zzz", texts[0]})
+    found = registry.containing(spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert sorted(map(tuple, found.collect())) == sorted((k, t) for k in keys for t in texts if k in t)
