@@ -6,6 +6,7 @@ partition does its own part; what has to be known about the partitions before it
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zlib
 
@@ -32,7 +33,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark.conf.set(_UNIONS, "false")
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
+        if folder is None and not re.match(r"local(?:\[|$)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
     return df.checkpoint()

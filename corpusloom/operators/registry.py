@@ -18,6 +18,7 @@ from corpusloom.operators import sync
 
 WORKBOOK = "application/vnd.ms-excel.sheet.macroEnabled.12"
 MEDIA = ("application/pdf", "text/html", WORKBOOK)
+#: Hosts whose files are taken.
 HOSTS = ("www.ird.gov.lk", "ird.gov.lk", "eservices.ird.gov.lk")
 #: Fixed values: (pattern, what it is matched with, media type or None, document type, authority); the first wins.
 KINDS = (
@@ -42,6 +43,7 @@ TAX_PATTERNS = {
 TAXPAYER_PATTERNS = {"individual": "individual|iit", "company": "corporate|cit", "partnership": "partnership|pit"}
 LANGUAGES = {"si": r"/si/|_s\.(?:pdf|html?)$", "ta": "/ta/"}
 FORM_CODE = r"(?<![A-Z])(ASMT_[A-Z]+_\d{3}|APIT_T\d+|SSCL_\d+|CLR_\d{3}_[A-Z]|RFN_[A-Z]+_\d+)(?![A-Z0-9])"
+#: Fixed value: the period before which guides are historical.
 CURRENT_PERIOD = "2025/2026"
 
 

@@ -256,11 +256,12 @@ def query_analysis(spark, d):
 
 
 @register("""SELECT conv_id, count(*) AS n_messages, sum(length(text))::BIGINT AS n_chars, max_by(role, turn) AS last_role,
-sum(CASE WHEN role IN ('user', 'assistant') THEN 0 ELSE 1 END)::BIGINT AS bad_roles, sum(length(text)) > 1000 AS too_large FROM conversations
-  GROUP BY conv_id""")
+sum(CASE WHEN role IN ('user', 'assistant') THEN 0 ELSE 1 END)::BIGINT AS bad_roles, sum(length(text)) > 1000 AS too_large,
+coalesce(bool_and(role IN ('user', 'assistant') AND regexp_matches(text, '\\S')), false) AND max_by(role, turn) = 'user' AND count(*) <= 50 AS valid
+FROM conversations GROUP BY conv_id""")
 def request_validation(spark, d):
     out = query.validate_requests(table(spark, d, "conversations"), max_chars=1000)
-    return out.select("conv_id", "n_messages", "n_chars", "last_role", "bad_roles", "too_large")
+    return out.select("conv_id", "n_messages", "n_chars", "last_role", "bad_roles", "too_large", "valid")
 
 
 @register("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4")
@@ -379,14 +380,13 @@ def merge_runs(spark, d):
         F.max("o_orderkey").alias("last_key"), F.count("*").alias("n"))
 
 
-@register("""SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, min_by(source, doc_id) AS source,
-array_to_string(list_sort(list_filter(list_distinct(list(source)), lambda s: s <> min_by(source, doc_id))), ',') AS aliases, count(*) AS n
-  FROM documents GROUP BY 1""".replace(
-    "lambda s: s <> min_by(source, doc_id)", "lambda s: true"))
+@register("""SELECT sha256, doc_id, source, array_to_string(list_sort(list_filter(every, lambda s: s <> source)), ',') AS aliases, n
+FROM (SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, min_by(source, doc_id) AS source, list_distinct(list(source)) AS every, count(*) AS n
+  FROM documents GROUP BY 1)""")
 def dedupe_by_hash_aliases(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("sha256"))
     out = sync.dedupe_with_aliases(rows, "sha256", "doc_id", "source")
-    return out.select("sha256", "doc_id", "source", F.array_join(F.array_sort(F.concat(F.array("source"), "aliases")), ",").alias("aliases"), "n")
+    return out.select("sha256", "doc_id", "source", F.array_join("aliases", ",").alias("aliases"), "n")
 
 
 @register("SELECT min(doc_id) AS doc_id, source, sha256(text) AS sha256 FROM documents GROUP BY source, text")

@@ -22,12 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Tags whose contents are no text of a page.
-DROPPED = frozenset("aside button canvas footer iframe input menu nav noscript option script select style svg textarea".split())
+DROPPED = frozenset((
+    "aside", "button", "canvas", "footer", "iframe", "input", "menu", "nav", "noscript", "option", "script",
+    "select", "style", "svg", "textarea",
+))
 #: Words in ids and classes, between blanks, `-` and `_`, of parts that are no content.
 BOILERPLATE = (
-    "banner breadcrumb cookie feedback footer header leftnav leftpanel logo menu modal nav navigation quicklaunch ribbon search share sidebar social suitebar "
-    "topnavigation updated"
-).split()
+    "banner", "breadcrumb", "cookie", "feedback", "footer", "header", "leftnav", "leftpanel", "logo", "menu",
+    "modal", "nav", "navigation", "quicklaunch", "ribbon", "search", "share", "sidebar", "social",
+    "suitebar", "topnavigation", "updated",
+)
 #: The same of classes of hidden parts, and a part of a class that hides.
 HIDDEN_CLASSES, HIDDEN_PART = ("d-none", "hidden", "visually-hidden"), "ms-hide"
 #: What may hold the content where there is no main element, in order: (attribute, value); class: one of several.
@@ -36,12 +40,18 @@ MAIN_PLACES = (("data-name", "ContentPlaceHolderMain"), ("id", "DeltaPlaceHolder
 #: Parts of ids and classes of tables that lay out a page, and of tables of content.
 LAYOUT_MARKS, CONTENT_MARKS = ("webpart", "ms-core", "ms-table", "layout"), ("in-table", "e-table", "d-table")
 
-_VOID = frozenset("br img input hr meta link source area base col embed param track wbr".split())
+_VOID = frozenset((
+    "br", "img", "input", "hr", "meta", "link", "source", "area", "base", "col", "embed", "param", "track",
+    "wbr",
+))
 _LEVEL = {f"h{k}": k for k in range(1, 7)}
 _PLAIN = frozenset(("p", "pre", "blockquote", "figure"))
 _SEMANTIC = _PLAIN | {"ul", "ol", "dl", "table"}
 _ENDS_P = _SEMANTIC | set(_LEVEL) | {"div", "section", "article", "main", "form", "li"}
-_INLINE = frozenset("a b i u em strong span small code sub sup font mark abbr cite q".split())
+_INLINE = frozenset((
+    "a", "b", "i", "u", "em", "strong", "span", "small", "code", "sub", "sup", "font", "mark", "abbr",
+    "cite", "q",
+))
 _CELL_BLOCKS = frozenset(("div", "section", "ul", "ol", "p"))
 #: An open tag of one of these ends at the next of its kind, unless the second tag was opened in between.
 _ENDS_SAME = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
