@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import corpus, incremental, postings, snapshots, vectors
+from corpusloom.operators import corpus, incremental, postings, ranges, snapshots, vectors
 from corpusloom.plans.corpus_queries import _BUILD_SQL, _corpus
 from corpusloom.plans.record_queries import _folder
 from corpusloom.plans.search_queries import _BM25_SQL, _KNN_SQL, _knn, question_vectors, questions, register, table
@@ -105,3 +105,17 @@ def session_replay(spark, d):
         sessions.session_stream(stream, f"{path}/table", f"{path}/progress").awaitTermination()
     rows = snapshots.load(spark, f"{path}/table")
     return rows.select("owner", "session", "n", "role", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha"), "seq")
+
+
+_GRID = "l_orderkey % 4096 AS r, l_partkey % 512 AS c"
+_BOXES = "o_orderkey AS box, o_orderkey % 4096 AS row1, o_custkey % 512 AS col1, o_orderkey % 4096 + o_custkey % 40 AS row2, o_custkey % 512 + o_orderkey % 9 AS col2"
+
+
+@register(f"""WITH g AS (SELECT {_GRID}, l_quantity AS q FROM lineitem), b AS (SELECT {_BOXES} FROM orders)
+SELECT box, count(*) AS n, sum(q)::BIGINT AS q FROM b JOIN g ON r BETWEEN row1 AND row2 AND c BETWEEN col1 AND col2 GROUP BY box""")
+def boxes_of_cells(spark, d):
+    """What lies in each of many overlapping rectangles: order lines as cells of one sheet, orders as its ranges."""
+    cells = table(spark, d, "lineitem").selectExpr("1 AS sheet", "l_orderkey % 4096 AS row", "l_partkey % 512 AS col", "l_quantity AS q")
+    boxes = table(spark, d, "orders").selectExpr("1 AS sheet", *[x.strip() for x in _BOXES.split(",")])
+    met = ranges.cells_in_ranges(cells, boxes, ["sheet"])
+    return met.groupBy("box").agg(F.count("*").alias("n"), F.sum("q").cast("bigint").alias("q"))

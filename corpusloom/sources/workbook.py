@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import slug
+from corpusloom.operators.ranges import cells_in_ranges
 
 MAX_TOTAL, MAX_MEMBER, MAX_MEMBERS, MAX_RANGE = 100 << 20, 25 << 20, 10_000, 20_000
 REQUIRED = ("[Content_Types].xml", "_rels/.rels", "xl/workbook.xml")
@@ -389,12 +390,11 @@ def regions(parsed: DataFrame) -> DataFrame:
 def named_ranges(parsed: DataFrame) -> DataFrame:
     """A row for each named range: the record of its cells, or of its lack of visible ones.
 
-    Cells meet ranges by (source_id, sheet) and then by bounds: a range holds 20,000 cells at most.
+    Cells meet ranges by pieces of these, see `operators.ranges`, so that a sheet's cells are not multiplied by its ranges.
     """
     names = parsed.select("source_id", F.posexplode("names").alias("n", "r")).select("source_id", "n", "r.name", "r.sheet", "r.sheet_no", "r.row1",
         "r.col1", "r.row2", "r.col2")
-    inside = cells(parsed).drop("hidden", "loose_sheets").join(
-        names, ["source_id", "sheet", "sheet_no"]).where("row BETWEEN row1 AND row2 AND col BETWEEN col1 AND col2")
+    inside = cells_in_ranges(cells(parsed).drop("hidden", "loose_sheets"), names, ["source_id", "sheet", "sheet_no"])
     no = F.lit(False)
     lines = _lines(inside, ["source_id", "n"], F.bool_or(no).alias("hidden"), F.bool_or(no).alias("loose"),
         F.lit(None).cast("string").alias("above")).select("source_id", "n", "lines")
