@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions import vocab
 from corpusloom.functions import urls
 from corpusloom.operators import answer, chunking, constraints, corpus, images, query, registry, retrieval, sync, upload
 from corpusloom.plans.search_queries import _GREEDY_SQL, _NORMAL_SQL, _PIECES_SQL, register, table
@@ -29,42 +30,54 @@ def strings(*values: str):
 
 # questions
 
-_ASK = """SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'Tax for 2025/26, please' WHEN 1 THEN 'YA 2526 return' WHEN 2 THEN 'in 2024 only' WHEN 3
-  THEN 'from 2023-24 on'
-  WHEN 4 THEN 'x2025y' WHEN 5 THEN 'Year 2025 / 2026' ELSE 'none' END AS q, concat('a', CASE doc_id % 5 WHEN 0 THEN '_2025_2026.pdf' WHEN 1
-  THEN '-25_26.pdf' WHEN 2 THEN '_2425.pdf'
-  WHEN 3 THEN '_2021.pdf' ELSE '_25_27.pdf' END) AS f FROM documents"""
+#: Questions and file names with years that follow from the length of a text, in the forms that are known and in some that are not.
+_ASK = """SELECT doc_id, CASE lang WHEN 'en' THEN concat('Tax for ', CAST(1990 + n_chars % 60 AS string), '/', CAST(10 + n_chars % 90 AS string), ', ', text)
+  WHEN 'fr' THEN concat('the YA ', CAST(10 + n_chars % 80 AS string), CAST(10 + n_chars % 79 AS string), ' return ', text)
+  WHEN 'es' THEN concat('in ', CAST(1950 + n_chars % 200 AS string), ' only: ', text) ELSE concat('x', CAST(n_chars AS string), 'y') END AS q,
+  concat(source, CASE lang WHEN 'en' THEN concat('_', CAST(1990 + n_chars % 60 AS string), '_', CAST(2000 + n_chars % 60 AS string))
+  WHEN 'fr' THEN concat('-', CAST(10 + n_chars % 80 AS string), '_', CAST(10 + (n_chars + n_chars % 3) % 80 AS string)) ELSE concat('_', CAST(1000 + n_chars % 9000 AS string)) END, '.pdf') AS f
+  FROM documents"""
 
 
-@register("""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '2025/2026' WHEN 1 THEN '2025/2026' WHEN 2 THEN '2024' WHEN 3 THEN '2023/2024' WHEN 5
-  THEN '2025/2026' END AS asked,
-CASE doc_id % 5 WHEN 0 THEN '2025/2026' WHEN 1 THEN '2025/2026' WHEN 2 THEN '2024/2025' END AS of_file FROM documents""")
+@register(r"""WITH a AS (""" + _ASK.replace("string)", "VARCHAR)") + r"""), p AS (SELECT *, regexp_extract(q, '\b(20\d{2})\s*[/-]\s*(20\d{2}|\d{2})\b', 1) AS y1,
+  regexp_extract(q, '\b(20\d{2})\s*[/-]\s*(20\d{2}|\d{2})\b', 2) AS y2, regexp_extract(q, '\bYA\s*[''-]?\s*(\d{2})(\d{2})\b', 1, 'i') AS s1,
+  regexp_extract(q, '\bYA\s*[''-]?\s*(\d{2})(\d{2})\b', 2, 'i') AS s2, regexp_extract(q, '\b(20\d{2})\b', 1) AS y,
+  regexp_extract(f, '(20\d{2})[_-](20\d{2})', 1) AS l1, regexp_extract(f, '(20\d{2})[_-](20\d{2})', 2) AS l2,
+  regexp_extract(f, '(?:^|\D)(\d{2})[_-](\d{2})(?:\D|$)', 1) AS c1, regexp_extract(f, '(?:^|\D)(\d{2})[_-](\d{2})(?:\D|$)', 2) AS c2,
+  regexp_extract(f, '(?:^|\D)(\d{4})(?:\D|$)', 1) AS r FROM a)
+SELECT doc_id, CASE WHEN y1 <> '' THEN y1 || '/' || CASE WHEN length(y2) = 2 THEN y1[1:2] || y2 ELSE y2 END WHEN s1 <> '' THEN '20' || s1 || '/20' || s2
+  WHEN y <> '' THEN y END AS asked,
+CASE WHEN l1 <> '' THEN l1 || '/' || l2 WHEN c1 <> '' AND c2::INT = (c1::INT + 1) % 100 THEN '20' || c1 || '/20' || c2
+  WHEN r <> '' AND r::INT >= 1000 AND NOT r::INT BETWEEN 1900 AND 2099 AND r::INT % 100 = (r::INT // 100 + 1) % 100 THEN '20' || r[1:2] || '/20' || r[3:4] END AS of_file
+FROM p""")
 def periods(spark, d):
     return made(spark, d, _ASK).select("doc_id", T.period(F.col("q")).alias("asked"), T.file_period(F.col("f")).alias("of_file"))
 
 
 _PHRASES = ["How do I file VAT?", "income tax of a company", "Corporate Income Tax rate", "vatican city", "previous WHT for partners",
     "stamp duty and SSCL: the Act", "personal taxpayer, APIT", "profile"]
-_QUESTIONS = "SELECT doc_id, CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{p}'" for k,
-    p in enumerate(_PHRASES)) + " END AS retrieval_text FROM documents"
-
-
-@register("""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'vat' WHEN 1 THEN 'income_tax' WHEN 2 THEN 'corporate_income_tax' WHEN 4 THEN 'wht' WHEN 5
-  THEN 'sscl,stamp_duty' WHEN 6 THEN 'apit' ELSE '' END AS tax_types,
-CASE doc_id % 8 WHEN 1 THEN 'company' WHEN 2 THEN 'company' WHEN 4 THEN 'partnership' WHEN 6 THEN 'individual' ELSE '' END AS taxpayer_types,
-doc_id % 8 = 0 AS procedural, doc_id % 8 = 4 AS historical, doc_id % 8 IN (2, 5) AS legal,
-CASE doc_id % 8 WHEN 0 THEN 'How do I file VAT? Value Added Tax' WHEN 4 THEN 'previous WHT for partners Withholding Tax' WHEN 5
-  THEN 'stamp duty and SSCL: the Act Social Security Contribution Levy'
-  WHEN 6 THEN 'personal taxpayer, APIT Advance Personal Income Tax' WHEN 1 THEN 'income tax of a company' WHEN 2 THEN 'Corporate Income Tax rate'
-  WHEN 3 THEN 'vatican city' ELSE 'profile' END AS expanded FROM documents""")
-def question_labels(spark, d):
-    from corpusloom.functions import vocab
+#: A phrase, chosen by the length of a text, before the text.
+_QUESTIONS = "SELECT doc_id, concat(CASE n_chars % 8 " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(_PHRASES)) + " END, ' ', text) AS retrieval_text FROM documents"
+
+
+def _labels_sql(patterns: dict[str, list[str]]) -> str:
+    found = ", ".join("CASE WHEN regexp_matches(low, '(?:^|[^\\p{L}\\p{N}_])(?:" + "|".join(ps) + ")(?:$|[^\\p{L}\\p{N}_])') THEN '" + n + "' END" for n, ps in patterns.items())
+    return f"list_filter([{found}], lambda x: x IS NOT NULL)"
 
+
+_EXPANDED_SQL = "concat_ws(' ', retrieval_text, " + ", ".join(
+    f"CASE WHEN regexp_matches(retrieval_text, '(?:^|[^A-Za-z0-9]){a}(?:$|[^A-Za-z0-9])', 'i') THEN '{x}' END" for a, x in vocab.ALIASES.items()) + ")"
+
+
+@register(rf"""WITH q AS ({_QUESTIONS}), l AS (SELECT *, lower(retrieval_text) AS low FROM q), t AS (SELECT *, {_labels_sql(vocab.TAX_LABELS)} AS ts FROM l)
+SELECT doc_id, array_to_string(CASE WHEN list_has_any(ts, {vocab.SPECIFIC_LABELS}) THEN list_filter(ts, lambda x: x <> '{vocab.BROAD_LABEL}') ELSE ts END, ',') AS tax_types,
+  array_to_string({_labels_sql(vocab.TAXPAYER_LABELS)}, ',') AS taxpayer_types, regexp_matches(retrieval_text, '\b(?:{"|".join(vocab.PROCEDURAL_VERBS)})\b', 'i') AS procedural,
+  regexp_matches(retrieval_text, '\b(?:{vocab.HISTORICAL})\b', 'i') AS historical, regexp_matches(low, '\b(?:{vocab.LEGAL})\b') AS legal, sha256({_EXPANDED_SQL}) AS expanded FROM t""")
+def question_labels(spark, d):
     rows = made(spark, d, _QUESTIONS).withColumn("legal", query.matches(F.lower("retrieval_text"), vocab.LEGAL))
     out = query.analyze(rows)
     return out.select("doc_id", F.array_join("tax_types", ",").alias("tax_types"), F.array_join("taxpayer_types", ",").alias("taxpayer_types"),
-        F.col("procedural_intent").alias("procedural"),
-                      F.col("historical_intent").alias("historical"), "legal", F.col("retrieval_text").alias("expanded"))
+        F.col("procedural_intent").alias("procedural"), F.col("historical_intent").alias("historical"), "legal", F.sha2("retrieval_text", 256).alias("expanded"))
 
 
 @register(r"""SELECT doc_id, CASE WHEN length(t) > 42 THEN t[1:42] || '…' ELSE t END AS title, length('CONVERSATION:' || chr(10) || 'USER: '

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,73 +28,107 @@ def numbered(spark: SparkSession, d: str) -> tuple[DataFrame, object]:
     return rows, lambda n, bad, good: F.when(F.col("doc_id") % n == 0, F.lit(bad)).otherwise(F.lit(good))
 
 
-# checks of records
+# checks of records: words, lengths and languages of the texts stand in for the fields
+
+#: w: the first word, v: the first run of small letters, y: the first word that begins with `que`, if any.
+_WORDS = """SELECT doc_id, text, lang, CAST(n_chars AS int) AS n, regexp_extract(text, '[A-Za-z]+', 0) AS w, regexp_extract(text, '[a-z]+', 0) AS v,
+  regexp_extract(text, 'que[a-z]*', 0) AS y, CASE lang WHEN 'en' THEN 'https://a.example/x' WHEN 'fr' THEN 'https://b.example/' WHEN 'es' THEN 'http://a.example' END AS url
+  FROM documents"""
+_MIXED = "CASE WHEN n % 2 = 0 THEN w ELSE v END"
+_DATES = "make_date(2000 + n % 20, 1, 1) AS effective_from, make_date(2000 + length(w), 1, 1) AS effective_to"
+_YEAR = "CASE WHEN lang <> 'en' THEN concat(CAST(2000 + n % 120 AS string), '/2025') END AS tax_year"
+_RANK = "CASE lang WHEN 'en' THEN 'gazette' WHEN 'fr' THEN 'legislation' WHEN 'es' THEN 'strange' END AS authority_level, CASE WHEN length(w) > 5 THEN 90 ELSE 100 END AS authority_rank"
+_SPANS = "nullif(CAST(floor(n / 2000) AS int), 0) AS page, nullif(length(w) - 3, 0) AS page_end"
+_EXTRACTED = f"""SELECT doc_id, y AS record_id, {_MIXED} AS source_id, regexp_extract(text, '[.] [A-Z]', 0) AS content, w, y, v,
+  CASE WHEN lang = 'fr' THEN upper(sha256(text)) ELSE sha256(text) END AS content_hash, {_SPANS},
+  CASE lang WHEN 'en' THEN 'pdf_text' WHEN 'fr' THEN 'pdf_ocr' ELSE 'xlsm_xml' END AS extraction_method, CASE WHEN n % 5 > 0 THEN y END AS sheet FROM ({_WORDS}) f"""
+_CHUNKED = f"""SELECT doc_id, y AS id, {_MIXED} AS source_id, regexp_extract(text, '[.] [A-Z]', 0) AS content, w AS title, y AS embedding_text, url AS source_url, w, {_YEAR}, {_RANK},
+  {_DATES}, y AS content_hash, y AS sheet, CASE WHEN n % 2 = 0 THEN v END AS cell_range, {_SPANS}, CASE WHEN n % 4 = 0 THEN w END AS section FROM ({_WORDS}) f"""
+_IMAGED = f"""SELECT doc_id, {_MIXED} AS image_id, v AS source_id, w AS title, y AS alt_text, url AS source_url, CAST(floor(n / 1000) AS int) AS page, {_DATES},
+  CASE WHEN lang IN ('en', 'fr') THEN 'approved' ELSE 'draft' END AS review_status, concat(CASE WHEN n % 3 = 2 THEN 'https://other/' ELSE 'https://m/' END, lower(w),
+  CASE WHEN n % 3 = 1 THEN '.png' ELSE '.webp' END) AS public_url, sha256(text) AS binary_sha256, sha256(replace(text, 'x', '')) AS file_sha256, n AS byte_size,
+  length(replace(text, 'é', 'ee')) AS file_bytes, length(w) AS width, length(v) + 1 AS file_width, n % 7 AS height, n % 7 AS file_height,
+  CASE WHEN y = '' THEN 'png' ELSE 'webp' END AS file_format FROM ({_WORDS}) f"""
+_ISSUED = f"SELECT doc_id, y AS code, w AS message, CASE lang WHEN 'en' THEN 'error' WHEN 'fr' THEN 'warning' ELSE lang END AS severity, w, y FROM ({_WORDS}) f"
+_LISTED = f"""SELECT doc_id, lower(w) AS id, y AS title, v AS local_file, url AS source_url, CASE WHEN n % 3 = 0 THEN url END AS final_url,
+  CASE WHEN lang = 'fr' THEN upper(sha256(text)) ELSE sha256(text) END AS sha256, y, w, {_YEAR}, {_RANK}, {_DATES}, CASE WHEN n % 4 = 0 THEN 'excluded' ELSE 'current' END AS status,
+  y AS exclusion_reason FROM ({_WORDS}) f"""
+
+
+def _facts(spark: SparkSession, d: str, sql: str) -> DataFrame:
+    return made(spark, d, re.sub(r"sha256\((text|replace\([^()]*\))\)", r"sha2(\1, 256)", sql))
+
+
+def judged(facts: str, *cases: tuple[str, str], key: str = "doc_id") -> str:
+    """SQL of (id, code): the codes whose condition on the facts holds."""
+    found = ", ".join(f"CASE WHEN {cond} THEN '{code}' END" for code, cond in cases)
+    own = facts.replace("string)", "VARCHAR)")
+    return f"SELECT id, code FROM (SELECT {key} AS id, unnest(list_filter([{found}], lambda x: x IS NOT NULL)) AS code FROM ({own}) g)"
+
+
+def _no_slug(c: str) -> str:
+    return f"NOT regexp_matches({c}, '^[a-z0-9]+(-[a-z0-9]+)*$')"
+
 
-@register(faults(("SOURCE_ID_NOT_SLUG", "doc_id % 3 = 0"), ("CONTENT_EMPTY", "doc_id % 5 = 0"), ("HASH_INVALID", "doc_id % 7 = 0"),
-    ("PDF_WITHOUT_PAGE", "doc_id % 2 = 0 AND doc_id % 11 = 0"), ("WORKBOOK_WITHOUT_SHEET", "doc_id % 2 = 1"),
-                 ("PAGE_END_WITHOUT_PAGE", "doc_id % 11 = 0"), ("PAGES_REVERSED", "doc_id % 11 > 0 AND doc_id % 13 = 0"),
-                     ("TITLE_PATH_BLANK", "doc_id % 17 = 0")))
+_NOT_HTTPS, _BAD_HASH = "source_url NOT LIKE 'https://%'", "NOT regexp_matches({}, '^[0-9a-f]{{64}}$')"
+_PAGED = (("PAGE_END_WITHOUT_PAGE", "page_end IS NOT NULL AND page IS NULL"), ("PAGES_REVERSED", "page_end < page"))
+_RANKED = "authority_level IS NOT NULL AND NOT coalesce(authority_rank = CASE authority_level WHEN 'gazette' THEN 90 WHEN 'legislation' THEN 100 END, false)"
+_PERIOD = "NOT regexp_matches(tax_year, '^20[0-9][0-9]/20[0-9][0-9]$')"
+
+
+@register(judged(
+    _EXTRACTED, ("RECORD_ID_EMPTY", "record_id = ''"), ("SOURCE_ID_NOT_SLUG", _no_slug("source_id")), ("CONTENT_EMPTY", "content = ''"), ("TITLE_PATH_BLANK", "w = '' OR y = ''"),
+    ("TABLE_HEADERS_BLANK", "v = ''"), ("HASH_INVALID", _BAD_HASH.format("content_hash")), ("PDF_WITHOUT_PAGE", "extraction_method <> 'xlsm_xml' AND page IS NULL"),
+    ("WORKBOOK_WITHOUT_SHEET", "extraction_method = 'xlsm_xml' AND coalesce(sheet, '') = ''"), *_PAGED))
 def extraction_record_checks(spark, d):
-    rows, every = numbered(spark, d)
-    page = F.when(F.col("doc_id") % 11 > 0, 4)
-    made_up = rows.select(
-        "doc_id", F.lit("r").alias("record_id"), every(3, "No Slug", "a-b").alias("source_id"), every(5, " \t", "c").alias("content"),
-            F.when(F.col("doc_id") % 17 == 0, F.array(F.lit("a"), F.lit(" "))).otherwise(strings("a")).alias("title_path"),
-        F.expr(NONE).alias("table_headers"), every(7, "abc", "0" * 64).alias("content_hash"),
-            F.when(F.col("doc_id") % 2 == 0, "pdf_text").otherwise("xlsm_xml").alias("extraction_method"), page.alias("page"),
-        every(13, 3, 5).alias("page_end"), F.lit(None).cast("string").alias("sheet"))
-    return sync.issues(made_up, constraints.extraction_checks(), "doc_id").select(F.col("doc_id").alias("id"), "code")
-
-
-@register(faults(("EMBEDDING_TEXT_EMPTY", "doc_id % 3 = 0"), ("PERIOD_INVALID", "doc_id % 5 = 0"), ("RELATED_ID_NOT_SLUG", "doc_id % 7 = 0"),
-    ("RANK_MISMATCH", "doc_id % 11 = 0"), ("DATES_REVERSED", "doc_id % 13 = 0"),
-                 ("SHEET_RANGE_INCOMPLETE", "doc_id % 17 = 0"), ("URL_MISSING", "doc_id % 19 = 0"),
-                     ("LOCATOR_MISSING", "doc_id % 23 = 0 AND doc_id % 17 > 0"), ("HASH_MISSING", "doc_id % 29 = 0")))
+    rows = _facts(spark, d, _EXTRACTED).withColumns({"title_path": F.array("w", "y"), "table_headers": F.array("v")})
+    return sync.issues(rows, constraints.extraction_checks(), "doc_id").select(F.col("doc_id").alias("id"), "code")
+
+
+@register(judged(
+    _CHUNKED, ("ID_EMPTY", "id = ''"), ("SOURCE_ID_NOT_SLUG", _no_slug("source_id")), ("CONTENT_EMPTY", "content = ''"), ("TITLE_EMPTY", "title = ''"), ("EMBEDDING_TEXT_EMPTY", "embedding_text = ''"),
+    ("SOURCE_URL_NOT_HTTPS", _NOT_HTTPS), ("PERIOD_INVALID", _PERIOD), ("RELATED_ID_NOT_SLUG", _no_slug("w")), ("RANK_MISMATCH", _RANKED), ("DATES_REVERSED", "effective_to < effective_from"),
+    ("HASH_MISSING", "content_hash = ''"), ("SHEET_RANGE_INCOMPLETE", "(sheet = '') <> (coalesce(cell_range, '') = '')"), *_PAGED, ("URL_MISSING", "source_url IS NULL"),
+    ("LOCATOR_MISSING", "page IS NULL AND coalesce(section, '') = '' AND sheet = ''")))
 def chunk_record_checks(spark, d):
-    rows, every = numbered(spark, d)
-    made_up = rows.select(
-        "doc_id", F.col("key").alias("id"), F.lit("s").alias("source_id"), F.lit("c").alias("content"), F.lit("t").alias("title"),
-            every(3, "", "e").alias("embedding_text"), every(19, None, "https://h/x").alias("source_url"),
-        every(5, "2025-26", "2025/2026").alias("tax_year"), F.when(F.col("doc_id") % 7 == 0,
-            strings("A")).otherwise(F.expr(NONE)).alias("supersedes"), F.lit("gazette").alias("authority_level"),
-            every(11, 91, 90).alias("authority_rank"),
-        F.lit("2024-01-02").cast("date").alias("effective_from"), every(13, "2023-01-01", "2025-01-01").cast("date").alias("effective_to"),
-            every(29, None, "h").alias("content_hash"), every(17, "S", None).alias("sheet"),
-        F.lit(None).cast("string").alias("cell_range"), every(23, None, 1).alias("page"), F.lit(None).cast("int").alias("page_end"),
-            F.lit(None).cast("string").alias("section"))
-    return sync.issues(made_up, constraints.chunk_checks(), "doc_id").select(F.col("doc_id").alias("id"), "code")
-
-
-@register(faults(("ALT_TEXT_EMPTY", "doc_id % 3 = 0"), ("PAGE_NOT_POSITIVE", "doc_id % 5 = 0"),
-    ("PUBLIC_URL_INVALID", "doc_id % 2 = 0 AND doc_id % 7 = 0"), ("IMAGE_ID_NOT_SLUG", "doc_id % 11 = 0"), ("IMAGE_HASH_MISMATCH", "doc_id % 13 = 0"),
-                 ("IMAGE_SIZE_MISMATCH", "doc_id % 17 = 0"), ("IMAGE_DIMENSIONS_MISMATCH", "doc_id % 19 = 0"),
-                     ("IMAGE_FORMAT_MISMATCH", "doc_id % 23 = 0")))
+    rows = _facts(spark, d, _CHUNKED).withColumn("supersedes", F.array("w"))
+    return sync.issues(rows, constraints.chunk_checks(), "doc_id").select(F.col("doc_id").alias("id"), "code")
+
+
+@register(judged(
+    _IMAGED, ("IMAGE_ID_NOT_SLUG", _no_slug("image_id")), ("SOURCE_ID_NOT_SLUG", _no_slug("source_id")), ("TITLE_EMPTY", "title = ''"), ("ALT_TEXT_EMPTY", "alt_text = ''"),
+    ("SOURCE_URL_NOT_HTTPS", f"source_url IS NULL OR {_NOT_HTTPS}"), ("PAGE_NOT_POSITIVE", "page < 1"), ("DATES_REVERSED", "effective_to < effective_from"),
+    ("PUBLIC_URL_INVALID", "review_status = 'approved' AND NOT (starts_with(public_url, 'https://m/') AND ends_with(public_url, '.webp'))"),
+    ("IMAGE_HASH_MISMATCH", "binary_sha256 <> file_sha256"), ("IMAGE_SIZE_MISMATCH", "byte_size <> file_bytes"),
+    ("IMAGE_DIMENSIONS_MISMATCH", "width <> file_width OR height <> file_height"), ("IMAGE_FORMAT_MISMATCH", "file_format <> 'webp'")))
 def image_record_checks(spark, d):
     """Rules of images and of their files in one pass."""
-    rows, every = numbered(spark, d)
-    url = F.when(F.col("doc_id") % 14 == 0, "https://m/a.png").when(F.col("doc_id") % 7 == 0, "https://other/x.webp").otherwise("https://m/a.webp")
-    made_up = rows.select(
-        "doc_id", every(11, "a_b", "a-b").alias("image_id"), F.lit("s").alias("source_id"), F.lit("t").alias("title"),
-            every(3, " ", "alt").alias("alt_text"), F.lit("https://h/x").alias("source_url"), every(5, 0, 1).alias("page"),
-        F.lit(None).cast("date").alias("effective_from"), F.lit(None).cast("date").alias("effective_to"),
-            F.when(F.col("doc_id") % 2 == 0, "approved").otherwise("draft").alias("review_status"), url.alias("public_url"),
-        F.lit("h").alias("binary_sha256"), every(13, "g", "h").alias("file_sha256"), F.lit(9).alias("byte_size"),
-            every(17, None, 9).alias("file_bytes"), F.lit(4).alias("width"), F.lit(5).alias("height"), F.lit(4).alias("file_width"),
-        every(19, 6, 5).alias("file_height"), every(23, "png", "webp").alias("file_format"))
-    return sync.issues(made_up, constraints.image_checks("https://m") | constraints.image_file_checks(), "doc_id").select(F.col("doc_id").alias("id"),
-        "code")
-
-
-@register(faults(("CODE_EMPTY", "doc_id % 3 = 0"), ("SEVERITY_UNKNOWN", "doc_id % 5 = 0"), ("STEPS_NOT_NUMBERED", "doc_id % 7 = 0"),
-    ("STEP_TITLE_EMPTY", "doc_id % 11 = 0")))
+    found = sync.issues(_facts(spark, d, _IMAGED), constraints.image_checks("https://m") | constraints.image_file_checks(), "doc_id")
+    return found.select(F.col("doc_id").alias("id"), "code")
+
+
+@register(judged(
+    _ISSUED, ("CODE_EMPTY", "code = ''"), ("MESSAGE_EMPTY", "message = ''"), ("SEVERITY_UNKNOWN", "severity NOT IN ('warning', 'error')"), ("STEPS_NOT_NUMBERED", "length(w) <> 5"),
+    ("STEP_TITLE_EMPTY", "w = '' OR y = ''")))
 def issue_and_guide_checks(spark, d):
-    rows, every = numbered(spark, d)
     step = lambda n, title: F.struct(n.alias("number"), title.alias("title"))
-    steps = F.array(step(F.lit(1), F.lit("a")), step(every(7, 3, 2), every(11, " ", "b")))
-    made_up = rows.select("doc_id", every(3, "", "X").alias("code"), F.lit("m").alias("message"), every(5, "fatal", "error").alias("severity"),
-        steps.alias("steps"))
+    rows = _facts(spark, d, _ISSUED).withColumn("steps", F.array(step(F.lit(1), F.col("w")), step(F.length("w") - 3, F.col("y"))))
     checks = constraints.issue_checks() | constraints.guide_checks(F.col("steps"))
-    return sync.issues(made_up, checks, "doc_id").select(F.col("doc_id").alias("id"), "code")
+    return sync.issues(rows, checks, "doc_id").select(F.col("doc_id").alias("id"), "code")
+
+
+@register(judged(
+    _LISTED, ("ID_NOT_SLUG", _no_slug("id")), ("TITLE_EMPTY", "title = ''"), ("LOCAL_FILE_EMPTY", "local_file = ''"), ("SOURCE_URL_NOT_HTTPS", f"source_url IS NULL OR {_NOT_HTTPS}"),
+    ("FINAL_URL_NOT_HTTPS", _NOT_HTTPS.replace("source_url", "final_url")), ("HASH_INVALID", _BAD_HASH.format("sha256")), ("PERIOD_INVALID", _PERIOD), ("RELATED_ID_NOT_SLUG", _no_slug("y")),
+    ("RENDER_PAGES_REPEATED", "length(w) - 4 = 2"), ("RENDER_PAGE_NOT_POSITIVE", "length(w) - 4 < 1"), ("RANK_MISMATCH", f"authority_level IS NULL OR {_RANKED}"),
+    ("DATES_REVERSED", "effective_to < effective_from"), ("SUPERSEDES_ITSELF", "y = id"), ("EXCLUSION_REASON_MISSING", "status = 'excluded' AND exclusion_reason = ''"),
+    ("HOST_NOT_ALLOWED", "source_url IS NULL OR source_url NOT LIKE '%://a.example%'"), key="id") + f"""
+UNION ALL SELECT id, 'ID_REPEATED' FROM (SELECT lower(w) AS id FROM ({_WORDS}) f) GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT DISTINCT lower(w), 'RELATED_ID_UNKNOWN' FROM ({_WORDS}) f WHERE y NOT IN (SELECT lower(w) FROM ({_WORDS}) g)""")
+def registry_validation(spark, d):
+    """Registry rows made of documents: ids are their first words, of which many are found again, related ids other words."""
+    rows = _facts(spark, d, _LISTED).withColumns({"supersedes": F.array("y"), "superseded_by": F.expr(NONE), "render_pages": F.array(F.length("w") - 4, F.lit(2))})
+    return constraints.registry_issues(rows, ["a.example"]).select("id", "code")
 
 
 @register("""SELECT count(*) AS source_count, count(*) FILTER (doc_id % 3 > 0) AS approved_count,

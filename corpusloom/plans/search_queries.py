@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vocab
-from corpusloom.operators import answer, chunking, constraints, images, query, registry, retrieval, sync
+from corpusloom.operators import answer, chunking, images, query, registry, retrieval, sync
 from corpusloom.sources import paged, yaml_files
 
 Q: dict = {}
@@ -557,30 +557,6 @@ def answer_contract(spark, d):
         F.size("g.guide.steps")).cast("bigint").alias("n_steps"))
 
 
-@register("""WITH f AS (SELECT 'doc-' || doc_id AS id, unnest(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'RANK_MISMATCH' END, CASE
-  WHEN doc_id % 4 = 0 THEN 'PERIOD_INVALID' END,
-CASE WHEN doc_id % 5 = 0 THEN 'EXCLUSION_REASON_MISSING' END, CASE WHEN doc_id % 7 = 0 THEN 'HOST_NOT_ALLOWED' END, CASE WHEN doc_id % 11 = 0
-  THEN 'RELATED_ID_UNKNOWN' END], lambda x: x IS NOT NULL)) AS code FROM documents)
-SELECT id, code, 'error' AS severity FROM f""")
-def registry_validation(spark, d):
-    """Registry rules over rows made of documents, with faults by the id."""
-    every = lambda n, bad, good: F.when(F.col("doc_id") % n == 0, F.lit(bad)).otherwise(F.lit(good))
-    rows = table(spark, d, "documents").select(
-        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.lit("t").alias("title"), F.lit("f").alias("local_file"),
-            every(7, "https://b/x", "https://a/x").alias("source_url"),
-        F.lit(None).cast("string").alias("final_url"), F.sha2(F.col("doc_id").cast("string"), 256).alias("sha256"),
-            every(4, "2025", "2025/2026").alias("tax_year"),
-        F.array(every(11, "none", "doc-1")).alias("supersedes"), F.expr("cast(array() as array<string>)").alias("superseded_by"),
-            F.array(F.lit(1)).alias("render_pages"), F.lit("gazette").alias("authority_level"),
-        every(3, 1, 90).alias("authority_rank"), F.lit(None).cast("date").alias("effective_from"), F.lit(None).cast("date").alias("effective_to"),
-            every(5, "excluded", "current").alias("status"),
-        F.lit(None).cast("string").alias("exclusion_reason"), F.col("doc_id"),
-    )
-    # doc-1 is the related id, so its own row names none
-    safe = rows.withColumn("supersedes", F.when(F.col("doc_id") == 1, F.expr("cast(array() as array<string>)")).otherwise(F.col("supersedes")))
-    return constraints.registry_issues(safe.drop("doc_id"), ["a"])
-
-
 @register(r"""WITH x AS (SELECT page_id, lower(url) AS u, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS p FROM pages)
 SELECT page_id, CASE WHEN regexp_matches(p, 'acts_|_acts/|/acts/') THEN 'act' WHEN p LIKE '%gazette%' THEN 'gazette' WHEN p LIKE '%circular%'
   THEN 'circular'
