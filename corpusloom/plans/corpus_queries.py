@@ -252,12 +252,16 @@ def step_citations(spark, d):
     return rows.select("query_id", "number", "at", F.col("id").cast("bigint").alias("cited"), "title")
 
 
-@register("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'USAGE_LIMIT' WHEN 1 THEN 'TIMEOUT' WHEN 2 THEN 'TIMEOUT'
-  ELSE 'SEARCH_ERROR' END AS code, CASE event_id % 5 WHEN 0 THEN 429 WHEN 1 THEN 504 WHEN 2 THEN 504 ELSE 503 END AS status FROM events""")
+#: An HTTP code of a provider by the size of an event's value.
+_CODES = "CASE WHEN value < 5 THEN 429 WHEN value < 10 THEN 408 WHEN value < 20 THEN 504 WHEN value < 40 THEN 500 END"
+
+
+@register(f"""WITH e AS (SELECT event_id, {_CODES} AS c FROM events)
+SELECT event_id, CASE WHEN c = 429 THEN 'USAGE_LIMIT' WHEN c IN (408, 504) THEN 'TIMEOUT' ELSE 'SEARCH_ERROR' END AS code, CASE WHEN c = 429 THEN 429 WHEN c IN (408, 504) THEN 504 ELSE 503 END AS status
+FROM e""")
 def provider_errors(spark, d):
-    code = F.expr("CASE event_id % 5 WHEN 0 THEN 429 WHEN 1 THEN 408 WHEN 2 THEN 504 WHEN 3 THEN 500 END")
-    return table(spark, d, "events").select("event_id", answer.provider_error(code, "SEARCH_ERROR").alias("e")).select("event_id", "e.code",
-        "e.status")
+    told = table(spark, d, "events").select("event_id", answer.provider_error(F.expr(_CODES), "SEARCH_ERROR").alias("e"))
+    return told.select("event_id", "e.code", "e.status")
 
 
 # the corpus build
@@ -377,7 +381,7 @@ def source_selection(spark, d):
         of(corpus.eligible(sources, ["src1", "src2", "src3", "src4", "src5"]), "eligible")).unionByName(of(corpus.approved_ids(sources), "approved"))
 
 
-_MEDIA = """SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/html' WHEN 2 THEN 'x/y' END AS media_type, text
+_MEDIA = """SELECT doc_id AS id, CASE WHEN lang = 'en' AND n_chars < 3000 THEN 'application/pdf' WHEN lang IN ('en', 'fr') THEN 'text/html' WHEN lang = 'es' THEN 'x/y' END AS media_type, text
   FROM documents"""
 
 
@@ -392,12 +396,12 @@ def media_dispatch(spark, d):
         F.col("extraction_method").alias("what")).unionByName(issues.select(F.col("source_id").alias("id"), F.col("code").alias("what")))
 
 
-@register("""WITH a AS (SELECT doc_id, doc_id % 6 AS m FROM documents), l AS (SELECT doc_id, 'A' AS code, 1 AS list FROM a WHERE m < 3
+@register("""WITH a AS (SELECT doc_id, n_chars % 6 AS m FROM documents), l AS (SELECT doc_id, 'A' AS code, 1 AS list FROM a WHERE m < 3
   UNION ALL SELECT doc_id, 'A', 2 FROM a WHERE m < 4 UNION ALL SELECT doc_id, 'B', 2 FROM a WHERE m = 5)
 SELECT doc_id::VARCHAR AS source_id, code, CASE WHEN min(list) = 1 THEN 'error' ELSE 'warning' END AS severity FROM l GROUP BY doc_id, code""")
 def issue_merge(spark, d):
     """Two lists of issues; what both have, even twice, counts once, as in the first list."""
-    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 6).alias("m"))
+    docs = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 6).alias("m"))
     of = lambda cond, code, sev: corpus.issue_rows(docs.where(cond).select("doc_id", F.lit(code).alias("code"), F.lit(sev).alias("severity")),
         F.col("doc_id"))
     first = of("m < 3", "A", "error")

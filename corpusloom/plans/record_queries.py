@@ -320,27 +320,32 @@ def url_titles(spark, d):
     return table(spark, d, "pages").select("page_id", registry.url_title(F.col("url")).alias("title"))
 
 
-@register("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' WHEN 2 THEN 'xlsm' WHEN 3 THEN 'html'
-  ELSE 'unknown' END AS signature FROM documents""")
+#: Captured pages, some behind the marks of other files, as the length of a page and its url will have it.
+_CAPTURED = """SELECT page_id, concat(CASE length(html) % 5 WHEN 0 THEN '%PDF-1.7 ' WHEN 1 THEN 'PK' WHEN 2 THEN '  ' WHEN 3 THEN url ELSE '' END,
+  CASE WHEN length(url) % 2 = 0 THEN '[Content_Types].xml xl/workbook.xml' ELSE '' END, html) AS content FROM pages"""
+
+
+@register(rf"""WITH c AS ({_CAPTURED}), h AS (SELECT *, lower(ltrim(content[1:4096], chr(32) || chr(9) || chr(10) || chr(13))) AS head FROM c)
+SELECT page_id, CASE WHEN starts_with(content, '%PDF') THEN 'pdf' WHEN starts_with(content, 'PK') AND contains(content, '[Content_Types].xml') AND contains(content, 'xl/workbook.xml')
+  THEN 'xlsm' WHEN regexp_matches(head, '^(?:<!doctype|<html|<[?]xml|<head|<body)') THEN 'html' ELSE 'unknown' END AS signature FROM h""")
 def file_signatures(spark, d):
-    rows, _ = numbered(spark, d)
-    text = F.expr("CASE doc_id % 5 WHEN 0 THEN '%PDF-1.7 x' WHEN 1 THEN ' \n<!DOCTYPE html>' WHEN 2 THEN 'PK..[Content_Types].xml..xl/workbook.xml' WHEN 3 THEN '<HTML>' ELSE 'PK' END")
-    return rows.select("doc_id", registry.signature(F.concat(text, "key").cast("binary")).alias("signature"))
+    rows = made(spark, d, _CAPTURED, "pages")
+    return rows.select("page_id", registry.signature(F.col("content").cast("binary")).alias("signature"))
+
 
+_NOTES = "SELECT concat('see [', url, '](', regexp_replace(url, '^http:', 'https:'), ') or <', url, '>, ', html) AS value FROM pages"
 
-@register(r"""SELECT DISTINCT url FROM (SELECT unnest(['https://a.example/' || (doc_id % 50), 'https://b.example/x_' || (doc_id % 7)]) AS url
-  FROM documents)""")
+
+@register(rf"""SELECT DISTINCT url FROM (SELECT unnest(regexp_extract_all(value, 'https://[^\s)\]>"'']+')) AS url FROM ({_NOTES}))""".replace("\\\\", "\\"))
 def markdown_urls(spark, d):
-    rows, _ = numbered(spark, d)
-    return files.markdown_links(rows.select(F.concat(F.lit("see [a](https://a.example/"), (F.col("doc_id") % 50), F.lit(") <https://b.example/x_"),
-        (F.col("doc_id") % 7), F.lit("> http://no.example")).alias("value")))
+    """The https urls of notes about pages, which hold the pages."""
+    return files.markdown_links(made(spark, d, _NOTES, "pages"))
 
 
-@register("""SELECT '{"a":' || doc_id || ',"b":' || CASE WHEN doc_id % 3 = 0 THEN 'null' ELSE '"x"' END || '}' AS line FROM documents""")
+@register("""SELECT doc_id, sha256('{"a":' || doc_id || ',"b":' || coalesce(to_json(nullif(lang, 'en')), 'null') || ',"c":' || to_json(text) || ',"d":["' || source || '"]}') AS line_sha FROM documents""")
 def json_lines(spark, d):
-    rows, every = numbered(spark, d)
-    own = rows.select(every(3, None, "x").alias("b"), F.col("doc_id").alias("a"))
-    return own.select(files.json_line(own).alias("line"))
+    own = table(spark, d, "documents").select("doc_id", F.struct(F.array("source").alias("d"), F.col("text").alias("c"), F.nullif("lang", F.lit("en")).alias("b"), F.col("doc_id").alias("a")).alias("r"))
+    return own.select("doc_id", "r.*").select("doc_id", F.sha2(files.json_line(own.select("r.*")), 256).alias("line_sha"))
 
 
 # uploads

@@ -505,15 +505,18 @@ def index_upsert(spark, d):
         docs.where("doc_id % 3 = 0").withColumn("version", F.lit("new")), "doc_id")
 
 
-@register("""WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 400 END AS code, event_type FROM events)
-SELECT event_id, CASE WHEN code = 429 AND event_type = 'purchase' THEN 'quota_exhausted' WHEN code IN (429, 503) THEN 'transient'
-  WHEN code IS NULL AND event_id % 5 = 3 THEN 'transient' ELSE 'provider_error' END AS kind FROM e""")
+#: What a provider answered, by value, kind and user of an event: code, status, message.
+_FAILED = """SELECT event_id, CASE WHEN value < 10 THEN 429 WHEN value < 20 THEN 503 WHEN value < 30 THEN 400 END AS code,
+  CASE user_id % 4 WHEN 0 THEN 'UNAVAILABLE' WHEN 1 THEN 'resource_exhausted' WHEN 2 THEN 'INVALID' END AS status,
+  concat(CASE event_type WHEN 'purchase' THEN 'Quota exceeded: ' WHEN 'click' THEN 'Rate Limit: ' ELSE '' END, props) AS message FROM events"""
+
+
+@register(f"""WITH e AS ({_FAILED}), w AS (SELECT *, regexp_matches(lower(message), 'quota|billing') AS quota, regexp_matches(lower(message), 'rate limit|per minute') AS rate FROM e)
+SELECT event_id, CASE WHEN code = 429 AND (quota OR upper(status) = 'RESOURCE_EXHAUSTED' AND NOT rate) THEN 'quota_exhausted' WHEN code = 429 OR code BETWEEN 500 AND 599
+  OR code IS NULL AND upper(status) IN ('RESOURCE_EXHAUSTED', 'UNAVAILABLE', 'DEADLINE_EXCEEDED') THEN 'transient' ELSE 'provider_error' END AS kind FROM w""")
 def failure_classification(spark, d):
-    e = table(spark, d, "events")
-    code = F.expr("CASE event_id % 5 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 400 END")
-    status = F.expr("CASE event_id % 5 WHEN 3 THEN 'UNAVAILABLE' WHEN 4 THEN 'INVALID' END")
-    message = F.when(F.col("event_type") == "purchase", "Quota exceeded for project").otherwise("limit per minute")
-    return e.select("event_id", sync.failure_kind(code, status, message).alias("kind"))
+    rows = spark.sql(_FAILED.replace("FROM events", "FROM {events}"), events=table(spark, d, "events"))
+    return rows.select("event_id", sync.failure_kind(F.col("code"), F.col("status"), F.col("message")).alias("kind"))
 
 
 @register("SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS failed, round(sum(value), 4) AS total FROM events GROUP BY 1")
