@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import corpus, incremental, postings, ranges, snapshots, vectors
+from corpusloom.operators import corpus, incremental, postings, ranges, snapshots, sync, vectors
 from corpusloom.plans.corpus_queries import _BUILD_SQL, _corpus
 from corpusloom.plans.record_queries import _folder
 from corpusloom.plans.search_queries import _BM25_SQL, _KNN_SQL, _knn, question_vectors, questions, register, table
@@ -25,6 +25,30 @@ def postings_topk(spark, d):
     return found.select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("bigint").alias("rank"), F.round("bm25", 6).alias("bm25"))
 
 
+@register("""SELECT doc_id, CASE WHEN n_chars % 50 IN (7, 8) THEN 'new' ELSE 'old' END AS version, sha256(text) AS text_sha FROM documents WHERE n_chars % 50 <> 9""")
+def snapshot_upsert(spark, d):
+    """An index in buckets after an upsert of changed and new rows and of deletions, read from its second snapshot."""
+    rows = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha"), (F.col("n_chars") % 50).alias("k"))
+    path = _folder(spark, "index")
+    told = lambda version, own: own.select("doc_id", "text_sha", F.lit(version).alias("version"))
+    snapshots.create(told("old", rows.where("k <> 8")), path, ["doc_id"])
+    snapshots.upsert(spark, path, told("new", rows.where("k IN (7, 8)")), rows.where("k = 9").select("doc_id"))
+    return snapshots.load(spark, path).select("doc_id", "version", "text_sha")
+
+
+@register("""SELECT sha256(d.text) AS content_hash, any_value(CASE WHEN e.embedding[1] > 0 THEN e.embedding[1] ELSE e.embedding[2] END) AS first
+FROM (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text) d JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY 1""")
+def cache_snapshot(spark, d):
+    """A cache of vectors by model, size and content, in buckets: vectors with a first number below 0 are put anew, turned by one place."""
+    texts = table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("vec_id")).select("vec_id", F.sha2("text", 256).alias("content_hash"))
+    rows = texts.join(table(spark, d, "embeddings"), "vec_id").select(F.lit("m").alias("model"), F.lit(64).alias("dimensions"), "content_hash", F.col("embedding").alias("vector"))
+    path = _folder(spark, "cache")
+    snapshots.create(rows.unionByName(rows.withColumn("model", F.lit("other"))), path, sync.CACHE_KEY)
+    turned = F.concat(F.slice("vector", 2, 63), F.slice("vector", 1, 1))
+    snapshots.upsert(spark, path, rows.where(F.get("vector", F.lit(0)) <= 0).withColumn("vector", turned))
+    return sync.cached_vectors(snapshots.load(spark, path), "m", 64).select("content_hash", F.get("vector", F.lit(0)).alias("first"))
+
+
 def _vector_index(spark, d) -> str:
     """An index of all embeddings, some of which were others, lacked or were too many before an upsert."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
