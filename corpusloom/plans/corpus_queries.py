@@ -440,12 +440,12 @@ def embedding_batches(spark, d):
     return corpus.batches(table(spark, d, "documents").select("doc_id", "source"), ["source"], ["doc_id"], 16)
 
 
-@register("""SELECT doc_id::VARCHAR AS id, sha256(text) AS content_sha, 'd' AS content_type, (doc_id % 9)::INT AS page, 34 AS n_fields
+@register("""SELECT doc_id::VARCHAR AS id, sha256(text) AS content_sha, lang AS content_type, (n_chars % 9)::INT AS page, 34 AS n_fields
   FROM documents""")
 def index_rows(spark, d):
     """Chunks in the columns of the index schema, with attributes as metadata of its fields."""
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("d").alias("content_type"),
-        (F.col("doc_id") % 9).alias("page"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("lang").alias("content_type"),
+        (F.col("n_chars") % 9).alias("page"))
     out = corpus.index_rows(rows, 64)
     return out.select("id", F.sha2("content", 256).alias("content_sha"), "content_type", "page", F.lit(len(out.columns)).alias("n_fields"))
 

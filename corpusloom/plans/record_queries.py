@@ -131,14 +131,15 @@ def registry_validation(spark, d):
     return constraints.registry_issues(rows, ["a.example"]).select("id", "code")
 
 
-@register("""SELECT count(*) AS source_count, count(*) FILTER (doc_id % 3 > 0) AS approved_count,
-  count(*) FILTER (doc_id % 5 = 0) AS excluded_count, count(*) FILTER (doc_id % 7 = 0) AS errors,
-count(*) FILTER (doc_id % 11 = 0) AS warnings, count(*) FILTER (doc_id % 7 = 0) = 0 AS valid FROM documents""")
+@register("""WITH f AS (SELECT lang IN ('en', 'fr') AS approved, n_chars % 5 = 0 AS excluded, n_chars < 200 AS bad, lang = 'es' AS odd FROM documents)
+SELECT count(*) AS source_count, count(*) FILTER (approved) AS approved_count, count(*) FILTER (excluded) AS excluded_count, count(*) FILTER (bad) AS errors,
+  count(*) FILTER (odd) AS warnings, count(*) FILTER (bad) = 0 AS valid FROM f""")
 def registry_counts(spark, d):
-    rows, every = numbered(spark, d)
-    found = rows.where("doc_id % 7 = 0").select(F.lit("error").alias("severity")).unionByName(rows.where("doc_id % 11 = 0").select(F.lit("warning").alias("severity")))
-    return constraints.registry_summary(rows.select(every(3, "draft", "approved").alias("review_status"),
-        every(5, "excluded", "current").alias("status")), found)
+    rows = table(spark, d, "documents")
+    of = lambda cond, severity: rows.where(cond).select(F.lit(severity).alias("severity"))
+    sources = rows.select(F.when(F.col("lang").isin("en", "fr"), "approved").otherwise("draft").alias("review_status"),
+        F.when(F.col("n_chars") % 5 == 0, "excluded").otherwise("current").alias("status"))
+    return constraints.registry_summary(sources, of("n_chars < 200", "error").unionByName(of("lang = 'es'", "warning")))
 
 
 # pages, headings
@@ -351,76 +352,67 @@ def json_lines(spark, d):
 # uploads
 
 def _provider(texts: list[str]) -> list[list[float]]:
-    """Vectors of two numbers; texts say which failure they stand for."""
-    if any("quota" in t for t in texts):
-        raise upload.ProviderError(429, "", "quota exceeded")
-    if len(texts) > 4 and any("busy" in t for t in texts):
+    """Vectors of two numbers: the length of a text, and 1. Batches of more than four with a text of over 9,000 characters are
+    refused as a whole, and a text with `que` gets a vector of one number."""
+    if len(texts) > 4 and any(len(t) > 9000 for t in texts):
         raise upload.ProviderError(503, "", "")
-    return [[float(len(t)), 1.0] if "bad" not in t else [1.0] for t in texts]
+    return [[1.0] if "que" in t else [float(len(t)), 1.0] for t in texts]
 
 
-@register("""SELECT 'k' || (doc_id % 400) AS key, CASE WHEN doc_id % 400 % 10 = 3 THEN NULL
-  ELSE (length('text ') + length((doc_id % 400)::VARCHAR))::DOUBLE END AS size,
-CASE WHEN doc_id % 400 % 10 = 3 THEN 'provider_error' END AS kind FROM documents GROUP BY doc_id % 400""")
+@register("""SELECT sha256(text) AS key, CASE WHEN NOT contains(text, 'que') THEN length(text)::DOUBLE END AS size, CASE WHEN contains(text, 'que') THEN 'provider_error' END AS kind
+FROM documents GROUP BY text""")
 def embed_misses(spark, d):
-    """Embeddings of texts, each key once; some batches are refused as a whole and go through in parts, some vectors are wrong."""
-    n = F.col("doc_id") % 400
-    text = F.when(n % 10 == 3, F.concat(F.lit("bad  "), n)).otherwise(F.concat(F.lit("text "), n))
-    rows = table(spark, d, "documents").select(F.concat(F.lit("k"), n).alias("content_hash"), text.alias("embedding_text"))
+    """Embeddings of texts, each content once; some batches are refused as a whole and go through in parts, some vectors are wrong."""
+    rows = table(spark, d, "documents").select(F.sha2("text", 256).alias("content_hash"), F.col("text").alias("embedding_text"))
     out = upload.embed(rows, _provider, 2, sleep=lambda s: None)
     return out.select("key", F.get("vector", F.lit(0)).cast("double").alias("size"), "kind")
 
 
-@register("""WITH c AS (SELECT doc_id, doc_id % 2 = 0 AS cached FROM documents) SELECT doc_id::VARCHAR AS id, cached FROM c""")
+@register("""SELECT sha256(text) AS id, bool_or(lang = 'en') AS cached FROM documents WHERE NOT contains(text, 'que') OR lang = 'en' GROUP BY text""")
 def cache_upkeep(spark, d):
-    """A cache after a sync: every chunk has a vector, from the cache or new."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("content_hash"))
-    cache = docs.where("content_hash % 2 = 0").withColumn("vector", F.array(F.lit(0.0).cast("float"), F.lit(0.0).cast("float")))
-    joined = sync.cache_join(docs.withColumn("embedding_text", F.lit("t")), cache, "content_hash", 2)
-    fresh = upload.embed(joined.where("vector is null").drop("vector"), _provider, 2, sleep=lambda s: None).select(F.col("key").alias("content_hash"),
-        "vector")
+    """A cache after a sync: English texts had vectors, others get new ones, but for those whose vectors are wrong."""
+    docs = table(spark, d, "documents").select(F.sha2("text", 256).alias("content_hash"), F.col("text").alias("embedding_text"), "lang")
+    cache = docs.where("lang = 'en'").select("content_hash", F.array(F.lit(0.0).cast("float"), F.lit(0.0).cast("float")).alias("vector")).distinct()
+    joined = sync.cache_join(docs.drop("lang"), cache, "content_hash", 2)
+    fresh = upload.embed(joined.where("vector is null").drop("vector"), _provider, 2, sleep=lambda s: None).where("vector is not null").select(
+        F.col("key").alias("content_hash"), "vector")
     return sync.upsert(cache, fresh, "content_hash").select(F.col("content_hash").alias("id"), (F.get("vector", F.lit(1)) == 0).alias("cached"))
 
 
-@register("""SELECT x AS code FROM unnest(['SCOPE_DIFFERS', 'CHUNKS_OUTSIDE_SCOPE']) AS t(x)""")
+@register("""SELECT 'SCOPE_DIFFERS' AS code WHERE EXISTS (SELECT 1 FROM documents WHERE source = 'src1')
+UNION ALL SELECT 'CHUNKS_OUTSIDE_SCOPE' WHERE EXISTS (SELECT 1 FROM documents WHERE source = 'src1' AND lang = 'en')""")
 def delete_scope_faults(spark, d):
-    """A scope of all sources but one may not delete: it differs from the approved ones, and chunks lie outside of it."""
+    """A scope of all sources but one may not delete: it differs from the approved ones, and (English) chunks lie outside of it."""
     ids = table(spark, d, "documents").where("source is not null").select(F.col("source").alias("id")).distinct()
     scope = upload.scope_rows(ids.where(F.col("id") != "src1").withColumns({"review_status": F.lit("approved"), "status": F.lit("current")}), "m",
         "c", [], True, True)
-    chunks = table(spark, d, "documents").where("source is not null").select(F.col("source").alias("source_id"))
+    chunks = table(spark, d, "documents").where("source is not null and lang = 'en'").select(F.col("source").alias("source_id"))
     return upload.scope_issues(scope, ids, chunks, "m", "c")
 
 
-@register("""WITH c AS (SELECT doc_id, doc_id % 2 = 0 AS had, doc_id % 3 = 0 AS put FROM documents) SELECT 'h' || doc_id AS content_hash, CASE
-  WHEN put THEN 2 ELSE 1 END AS version FROM c WHERE had OR put""")
+@register("""SELECT sha256(text) AS content_hash, CASE WHEN n_chars % 3 = 0 THEN n_chars ELSE 1 END AS version FROM documents WHERE n_chars % 2 = 0 OR n_chars % 3 = 0 GROUP BY text, n_chars""")
 def cache_store(spark, d):
     """A cache of two models after vectors of one of them were put, some of them invalid; what is read back of that model."""
-    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("h"), "doc_id").alias("content_hash"))
-    vec = lambda x: F.array(F.lit(float(x)).cast("float"), F.lit(0.0).cast("float"))
-    had = docs.where("doc_id % 2 = 0").select(F.explode(strings("m", "other")).alias("model"), F.lit(2).alias("dimensions"), "content_hash",
-        vec(1).alias("vector"))
-    new = docs.select("content_hash", F.when(F.col("doc_id") % 3 == 0, vec(2)).otherwise(F.array(F.lit(float("nan")).cast("float"),
-        F.lit(0.0).cast("float"))).alias("vector"))
+    docs = table(spark, d, "documents").select("n_chars", F.sha2("text", 256).alias("content_hash")).distinct()
+    vec = lambda x: F.array(x.cast("float"), F.lit(0.0).cast("float"))
+    had = docs.where("n_chars % 2 = 0").select(F.explode(strings("m", "other")).alias("model"), F.lit(2).alias("dimensions"), "content_hash", vec(F.lit(1)).alias("vector"))
+    new = docs.select("content_hash", F.when(F.col("n_chars") % 3 == 0, vec(F.col("n_chars"))).otherwise(vec(F.lit(float("nan")))).alias("vector"))
     out = sync.cached_vectors(sync.cache_put(had, new, "m", 2), "m", 2)
-    return out.select("content_hash", F.get("vector", F.lit(0)).cast("int").alias("version"))
+    return out.select("content_hash", F.get("vector", F.lit(0)).cast("bigint").alias("version"))
 
 
-@register("""SELECT 'i' || doc_id AS image_id, 'p/i' || doc_id || '.webp' AS blob_name, CASE doc_id % 4 WHEN 3 THEN 'provider_error' END AS kind
-  FROM documents WHERE doc_id % 2 = 1""")
+@register("""SELECT 'i' || doc_id AS image_id, 'p/i' || doc_id || '.webp' AS blob_name, CASE WHEN contains(text, 'que') THEN 'provider_error' END AS kind FROM documents WHERE lang <> 'en'""")
 def image_publish(spark, d):
-    """Contents put under their names; a quarter of them is refused."""
-    docs = table(spark, d, "documents").select(F.concat(F.lit("i"), "doc_id").alias("image_id"), "doc_id")
+    """Contents put under their names; those with `que` are refused."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("i"), "doc_id").alias("image_id"), "lang", "text")
     name = F.concat("image_id", F.lit(".webp"))
-    plan = docs.where("doc_id % 2 = 1").select("image_id", name.alias("file_name"), F.concat(F.lit("p/"), name).alias("blob_name"),
-        F.concat(F.lit("https://m/p/"), name).alias("public_url"))
-    scan = docs.select(F.concat(F.lit("file:/x/"), name).alias("path"), F.when(F.col("doc_id") % 4 == 3,
-        "no").otherwise("yes").cast("binary").alias("content"))
+    plan = docs.where("lang <> 'en'").select("image_id", name.alias("file_name"), F.concat(F.lit("p/"), name).alias("blob_name"), F.concat(F.lit("https://m/p/"), name).alias("public_url"))
+    scan = docs.select(F.concat(F.lit("file:/x/"), name).alias("path"), F.col("text").cast("binary").alias("content"))
     return images.publish(plan, scan, _put, sleep=lambda s: None).select("image_id", "blob_name", "kind")
 
 
 def _put(blob: str, content: bytes) -> None:
-    if content == b"no":
+    if b"que" in content:
         raise upload.ProviderError(400, "", "refused")
 
 
