@@ -337,7 +337,7 @@ def file_signatures(spark, d):
 _NOTES = "SELECT concat('see [', url, '](', regexp_replace(url, '^http:', 'https:'), ') or <', url, '>, ', html) AS value FROM pages"
 
 
-@register(rf"""SELECT DISTINCT url FROM (SELECT unnest(regexp_extract_all(value, 'https://[^\s)\]>"'']+')) AS url FROM ({_NOTES}))""".replace("\\\\", "\\"))
+@register(rf"""SELECT DISTINCT url FROM (SELECT unnest(regexp_extract_all(value, 'https://[^\s)\]>"'']+')) AS url FROM ({_NOTES}))""")
 def markdown_urls(spark, d):
     """The https urls of notes about pages, which hold the pages."""
     return files.markdown_links(made(spark, d, _NOTES, "pages"))
@@ -464,23 +464,29 @@ def manifest_union(spark, d):
 
 # parts of answers
 
-@register("""SELECT doc_id AS query_id, n::INT AS number, CASE n WHEN 1 THEN 'open' ELSE 'step ' || doc_id END AS title FROM documents, unnest([1, 2]) AS t(n) WHERE n = 1 OR doc_id % 3 > 0""")
+@register("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)
+SELECT doc_id AS query_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k))::INT AS number, trim(line, ' ') AS title FROM l WHERE trim(line, ' ') <> ''""")
 def guide_step_numbers(spark, d):
-    rows, every = numbered(spark, d)
-    steps = F.array(F.lit(" open "), F.lit(" "), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("step "), "key")))
-    return rows.select(F.col("doc_id").alias("query_id"), F.explode(answer.guide_steps(steps)).alias("s")).select("query_id", "s.number", "s.title")
+    """The lines of a text as steps."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.explode(answer.guide_steps(F.split("text", "\n"))).alias("s"))
+    return rows.select("query_id", "s.number", "s.title")
 
 
-@register("""SELECT doc_id AS query_id, 'SOURCE_' || m AS marker, o::INT AS "order", 's' || m AS source_id FROM
-(SELECT doc_id, o, CASE WHEN (doc_id % 2 = 0) = (o = 1) THEN 2 ELSE 1 END AS m FROM documents, unnest([1, 2]) AS t(o))""")
+#: Answers that cite two or three sources, chosen by the length of a text and of its first word.
+_CITING = """SELECT doc_id AS query_id, concat('[SOURCE_', CAST(1 + n_chars % 4 AS string), '] ', text, ' [SOURCE_', CAST(1 + length(regexp_extract(text, '[A-Za-z]+', 0)) % 4 AS string),
+  '] [SOURCE_2] [SOURCE_x]') AS answer FROM documents"""
+
+
+@register(rf"""WITH a AS ({_CITING.replace("string)", "VARCHAR)")}), u AS (SELECT query_id, unnest(regexp_extract_all(answer, '\[(SOURCE_[1-9][0-9]*)\]', 1)) AS marker,
+  generate_subscripts(regexp_extract_all(answer, '\[(SOURCE_[1-9][0-9]*)\]', 1), 1) AS k FROM a),
+f AS (SELECT query_id, marker, min(k) AS k FROM u WHERE marker IN ('SOURCE_1', 'SOURCE_2', 'SOURCE_3') GROUP BY query_id, marker)
+SELECT query_id, marker, (row_number() OVER (PARTITION BY query_id ORDER BY k))::INT AS "order", 's' || right(marker, 1) AS source_id FROM f""")
 def citation_rows(spark, d):
     """Known markers of answers in the order of their first use."""
-    rows, _ = numbered(spark, d)
-    text = F.when(F.col("doc_id") % 2 == 0, "a [SOURCE_2] b [SOURCE_1] [SOURCE_2] [SOURCE_7]").otherwise("a [SOURCE_1] b [SOURCE_2] [SOURCE_x]")
-    marks = rows.select(F.col("doc_id").alias("query_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    answers = made(spark, d, _CITING)
+    marks = answers.select("query_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n"))
     marked = marks.select("query_id", F.concat(F.lit("SOURCE_"), "n").alias("marker"), F.col("n").alias("id"), F.concat(F.lit("s"), "n").alias("source_id"))
-    out = answer.citations(rows.select(F.col("doc_id").alias("query_id"), text.alias("answer")), marked)
-    return out.select("query_id", "marker", "order", "source_id")
+    return answer.citations(answers, marked).select("query_id", "marker", "order", "source_id")
 
 
 _SLUG = "regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"

@@ -525,16 +525,21 @@ def upload_report(spark, d):
         F.round(F.sum("value"), 4).alias("total"))
 
 
-@register("""WITH a AS (SELECT doc_id, (doc_id % 4) + 1 AS k, (doc_id % 3) + 2 AS j FROM documents)
-SELECT doc_id, CASE WHEN j = k THEN 1 ELSE 2 END::BIGINT AS n_cited, ('x [SOURCE_' || k || '] [SOURCE_' || j || '] y') AS cleaned FROM a""")
+#: Texts with lists of two markers for commas, numbered by length and source, and what else is taken out of an answer.
+_MARKED = """SELECT doc_id, concat(' ', replace(coalesce(text, ''), ', ', concat(' [SOURCE_', CAST(n_chars % 7 AS string), ' , SOURCE_', CAST(length(source) AS string), '] ')),
+  '[SOURCE_99] [IMAGE_1]![a](https://x/y.png) [SOURCE_x]') AS raw FROM documents"""
+
+
+@register(rf"""WITH m AS ({_MARKED.replace("string)", "VARCHAR)")}), a AS (SELECT doc_id, regexp_replace(raw, '\[\s*(SOURCE_[1-9][0-9]*)\s*,\s*(SOURCE_[1-9][0-9]*)\s*\]', '[\1] [\2]', 'g') AS t FROM m),
+k AS (SELECT doc_id, regexp_replace(t, '\[SOURCE_(?:[06-9][^\]\s]*|[1-5][^\]\s]+|[^0-9\]\s][^\]\s]*)?\]', '', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\[IMAGE_[^\]\s]*\]', '', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '^\s+|\s+$', '', 'g') AS t FROM k)
+SELECT doc_id, len(list_distinct(regexp_extract_all(t, 'SOURCE_[0-9]+')))::BIGINT AS n_cited, sha256(t) AS cleaned_sha FROM c""")
 def answer_cleaning(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 4 + 1).cast("string").alias("k"),
-        (F.col("doc_id") % 3 + 2).cast("string").alias("j"))
-    raw = F.concat(F.lit(" x [SOURCE_"), "k", F.lit(", SOURCE_"), "j", F.lit("] y[SOURCE_99] [IMAGE_1]![a](https://x/y.png)"))
+    rows = spark.sql(_MARKED.replace("FROM documents", "FROM {documents}"), documents=table(spark, d, "documents"))
     known = F.array(*[F.lit(f"SOURCE_{n}") for n in range(1, 6)])
-    out = docs.select("doc_id", answer.clean_answer(raw, known).alias("cleaned"))
-    return out.select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("cleaned", F.lit("SOURCE_[0-9]+"),
-        F.lit(0)))).cast("bigint").alias("n_cited"), "cleaned")
+    out = rows.select("doc_id", answer.clean_answer(F.col("raw"), known).alias("cleaned"))
+    cited = F.array_distinct(F.regexp_extract_all("cleaned", F.lit("SOURCE_[0-9]+"), F.lit(0)))
+    return out.select("doc_id", F.size(cited).cast("bigint").alias("n_cited"), F.sha2("cleaned", 256).alias("cleaned_sha"))
 
 
 @register("SELECT doc_id, strftime(DATE '2024-01-01' + (doc_id % 300)::INTEGER, '%Y-%m-%d') || 'T00:00:00Z' AS effective_from, sha256(text) AS content_hash FROM documents")
@@ -548,14 +553,19 @@ def page_audit(spark, d):
     return paged.audit(table(spark, d, "documents").select(F.col("source").alias("source_id"), "text"))
 
 
-@register("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'x' WHEN 1 THEN 'y' END AS answer, CASE doc_id % 5 WHEN 1 THEN 1 END::BIGINT AS n_steps
-  FROM documents""")
+_GENERATED = """SELECT doc_id, lang, regexp_extract(text, '[A-Za-z]+', 0) AS w, regexp_extract(text, '[a-z]+', 0) AS v, regexp_extract(text, 'que[a-z]*', 0) AS y, text FROM documents"""
+
+
+@register(f"""SELECT doc_id, CASE WHEN lang = 'en' AND w <> '' OR lang = 'fr' AND w <> '' AND v <> '' AND y <> '' THEN w END AS answer,
+  CASE WHEN lang = 'fr' AND w <> '' AND v <> '' AND y <> '' THEN 1 END::BIGINT AS n_steps FROM ({_GENERATED}) g""")
 def answer_contract(spark, d):
-    """Generated answers of five kinds, two of which keep the contract."""
-    kinds = ['{"answer": "x"}', '{"answer": "y", "guide": {"steps": [{"title": "t", "instruction": "i"}]}}', '{"answer": " "}',
-        '{"answer": "z", "more": 1}', "no json"]
-    raw = F.get(F.array(*map(F.lit, kinds)), F.pmod("doc_id", F.lit(5)).cast("int"))
-    out = table(spark, d, "documents").select("doc_id", answer.parse_generated(raw).alias("g"))
+    """Generated answers of words of the texts: two kinds that keep the contract where no text is blank, one with a key too many, and bare texts."""
+    rows = spark.sql(_GENERATED.replace("FROM documents", "FROM {documents}"), documents=table(spark, d, "documents"))
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    step = F.concat(F.lit(', "guide": {"steps": [{"title": '), text("v"), F.lit(', "instruction": '), text("y"), F.lit("}]}}"))
+    raw = F.when(F.col("lang") == "en", F.concat(F.lit('{"answer": '), text("w"), F.lit("}"))).when(F.col("lang") == "fr", F.concat(F.lit('{"answer": '), text("w"), step)).when(
+        F.col("lang") == "es", F.concat(F.lit('{"answer": '), text("w"), F.lit(', "more": 1}'))).otherwise(F.col("text"))
+    out = rows.select("doc_id", answer.parse_generated(raw).alias("g"))
     return out.select("doc_id", F.col("g.answer").alias("answer"), F.when(F.col("g.guide").isNotNull(),
         F.size("g.guide.steps")).cast("bigint").alias("n_steps"))
 
