@@ -379,6 +379,29 @@ def cache_upkeep(spark, d):
     return sync.upsert(cache, fresh, "content_hash").select(F.col("content_hash").alias("id"), (F.get("vector", F.lit(1)) == 0).alias("cached"))
 
 
+@register("""WITH c AS (SELECT doc_id, text, lang, bool_or(lang = 'en') OVER (PARTITION BY text) AS cached FROM documents),
+f AS (SELECT *, NOT cached AND contains(text, 'que') AS failed FROM c)
+SELECT 'chunks' AS what, count(*) AS n FROM f UNION ALL SELECT 'failed', count(*) FILTER (failed) FROM f UNION ALL SELECT 'provider_error', count(DISTINCT text) FILTER (failed) FROM f
+UNION ALL SELECT 'cache', count(DISTINCT text) FILTER (NOT failed) FROM f UNION ALL SELECT 'index', count(*) FILTER (lang <> 'es' OR NOT failed) FROM f""")
+def upload_run(spark, d):
+    """The report of a whole sync: English texts have vectors in the cache, the index lacks Spanish ones, and some embeddings are refused."""
+    docs = table(spark, d, "documents")
+    chunks = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.sha2("text", 256).alias("content_hash"), F.col("text").alias("embedding_text"))
+    zero = F.array(F.lit(0.0).cast("float"), F.lit(0.0).cast("float"))
+    cache = docs.where("lang = 'en'").select(F.sha2("text", 256).alias("content_hash"), zero.alias("vector")).distinct()
+    index = chunks.join(docs.where("lang <> 'es'").select(F.col("doc_id").alias("id")), "id", "left_semi").withColumn("vector", zero)
+    kept = {}
+
+    def write(name, df):
+        kept[name] = stored(df)
+        return kept[name]
+
+    report = upload.run_upload(chunks, cache, index, _provider, 2, write, sleep=lambda s: None)
+    told = [("chunks", report["chunks"]), ("failed", report["failed"]), ("provider_error", report["failures"].get("provider_error", 0))]
+    counts = [kept[name].agg(F.lit(name).alias("what"), F.count("*").alias("n")) for name in ("cache", "index")]
+    return spark.createDataFrame(told, "what string, n bigint").unionByName(counts[0]).unionByName(counts[1])
+
+
 @register("""SELECT 'SCOPE_DIFFERS' AS code WHERE EXISTS (SELECT 1 FROM documents WHERE source = 'src1')
 UNION ALL SELECT 'CHUNKS_OUTSIDE_SCOPE' WHERE EXISTS (SELECT 1 FROM documents WHERE source = 'src1' AND lang = 'en')""")
 def delete_scope_faults(spark, d):
