@@ -115,18 +115,21 @@ def test_chunk_merge_is_the_reference_loop(spark, tmp_path):
 
 def test_evidence_is_searched_among_eligible_rows(spark, small):
     d, texts, stored = small
-    english = {k for k in texts if k % 5 == 0}
+    year, asked = {1: "2024/2025", 2: "2025/2026"}, {0: "2025/2026", 1: "2023"}
     words, vectors = brute_bm25(texts), brute_cosine(stored)
-    place, beyond = {}, 0
+    place, beyond, other = {}, 0, 0
     for q in set(words) | set(vectors):
+        english = {k for k in texts if k % 5 == 0}
+        fit = {k for k in english if None in (year.get(k % 4), asked.get(q % 3)) or year[k % 4] == asked[q % 3]}
+        other += len(english - fit)
         rrf = {}
         for scores in (words.get(q, {}), vectors.get(q, {})):
-            beyond += len({k for k, _ in best(scores, english)} - {k for k, _ in best(scores)})
-            for n, (k, _) in enumerate(best(scores, english)):
+            beyond += len({k for k, _ in best(scores, fit)} - {k for k, _ in best(scores)})
+            for n, (k, _) in enumerate(best(scores, fit)):
                 rrf[k] = rrf.get(k, 0) + 1 / (61 + n)
-        place |= {(q, k): n for n, k in enumerate(sorted(rrf, key=lambda k: (-round(rrf[k], 9), k)))}
+        place |= {(q, k): n for n, k in enumerate(sorted(rrf, key=lambda k: (-round(rrf[k], 9), k))[:24])}
     rows = plans.Q["hybrid_retrieve"](spark, d).collect()
-    assert beyond and all(place[r.query_id, r.id] == r.original_rank for r in rows) and {r.query_id for r in rows} == {q for q, _ in place}
+    assert beyond and other and all(place[r.query_id, r.id] == r.original_rank for r in rows) and {r.query_id for r in rows} == {q for q, _ in place}
     con = duckdb.connect()
     for t in ("documents", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
