@@ -189,7 +189,7 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 24, k1
     column of the questions: only shards of the period that is asked for, or of none, take part, where a period is asked for.
 
     For a block of questions, in one plan: the bounds of all shards are formed from their terms; the shard with the
-    highest bound of each question is searched, and the k-th best score there is one that the k-th best of all reaches; then the shards whose
+    highest bound of each question is searched for that question, and the k-th best score there is one that the k-th best of all reaches; then the shards whose
     bound reaches it, and no others, are read and scored for the questions that need them. Bounds hold a slack for rounding.
     """
     m = snapshots.manifest(spark, path, version)
@@ -231,16 +231,20 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 24, k1
                 yield batch.select(keys).filter(pa.array((bound >= least - _SLACK).any(1)))
 
         def scored(batches, least=None, shared=shared, live=live):
-            """The best rows of a task, and last a row of question -1 with the shards (id null) and postings read."""
+            """The best rows of a task, and last a row of question -1 with the shards (id null) and postings read. Without `least` a shard
+            is searched for the questions that are named beside it (asked)."""
             block = shared.value
-            best, n_shards, n_postings = _Best(block.n, k), 0, 0
+            best, n_shards, n_postings = _Best(block.n, k, 0.0), 0, 0
             if least is not None:
                 best.least = least - _SLACK
             for batch in batches:
                 bound, places = _bounds(batch, block, k1, b, mean, live)
                 for i in range(batch.num_rows):
-                    need = bound[i] >= (best.least if least is not None else -np.inf)
-                    need &= bound[i] > -np.inf
+                    need = bound[i] > -np.inf
+                    if least is not None:
+                        need &= bound[i] >= best.least
+                    else:
+                        need &= np.isin(np.arange(block.n), batch.column("asked").slice(i, 1).flatten().to_numpy())
                     if not need.any():
                         continue
                     row = {c: batch.column(c).slice(i, 1).flatten() for c in ("ids", "lengths", "begin", "docs", "tf")}
@@ -253,10 +257,14 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 24, k1
                     count = begin[at + 1] - begin[at]
                     flat = np.repeat(begin[at] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
                     term = np.repeat(term, count)
-                    scores, _ = block.prepare(need)
+                    most = need.sum() * 4 > block.n  # then the scores of all questions are formed as well
+                    scores, step = block.ready() if most else block.prepare(need)
                     value = block.idf[term] * term_part(tf[flat], length[docs[flat]], k1, b, mean)
-                    found = scores(docs[flat], term, value, len(length))
-                    best.add(np.round(np.where((found > 0) & need, found, -np.inf), 9), row["ids"].to_numpy(zero_copy_only=False))
+                    doc, ids = docs[flat], row["ids"].to_numpy(zero_copy_only=False)
+                    for low in range(0, len(length), step):
+                        own = (doc >= low) & (doc < low + step)
+                        found = scores(doc[own] - low, term[own], value[own], min(step, len(length) - low))
+                        best.add(np.where(need, found, -np.inf) if most else found, ids[low : low + step], None if most else np.flatnonzero(need))
                     n_shards, n_postings = n_shards + 1, n_postings + len(flat)
             q, score, doc = best.rows or (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([
@@ -267,7 +275,8 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 24, k1
         result = StructType([StructField("q", IntegerType()), StructField("id", id_type), StructField("bm25", DoubleType()), StructField("postings", LongType())])
         first = told.mapInArrow(best_shards, "q long, bound double, bucket int, shard int").groupBy("q").agg(F.max_by(F.struct(*keys), "bound").alias("s"))
         payload = own.select(*keys, *[period] * bool(period), "ids", "lengths", "terms", "begin", "docs", "tf", "max_tf", "min_length")
-        some = payload.join(F.broadcast(stored(first.select("s.*").distinct())), keys, "left_semi")
+        asked = stored(first.groupBy("s").agg(F.collect_list("q").alias("asked")).select("s.*", "asked"))
+        some = payload.join(F.broadcast(asked), keys)
         tried = top_k(some.mapInArrow(scored, result).where("q >= 0").withColumnRenamed("q", "query_id"), "bm25", k, "id")
         least = np.full(len(ids), -np.inf)
         for r in tried.where(F.col("rank") == k).select("query_id", "bm25").collect():  # a row for each question of the block
