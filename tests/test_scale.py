@@ -39,3 +39,32 @@ def test_best_rows_of_some_questions():
         best.add(scores[a : a + 60, 2:], ids[a : a + 60], np.array([1, 3]))
     got = list(zip(*(x.tolist() for x in best.rows)))
     assert got == [(q, -s, k) for q, c in enumerate((0, 2, 1, 3)) for s, k in sorted(zip((-scores[:, c]).tolist(), range(300)))[:5]]
+
+
+def test_equal_texts_tie_in_any_order_of_words(spark):
+    """Sums of many terms differ in their last bits by the order of the terms: texts of the same words must tie all the same."""
+    rnd = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for g in range(40):
+        own = [words[k] for k in rnd.choice(400, 60, replace=False) for _ in range(1 + k % 3)]
+        rows += [(3 * g + c, " ".join(rnd.permutation(own))) for c in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    asked = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
+    got = retrieval.bm25_top(docs, asked, 120).collect()
+    of = {}
+    for r in got:
+        of.setdefault((r.query_id, r.doc_id // 3), set()).add(r.bm25)
+    assert len(got) == 40 * 120 and all(len(x) == 1 for x in of.values())
+
+
+def test_scores_in_a_shard_do_not_depend_on_who_else_asks():
+    rnd = np.random.default_rng(8)
+    n, n_terms = 40, 200
+    question, term = np.nonzero(rnd.random((n, n_terms)) < 0.4)
+    block = retrieval.TermBlock([f"t{k}" for k in range(n_terms)], rnd.random(n_terms) * 8, question, term, n)
+    row, at = np.nonzero(rnd.random((30, n_terms)) < 0.5)
+    value = rnd.random(len(row)) * 10
+    whole = block.ready()[0](row, at, value, 30)
+    live = rnd.random(n) < 0.3
+    assert np.array_equal(block.prepare(live)[0](row, at, value, 30), whole[:, live])
