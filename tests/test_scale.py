@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusloom.operators import retrieval
+from corpusloom.operators import ranges, retrieval
 
 
 def test_texts_are_read_once_for_any_number_of_blocks(spark, monkeypatch):
@@ -68,3 +68,20 @@ def test_scores_in_a_shard_do_not_depend_on_who_else_asks():
     whole = block.ready()[0](row, at, value, 30)
     live = rnd.random(n) < 0.3
     assert np.array_equal(block.prepare(live)[0](row, at, value, 30), whole[:, live])
+
+
+def test_sums_in_ranges_equal_the_sums_of_the_pairs(spark):
+    rnd = np.random.default_rng(2)
+    cells = spark.createDataFrame([("ab"[k % 2], int(r), int(c), int(v)) for k, (r, c, v) in enumerate(rnd.integers(0, 30, (500, 3)))], "sheet string, row int, col int, v long")
+    boxes = spark.createDataFrame([("ab"[k % 2], k, int(r), int(c), int(r + h), int(c + w)) for k, (r, c, h, w) in enumerate(rnd.integers(-1, 20, (90, 4)).clip([0, 0, -1, -1]))],
+        "sheet string, name int, row1 int, col1 int, row2 int, col2 int")
+    want = ranges.cells_in_ranges(cells, boxes, ["sheet"]).groupBy("name").agg(F.count("*"), F.sum("v"))
+    got = ranges.sums_in_ranges(cells, boxes, ["sheet"], "v").select("name", "n", "total")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 30
+
+
+def test_pieces_of_ranges_are_not_sent_to_the_driver(spark):
+    cells = spark.range(1000).selectExpr("1 AS sheet", "cast(id AS int) AS row", "cast(id % 50 AS int) AS col", "id AS v")
+    boxes = spark.range(100).selectExpr("1 AS sheet", "id AS name", "0 AS row1", "0 AS col1", "cast(id AS int) AS row2", "7 AS col2")
+    for met in (ranges.cells_in_ranges(cells, boxes, ["sheet"]), ranges.sums_in_ranges(cells, boxes, ["sheet"], "v")):
+        assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
