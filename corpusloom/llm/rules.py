@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ordered import stored
+
 _SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -132,13 +134,18 @@ def verdict(version: str, bits: str = "fail_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(mask(POLICIES[version])).cast("bigint")) == 0
 
 
+def tally(ledgers: DataFrame) -> DataFrame:
+    """(fail_bits, n), stored: at most 2 ** len(RULES) rows, of which `ablations` makes its tables without measuring a text again."""
+    return stored(ledgers.groupBy("fail_bits").agg(F.count("*").alias("n")))
+
+
 def ablations(ledgers: DataFrame, version: str) -> DataFrame:
     """For each rule of a policy: n_failed, n_only (fail it alone), n_kept_without it, n_kept with all rules.
 
-    Ledgers are counted by their bits first, at most 2 ** len(RULES) rows, and only those are combined with rules.
+    Ledgers (or their `tally`) are counted by their bits first, at most 2 ** len(RULES) rows, and only those are combined with rules.
     """
     m = mask(POLICIES[version])
-    counts = ledgers.groupBy(F.col("fail_bits").bitwiseAND(F.lit(m).cast("bigint")).alias("bits")).agg(F.count("*").alias("n"))
+    counts = ledgers.groupBy(F.col("fail_bits").bitwiseAND(F.lit(m).cast("bigint")).alias("bits")).agg((F.sum("n") if "n" in ledgers.columns else F.count("*")).alias("n"))
     rules = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(mask([n])).cast("bigint").alias("bit")) for n in POLICIES[version]])
     each = counts.select("bits", "n", F.explode(rules).alias("r"))
     hit = lambda c: F.sum(F.when(c, F.col("n")).otherwise(F.lit(0))).alias

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from corpusloom.llm import rules
 from corpusloom.operators import ranges, retrieval
 
 
@@ -85,3 +86,19 @@ def test_pieces_of_ranges_are_not_sent_to_the_driver(spark):
     boxes = spark.range(100).selectExpr("1 AS sheet", "id AS name", "0 AS row1", "0 AS col1", "cast(id AS int) AS row2", "7 AS col2")
     for met in (ranges.cells_in_ranges(cells, boxes, ["sheet"]), ranges.sums_in_ranges(cells, boxes, ["sheet"], "v")):
         assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_tally_measures_texts_once_for_all_policies(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(k, "a b c d " * (k % 30)) for k in range(60)], "doc_id long, text string")
+    counts = rules.tally(rules.ledger(rules.measure(rows.mapInArrow(read, rows.schema))))
+    got = {v: sorted(map(tuple, rules.ablations(counts, v).collect())) for v in rules.POLICIES}
+    assert seen.value == 60
+    led = rules.ledger(rules.measure(rows))
+    assert all(sorted(map(tuple, rules.ablations(led, v).collect())) == x for v, x in got.items())
