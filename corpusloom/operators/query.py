@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,21 +13,23 @@ from corpusloom.functions.text import period, strip
 
 
 def labels(c: Column, patterns: dict[str, list[str]]) -> Column:
-    """Labels, in the order of `patterns`, one of whose phrases stands in the text as whole words."""
+    """Labels, in the order of `patterns`, one of whose phrases stands in the text as whole words. Patterns are tried only on
+    texts that have a phrase at all, which is much cheaper to find."""
     low = F.lower(c)
-    hit = lambda ps: low.rlike(r"(?U)(?<!\w)(?:" + "|".join(re.escape(p) for p in ps) + r")(?!\w)")
+    hit = lambda ps: reduce(Column.__or__, [low.contains(p) for p in ps]) & low.rlike(r"(?U)(?<!\w)(?:" + "|".join(re.escape(p) for p in ps) + r")(?!\w)")
     return F.filter(F.array(*[F.when(hit(ps), F.lit(n)) for n, ps in patterns.items()]), lambda x: x.isNotNull())
 
 
 def tax_labels(c: Column, patterns=None, broad: str = vocab.BROAD_LABEL, specific=tuple(vocab.SPECIFIC_LABELS)) -> Column:
-    found = labels(c, patterns or vocab.TAX_LABELS)
-    narrow = F.arrays_overlap(found, F.array(*map(F.lit, specific)))
-    return F.when(narrow, F.filter(found, lambda x: x != broad)).otherwise(found)
+    names = F.array(*map(F.lit, specific))
+    kept = lambda found: F.when(F.arrays_overlap(found, names), F.filter(found, lambda x: x != broad)).otherwise(found)
+    return F.element_at(F.transform(F.array(labels(c, patterns or vocab.TAX_LABELS)), kept), 1)  # labels are found once
 
 
 def expand_aliases(c: Column, aliases: dict[str, str] | None = None) -> Column:
     """The text with the long form of every alias in it appended."""
-    long = [F.when(c.rlike(f"(?i)(?<![A-Za-z0-9]){re.escape(a)}(?![A-Za-z0-9])"), F.lit(x)) for a, x in (aliases or vocab.ALIASES).items()]
+    low = F.lower(c)
+    long = [F.when(low.contains(a.lower()) & c.rlike(f"(?i)(?<![A-Za-z0-9]){re.escape(a)}(?![A-Za-z0-9])"), F.lit(x)) for a, x in (aliases or vocab.ALIASES).items()]
     return F.concat_ws(" ", c, *long)
 
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.llm import rules
-from corpusloom.operators import ranges, retrieval
+from corpusloom.operators import query, ranges, retrieval
 
 
 def test_texts_are_read_once_for_any_number_of_blocks(spark, monkeypatch):
@@ -102,3 +102,11 @@ def test_a_tally_measures_texts_once_for_all_policies(spark):
     assert seen.value == 60
     led = rules.ledger(rules.measure(rows))
     assert all(sorted(map(tuple, rules.ablations(led, v).collect())) == x for v, x in got.items())
+
+
+def test_labels_are_found_once_and_only_where_a_phrase_stands(spark):
+    rows = spark.createDataFrame([(1, "Ab, bc"), (2, "abx bc"), (3, "x"), (4, None), (5, "wide AB")], "k int, t string")
+    phrases = {"one": ["ab"], "two": ["bc", "zz"], "wide": ["wide"]}
+    found = query.tax_labels(F.col("t"), phrases, "wide", ("one",))
+    assert found._jc.toString().lower().count("rlike") == 3
+    assert {r.k: r.x for r in rows.select("k", found.alias("x")).collect()} == {1: ["one", "two"], 2: ["two"], 3: [], 4: [], 5: ["one"]}
