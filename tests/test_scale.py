@@ -1,5 +1,7 @@
 """Work that must not grow with the number of blocks, of pairs or of groups."""
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -31,6 +33,21 @@ def test_terms_of_few_documents_take_no_column_of_the_product():
     assert step == retrieval._CELLS // 2 // n and np.array_equal(out, np.repeat([[3.0], [4.0]], n, 1))
 
 
+def test_rare_terms_are_added_up_a_few_rows_at_a_time():
+    """Long texts share many terms with many questions: what is held is bounded by a part, not by all rows that are scored at once."""
+    n, terms, rows = 512, 600, 128
+    question, term = np.repeat(np.arange(n), terms), np.tile(np.arange(terms), n)
+    scores, step = retrieval.TermBlock([f"t{k}" for k in range(terms)], np.full(terms, np.log(1e6)), question, term, n).prepare()
+    assert step >= rows
+    value = np.arange(rows * terms, dtype=float)
+    tracemalloc.start()
+    out = scores(np.repeat(np.arange(rows), terms), np.tile(np.arange(terms), rows), value, rows)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(out, np.repeat(value.reshape(rows, terms).sum(1)[:, None], n, 1))
+    assert held < 100 << 20  # 39 million sums, 8 bytes for each array of them
+
+
 def test_best_rows_of_some_questions():
     rnd = np.random.default_rng(5)
     scores, ids = np.round(rnd.random((300, 4)), 2), np.arange(300)
