@@ -57,3 +57,41 @@ def test_an_empty_stream(spark, tmp_path):
     spark.createDataFrame([(None, 1, "s", "new", None, None, None)], sessions.EVENT).write.json(f"{tmp_path}/in")
     sessions.session_stream(spark.readStream.schema(sessions.EVENT).json(f"{tmp_path}/in"), f"{tmp_path}/t", f"{tmp_path}/c").awaitTermination()
     assert sessions.sessions(spark, f"{tmp_path}/t").count() == 0
+
+
+class _State:
+    """A state variable that counts what it is asked."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def _called(self, *given):
+        self.calls += 1
+        return given
+
+    def exists(self):
+        return self._called() == () and self.value is not None
+
+    def get(self):
+        return self._called() or self.value
+
+    def update(self, value):
+        self.value = self._called(value)[0]
+
+    def iterator(self):
+        return iter(self._called())
+
+    updateValue = removeKey = _called
+
+
+def test_an_owner_is_read_once_and_written_once():
+    import pandas as pd
+
+    made = []
+    handle = type("Handle", (), {k: lambda *_: made.append(_State()) or made[-1] for k in ("getValueState", "getMapState")})()
+    owner = sessions.Sessions()
+    owner.init(handle)
+    events = pd.DataFrame([(k, f"s{k % 30}", "new" if k < 30 else "append", "user", f"text {k}", None) for k in range(90)], columns=["seq", "session", "kind", "role", "text", "replacement"])
+    assert len(pd.concat(owner.handleInputRows(("o",), iter([events[60:], events[:60]]), None))) == 90
+    assert sum(s.calls for s in made) == 2
+    assert not list(owner.handleInputRows(("o",), iter([events]), None)) and sum(s.calls for s in made) == 3
