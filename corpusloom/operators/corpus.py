@@ -126,7 +126,7 @@ def build(sources: DataFrame, extracted: DataFrame, extraction_issues: DataFrame
     stop = ordered.stored(rules.unionByName(unknown).where("severity = 'error'").limit(1).select(F.lit(True).alias("_stop")))
     if not stop.isEmpty():
         own = own.limit(0)
-    ids = own.select(F.col("id").alias("source_id"))
+    ids = F.broadcast(own.select(F.col("id").alias("source_id")))  # sources are few and have many records each, so contents stay where they are
     fresh = extracted.join(ids, "source_id", "left_semi")
     if cached is not None:
         fresh = fresh.join(cached.select("source_id").distinct(), "source_id", "left_anti").unionByName(cached.join(ids, "source_id", "left_semi"),

@@ -3,10 +3,12 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.llm import rules
-from corpusloom.operators import query, ranges, retrieval
+from corpusloom.functions import text
+from corpusloom.operators import chunking, corpus, ordered, query, ranges, retrieval
 
 
 def test_texts_are_read_once_for_any_number_of_blocks(spark, monkeypatch):
@@ -127,3 +129,34 @@ def test_labels_are_found_once_and_only_where_a_phrase_stands(spark):
     found = query.tax_labels(F.col("t"), phrases, "wide", ("one",))
     assert found._jc.toString().lower().count("rlike") == 3
     assert {r.k: r.x for r in rows.select("k", found.alias("x")).collect()} == {1: ["one", "two"], 2: ["two"], 3: [], 4: [], 5: ["one"]}
+
+
+def _records(spark, n, words):
+    """A source and n records of it, each with a text of so many words."""
+    sources = spark.createDataFrame([("a",)], "id string").withColumns({c: F.lit(None).cast("string") for c in (
+        "title", "source_url", "tax_year", "document_version", "authority_level", "language", "status", "form_code", "document_type", "sha256")} | {
+        c: F.lit(None).cast("date") for c in ("published_date", "effective_from", "effective_to")} | {"authority_rank": F.lit(1)} | {
+        c: F.array(F.lit("x")) for c in ("tax_types", "taxpayer_types", "supersedes", "tags", "aliases", "workflow_ids")})
+    texts = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda k: F.concat(F.sha2(k.cast("string"), 256), F.lit(". "))), "")
+    made = spark.range(n).select(F.lit("a").alias("source_id"), F.col("id").cast("int").alias("ordinal"), texts.alias("content"), F.lit("text").alias("content_kind"),
+        F.lit(1).alias("page"), F.lit(1).alias("page_end"), *[F.lit(None).cast("string").alias(c) for c in ("section", "sheet", "cell_range")],
+        *[F.array().cast("array<string>").alias(c) for c in ("title_path", "table_headers", "warnings")])
+    return sources, made
+
+
+def test_texts_are_not_repeated_for_their_pieces(spark, monkeypatch):
+    seen, grouped = [], ordered.greedy_groups
+    monkeypatch.setattr(ordered, "greedy_groups", lambda df, *a, **k: seen.append(df.columns) or grouped(df, *a, **k))
+    sources, records = _records(spark, 2, 300)
+    assert chunking.build_chunks(corpus.normalize_records(records), sources).count() == 10
+    assert "piece" in seen[0] and "content" not in seen[0] and "content_hash" not in seen[0]
+
+
+def test_few_texts_are_python_objects_at_once():
+    texts = pa.array(["\u00e9" + "a" * 20_000] * 2000)
+    tracemalloc.start()
+    out = text._nfkc.func(texts)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.equals(texts) and held < 20 << 20
+    assert text._nfkc.func(pa.array([None, "\ufb01"])).to_pylist() == [None, "fi"] and len(text._nfkc.func(pa.array([], pa.string()))) == 0
