@@ -1,6 +1,7 @@
 """Work that must not grow with the number of blocks, of pairs or of groups."""
 
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -152,6 +153,19 @@ def test_texts_are_not_repeated_for_their_pieces(spark, monkeypatch):
     assert "piece" in seen[0] and "content" not in seen[0] and "content_hash" not in seen[0]
 
 
+def test_what_a_build_stores_grows_with_the_text(spark):
+    """Ten times as long a text has ten times as many pieces: its bytes must not grow a hundredfold."""
+    def size(folder):
+        return sum(f.stat().st_size for f in folder.rglob("part-*"))
+
+    folder, bytes_of = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")), []
+    for words in (600, 6000):
+        before = size(folder)
+        assert chunking.build_chunks(*_records(spark, 1, words)[::-1]).count() > 0
+        bytes_of.append(size(folder) - before)
+    assert bytes_of[1] < 15 * bytes_of[0]
+
+
 def test_few_texts_are_python_objects_at_once():
     texts = pa.array(["\u00e9" + "a" * 20_000] * 2000)
     tracemalloc.start()
@@ -160,3 +174,10 @@ def test_few_texts_are_python_objects_at_once():
     tracemalloc.stop()
     assert out.equals(texts) and held < 20 << 20
     assert text._nfkc.func(pa.array([None, "\ufb01"])).to_pylist() == [None, "fi"] and len(text._nfkc.func(pa.array([], pa.string()))) == 0
+
+
+def test_the_first_row_of_a_key_is_held_once(spark):
+    rows = spark.createDataFrame([(1, 2, "b"), (1, 1, "c"), (1, None, "a"), (None, 3, "z"), (None, 3, "y")], "k int, o int, t string")
+    found = ordered.first_of(rows, ["k"], F.col("o"))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, None, "a"), (None, 3, "y")], key=str)
+    assert "min_by" not in found._jdf.queryExecution().optimizedPlan().toString()  # it holds the row beside the order, which ends with the row
