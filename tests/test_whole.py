@@ -137,3 +137,11 @@ def test_evidence_is_searched_among_eligible_rows(spark, small):
     assert {(r.query_id, r.id, r["rank"]) for r in rows} == set(want) and len(rows) == len(want)
     n = {r.query_id: r.n for r in plans.Q["context_blocks"](spark, d).collect()}
     assert n == {q: sum(r.query_id == q and texts[r.id] is not None for r in rows) for q in {r.query_id for r in rows}}
+
+
+def test_whole_texts_are_not_ranked(spark, monkeypatch):
+    seen, rerank = [], retrieval.rerank
+    monkeypatch.setattr(retrieval, "rerank", lambda rows, *a, **k: seen.append(rows.columns) or rerank(rows, *a, **k))
+    assert "context_sha" in plans.Q["context_blocks"](spark, "/root/testdata/sf0.001").columns
+    assert "source_id" in seen[0] and "content" not in seen[0]
+
