@@ -51,6 +51,16 @@ def test_rare_terms_are_added_up_a_few_rows_at_a_time():
     assert held < 100 << 20  # 39 million sums, 8 bytes for each array of them
 
 
+def test_rare_terms_are_added_up_for_rows_in_any_order():
+    """A stored index has its parts by term, not by row."""
+    n, terms, rows = 512, 60, 128
+    question, term = np.repeat(np.arange(n), terms), np.tile(np.arange(terms), n)
+    scores, _ = retrieval.TermBlock([f"t{k}" for k in range(terms)], np.full(terms, np.log(1e6)), question, term, n).prepare()
+    value = np.arange(rows * terms, dtype=float).reshape(rows, terms)
+    out = scores(np.tile(np.arange(rows), terms), np.repeat(np.arange(terms), rows), value.T.ravel(), rows)
+    assert np.array_equal(out, np.repeat(value.sum(1)[:, None], n, 1))
+
+
 def test_best_rows_of_some_questions():
     rnd = np.random.default_rng(5)
     scores, ids = np.round(rnd.random((300, 4)), 2), np.arange(300)
