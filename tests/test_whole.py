@@ -145,3 +145,33 @@ def test_whole_texts_are_not_ranked(spark, monkeypatch):
     assert "context_sha" in plans.Q["context_blocks"](spark, "/root/testdata/sf0.001").columns
     assert "source_id" in seen[0] and "content" not in seen[0]
 
+
+
+@pytest.mark.parametrize("tried", [0, 32])
+@pytest.mark.parametrize("period", [None, "tax_year"])
+def test_copies_and_first_tries_change_no_list(spark, monkeypatch, tried, period):
+    """Six copies of each text, in several periods, null texts and fewer copies than k: the same lists as if each were ranked for itself."""
+    rng = random.Random(9)
+    texts = [None if k % 30 == 29 else " ".join(rng.choices([f"w{k}" for k in range(50)], k=rng.randint(1, 20))) for k in range(60)]
+    rows = [(k, texts[k % 60], rng.choice([None, "2023", "2024"])) for k in range(360)] + [(None, texts[0], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tax_year string")
+    asked = docs.where("doc_id % 7 = 0").selectExpr("doc_id AS query_id", "text AS query_text", "tax_year")
+    among = docs.where("doc_id % 5 > 0").select("doc_id")
+    lists = lambda k: [tuple(r) for r in retrieval.bm25_top(docs, asked, k, among=among, period=period).orderBy("query_id", "rank").collect()]
+    got = []
+    monkeypatch.setattr(retrieval, "_TRIED_FROM", tried)
+    for share in (0, 8):
+        monkeypatch.setattr(retrieval, "_COPIES", share)
+        assert (retrieval._copies(docs.where("doc_id is not null"), "doc_id", F.col("text")) is None) == (share == 0)
+        got.append([lists(3), lists(24)])
+    assert got[0] == got[1] and len(got[0][1]) > 500
+    assert retrieval._copies(docs, "doc_id", F.col("text")) is None  # null ids
+
+
+def test_copies_are_scored_once(spark, monkeypatch):
+    rows = spark.range(300).selectExpr("id AS doc_id", "concat('a b', id % 50) AS text")
+    scored = []
+    best = retrieval._task_best
+    monkeypatch.setattr(retrieval, "_task_best", lambda rows, ids, *a: scored.append((rows.count(), len(ids))) or best(rows, ids, *a))
+    found = retrieval.bm25_top(rows, rows.where("doc_id % 2 = 0").selectExpr("doc_id AS query_id", "text AS query_text"), 24)
+    assert found.count() == 150 * 24 and scored == [(50, 25)]
