@@ -191,3 +191,13 @@ def test_the_first_row_of_a_key_is_held_once(spark):
     found = ordered.first_of(rows, ["k"], F.col("o"))
     assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, None, "a"), (None, 3, "y")], key=str)
     assert "min_by" not in found._jdf.queryExecution().optimizedPlan().toString()  # it holds the row beside the order, which ends with the row
+
+
+def test_vectors_without_a_direction_push_no_others_out(spark):
+    """Cosines are rounded when they are kept, not all of them: a task with more empty directions than places still finds its best."""
+    rows = [(k, [0.0, 0.0] if k % 2 else [1.0, k / 100]) for k in range(200)] + [(900, [float("nan"), 1.0]), (901, [1.0, 0.1234567894999])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    asked = vectors.where("vec_id IN (0, 1, 900)").selectExpr("vec_id AS query_id", "embedding AS query_vec")
+    found = retrieval.cosine_top(vectors, asked, 8).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in found] == [(0, k) for k in (0, 2, 4, 6, 8, 10, 12, 901)]
+    assert all(r.cosine == round(r.cosine, 9) for r in found)
