@@ -18,6 +18,8 @@ from corpusloom.operators.ordered import stored
 BROADCAST_ROWS = 1_000_000
 #: Bytes of an Arrow batch that goes to a Python worker (a single longer row goes alone).
 BATCH_BYTES = 2 << 20
+#: Rows that a Parquet reader decodes at once: the usual 4,096 whole texts fill a small heap where many tasks share it.
+READ_ROWS = 256
 #: Text bytes handled by numpy at once; temporaries are some 10 x 8 bytes for each of them.
 SLICE_BYTES = 1 << 19
 
@@ -61,11 +63,12 @@ def unpacked(df: DataFrame, *own: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow with `fn` called for each batch; batches are bounded in bytes as well as in rows."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(conf.get(name)).rstrip("bB")
-    if not now.isdigit() or int(now) > BATCH_BYTES:  # a session's own lower bound is left alone
-        conf.set(name, str(BATCH_BYTES))
+    """mapInArrow with `fn` called for each batch; batches are bounded in bytes as well as in rows, also where they are read."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        now = str(conf.get(name)).rstrip("bB")
+        if not now.isdigit() or int(now) > most:  # a session's own lower bound is left alone
+            conf.set(name, str(most))
 
     def run(batches):
         for batch in batches:

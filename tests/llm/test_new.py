@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import lexical, mixing, periodic, queries
+from corpusloom.llm import _cluster, lexical, mixing, periodic, queries
 from tests.llm.test_llm import DATA, LONG, SCHEMA, SMALL, empty, odd  # noqa: F401
 
 
@@ -266,3 +266,16 @@ def test_columns(spark, name):
         "op13_periodic_runs": {"n_runs": "bigint", "start": "bigint", "length": "bigint", "period": "bigint", "exponent_milli": "bigint", "runs_sha256": "string"},
     }[name]
     assert {c: types[c] for c in expected} == expected
+
+
+def test_readers_decode_few_whole_texts_at_once(spark):
+    """4,096 rows of long texts in each of many tasks fill a small heap; a session's own lower bound stays."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    try:
+        for own, want in (("4096", "256"), ("100", "100")):
+            spark.conf.set(name, own)
+            assert _cluster.map_arrow(spark.range(3).select("id"), lambda b: iter([b]), "id long").count() == 3
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
